@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secret_scan, url_filter, warc_archive
+from . import packing, quality_classifier, secret_scan, url_filter, warc_archive
 from .common import table
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 RULES_SQL = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in url_filter.RULES)
 
 
@@ -14,6 +20,14 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
@@ -22,7 +36,7 @@ def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_archive.digest(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op7_url_filter, op8_warc_archive)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op3_packing, op7_url_filter, op8_warc_archive)}
 
 _FOLD_CASE = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
 _ASSIGN = "(" + "|".join(_FOLD_CASE(w) for w in ("password", "passwd", "secret", "token")) + "|" + "[aA][pP][iI]_?[kK][eE][yY]" + ")[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
