@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_classifier, secret_scan, url_filter, warc_archive
+from . import packing, quality_classifier, secret_scan, toxicity_grammar, url_filter, warc_archive
 from .common import table
 
+def op9_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_grammar.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -36,7 +40,7 @@ def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_archive.digest(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op3_packing, op7_url_filter, op8_warc_archive)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op3_packing, op7_url_filter, op8_warc_archive, op9_toxicity_grammar)}
 
 _FOLD_CASE = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
 _ASSIGN = "(" + "|".join(_FOLD_CASE(w) for w in ("password", "passwd", "secret", "token")) + "|" + "[aA][pP][iI]_?[kK][eE][yY]" + ")[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
