@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_classifier, secret_scan, toxicity_grammar, url_filter, warc_archive
+from . import decontamination, graph_search, jaccard_join, packing, quality_classifier, secret_scan, toxicity_grammar, url_filter, warc_archive
 from .common import table
 
 def op9_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_grammar.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_search.search(table(spark, sf_dir, "embeddings"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -32,6 +36,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(table(spark, sf_dir, "documents")).drop("node")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
@@ -40,7 +52,7 @@ def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_archive.digest(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op3_packing, op7_url_filter, op8_warc_archive, op9_toxicity_grammar)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op3_packing, op5_jaccard_join, op6_decontamination, op7_url_filter, op8_warc_archive, op9_toxicity_grammar, op10_graph_search)}
 
 _FOLD_CASE = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
 _ASSIGN = "(" + "|".join(_FOLD_CASE(w) for w in ("password", "passwd", "secret", "token")) + "|" + "[aA][pP][iI]_?[kK][eE][yY]" + ")[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
