@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, graph_search, jaccard_join, packing, quality_classifier, secret_scan, toxicity_grammar, url_filter, warc_archive
+from . import decontamination, graph_search, jaccard_join, maxent_lm, packing, quality_classifier, secret_scan, toxicity_grammar, url_filter, warc_archive
 from .common import table
 
 def op9_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(table(spark, sf_dir, "documents")).drop("node")
 
@@ -52,7 +56,7 @@ def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_archive.digest(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op3_packing, op5_jaccard_join, op6_decontamination, op7_url_filter, op8_warc_archive, op9_toxicity_grammar, op10_graph_search)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op3_packing, op4_maxent_lm, op5_jaccard_join, op6_decontamination, op7_url_filter, op8_warc_archive, op9_toxicity_grammar, op10_graph_search)}
 
 _FOLD_CASE = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
 _ASSIGN = "(" + "|".join(_FOLD_CASE(w) for w in ("password", "passwd", "secret", "token")) + "|" + "[aA][pP][iI]_?[kK][eE][yY]" + ")[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
