@@ -54,10 +54,10 @@ def query(claims: DataFrame, subject: str | None = None, check: str | None = Non
     return claims
 
 
-def profile_claims(table: str, profiles: DataFrame) -> list[tuple[str, str, list[dict]]]:
-    """What a table's profile lets one claim, column by column; a profile has one row a column."""
+def profile_claims(table: str, columns: Sequence[Mapping]) -> list[tuple[str, str, list[dict]]]:
+    """What a table's profile lets one claim, column by column."""
     out = []
-    for r in profiles.orderBy("position").collect():
+    for r in columns:
         source = f"{table}#{r['name']}"
         out.append((f"column {r['name']} of {table} holds {r['dtype']} values", table, [{"check": "column.dtype", "result": r["dtype"], "source": source}]))
         out.append((f"column {r['name']} of {table} lacks {r['missing']} of {r['rows']} values", table, [{"check": "column.missing", "result": r["missing"], "source": source}]))
