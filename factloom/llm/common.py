@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,7 +21,9 @@ def scratch_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="factloom-")
+        made = tempfile.mkdtemp(prefix="factloom-")
+        atexit.register(shutil.rmtree, made, True)
+        path = "file://" + made
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 

@@ -12,7 +12,8 @@ Scale: shards hold about ``SHARD`` distinct vectors whatever the input, and each
 set (ids divisible by ``EVERY``); they travel in blocks to the shards by an equi-join on the shard.
 
 Defined cases: null, empty or all-zero vectors and those with null or non-finite components take no part, as queries or as
-candidates; rows that repeat an id and vector count once, a query never finds its own id; vectors of another length are
+candidates; rows that repeat an id and vector count once, of several vectors under one query id the least is asked for, a query
+never finds its own id; vectors of another length are
 never compared; fewer candidates than asked for are all returned; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -184,7 +185,8 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, shard: int = SHAR
     """query_id, rank, vec_id, score: the nearest found of every query."""
     index = graphs(nodes_of(vectors, shard, k))
     asked = vectors.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("query")).filter((F.col("query_id") % every == 0) & F.col("query").isNotNull())
-    asked = asked.groupBy("query_id").agg(F.first("query").alias("query"))
+    sound = F.forall("query", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("query", lambda x: x != 0)
+    asked = asked.filter(sound).groupBy("query_id").agg(F.min("query").alias("query"))
     places = index.groupBy("dim").agg(F.collect_list("shard").alias("shards"))  # one number per shard
     asked = asked.withColumn("dim", F.size("query")).join(places, "dim").withColumn("shard", F.explode("shards"))
     sent = asked.groupBy("shard", "dim", F.floor(F.col("query_id") / (every * QUERY_BLOCK)).alias("part")).agg(F.collect_list("query_id").alias("query_ids"), F.collect_list("query").alias("queries"))
