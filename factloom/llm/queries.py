@@ -92,6 +92,15 @@ from d left join agg using (r)"""
 
 ORACLE_SQL = {
     "op1_secret_scan": _secrets_sql(),
+    "op5_jaccard_join": """
+with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words from documents),
+s as (select doc_id, case when len(words) = 0 then [] when len(words) < 4 then [array_to_string(words, ' ')] else list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) end as shingles from w),
+e as (select doc_id, len(shingles) as n, unnest(shingles) as x from s),
+p as (select a.doc_id as i, b.doc_id as j, any_value(a.n) as an, any_value(b.n) as bn, count(*) as c from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
+l as (select i, j from p where 100 * c >= 85 * (an + bn - c)),
+d as (select i, j from l union all select j, i from l),
+r(doc_id, m) as (select doc_id, doc_id from s union select r.doc_id, d.j from r join d on r.m = d.i)
+select doc_id, len(shingles)::bigint as n_shingles, (select min(m) from r where r.doc_id = s.doc_id) as component_id, (select count(*) from d where d.i = s.doc_id) as n_links from s""",
     "op7_url_filter": f"""
 with rules(verdict, host, path) as (values {RULES_SQL}),
 p as (select page_id, coalesce(url, '') as url, strpos(coalesce(url, ''), '://') as pos from pages),
