@@ -5,15 +5,19 @@ nothing. So the first level works in sub-spaces. For sets of sizes s and up to s
 difference by k; shingles are dealt by hash into more than k parts, so two linked sets agree in at least one part, and one
 that holds shingles. Every distinct content of a part is a pivot, a document falls into the Voronoi region of the pivot at
 distance zero, and the window that the triangle inequality asks for is zero wide. Sizes are cut into classes, and a set is
-replicated to the scheme of its own class and of the one below: that is the window for sizes.
+replicated to the scheme of its own class and of the one below: that is the window for sizes. Shingles that many documents share
+would fill parts alone and draw strangers together, so sets with enough other shingles are placed by those only (see ``keys``).
 
-Regions that share documents form one area. Inside an area distances are informative: documents as pivots create Voronoi
-regions, a document is replicated to every region within twice the radius of its own pivot (the triangle inequality), and
-regions split again until they are small; small ones are compared as sparse matrices. All links are exact; none is missed.
+Regions that share documents form one area, and a small area is one group. A large area is taken apart again: all regions with
+the same smallest node form a group around it, which holds every pair of each of its regions. Inside a group distances are
+informative: documents as pivots create Voronoi regions, a document is replicated to every region within twice the radius of its
+own pivot (the triangle inequality), and regions split again until they are small; small ones are compared as sparse matrices. A
+pair that several groups hold counts in the one with the smallest pivot. All links are exact; none is missed.
 
-Scale: sets are never shipped for documents that share no region. Equal sets are one node from the start. Regions only
-ever leave (node, smallest node) rows. Areas above ``AREA_DOCS`` documents are cut into blocks that meet pairwise, each pair
-a task of its own, so no task holds an unbounded group; links leave a task as a spanning forest with counts per node.
+Scale: equal sets are one node from the start. Regions only ever leave (node, smallest node) rows. Sets are shipped for nodes of
+areas only: the text scan asks a Bloom filter of fixed size, whose errors cost traffic and change no result. Groups above
+``GROUP_DOCS`` documents are cut into blocks that meet pairwise, each pair a task of its own, so no task holds an unbounded group;
+links leave a task as a spanning forest with counts per node.
 
 Defined cases: a set has the distinct shingles of a text, the whole word sequence where it has fewer words than a shingle,
 and is empty without words; empty sets link with nothing, not even each other; null text is empty; rows that repeat or
@@ -23,6 +27,7 @@ ignored. Nodes are 63 bits of the set's 128-bit digest.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +41,16 @@ from . import common
 from .components import connected
 from .shingles import WordHash, hashes, mixed, shingles, words_of
 
-#: An area with more documents, or more shingles in all, is cut into blocks.
-AREA_DOCS, AREA_SHINGLES = 1024, 4_000_000
+#: Up to so many documents an area is one group.
+AREA_DOCS = 256
+#: A group with more documents, or more shingles in all, is cut into blocks.
+GROUP_DOCS, GROUP_SHINGLES = 1024, 4_000_000
+#: Bits of the filter that says whether a node may lie in an area.
+FILTER_BITS = 1 << 23
 #: Documents that are compared as one matrix.
 LEAF = 384
+#: Documents of the sample that shows which shingles are hot, and how many of them must hold one.
+HOT_SAMPLE, HOT_DOCS = 8192, 4
 #: Sets that a task remembers to skip repeats; forgetting costs repeated rows only.
 REMEMBERED = 500_000
 
@@ -63,11 +74,14 @@ class Similarity:
         # The last few totals hold the maximum, as it rises by less than one over them but for rounding.
         return max(t - 2 * -(-self.num * t // (self.num + self.den)) for t in range(max(2 * size, top - 8), top + 1))
 
-    def scheme(self, top: int) -> tuple[int, int]:
-        """For pairs whose smaller set has at most ``top`` shingles: how many parts can differ, and parts in all (none where
-        only equal sets link). The few parts beyond the need may stay empty."""
+    def scheme(self, low: int, top: int) -> tuple[int, int]:
+        """For pairs whose smaller set has ``low`` to ``top`` shingles: how many parts can differ, and parts in all (none where
+        only equal sets link). The parts beyond the need are as many as chance leaves empty even in a rather uneven set."""
         k = max(self.difference(s) for s in range(max(1, top - 20), top + 1))
-        return k, k + 1 + max(1, k // 40) if k else 0
+        if not k:
+            return 0, 0
+        empty = (k + 1) * math.exp(-low / (k + 1))
+        return k, k + 1 + math.ceil(empty + 4 * math.sqrt(empty) + 1)
 
 
 class Classes:
@@ -85,7 +99,7 @@ class Classes:
         if i not in self.schemes:
             while len(self.starts) <= i + 1:
                 self.of(self.starts[-1])
-            self.schemes[i] = self.similarity.scheme(self.starts[i + 1] - 1)
+            self.schemes[i] = self.similarity.scheme(self.starts[i], self.starts[i + 1] - 1)
         return self.schemes[i]
 
 
@@ -97,28 +111,65 @@ def node_of(s: np.ndarray) -> int:
     return xxhash.xxh3_128_intdigest(s.tobytes()) & ((1 << 63) - 1)
 
 
-def keys(s: np.ndarray, classes: Classes) -> np.ndarray:
-    """The regions of a set: one for every part that holds shingles, in the schemes of its size class and the one below."""
+def without(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The set less its widely shared shingles; both are sorted."""
+    if not len(hot):
+        return s
+    return s[hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] != s]
+
+
+def part_keys(s: np.ndarray, scheme: int, m: int, tag: int) -> tuple[np.ndarray, np.ndarray]:
+    """The key of every part that holds shingles, and the parts that hold none."""
+    seed = np.uint64(((2 * scheme + tag + 1) * 0x9E3779B97F4A7C15) & (1 << 64) - 1)
+    mix = mixed(s + np.uint64(((scheme + 1) * 0x9E3779B97F4A7C15) & (1 << 64) - 1))
+    part = (mix >> np.uint64(20)) % np.uint64(m)
+    order = np.argsort(part)
+    part = part[order]
+    first = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1]) if len(s) else np.zeros(0, np.int64)
+    sums, held = (np.add.reduceat(mixed(mix[order]), first), part[first]) if len(s) else (mix, part)
+    none = np.setdiff1d(np.arange(m, dtype=np.uint64), held)
+    name = lambda sums, held: mixed(mixed(sums + held * np.uint64(0xC2B2AE3D27D4EB4F)) + seed)
+    return name(sums, held), name(np.zeros(len(none), np.uint64), none)
+
+
+def keys(s: np.ndarray, classes: Classes, hot: np.ndarray) -> np.ndarray:
+    """The regions of a set, in the schemes of its size class and the one below.
+
+    Parts are first made of the shingles that are not hot. A linked partner differs in at most ``k`` of them, so a set with
+    more than ``k`` filled ones meets each partner in one. A set with fewer also takes part with all its shingles, and with
+    its empty parts if even those fill too few; two such sets meet there. Which shingles count as hot is free, as long as
+    all sets agree.
+    """
     own, out = classes.of(len(s)), []
+    cold = without(s, hot)
     for scheme in (own, own - 1):
         k, m = classes.scheme(scheme) if scheme >= 0 else (0, 0)
         if not m:
             continue
-        seed = np.uint64((scheme + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        mix = mixed(s + seed)
-        part = (mix >> np.uint64(20)) % np.uint64(m)
-        order = np.argsort(part)
-        part = part[order]
-        first = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
-        sums = np.add.reduceat(mixed(mix[order]), first)
-        held = part[first]
-        if len(held) <= k:  # too few parts hold shingles to be sure that one agrees: the empty ones count too
-            rest = np.setdiff1d(np.arange(m, dtype=np.uint64), held)
-            sums, held = np.concatenate([sums, np.zeros(len(rest), np.uint64)]), np.concatenate([held, rest])
-        out.append(mixed(mixed(sums + held * np.uint64(0xC2B2AE3D27D4EB4F)) + seed))
+        filled, _ = part_keys(cold, scheme, m, 0)
+        out.append(filled)
+        if len(filled) <= k:
+            whole, none = part_keys(s, scheme, m, 1)
+            out += [whole] if len(whole) > k else [whole, none]
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
+def hot_shingles(docs: DataFrame, n: int, rows: int) -> np.ndarray:
+    """Shingles of at least ``HOT_DOCS`` among about ``HOT_SAMPLE`` documents: a hint that spares traffic and changes no
+    result. At most the sample's shingles over ``HOT_DOCS`` reach the driver, a number that does not grow with the corpus."""
+    share = min(1.0, HOT_SAMPLE / max(rows, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHash()
+        for batch in batches:
+            for t in batch.column(1):
+                yield pa.RecordBatch.from_arrays([pa.array(set_of(t.as_py(), n, known).view(np.int64))], names=["shingle"])
+
+    few = _texts(docs).where((F.xxhash64("text", "doc_id").bitwiseAND((1 << 30) - 1)) < int(share * (1 << 30)))
+    found = few.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_DOCS)
+    return np.sort(np.array([r[0] for r in found.select("shingle").collect()], np.int64).view(np.uint64))
+
+
 def sets(docs: DataFrame, n: int) -> DataFrame:
     """Written: doc_id, n_shingles, node (null for the empty set)."""
 
@@ -136,8 +187,9 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
 
 
-def region_edges(docs: DataFrame, n: int, similarity: Similarity) -> DataFrame:
+def region_edges(docs: DataFrame, n: int, similarity: Similarity, hot: np.ndarray) -> DataFrame:
     """Written: (a, b) where b is the smallest node of a region that holds a."""
+    held = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, classes, seen = WordHash(), Classes(similarity), set()
@@ -150,7 +202,7 @@ def region_edges(docs: DataFrame, n: int, similarity: Similarity) -> DataFrame:
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(node)
-                k = keys(s, classes)
+                k = keys(s, classes, held.value)
                 where.append(k)
                 who.append(np.full(len(k), node, np.int64))
             if where:
@@ -166,7 +218,10 @@ def region_edges(docs: DataFrame, n: int, similarity: Similarity) -> DataFrame:
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections between two short lists of sets, as one product of sparse columns."""
+    out = np.zeros((len(left), len(right)), np.float32)
     flat = np.concatenate([*left, *right])
+    if not len(flat):
+        return out.astype(np.int64)
     of = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in (*left, *right)])
     order = np.argsort(flat, kind="stable")
     flat, of = flat[order], of[order]
@@ -174,7 +229,6 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     column = np.cumsum(new) - 1
     many = np.bincount(column)[column] > 1  # a shingle of one set meets nothing
     column, of = column[many], of[many]
-    out = np.zeros((len(left), len(right)), np.float32)
     if len(column):
         column = np.cumsum(np.concatenate([[0], column[1:] != column[:-1]]))
         for a in range(0, int(column[-1]) + 1, 4096):
@@ -186,19 +240,21 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 
 class Forest:
-    """Links found so far: a union-find over positions, and each position's linked copies."""
+    """Links found so far: a union-find over positions, and each position's linked copies. ``before`` holds the smaller pivots
+    of each position: a pair that shares one is counted in that one's group."""
 
-    def __init__(self, copies: np.ndarray) -> None:
+    def __init__(self, copies: np.ndarray, before: list[np.ndarray] | None = None) -> None:
         self.up, self.copies, self.links = list(range(len(copies))), copies, np.zeros(len(copies), np.int64)
+        self.before = before or [np.zeros(0, np.uint64)] * len(copies)
 
     def root(self, x: int) -> int:
         while self.up[x] != x:
             self.up[x] = x = self.up[self.up[x]]
         return x
 
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        np.add.at(self.links, a, self.copies[b])
-        np.add.at(self.links, b, self.copies[a])
+    def add(self, a: np.ndarray, b: np.ndarray, counts: np.ndarray) -> None:
+        np.add.at(self.links, a[counts], self.copies[b[counts]])
+        np.add.at(self.links, b[counts], self.copies[a[counts]])
         for x, y in zip(a.tolist(), b.tolist(), strict=True):
             x, y = self.root(x), self.root(y)
             if x != y:
@@ -217,8 +273,11 @@ def compare(all_sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | No
             hit = similarity.linked(both, size[x][:, None], size[y][None, :])
             if right is None and i == j:
                 hit = np.triu(hit, 1)
+            if not hit.any():
+                continue
             a, b = np.nonzero(hit)
-            forest.add(x[a], y[b])
+            shared = intersections([forest.before[k] for k in x], [forest.before[k] for k in y])
+            forest.add(x[a], y[b], shared[a, b] == 0)
 
 
 def join_area(all_sets: list[np.ndarray], members: np.ndarray, similarity: Similarity, forest: Forest) -> None:
@@ -245,57 +304,91 @@ def join_area(all_sets: list[np.ndarray], members: np.ndarray, similarity: Simil
                 compare(all_sets, members[own], members[guests], similarity, forest)
 
 
-def area_links(docs: DataFrame, rows: DataFrame, areas: DataFrame, n: int, similarity: Similarity) -> DataFrame:
+def places(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """Written: (node, group, before, copies, blocks): the groups of a node, the smaller pivots it has, and how a group is cut."""
+    areas = connected(edges)
+    sizes = areas.groupBy("label").agg(F.count(F.lit(1)).alias("docs"))
+    areas = common.materialise(areas.join(sizes, "label"), "areas")
+    small = areas.where(F.col("docs") <= AREA_DOCS).select("node", F.col("label").alias("group"))
+    large = edges.join(areas.where(F.col("docs") > AREA_DOCS).select(F.col("node").alias("a")), "a")
+    large = large.select(F.col("a").alias("node"), F.col("b").alias("group")).unionByName(large.select(F.col("b").alias("node"), F.col("b").alias("group"))).distinct()
+    pivots = large.groupBy("node").agg(F.collect_list("group").alias("pivots"))  # at most one per region of the node
+    large = pivots.select("node", "pivots", F.explode("pivots").alias("group"))
+    large = large.select("node", "group", F.filter("pivots", lambda p: p < F.col("group")).alias("before"))
+    placed = small.withColumn("before", F.array().cast("array<long>")).unionByName(large)
+    heads = rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"))
+    placed = common.materialise(placed.join(heads, "node"), "placed")
+    totals = placed.groupBy("group").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("total"))
+    blocks = F.greatest(F.ceil(F.col("docs") / GROUP_DOCS), F.ceil(F.col("total") / GROUP_SHINGLES)).cast("int")
+    return common.materialise(placed.drop("n").join(totals.select("group", blocks.alias("blocks")), "group"), "places")
+
+
+def node_filter(placed: DataFrame) -> np.ndarray:
+    """The nodes as a bit table of fixed size; set word by word, so the driver receives at most that table."""
+    bit = F.col("node").bitwiseAND(FILTER_BITS - 1)
+    words = placed.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((node & {FILTER_BITS - 1}) & 63 as int))")).alias("bits"))
+    out = np.zeros(FILTER_BITS >> 6, np.int64)
+    for r in words.collect():
+        out[r["word"]] = r["bits"]
+    return out.view(np.uint64)
+
+
+def listed(table: np.ndarray, node: int) -> bool:
+    return bool(int(table[(node & FILTER_BITS - 1) >> 6]) >> (node & 63) & 1)
+
+
+def group_links(docs: DataFrame, placed: DataFrame, n: int, similarity: Similarity) -> DataFrame:
     """Written: (a, b, links): a forest edge from a to b (b null: none), and copies linked to a through other sets."""
-    heads = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"))
-    heads = common.materialise(heads.join(areas.select("node", F.col("label").alias("area")), "node"), "heads")
-    sizes = heads.groupBy("area").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("total"))
-    blocks = F.greatest(F.ceil(F.col("docs") / AREA_DOCS), F.ceil(F.col("total") / AREA_SHINGLES)).cast("int")
-    heads = heads.join(sizes.select("area", blocks.alias("blocks")), "area")
+    held = docs.sparkSession.sparkContext.broadcast(node_filter(placed))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
+        known, seen, table = WordHash(), set(), held.value
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                b = batch.slice(k, 500)
-                found = [set_of(t.as_py(), n, known) for t in b.column(0)]
-                same = pa.array([len(s) > 0 and node_of(s) == v for s, v in zip(found, b.column(1).to_pylist(), strict=True)], pa.bool_())
-                out = pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "area", "blocks", "copies", "content"])
-                yield out.filter(same)  # a row that shares the id but not the text
-
-    texts = _texts(docs).join(heads.select("doc_id", "node", "area", "blocks", "copies"), "doc_id")
-    content = texts.select("text", "node", "area", "blocks", "copies").mapInArrow(fetch, "node long, area long, blocks int, copies long, content binary")
+            nodes, content = [], []
+            for t in batch.column(1):
+                s = set_of(t.as_py(), n, known)
+                node = node_of(s) if len(s) else None
+                if node is None or node in seen or not listed(table, node):
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(node)
+                nodes.append(node)
+                content.append(s.tobytes())
+            for k in range(0, len(nodes), 500):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[k : k + 500], pa.int64()), pa.array(content[k : k + 500], pa.binary())], names=["node", "content"])
+
+    content = _texts(docs).mapInArrow(fetch, "node long, content binary").dropDuplicates(["node"]).join(placed, "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = content.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("area", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "copies", "content")
+    spread = content.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("group", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "copies", "before", "content")
 
     def join(table: pa.Table) -> pa.Table:
-        kept = {}
-        for node, own, copies, content in zip(*(table.column(c).to_pylist() for c in ("node", "own", "copies", "content")), strict=True):
-            kept[node] = (own, copies, np.frombuffer(content, np.uint64))
+        kept = {r["node"]: r for r in table.select(["node", "own", "copies", "before", "content"]).to_pylist()}
         nodes = np.array(sorted(kept), np.int64)
-        all_sets = [kept[k][2] for k in nodes.tolist()]
-        block = np.array([kept[k][0] for k in nodes.tolist()])
-        forest = Forest(np.array([kept[k][1] for k in nodes.tolist()], np.int64))
+        members = [kept[k] for k in nodes.tolist()]
+        all_sets = [np.frombuffer(r["content"], np.uint64) for r in members]
+        block = np.array([r["own"] for r in members])
+        forest = Forest(np.array([r["copies"] for r in members], np.int64), [np.array(r["before"], np.uint64) for r in members])
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
         if x == y:
             join_area(all_sets, np.arange(len(nodes)), similarity, forest)
         else:
             compare(all_sets, np.flatnonzero(block == x), np.flatnonzero(block == y), similarity, forest)
         roots = [forest.root(k) for k in range(len(nodes))]
-        told = [k for k in range(len(nodes)) if forest.links[k]]
+        told = [k for k in range(len(nodes)) if forest.links[k] or roots[k] != k]
         to = [int(nodes[roots[k]]) if roots[k] != k else None for k in told]
         return pa.table([pa.array(nodes[told]), pa.array(to, pa.int64()), pa.array(forest.links[told])], names=["a", "b", "links"])
 
-    return common.materialise(placed.groupBy("area", "x", "y").applyInArrow(join, "a long, b long, links long"), "links")
+    return common.materialise(spread.groupBy("group", "x", "y").applyInArrow(join, "a long, b long, links long"), "links")
 
 
 def components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, node, component_id (smallest id reachable by links), n_links (linked documents), one row per row."""
     similarity = Similarity(num, den)
     rows = sets(docs, n)
-    areas = connected(region_edges(docs, n, similarity))
-    links = area_links(docs, rows, areas, n, similarity)
+    placed = places(rows, region_edges(docs, n, similarity, hot_shingles(docs, n, rows.count())))
+    links = group_links(docs, placed, n, similarity)
     labels = connected(links.filter("b is not null").select("a", "b"))
     counts = links.groupBy("a").agg(F.sum("links").alias("links"))
     heads = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("copies"))
@@ -309,19 +402,24 @@ def components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> Da
 
 
 def deduplicate(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One document of each component: the one with the smallest id; documents with an empty set all stay. Columns unchanged."""
+    """One document of each component: the one with the smallest id; documents with an empty set all stay. Columns unchanged.
+
+    Only documents that may have a partner, by a bit table of fixed size, move to be judged; the others pass where they are.
+    """
     found = common.materialise(components(docs, n, num, den), "components")
     keep = found.filter(F.col("node").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("node").alias("__node"))
     keep = keep.select("__node", F.col("component_id").alias("__id"))
+    held = docs.sparkSession.sparkContext.broadcast(node_filter(found.filter("n_links > 0").select("node").distinct()))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
+        known, table = WordHash(), held.value
         for batch in batches:
-            found = [set_of(t.as_py(), n, known) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([node_of(s) if len(s) else None for s in found], pa.int64())], names=[*batch.schema.names, "__node"])
+            nodes = [node_of(s) if len(s) else None for s in (set_of(t.as_py(), n, known) for t in batch.column(at))]
+            nodes = [v if v is not None and listed(table, v) else None for v in nodes]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=[*batch.schema.names, "__node"])
 
     schema = common.T.StructType([*docs.schema.fields, common.T.StructField("__node", common.T.LongType())])
-    marked = docs.mapInArrow(run, schema)
-    unique = marked.join(keep, "__node").filter(F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))).dropDuplicates(["__node"]).select(*docs.columns)
+    marked = common.materialise(docs.mapInArrow(run, schema), "marked")
+    unique = marked.filter("__node is not null").join(keep, "__node").filter(F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))).dropDuplicates(["__node"]).select(*docs.columns)
     return unique.unionByName(marked.filter("__node is null").select(*docs.columns))

@@ -129,7 +129,8 @@ def near_copies():
 @pytest.mark.parametrize(("n", "num", "den"), [(4, 85, 100), (5, 80, 100)])
 def test_jaccard_join_equals_brute_force(spark, monkeypatch, n, num, den):
     monkeypatch.setattr(jaccard_join, "LEAF", 24)
-    monkeypatch.setattr(jaccard_join, "AREA_DOCS", 64)
+    monkeypatch.setattr(jaccard_join, "AREA_DOCS", 8)
+    monkeypatch.setattr(jaccard_join, "GROUP_DOCS", 64)
     texts = near_copies()
     ids = random.Random(1).sample(range(10_000), len(texts))
     df = spark.createDataFrame([(i, t, 0, 1) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, node int, area int").repartition(4)
