@@ -21,6 +21,7 @@ as the empty word.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -39,7 +40,9 @@ TOP = 1 << 17
 OWN, SUFFIXES = 12, 19
 CLASSES = 1 + OWN + SUFFIXES
 BUCKETS = 1 << 15
-ROUNDS, RATE, BATCH = 2, 0.15, 4096
+ROUNDS, RATE, BATCH = 2, 0.15, 16384
+#: Equal features of a batch that are added together.
+SHORT = 16
 BLOCKS = 16
 CACHED_WORDS = 300_000
 RARE = (1 << 20) - 1
@@ -82,32 +85,40 @@ def class_column(word: Column, own: list[bytes]) -> Column:
     return out.otherwise(F.crc32(tail) % SUFFIXES + 1 + OWN)
 
 
+class Packed(dict):
+    """Maps a word to one number: its hash, class and rank among the frequent words."""
+
+    def __init__(self, rank: dict[bytes, int], own: dict[bytes, int]) -> None:
+        self.rank, self.own = rank, own
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > CACHED_WORDS:
+            self.clear()
+        cls = self.own.get(word)
+        v = self[word] = zlib.crc32(word) << 28 | (suffix_class(word) if cls is None else cls) << 20 | self.rank.get(word, RARE)
+        return v
+
+
 class Lexicon:
-    """What a worker knows of words: packed hash, class and rank among the frequent words."""
+    """What a worker knows of words."""
 
     def __init__(self, top: list[tuple[bytes, int]], own: list[bytes]) -> None:
-        self.rank = {w: i for i, (w, _) in enumerate(top)}
-        self.own = {w: 1 + i for i, w in enumerate(own)} | {END: 0}
+        self.known = Packed({w: i for i, (w, _) in enumerate(top)}, {w: 1 + i for i, w in enumerate(own)} | {END: 0})
         self.log_count = np.append(np.log10(np.array([n for _, n in top], float) + 1), 0.0)
         self.count = np.append(np.array([n for _, n in top], np.int64), 0)
-        self.known: dict[bytes, int] = {}
 
-    def packed(self, words: list[bytes]) -> np.ndarray:
-        """One number per word, the end token appended."""
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        for w in set(words).union((END,)).difference(self.known):
-            cls = self.own.get(w)
-            self.known[w] = zlib.crc32(w) << 28 | (suffix_class(w) if cls is None else cls) << 20 | self.rank.get(w, RARE)
-        return np.fromiter(map(self.known.__getitem__, [*words, END]), np.int64, len(words) + 1)
+    def packed(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """One number per word, each document's end token appended, laid end to end; and the documents' sizes."""
+        size = np.array([len(d) + 1 for d in docs])
+        look, end = self.known.__getitem__, [END]
+        return np.fromiter(map(look, itertools.chain.from_iterable(itertools.chain(d, end) for d in docs)), np.int64, int(size.sum())), size
 
 
 class Tokens:
-    """Documents laid end to end: classes, features and bounds."""
+    """Documents laid end to end: classes, ranks, features and bounds."""
 
-    def __init__(self, docs: list[np.ndarray]) -> None:
-        flat = np.concatenate(docs)
-        self.size = np.array([len(d) for d in docs])
+    def __init__(self, flat: np.ndarray, size: np.ndarray) -> None:
+        self.size = size
         self.first = np.cumsum(self.size) - self.size
         self.cls = (flat >> 20 & 255).astype(np.int32)
         self.rank = (flat & RARE).astype(np.int32)
@@ -118,43 +129,82 @@ class Tokens:
         two[self.first] = 0
         second = self.first[self.size > 1] + 1
         two[second] = 0
-        spread = lambda x, m: ((x * np.uint64(m)) >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1)
-        self.features = np.stack([spread(one + np.uint64(3), 0x9E3779B97F4A7C15), spread(two + np.uint64(5), 0xC2B2AE3D27D4EB4F), spread(one * np.uint64(31) + two + np.uint64(7), 0x165667B19E3779F9)], 1)
+        spread = lambda x, m: (((x * np.uint64(m)) >> np.uint64(40)) & np.uint64(BUCKETS - 1)).astype(np.uint16)
+        self.features = np.stack([spread(one + np.uint64(3), 0x9E3779B97F4A7C15), spread(two + np.uint64(5), 0xC2B2AE3D27D4EB4F), spread(one * np.uint64(31) + two + np.uint64(7), 0x165667B19E3779F9)])
 
 
 def logits(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
-    """weights: BUCKETS rows and the bias as the last."""
-    return weights[features[:, 0]] + weights[features[:, 1]] + weights[features[:, 2]] + weights[-1]
+    """weights: BUCKETS rows and the bias as the last; features: one row each."""
+    x = weights[features[0]]
+    x += weights[features[1]]
+    x += weights[features[2]]
+    x += weights[-1]
+    return x
 
 
 def log_probability(weights: np.ndarray, t: Tokens) -> np.ndarray:
     """Natural log of the probability of each token's class."""
     out = np.empty(len(t.cls), np.float64)
-    for k in range(0, len(out), 16384):
-        x = logits(weights, t.features[k : k + 16384])
-        c = t.cls[k : k + 16384]
-        high = x.max(1)
-        out[k : k + 16384] = x[np.arange(len(c)), c] - high - np.log(np.exp(x - high[:, None]).sum(1))
+    for k in range(0, len(out), BATCH):
+        x = logits(weights, t.features[:, k : k + BATCH])
+        c = t.cls[k : k + BATCH]
+        x -= x.max(1)[:, None]
+        hit = x[np.arange(len(c)), c]
+        out[k : k + BATCH] = hit - np.log(np.exp(x, out=x).sum(1))
+    return out
+
+
+def bucket_sums(p: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows ``p[order]`` over the segments that begin at ``first``: most segments are short and are added place by
+    place, all at once; the few long ones one by one."""
+    lens = np.diff(np.append(first, len(order)))
+    out = p[order[first]]
+    for k in range(1, SHORT):
+        more = np.flatnonzero(lens > k)
+        if not len(more):
+            return out
+        out[more] += p[order[first[more] + k]]
+    for i in np.flatnonzero(lens > SHORT):
+        out[i] += p[order[first[i] + SHORT : first[i] + lens[i]]].sum(0)
     return out
 
 
 def descend(weights: np.ndarray, scale: np.ndarray, t: Tokens) -> None:
     """AdaGrad over the tokens in batches; weights and scale change in place."""
     for k in range(0, len(t.cls), BATCH):
-        f, c = t.features[k : k + BATCH], t.cls[k : k + BATCH]
+        f, c = t.features[:, k : k + BATCH], t.cls[k : k + BATCH]
         p = logits(weights, f)
         p -= p.max(1)[:, None]
         np.exp(p, out=p)
         p /= p.sum(1)[:, None]
         p[np.arange(len(c)), c] -= 1
-        flat = f.T.ravel()
-        order = np.argsort(flat, kind="stable")
+        flat = f.ravel()
+        order = np.argsort(flat, kind="stable")  # a radix sort, as buckets take two bytes
         flat = flat[order]
         first = np.concatenate([[0], np.flatnonzero(flat[1:] != flat[:-1]) + 1])
-        rows = np.append(flat[first], BUCKETS)
-        g = np.concatenate([np.add.reduceat(p[order % len(c)], first), p.sum(0)[None]])
-        scale[rows] += g * g
-        weights[rows] -= RATE * g / np.sqrt(scale[rows] + 1)
+        rows = np.append(flat[first].astype(np.int64), BUCKETS)
+        g = np.concatenate([bucket_sums(p, order % len(c), first), p.sum(0)[None]])
+        total = scale[rows] + g * g
+        scale[rows] = total
+        total += 1
+        np.sqrt(total, out=total)
+        g *= RATE
+        g /= total
+        weights[rows] -= g
+
+
+def frequent_words(vocabulary: DataFrame, top: int) -> list[tuple[bytes, int]]:
+    """At most ``top`` words, the most frequent: counts fall into logarithmic steps, and whole steps are taken while they fit.
+    Neither the steps nor the words that reach the driver grow with the corpus."""
+    step = F.floor(F.log2("n") * 64)
+    cut, held = None, 0
+    for r in vocabulary.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("step")).collect():
+        if held + r["words"] > top:
+            break
+        cut, held = r["step"], held + r["words"]
+    if cut is None:
+        return []
+    return sorted(((bytes(r[0]), r[1]) for r in vocabulary.where(step >= cut).select("word", "n").collect()), key=lambda x: (-x[1], x[0]))
 
 
 def round_of(docs: DataFrame, weights: np.ndarray, lexicon: tuple) -> np.ndarray:
@@ -168,7 +218,7 @@ def round_of(docs: DataFrame, weights: np.ndarray, lexicon: tuple) -> np.ndarray
         lexicon, own, scale, seen = Lexicon(*words), start.copy(), np.zeros_like(start), 0
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
-                t = Tokens([lexicon.packed(words_of(x.as_py())) for x in batch.column(0).slice(k, 64)])
+                t = Tokens(*lexicon.packed([words_of(x.as_py()) for x in batch.column(0).slice(k, 64)]))
                 descend(own, scale, t)
                 seen += len(t.cls)
         if seen:
@@ -201,7 +251,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS, top: int = TOP) -> DataFrame:
     train = rows.filter(~F.col("held_out"))
     vocabulary = common.materialise(counted(train), "vocabulary")
     total, types = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent = [(bytes(r[0]), r[1]) for r in vocabulary.orderBy(F.desc("n"), "word").limit(top).collect()]  # at most ``top`` words
+    frequent = frequent_words(vocabulary, top)
     own = [w for w, _ in frequent if w != END][:OWN]
     mass = np.ones(CLASSES)
     for c, n in vocabulary.groupBy(class_column(F.col("word"), own).alias("c")).agg(F.sum(F.col("n") + 1)).collect():  # one row a class
@@ -220,22 +270,23 @@ def score(docs: DataFrame, rounds: int = ROUNDS, top: int = TOP) -> DataFrame:
             for k in range(0, batch.num_rows, 64):
                 b = batch.slice(k, 64)
                 split = [words_of(x.as_py()) for x in b.column(2)]
-                packed = [lexicon.packed(s) for s in split]
-                t = Tokens(packed)
+                t = Tokens(*lexicon.packed(split))
                 model = log_probability(weights, t) / np.log(10) - log_mass[t.cls]
                 rank = np.minimum(t.rank, len(lexicon.count) - 1)
                 counts, sums = lexicon.count[rank] > 0, lexicon.log_count[rank]
                 add = lambda x, t=t: np.add.reduceat(x, t.first)
-                rare = [list(Counter(s[i] for i in np.flatnonzero((p[:-1] & RARE) == RARE)).items()) for s, p in zip(split, packed, strict=True)]
+                far = t.rank == RARE
+                far[t.first + t.size - 1] = False
+                words_far = list(itertools.compress(itertools.chain.from_iterable(itertools.chain(d, (END,)) for d in split), far.tolist()))
+                bounds = np.append(0, np.cumsum(add(far.astype(np.int64)))).astype(np.int32)
                 names = ["doc_id", "held_out", "n_tokens", "known", "counts", "model", "rare"]
-                kinds = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
-                listed = pa.array([[{"word": w, "times": n} for w, n in r] for r in rare], kinds)
+                listed = pa.ListArray.from_arrays(pa.array(bounds), pa.array(words_far, pa.binary()))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(t.size.astype(np.int64)), pa.array(add(counts.astype(np.int64))), pa.array(add(sums)), pa.array(add(model)), listed], names=names)
 
-    schema = "doc_id long, held_out boolean, n_tokens long, known long, counts double, model double, rare array<struct<word:binary,times:bigint>>"
+    schema = "doc_id long, held_out boolean, n_tokens long, known long, counts double, model double, rare array<binary>"
     parts = common.materialise(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scores")
-    rare = parts.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times").join(vocabulary, "word")
-    rare = rare.groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_counts"))
+    rare = parts.select("row", F.explode("rare").alias("word")).join(vocabulary, "word")
+    rare = rare.groupBy("row").agg(F.count(F.lit(1)).alias("more_known"), F.sum(F.log10(F.col("n") + 1)).alias("more_counts"))
     out = parts.drop("rare").join(rare, "row", "left")
     counts = F.col("counts") + F.coalesce("more_counts", F.lit(0.0))
     return out.select(

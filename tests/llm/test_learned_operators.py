@@ -87,7 +87,7 @@ def test_language_model_is_a_distribution():
     lexicon = maxent_lm.Lexicon([(b"a", 3), (b"b", 2)], [b"a"])
     total = 0.0
     for c in range(maxent_lm.CLASSES):
-        t = maxent_lm.Tokens([lexicon.packed([b"b", b"zz", b"a"])])
+        t = maxent_lm.Tokens(*lexicon.packed([[b"b", b"zz", b"a"]]))
         t.cls[:] = c
         total += np.exp(maxent_lm.log_probability(weights, t))
     assert np.allclose(total, 1, atol=1e-5)
