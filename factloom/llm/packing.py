@@ -34,12 +34,12 @@ from . import common
 END = 1
 LENGTH = 2048
 #: Words whose ids a worker remembers before it starts afresh; bounds its memory.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
 #: New words that are coded in one call.
-TOGETHER = 64
+TOGETHER = 128
 
 
-class WordIds(dict):
+class WordIds:
     """Maps a white-space word to the bytes of its ids, by the tokenizer library."""
 
     def __init__(self, path: str) -> None:
@@ -49,6 +49,7 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4")
         self.end = np.array([END], self.kind).tobytes()
+        self.known: dict[bytes, bytes] = {}
 
     def learn(self, words: list[bytes]) -> None:
         """Code new words, many in one text; a token's offset tells its word, as tokens never cross white space."""
@@ -60,18 +61,18 @@ class WordIds(dict):
             raw, size = np.array(coded.ids, self.kind).tobytes(), self.kind.itemsize
             cuts = np.searchsorted(at, np.arange(len(texts) + 1)) * size
             for i, w in enumerate(words[k : k + TOGETHER]):
-                self[w] = raw[cuts[i] : cuts[i + 1]]
+                self.known[w] = raw[cuts[i] : cuts[i + 1]]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         split = [text.encode().split() if text else [] for text in texts]
-        if len(self) > CACHED_WORDS:
-            self.clear()
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
         new = set()
         for words in split:
             new.update(words)
-        self.learn(list(new.difference(self)))
+        self.learn(list(new.difference(self.known)))
         for words in split:
-            yield b"".join(map(self.__getitem__, words)) + self.end
+            yield b"".join(map(self.known.__getitem__, words)) + self.end
 
 
 @functools.cache
