@@ -385,6 +385,11 @@ def group_links(docs: DataFrame, placed: DataFrame, n: int, similarity: Similari
 
 def components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, node, component_id (smallest id reachable by links), n_links (linked documents), one row per row."""
+    return labelled(docs, n, num, den).drop("label")
+
+
+def labelled(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The same with label: the smallest node of the component, which tells components apart where ids are null or repeat."""
     similarity = Similarity(num, den)
     rows = sets(docs, n)
     placed = places(rows, region_edges(docs, n, similarity, hot_shingles(docs, n, rows.count())))
@@ -395,20 +400,21 @@ def components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> Da
     heads = heads.join(labels, "node", "left").join(counts.withColumnRenamed("a", "node"), "node", "left")
     heads = heads.withColumn("label", F.coalesce("label", "node"))
     firsts = heads.groupBy("label").agg(F.min("head").alias("component_id"))
-    heads = heads.join(firsts, "label").select("node", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    heads = heads.join(firsts, "label").select("node", "label", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     heads = common.materialise(heads, "classes")
     out = rows.join(heads, "node", "left")
-    return out.select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", "n_shingles", "node", "label", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def deduplicate(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One document of each component: the one with the smallest id; documents with an empty set all stay. Columns unchanged.
+    """One document of each component: the one with the smallest id, and of several texts with that id (or with null ids only)
+    the one of the smallest node; documents with an empty set all stay. Columns unchanged.
 
     Only documents that may have a partner, by a bit table of fixed size, move to be judged; the others pass where they are.
     """
-    found = common.materialise(components(docs, n, num, den), "components")
-    keep = found.filter(F.col("node").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("node").alias("__node"))
-    keep = keep.select("__node", F.col("component_id").alias("__id"))
+    found = common.materialise(labelled(docs, n, num, den), "components")
+    keep = found.filter(F.col("node").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("label").agg(F.min("node").alias("__node"), F.min("component_id").alias("__id"))
+    keep = keep.select("__node", "__id")
     held = docs.sparkSession.sparkContext.broadcast(node_filter(found.filter("n_links > 0").select("node").distinct()))
     at = docs.columns.index("text")
 

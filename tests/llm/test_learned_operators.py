@@ -179,6 +179,18 @@ def test_voronoi_regions_lose_no_link():
     assert (whole.links == cut.links).all() and whole.links.sum() > 0
 
 
+@pytest.mark.parametrize("all_listed", [False, True])
+def test_every_component_keeps_one_document(spark, monkeypatch, all_listed):
+    """Components of null ids only, one id on several texts, and unlinked rows that the filter's false positives send to be judged."""
+    a, c, x, y, alone, other = (" ".join(f"{k}{i}" for i in range(60)) for k in "acxyzu")
+    rows = [(5, a), (7, a + " end"), (5, c), (9, c + " end"), (None, x), (None, x), (None, y), (None, y + " end"), (None, alone), (5, other), (None, c), (None, "")]
+    if all_listed:
+        monkeypatch.setattr(jaccard_join, "node_filter", lambda placed: np.full(jaccard_join.FILTER_BITS >> 6, (1 << 64) - 1, np.uint64))
+    kept = sorted(map(str, map(tuple, jaccard_join.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect())))
+    want = [[(5, a), (5, c), (None, x), least, (None, alone), (5, other), (None, "")] for least in ((None, y), (None, y + " end"))]
+    assert kept in [sorted(map(str, w)) for w in want]
+
+
 def test_jaccard_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.components(df).count() == 0 and jaccard_join.deduplicate(df).count() == 0
