@@ -10,8 +10,9 @@ distributed gradient updates: every task of a round runs AdaGrad over its docume
 change in blocks, and the changes are averaged by tokens seen. Rounds split the documents by hash of the id, and together
 they cover all of them once. Scoring runs in sparse numpy batches.
 
-Scale: the ``TOP`` most frequent words (a fixed bound) are broadcast with their counts and answer most tokens in place; only
-rarer words are joined by key, and none of those is hot. Weights are a fixed table. Nothing per document reaches the driver.
+Scale: the ``TOP`` most frequent words (a fixed bound) and the end token are broadcast with their counts and answer most
+tokens in place; only rarer words are joined by key, and none of those is hot. Weights are a fixed table. Nothing per
+document reaches the driver.
 
 Defined cases: null text is empty, and an empty text is one end token; a null id counts as the empty text for the fold;
 repeated rows count and score as often as they occur; with no training document every count is zero and classes are
@@ -195,6 +196,7 @@ def descend(weights: np.ndarray, scale: np.ndarray, t: Tokens) -> None:
 
 def frequent_words(vocabulary: DataFrame, top: int) -> list[tuple[bytes, int]]:
     """At most ``top`` words, the most frequent: counts fall into logarithmic steps, and whole steps are taken while they fit.
+    The end token comes besides if it is not among them: every document has one, so it must not be joined by key.
     Neither the steps nor the words that reach the driver grow with the corpus."""
     step = F.floor(F.log2("n") * 64)
     cut, held = None, 0
@@ -202,9 +204,10 @@ def frequent_words(vocabulary: DataFrame, top: int) -> list[tuple[bytes, int]]:
         if held + r["words"] > top:
             break
         cut, held = r["step"], held + r["words"]
-    if cut is None:
-        return []
-    return sorted(((bytes(r[0]), r[1]) for r in vocabulary.where(step >= cut).select("word", "n").collect()), key=lambda x: (-x[1], x[0]))
+    taken = F.octet_length("word") == 0
+    if cut is not None:
+        taken |= step >= cut
+    return sorted(((bytes(r[0]), r[1]) for r in vocabulary.where(taken).select("word", "n").collect()), key=lambda x: (-x[1], x[0]))
 
 
 def round_of(docs: DataFrame, weights: np.ndarray, lexicon: tuple) -> np.ndarray:
@@ -252,7 +255,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS, top: int = TOP) -> DataFrame:
     vocabulary = common.materialise(counted(train), "vocabulary")
     total, types = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = frequent_words(vocabulary, top)
-    own = [w for w, _ in frequent if w != END][:OWN]
+    own = [bytes(r[0]) for r in vocabulary.where(F.octet_length("word") > 0).orderBy(F.desc("n"), "word").limit(OWN).select("word").collect()]
     mass = np.ones(CLASSES)
     for c, n in vocabulary.groupBy(class_column(F.col("word"), own).alias("c")).agg(F.sum(F.col("n") + 1)).collect():  # one row a class
         mass[c] += n
@@ -276,7 +279,6 @@ def score(docs: DataFrame, rounds: int = ROUNDS, top: int = TOP) -> DataFrame:
                 counts, sums = lexicon.count[rank] > 0, lexicon.log_count[rank]
                 add = lambda x, t=t: np.add.reduceat(x, t.first)
                 far = t.rank == RARE
-                far[t.first + t.size - 1] = False
                 words_far = list(itertools.compress(itertools.chain.from_iterable(itertools.chain(d, (END,)) for d in split), far.tolist()))
                 bounds = np.append(0, np.cumsum(add(far.astype(np.int64)))).astype(np.int32)
                 names = ["doc_id", "held_out", "n_tokens", "known", "counts", "model", "rare"]

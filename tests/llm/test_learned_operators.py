@@ -81,6 +81,22 @@ def test_language_model_counts(spark, corpus):
     assert sum(r["score"] for r in test) > sum(r["base_score"] for r in test)
 
 
+@pytest.mark.parametrize("top", [10, 20])
+def test_language_model_counts_an_infrequent_end_token(spark, top):
+    """20 words of one count step: with ``top`` 10 not even that step fits, with 20 the end token's step does not."""
+    texts = {i: " ".join(f"w{k}" for k in range(20) for _ in range(5)) for i in range(12)} | {50: "w1 unseen", 51: None}
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    words = {i: (t or "").encode().split() + [b""] for i, t in texts.items()}
+    counts = collections.Counter(w for i, ws in words.items() if not held(i) for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    got = maxent_lm.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), top=top).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    for r in got:
+        ws = words[r["doc_id"]]
+        assert r["n_known"] == sum(counts[w] > 0 for w in ws)
+        assert round(r["base_score"], 6) == round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws), 6)
+
+
 def test_language_model_is_a_distribution():
     rng = np.random.default_rng(1)
     weights = rng.normal(0, 1, (maxent_lm.BUCKETS + 1, maxent_lm.CLASSES)).astype(np.float32)
