@@ -627,6 +627,13 @@ def ontology_closure(spark: SparkSession, sf: str) -> DataFrame:
     return ontology.closure(e)
 
 
+@query("""with recursive c(node, ancestor) as (select c_custkey, c_custkey // 2 from customer where c_custkey // 2 > 0 union select c.node, p.c_custkey // 2 from c join customer p on p.c_custkey = c.ancestor where p.c_custkey // 2 > 0)
+select cast(node as varchar) as node, cast(ancestor as varchar) as ancestor from c""")
+def ontology_closure_whole(spark: SparkSession, sf: str) -> DataFrame:
+    parent = F.expr("cast(nullif(c_custkey div 2, 0) as string)")  # the root has none
+    return ontology.closure(read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("node"), parent.alias("parent")))
+
+
 @query("select 'n' || n_nationkey as iri, case when n_nationkey = 3 then 'deprecated_term' when n_nationkey = 5 then 'kind_mismatch' when n_regionkey = 2 then 'excluded' when n_regionkey = 1 then 'admissible' else 'outside_scope' end as verdict from nation")
 def ontology_scope(spark: SparkSession, sf: str) -> DataFrame:
     n = read(spark, sf, "nation")

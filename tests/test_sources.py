@@ -94,3 +94,18 @@ def test_closure_with_a_cycle(spark):
     got = {(r[0], r[1]) for r in ontology.closure(e).collect()}
     assert got == {(x, y) for x in "abcd" for y in "abc"}
     assert ontology.literal_error("date", "2026-02-30") == "datatype_mismatch" and ontology.literal_error("integer", 3) is None
+
+
+def test_closure_of_the_whole_table(spark, tmp_path):
+    from factloom.plans import catalogue
+
+    keys = [k for k in range(1, 600) if k not in (40, 300)]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(f"file://{tmp_path}/customer.parquet")
+    want = set()
+    for k in keys:
+        up = k
+        while up in keys and up // 2:
+            up //= 2
+            want.add((str(k), str(up)))
+    rows = catalogue.QUERIES["ontology_closure_whole"](spark, f"file://{tmp_path}").collect()
+    assert len(rows) == len(want) and {(r["node"], r["ancestor"]) for r in rows} == want
