@@ -5,6 +5,9 @@ Each shard builds its graph in batches: a greedy search of the graph so far prop
 edges are added and pruned alike. A beam search answers every query on every shard, all queries of a block in lockstep; the
 shards' answers merge into one ranking by exact distance in double precision.
 
+Graphs and beams run on copies that a power of two brings near one, in single precision where the vectors of a shard are of
+comparable size and in double precision where they are not, so no square overflows. The ranking is by exact distances.
+
 Equal vectors are one node of a graph: it remembers the smallest ids that hold it, as many as a ranking can show, so a
 vector that a third of all rows share costs one node, and ties come out by smaller id.
 
@@ -23,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,6 +37,8 @@ SHARD = 4096
 DEGREE, BEAM, ALPHA = 32, 64, 1.2
 K, EVERY = 10, 100
 QUERY_BLOCK = 512
+#: Bytes of distinct vectors that a worker remembers before it sends them on.
+HELD_BYTES = 64 << 20
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -43,7 +49,7 @@ def beam_search(vectors: np.ndarray, edges: np.ndarray, start: int, queries: np.
     """Best ``width`` nodes and squared distances for each query; all queries take a step together. Edges of -1 lead nowhere."""
     q, n = len(queries), len(vectors)
     nodes = np.full((q, width), -1, np.int64)
-    far = np.full((q, width), np.inf, np.float32)
+    far = np.full((q, width), np.inf, vectors.dtype)
     nodes[:, 0], far[:, 0] = start, squared(queries, vectors[start])
     opened = np.zeros((q, width), bool)
     seen = np.zeros((q, n), bool)
@@ -62,7 +68,7 @@ def beam_search(vectors: np.ndarray, edges: np.ndarray, start: int, queries: np.
         rows = np.repeat(live, fresh.sum(1))
         to = near[fresh]
         seen[rows, to] = True
-        gap = np.full(near.shape, np.inf, np.float32)
+        gap = np.full(near.shape, np.inf, vectors.dtype)
         gap[fresh] = squared(queries[rows], vectors[to])
         all_far = np.concatenate([far[live], gap], 1)
         all_nodes = np.concatenate([nodes[live], np.where(fresh, near, -1)], 1)
@@ -125,12 +131,29 @@ def build(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: fl
     return edges, start
 
 
-def valid(vector: object) -> np.ndarray | None:
-    """The vector in double precision, or None if it takes no part."""
-    if vector is None or len(vector) == 0 or any(x is None for x in vector):
-        return None
-    v = np.array(vector, np.float64)
-    return v if np.isfinite(v).all() and v.any() else None
+def sound(vectors: pa.Array) -> list[np.ndarray | None]:
+    """Each vector of a list column in double precision, or None if it takes no part. Components are read as one flat array."""
+    out: list[np.ndarray | None] = [None] * len(vectors)
+    flat = vectors.flatten()  # the components of rows that are not null, end to end
+    values = flat.fill_null(np.nan).to_numpy(zero_copy_only=False).astype(np.float64) + 0.0  # no negative zero
+    at = 0
+    for i, n in enumerate(pc.list_value_length(vectors).to_pylist()):
+        if n:
+            v = values[at : at + n]
+            at += n
+            if np.isfinite(v).all() and v.any():
+                out[i] = v
+    return out
+
+
+def even(base: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Copies of both divided by a power of two above their largest component; single precision if no vector is lost by that."""
+    size = np.abs(np.concatenate([base, queries]) if len(queries) else base).max(1)
+    power = int(np.frexp(size.max())[1])
+    a, b = np.ldexp(base, -power), np.ldexp(queries, -power)
+    if size.min() < size.max() * 1e-6:
+        return a, b
+    return a.astype(np.float32), b.astype(np.float32)
 
 
 def nodes_of(vectors: DataFrame, shard: int, k: int) -> DataFrame:
@@ -139,23 +162,31 @@ def nodes_of(vectors: DataFrame, shard: int, k: int) -> DataFrame:
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list[int]] = {}
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.list_(pa.int64()))], names=["vector", "ids"])
+        def out() -> Iterator[pa.RecordBatch]:
+            rows = list(held.items())
+            held.clear()
+            for a in range(0, len(rows), 1000):
+                part = rows[a : a + 1000]
+                yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in part], pa.binary()), pa.array([i for _, i in part], pa.list_(pa.int64()))], names=["vector", "ids"])
 
+        size = 0
         for batch in batches:
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                v = valid(x)
+            for i, v in zip(batch.column(0).to_pylist(), sound(batch.column(1)), strict=True):
                 if v is None or i is None:
                     continue
-                ids = held.setdefault((v + 0.0).tobytes(), [])
+                key = v.tobytes()
+                if key not in held:
+                    size += len(key)
+                    held[key] = []
+                ids = held[key]
                 if i not in ids:
                     ids.append(i)
                     if len(ids) > k + 1:
                         ids.remove(max(ids))
-            if len(held) > 100_000:
-                yield out()
-                held.clear()
-        yield out()
+            if size > HELD_BYTES:
+                yield from out()
+                size = 0
+        yield from out()
 
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     few = rows.mapInArrow(distinct, "vector binary, ids array<long>")
@@ -173,7 +204,7 @@ def graphs(nodes: DataFrame) -> DataFrame:
     def task(t: pa.Table) -> pa.Table:
         rows = sorted(zip(t.column("ids").to_pylist(), t.column("vector").to_pylist(), strict=True))
         vectors = np.array([np.frombuffer(v, np.float64) for _, v in rows])
-        edges, start = build(vectors.astype(np.float32))
+        edges, start = build(even(vectors, vectors[:0])[0])
         ids = pa.array([[i for i, _ in rows]], pa.list_(pa.list_(pa.int64())))
         return pa.table([t.column("shard")[:1], t.column("dim")[:1], ids, pa.array([vectors.tobytes()], pa.binary()), pa.array([edges.astype(np.int32).tobytes()], pa.binary()), pa.array([start], pa.int32())], names=["shard", "dim", "ids", "vectors", "edges", "start"])
 
@@ -185,8 +216,8 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, shard: int = SHAR
     """query_id, rank, vec_id, score: the nearest found of every query."""
     index = graphs(nodes_of(vectors, shard, k))
     asked = vectors.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("query")).filter((F.col("query_id") % every == 0) & F.col("query").isNotNull())
-    sound = F.forall("query", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("query", lambda x: x != 0)
-    asked = asked.filter(sound).groupBy("query_id").agg(F.min("query").alias("query"))
+    whole = F.forall("query", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("query", lambda x: x != 0)
+    asked = asked.filter(whole).groupBy("query_id").agg(F.min("query").alias("query"))
     places = index.groupBy("dim").agg(F.collect_list("shard").alias("shards"))  # one number per shard
     asked = asked.withColumn("dim", F.size("query")).join(places, "dim").withColumn("shard", F.explode("shards"))
     sent = asked.groupBy("shard", "dim", F.floor(F.col("query_id") / (every * QUERY_BLOCK)).alias("part")).agg(F.collect_list("query_id").alias("query_ids"), F.collect_list("query").alias("queries"))
@@ -197,13 +228,11 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, shard: int = SHAR
             for row in batch.to_pylist():
                 base = np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"])
                 edges = np.frombuffer(row["edges"], np.int32).reshape(len(base), -1).astype(np.int64)
-                pairs = [(i, v) for i, v in ((i, valid(x)) for i, x in zip(row["query_ids"], row["queries"], strict=True)) if v is not None]
-                if not pairs:
-                    continue
-                queries = np.array([v for _, v in pairs])
-                found, _ = beam_search(base.astype(np.float32), edges, row["start"], queries.astype(np.float32), max(beam, k + 1))
+                queries = np.array(row["queries"], np.float64)
+                near_base, near_queries = even(base, queries)
+                found, _ = beam_search(near_base, edges, row["start"], near_queries, max(beam, k + 1))
                 out: list[list] = [[], [], []]
-                for (i, v), near in zip(pairs, found, strict=True):
+                for i, v, near in zip(row["query_ids"], queries, found, strict=True):
                     near = near[near >= 0]
                     gaps = np.sqrt(squared(base[near], v))
                     best = sorted((float(g), x) for g, n in zip(gaps, near, strict=True) for x in row["ids"][n] if x != i)[:k]
@@ -216,9 +245,3 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, shard: int = SHAR
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def recall(found: DataFrame, exact: DataFrame) -> float:
-    """Share of the exact neighbours that were found."""
-    hit = exact.select("query_id", "vec_id").intersect(found.select("query_id", "vec_id")).count()
-    return hit / max(1, exact.count())
