@@ -17,11 +17,13 @@ SAMPLE = 4000
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE) -> DataFrame:
-    """(label, text) of at most ``rows`` labelled documents outside the held-out fold; ids that repeat take their mean label."""
+    """(doc_id, label, text) of at most ``rows`` labelled documents outside the held-out fold, one row an id: labels that repeat
+    an id take their mean, and of documents that repeat an id the least text is learned from."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("label"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (common.fold("doc_id", FOLDS) != HELD)).groupBy("doc_id").agg(F.avg("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # at most ``rows`` narrow rows: a proven bound for the broadcast
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", (F.col("label") >= 0.5).cast("int").alias("label"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id").agg(F.max((F.col("label") >= 0.5).cast("int")).alias("label"), F.min("text").alias("text"))
 
 
 def fit(rows: DataFrame, learn: Callable[[list[int], list[str]], bytes]) -> bytes:

@@ -11,7 +11,8 @@ which is the same value as the mean vector's. A cache of bounded size keeps each
 Scale: fitting costs the same at every size. Scoring is one pass over whole texts, with no shuffle.
 
 Defined cases: null text is empty; an empty text gets the score of the bias alone; rows that repeat each get a score; no
-labels give 0.5 everywhere; only the text is read for a score.
+labels give 0.5 everywhere; only the text is read for a score; labels that repeat an id take their mean, and of documents
+that repeat a labelled id the least text is learned from; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

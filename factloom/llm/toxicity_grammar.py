@@ -14,7 +14,9 @@ Scale: fitting costs the same at every size. Scoring is one pass over whole text
 words to symbols.
 
 Defined cases: null text is empty; an empty text gets the score of no matched clause; rows that repeat each get a score;
-with labels of one kind only the score is that kind's smoothed share; only the text is read for a score.
+with labels of one kind only the score is that kind's smoothed share; only the text is read for a score; labels that repeat
+an id take their mean, and of documents that repeat a labelled id the least text is learned from; an empty table gives an
+empty result; extra columns are ignored by ``score`` and kept by ``accepted``.
 """
 
 from __future__ import annotations
@@ -187,11 +189,10 @@ def score_text(symbols: Symbols, weights: list[float], text: str | None) -> floa
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit))))
 
 
-def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = THRESHOLD, sample: int = SAMPLE, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document; ``keep`` carries further columns along."""
+def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, held_out, score, predicted for every document."""
     model = docs.sparkSession.sparkContext.broadcast(labelled.fit(labelled.sample(docs, labels, label, sample), learn))
-    keep = keep or []
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (common.fold("doc_id", labelled.FOLDS) == labelled.HELD).alias("held_out"), common.text_of().alias("__text"), *[F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep)])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (common.fold("doc_id", labelled.FOLDS) == labelled.HELD).alias("held_out"), common.text_of().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, weights = pickle.loads(model.value)
@@ -200,9 +201,20 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: f
             for k in range(0, batch.num_rows, 512):
                 b = batch.slice(k, 512)
                 scores = [score_text(symbols, weights, t.as_py()) for t in b.column(2)]
-                names = ["doc_id", "held_out", "score", "predicted", *[f"__keep{i}" for i in range(len(keep))]]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), *b.columns[3:]], names=names)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
-    extra = [f"__keep{i} {f.dataType.simpleString()}" for i, c in enumerate(keep) for f in [docs.schema[c]]]
-    out = rows.mapInArrow(run, ", ".join(["doc_id long, held_out boolean, score double, predicted int", *extra]))
-    return out.select("doc_id", "held_out", "score", "predicted", *[F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep) if c != "doc_id"])
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
+    """The documents whose score stays below the threshold. Columns pass as they are, whatever their names."""
+    model = docs.sparkSession.sparkContext.broadcast(labelled.fit(labelled.sample(docs, labels, label, sample), learn))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, weights = pickle.loads(model.value)
+        symbols = Symbols(terms)
+        for batch in batches:
+            yield batch.filter(pa.array([score_text(symbols, weights, t.as_py()) < threshold for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
