@@ -9,7 +9,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -17,10 +16,12 @@ _written: list[tuple[SparkSession, str]] = []
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a local folder is made up.
+    Only where that setting is absent and everything runs in this one process (a local master) a local folder is made up.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         made = tempfile.mkdtemp(prefix="factloom-")
         atexit.register(shutil.rmtree, made, True)
         path = "file://" + made
@@ -69,11 +70,9 @@ def fold(column: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(parts)
 
 
-def with_column_types(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
-    """Only the wanted columns, cast; a column that is missing becomes null. Extra columns are dropped, so names cannot clash."""
-    have = set(df.columns)
-    return df.select(*[(F.col(f"`{c}`") if c in have else F.lit(None)).cast(t).alias(c) for c, t in wanted.items()])
-
-
-def schema_of(**fields: str) -> T.StructType:
-    return T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in fields.items()))
+def fresh(columns: list[str]) -> str:
+    """A column name that clashes with none of ``columns``."""
+    name = "made"
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name

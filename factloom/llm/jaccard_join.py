@@ -35,6 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import common
@@ -413,8 +414,10 @@ def deduplicate(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     Only documents that may have a partner, by a bit table of fixed size, move to be judged; the others pass where they are.
     """
     found = common.materialise(labelled(docs, n, num, den), "components")
-    keep = found.filter(F.col("node").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("label").agg(F.min("node").alias("__node"), F.min("component_id").alias("__id"))
-    keep = keep.select("__node", "__id")
+    keep = found.filter(F.col("node").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("label").agg(F.min("node").alias("node"), F.min("component_id").alias("id"))
+    mark = common.fresh(docs.columns)
+    first = common.fresh([*docs.columns, mark])
+    keep = keep.select(F.col("node").alias(mark), F.col("id").alias(first))
     held = docs.sparkSession.sparkContext.broadcast(node_filter(found.filter("n_links > 0").select("node").distinct()))
     at = docs.columns.index("text")
 
@@ -423,9 +426,10 @@ def deduplicate(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
         for batch in batches:
             nodes = [node_of(s) if len(s) else None for s in (set_of(t.as_py(), n, known) for t in batch.column(at))]
             nodes = [v if v is not None and listed(table, v) else None for v in nodes]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=[*batch.schema.names, "__node"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=[*batch.schema.names, mark])
 
-    schema = common.T.StructType([*docs.schema.fields, common.T.StructField("__node", common.T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(mark, T.LongType())])
     marked = common.materialise(docs.mapInArrow(run, schema), "marked")
-    unique = marked.filter("__node is not null").join(keep, "__node").filter(F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))).dropDuplicates(["__node"]).select(*docs.columns)
-    return unique.unionByName(marked.filter("__node is null").select(*docs.columns))
+    unique = marked.filter(F.col(mark).isNotNull()).join(keep, mark).filter(F.col("doc_id").cast("long").eqNullSafe(F.col(first))).dropDuplicates([mark])
+    same = [F.col(f"`{c}`") for c in docs.columns]
+    return unique.select(*same).unionByName(marked.filter(F.col(mark).isNull()).select(*same))

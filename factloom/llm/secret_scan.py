@@ -8,10 +8,11 @@ wider candidates join the fixed spans; widely copied ones do not.
 Scale: the corpus is scanned once and leaves only hashes and offsets. Counting runs in three aggregations of falling
 grain (hash+owner+repository, hash+owner, hash), each combined before its shuffle, so a value that a third of the corpus
 holds sends one row per task. The join back to occurrences is a plain equi-join of two written tables, so adaptive
-execution splits a hot hash.
+execution splits a hot hash. Redaction moves no text but those with wide candidates.
 
 Defined cases: null text is empty (no spans, digest of the empty string); a null owner or repository counts as the empty
-one; repeated rows each keep their own result row; an empty table gives an empty result; extra columns are ignored.
+one; repeated rows each keep their own result row; an empty table gives an empty result; extra columns are ignored by
+``digest`` and kept by ``redact``, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ from . import common
 
 # The kinds in the order that breaks ties, with the group that holds the value and its least length.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+#: The last two match whole runs, so a bound inside the pattern finds what a run of any length and a test of its length find.
+ACCESS = r"AKIA[A-Z0-9]{12,}"
+HEX = r"[0-9a-f]{32,}"
 KINDS = (("assign", ASSIGN, 2, 8), ("access", ACCESS, 0, 16), ("hex", HEX, 0, 32))
 #: The wider candidates: runs of 20 and more token characters; letters in both cases and a digit are asked for.
 WIDE = ("live", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", 0, 20)
@@ -51,8 +53,7 @@ def _spans(text: Column, order: int, pattern: str, group: int, least: int) -> Co
         keep = x["hit"].isNotNull() & (F.length(x["value"]) >= least)
         return F.struct(end.alias("at"), F.when(keep, F.concat(state["out"], F.array(span).cast(_SPAN))).otherwise(state["out"]).alias("out"))
 
-    quick = pattern.replace("[0-9a-f]+", "[0-9a-f]{32}").replace("[A-Z0-9]+", "[A-Z0-9]{12}")
-    return F.when(text.rlike(quick), F.aggregate(cut, begin, step, lambda s: s["out"])).otherwise(F.array().cast(_SPAN))
+    return F.when(text.rlike(pattern), F.aggregate(cut, begin, step, lambda s: s["out"])).otherwise(F.array().cast(_SPAN))
 
 
 def _wide(text: Column, base: Column) -> Column:
@@ -65,15 +66,23 @@ def _wide(text: Column, base: Column) -> Column:
     return F.when(F.size(found) > 0, F.filter(found, lambda s: piece(s).rlike(mixed) & free(s))).otherwise(found)
 
 
+def held_by(docs: DataFrame, repo: str, owner: str, sub_repo: str | None) -> tuple[Column, Column]:
+    """Owner and repository of a document; columns that are absent count as empty."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    own = blank(owner) if owner in docs.columns else F.lit("")
+    return own, F.concat_ws("/", *[blank(c) for c in (repo, sub_repo) if c and c in docs.columns])
+
+
+def found_in(text: Column) -> Column:
+    """All base spans of a text in order, kinds as they break ties."""
+    return F.array_sort(F.concat(*[_spans(text, i, p, g, n) for i, (_, p, g, n) in enumerate(KINDS)]))
+
+
 def candidates(docs: DataFrame, repo: str = "source", owner: str = "source", sub_repo: str | None = "lang") -> DataFrame:
     """One row per document: row, doc_id, owner, repo, base and wide spans with value hashes. Texts are left behind."""
-    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    have = docs.columns
-    own = blank(owner) if owner in have else F.lit("")
-    rep = F.concat_ws("/", *[blank(c) for c in (repo, sub_repo) if c and c in have])
+    own, rep = held_by(docs, repo, owner, sub_repo)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), own.alias("owner"), rep.alias("repo"), common.text_of().alias("text"))
-    rows = rows.withColumn("base", F.array_sort(F.concat(*[_spans(F.col("text"), i, p, g, n) for i, (_, p, g, n) in enumerate(KINDS)])))
-    rows = rows.withColumn("wide", _wide(F.col("text"), F.col("base"))).drop("text")
+    rows = rows.withColumn("base", found_in(F.col("text"))).withColumn("wide", _wide(F.col("text"), F.col("base"))).drop("text")
     return rows.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -123,20 +132,39 @@ def digest(docs: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, mark: str = "<SECRET>", **options: object) -> DataFrame:
-    """The documents with every span of ``scan`` replaced by ``mark``; clean documents pass unchanged. doc_id joins texts and
-    spans, so rows that repeat an id with other texts are scanned and cut by their own text, which the join also compares."""
-    found = scan(docs.withColumn("doc_id", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), common.text_of(), F.length(common.text_of()))), **options)
-    cuts = found.filter(F.size("all_spans") > 0).groupBy("doc_id").agg(F.max("all_spans").alias("__cuts")).withColumnRenamed("doc_id", "__key")
-    text = common.text_of()
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text, F.length(text))
+def _cut(text: Column, spans: Column, mark: str) -> Column:
+    """The text with each span replaced; of overlapping spans the part that the earlier one left over goes too."""
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
+        gap = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
         more = F.when(s["start"] >= state["at"], F.concat(state["out"], F.array(gap, F.lit(mark)))).otherwise(state["out"])
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), more.alias("out"))
 
-    cut = F.aggregate("__cuts", begin, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    joined = docs.withColumn("__key", key).join(cuts, "__key", "left")
-    return joined.withColumn("text", F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, begin, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text)))))
+
+
+def redact(docs: DataFrame, mark: str = "<SECRET>", repo: str = "source", owner: str = "source", sub_repo: str | None = "lang", max_owners: int = MAX_OWNERS) -> DataFrame:
+    """The documents with every span of ``scan`` replaced by ``mark``; columns and clean documents pass unchanged.
+
+    Spans are written beside their document, under a row number of that table. Base spans are cut where they stand; only
+    documents with wide candidates move, to meet the counts of their values by row number.
+    """
+    about = common.fresh(docs.columns)
+    own, rep = held_by(docs, repo, owner, sub_repo)
+    text = common.text_of()
+    found = docs.withColumn(about, F.struct(own.alias("owner"), rep.alias("repo"), found_in(text).alias("base")))
+    found = found.withColumn(about, F.struct(F.col(f"{about}.*"), _wide(text, F.col(f"{about}.base")).alias("wide"), F.monotonically_increasing_id().alias("row")))
+    found = common.materialise(found, "marked")
+    values = found.select(F.col(f"{about}.*"))
+    counts = common.materialise(ownership(values.select("owner", "repo", F.explode(F.concat("base", "wide")).alias("s")).select(F.col("s.hash").alias("hash"), "owner", "repo")).select("hash", "owners"), "owners")
+    wide = values.filter(F.size("wide") > 0).select("row", F.explode("wide").alias("s")).select("row", "s", F.col("s.hash").alias("hash"))
+    added = wide.join(counts.filter(F.col("owners") < max_owners), "hash").groupBy("row").agg(F.collect_list("s").alias("added"))
+    base = F.col(f"{about}.base")
+    shown = lambda spans: [_cut(F.col("text"), spans, mark).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    plain = found.filter(F.size(f"{about}.wide") == 0).select(*shown(base))
+    row = common.fresh([*docs.columns, about])
+    more = common.fresh([*docs.columns, about, row])
+    moved = found.filter(F.size(f"{about}.wide") > 0).withColumn(row, F.col(f"{about}.row")).join(added.toDF(row, more), row, "left")
+    moved = moved.select(*shown(F.array_sort(F.concat(base, F.coalesce(F.col(more), F.array().cast(_SPAN))))))
+    return plain.unionByName(moved)
