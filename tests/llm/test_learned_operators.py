@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from factloom.llm import components, graph_search, jaccard_join, maxent_lm, quality_classifier, toxicity_grammar
+from factloom.llm import components, graph_search, jaccard_join, labelled, maxent_lm, quality_classifier, toxicity_grammar
 from factloom.llm.common import table
 
 DATA = pathlib.Path("/root/testdata/sf0.01")
@@ -241,3 +241,47 @@ def test_graph_search_recall_and_ties(spark):
     assert [i for i, _ in got[5000]] == list(range(5001, 5011)) and [i for i, _ in got[5100]] == list(range(5000, 5010))
     assert not {9000, 9100, 9200, 9400, 9500} & set(got) and 9300 not in got
     assert graph_search.search(df.where("false")).count() == 0 and graph_search.search(df.where("vec_id = 100")).count() == 0
+
+
+@pytest.mark.parametrize("sizes", [(1e20,), (1e-20,), (1e20, 1e-20), (1e20, 1.0, 1e-20)])
+def test_graph_search_at_any_magnitude(spark, sizes):
+    rng = np.random.default_rng(6)
+    vectors = {i: rng.normal(0, 1, 8) * sizes[i % len(sizes)] for i in range(600)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in graph_search.search(df, shard=200).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    hit = 0
+    for q in range(0, 600, 100):
+        want = sorted((float(np.sqrt(((vectors[q] - v) ** 2).sum())), i) for i, v in vectors.items() if i != q)[:10]
+        assert len(got[q]) == 10
+        far = want[-1][0]
+        hit += sum(s <= far for _, s in got[q])
+    assert hit / 60 >= 0.9
+    assert graph_search.search(df.where("vec_id < 8")).count() == 7
+
+
+def test_graph_search_recall_on_embeddings(spark):
+    if not DATA.exists():
+        pytest.skip("no tables")
+    df = table(spark, str(DATA), "embeddings")
+    base = {r["vec_id"]: np.array(r["embedding"], float) for r in df.collect()}
+    got = collections.defaultdict(set)
+    for r in graph_search.search(df, shard=1000).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    ids, matrix = np.array(list(base)), np.array(list(base.values()))
+    hits = []
+    for q in ids[ids % 100 == 0].tolist():
+        gap = np.sqrt(((matrix - base[q]) ** 2).sum(1))
+        gap[ids == q] = np.inf
+        hits.append(len(set(ids[np.lexsort((ids, gap))[:10]].tolist()) & got[q]) / 10)
+    assert np.mean(hits) >= 0.9
+
+
+def test_repeated_labelled_ids_do_not_pass_the_bound(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(i, "other") for i in range(2, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(60)] + [(1, 0)] * 3, "doc_id long, quality int")
+    got = labelled.sample(docs, labels, "quality", 10).collect()
+    assert len(got) == 10
+    everything = {r["doc_id"]: r for r in labelled.sample(docs, labels, "quality", 1000).collect()}
+    assert everything[1]["text"] == "text 0" and everything[1]["label"] == 0 and all(zlib.crc32(str(i).encode()) % 4 != 2 for i in everything)

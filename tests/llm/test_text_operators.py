@@ -1,5 +1,6 @@
 """Secret scan, URL filter, archive, packing, decontamination: edge cases and brute force."""
 
+import gzip
 import hashlib
 import re
 import zlib
@@ -63,6 +64,19 @@ def test_redaction_keeps_clean_documents(spark, docs):
     assert text[8] == "é" * 7 + " <SECRET> " + "é" * 3
 
 
+def test_redaction_of_wide_candidates_and_clashing_names(spark):
+    live, copied = "Zz9" + "qW3" * 8, "Ab1" + "xY9" * 9
+    rows = [(i, f"see {copied} here", "en", f"s{i}", i, "a", "b") for i in range(4)]
+    rows += [(9, f"own {live} and token=abcdefgh12 end", "en", "s1", 9, "a", "b"), (9, f"own {live} and token=abcdefgh12 end", "en", "s1", 9, "a", "b"), (None, None, None, None, None, None, None), (7, "token=" * 3000, "en", "s1", 1, "", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, made long, made_ string, row string")
+    after = secret_scan.redact(docs)
+    assert after.columns == docs.columns
+    got = after.collect()
+    assert sorted(r["text"] for r in got if r["doc_id"] == 9) == ["own <SECRET> and <SECRET> end"] * 2
+    assert sorted(str(tuple(r)) for r in got if r["doc_id"] not in (9, 7)) == sorted(str(r) for r in rows if r[0] not in (9, 7))
+    assert secret_scan.redact(docs.where("false")).count() == 0
+
+
 def test_secrets_of_nothing(spark):
     assert secret_scan.digest(spark.createDataFrame([], DOCS)).count() == 0
 
@@ -99,23 +113,32 @@ def test_archive_round_trip(spark, tmp_path):
         response = len(raw) < 1000 or i == keeper
         want.append((i, len(raw), hashlib.sha1(raw).hexdigest(), "response" if response else "revisit", None if response else keeper))
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
-    folder = f"file://{tmp_path}/archive"
-    warc_archive.write(pages, folder, files=True)
-    back = warc_archive.read_records(spark, folder).collect()
+    warc_archive.write(pages, f"file://{tmp_path}/archive")
+    back = warc_archive.read_records(spark, f"file://{tmp_path}/archive").collect()
     assert sorted((r["page_id"] or 0, bytes(r["payload"]).decode()) for r in back) == sorted((i or 0, h or "") for i, _, h in rows)
-    assert spark.read.parquet(f"{folder}/payloads").count() == len({h or "" for *_, h in rows})
-    text = "".join(r[0] for r in spark.read.text(f"{folder}/warc", wholetext=True).collect())
-    assert text.count("WARC/1.1\r\n") == len(rows)
+    raw = [gzip.decompress(f.read_bytes()) for f in (tmp_path / "archive/warc").glob("part-*")]
+    whole = b"".join(raw)
+    assert whole.count(b"WARC/1.1\r\n") == len(rows) and whole.count(("é" * 600).encode()) == 2  # twice: page 5 stands in two rows
+    assert warc_archive.payloads(spark, f"file://{tmp_path}/archive").count() == len({h or "" for *_, h in rows})
+    # Every record's bytes: its stored header and, unless it is a revisit, its payload, as one gzip member each.
+    want = sorted(r["header"].encode() + (b"" if r["kind"] == "revisit" else bytes(r["payload"])) + b"\r\n\r\n" for r in back)
+    assert sorted(gzip.decompress(bytes(r[0])) for r in warc_archive.members(spark, f"file://{tmp_path}/archive").collect()) == want
+    assert sum(len(w) for w in want) == len(whole)
 
 
-def test_a_damaged_payload_stops_the_reader(spark, tmp_path):
-    from pyspark.sql import functions as F
+def test_archive_of_nothing(spark):
+    assert warc_archive.digest(spark.createDataFrame([], "page_id long, url string, html string, header string, kind string")).count() == 0
+
 
-    folder = f"file://{tmp_path}/a"
-    warc_archive.write(spark.createDataFrame([(1, "u", "body")], "page_id long, url string, html string"), folder)
-    spark.read.parquet(f"{folder}/payloads").withColumn("payload", F.lit("other").cast("binary")).write.parquet(f"{folder}/b/payloads")
+def test_a_damaged_payload_stops_the_reader(spark, tmp_path):
+    folder = tmp_path / "a"
+    warc_archive.write(spark.createDataFrame([(1, "u", "body")], "page_id long, url string, html string"), f"file://{folder}")
+    for f in (folder / "warc").iterdir():
+        f.unlink()
+    record = next(iter(spark.read.parquet(f"file://{folder}/records").collect()))["header"].encode()
+    (folder / "warc/part-0.txt").write_bytes(warc_archive.member(record + b"bode\r\n\r\n") + warc_archive.member(b""))
     with pytest.raises(Exception, match="differs from its digest"):
-        warc_archive.verified_payloads(spark, f"{folder}/b").collect()
+        warc_archive.payloads(spark, f"file://{folder}").collect()
 
 
 def test_packing_covers_every_token_once(spark):
