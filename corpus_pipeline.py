@@ -20,8 +20,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the grammar rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = toxicity_grammar.score(docs, labels, keep=docs.columns)
-    return judged.filter("predicted = 0").select(*docs.columns)
+    return toxicity_grammar.accepted(docs, labels)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
