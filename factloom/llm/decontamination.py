@@ -1,166 +1,240 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and benchmark items meet where they share a run of ``SEED`` words (joined by hash). Within a pair, matches are
-grown along their diagonals by the running hash and the longest is marked first; what overlaps a marked tile is cut and
-tried again, until no match of the least length is left. The tiles' share of the item's words is its coverage, in which
-order does not matter: an item whose sentences stand in another order is caught all the same.
-
-Scale: documents are scanned once and never shuffled. The benchmark is a stated set: it is broadcast in blocks of at most
-``BLOCK_WORDS`` words, and a larger benchmark takes further passes. Work per document grows with its shared runs.
+Documents and benchmark items meet in a join on the hash of a run of ``SEED`` words. Pairs whose shared seeds could cover
+enough of the item are tiled: a running Karp-Rabin hash finds the longest run of words that stands unmarked in both, all such
+runs are marked from left to right, then the next shorter length, until no match of the least length is left. The tiles' share of
+the item's words is its coverage, in which order does not matter: an item whose sentences stand in another order is caught
+all the same. Matches are compared word by word (as 64-bit hashes) before they are marked.
+
+Scale: one pass over the documents asks a bit table of fixed size whether a seed may be one of the benchmark's (its errors
+cost traffic and change no result) and leaves only documents that may match, once per text and task. Seeds, pairs and words
+then meet in joins of written tables, so the benchmark may be of any size and nothing of it but the bit table passes through the
+driver. Equal texts and equal items are tiled once. A pair's work grows with its shared runs, not with the products of
+repeated words.
 
 Defined cases: null text is empty; empty documents and items match nothing; an item shorter than the seed must occur
-whole; repeated rows each report; an empty table on either side gives no pairs; extra columns are ignored.
+whole; repeated rows each report; an empty table on either side gives no pairs; extra columns are ignored by ``contaminated``
+and kept by ``clean``, whatever their names.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .shingles import WordHash, hashes, shingles, words_of
 
 SEED = 5
 THRESHOLD = 0.6
-#: Words of the benchmark that one broadcast holds: eight bytes each and eight for its seed.
-BLOCK_WORDS = 1_000_000
-
-
-def runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    """(start, length) of each run of true values."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
-    return [(int(a), int(b - a)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
-
-
-def tiles(seeds: list[tuple[int, int]], k: int, doc_words: int, item_words: int, least: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling from the seeds (positions in document and item where ``k`` words agree): (document start, item start, length)."""
-    diagonals: dict[int, list[int]] = defaultdict(list)
-    for i, j in seeds:
-        diagonals[i - j].append(j)
-    heap: list[tuple[int, int, int]] = []
-    for d, at in diagonals.items():
-        at.sort()
-        start = last = at[0]
-        for j in [*at[1:], None]:
-            if j is not None and j <= last + 1:
-                last = j
+#: Bits of the table that says whether a seed may be the benchmark's; two of them stand for a seed.
+TABLE_BITS = 1 << 26
+#: Texts that a task remembers to skip repeats; forgetting costs repeated rows only.
+REMEMBERED = 200_000
+# The base of the running hash and its inverse modulo 2^64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+class Running:
+    """Karp-Rabin hashes of every window of a word sequence, by sums that run along it, and which words are marked."""
+
+    def __init__(self, words: np.ndarray, marked: np.ndarray) -> None:
+        self.words, self.marked = words, marked
+        power = np.cumprod(np.full(len(words), BASE, np.uint64))
+        self.back = np.cumprod(np.full(len(words), INVERSE, np.uint64))
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(words * power)])
+
+    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Start and hash of each window of ``n`` words without a marked one."""
+        if n > len(self.words):
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        marks = np.concatenate([[0], np.cumsum(self.marked)])
+        at = np.flatnonzero(marks[n:] == marks[:-n])
+        return at, (self.sums[at + n] - self.sums[at]) * self.back[at]
+
+
+def both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of ``a`` occur in ``b``."""
+    if not len(b):
+        return np.zeros(len(a), bool)
+    b = np.sort(b)
+    return b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
+
+
+def stretches(doc: np.ndarray, item: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of the document that windows of the least length share with the item, a marked word between them."""
+    hit = both(shingles(doc, least), shingles(item, least))
+    inside = np.zeros(len(doc) + 1, np.int64)
+    at = np.flatnonzero(hit)
+    np.add.at(inside, at, 1)
+    np.add.at(inside, at + least, -1)
+    kept = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+    if not len(kept):
+        return doc[:0], np.zeros(0, bool)
+    gap = np.flatnonzero(np.diff(kept) > 1) + 1
+    return np.insert(doc[kept], gap, 0), np.insert(np.zeros(len(kept), bool), gap, True)
+
+
+def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[int]:
+    """Lengths of the tiles of a greedy tiling: the longest match first, of equal ones the leftmost in the document, then the item."""
+    if not len(item) or len(doc) < least:
+        return []
+    d, t = Running(*stretches(doc, item, least)), Running(item, np.zeros(len(item), bool))
+    out: list[int] = []
+    longest = min(len(d.words), len(item))
+    while True:
+        low, high = least - 1, longest  # a run of some length holds runs of every smaller one, so halving finds the longest
+        while low < high:
+            n = (low + high + 1) // 2
+            if both(d.windows(n)[1], t.windows(n)[1]).any():
+                low = n
+            else:
+                high = n - 1
+        if low < least:
+            return out
+        longest = low
+        at, found = d.windows(longest)
+        places: dict[int, deque[int]] = defaultdict(deque)
+        for j, h in zip(*(x.tolist() for x in t.windows(longest)), strict=True):
+            places[h].append(j)
+        hit = both(found, np.fromiter(places, np.uint64, len(places)))
+        begun = len(out)
+        for i, h in zip(at[hit].tolist(), found[hit].tolist(), strict=True):
+            if d.marked[i : i + longest].any():
                 continue
-            heap.append((-(last - start + k), start + d, start))
-            if j is not None:
-                start = last = j
-    heapq.heapify(heap)
-    in_doc, in_item = {}, np.zeros(item_words, bool)
-    out = []
-    while heap:
-        n, i, j = heapq.heappop(heap)
-        n = -n
-        taken = in_item[j : j + n] | np.array([x in in_doc for x in range(i, i + n)], bool)
-        if not taken.any():
-            out.append((i, j, n))
-            in_item[j : j + n] = True
-            in_doc.update(dict.fromkeys(range(i, i + n)))
-            continue
-        for a, m in runs(~taken):
-            if m >= least:
-                heapq.heappush(heap, (-m, i + a, j + a))
-    return out
-
-
-class Items:
-    """The benchmark block: words of every item as hashes, and its seeds in sorted order."""
-
-    def __init__(self, rows: list[tuple[int, str]]) -> None:
+            free = places[h]
+            while free and t.marked[free[0] : free[0] + longest].any():
+                free.popleft()
+            if free and (d.words[i : i + longest] == t.words[free[0] : free[0] + longest]).all():
+                d.marked[i : i + longest] = t.marked[free[0] : free[0] + longest] = True
+                out.append(longest)
+        if len(out) == begun:
+            longest -= 1  # only where two windows share a hash and differ
+
+
+def items_of(benchmark: DataFrame) -> DataFrame:
+    """Written: (item, item_words, least, words, seeds): every distinct text of the benchmark that holds words, keyed by its digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
-        self.ids = [r[0] for r in rows]
-        self.words = [hashes(words_of(r[1]), known) for r in rows]
-        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for k in {min(SEED, len(w)) for w in self.words if len(w)}:
-            of = [i for i, w in enumerate(self.words) if len(w) and min(SEED, len(w)) == k]
-            s = [shingles(self.words[i], k) for i in of]
-            flat = np.concatenate(s)
-            order = np.argsort(flat, kind="stable")
-            item = np.repeat(of, [len(x) for x in s])[order]
-            at = np.concatenate([np.arange(len(x)) for x in s])[order]
-            self.seeds[k] = (flat[order], item, at)
-
-    def matches(self, h: np.ndarray) -> dict[tuple[int, int], list[tuple[int, int]]]:
-        """Seeds by item and seed length: positions (document, item) where the words agree."""
-        out: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for k, (flat, item, at) in self.seeds.items():
-            if len(h) < k:
-                continue
-            s = shingles(h, k)
-            low = np.searchsorted(flat, s)
-            hit = np.flatnonzero(flat[np.minimum(low, len(flat) - 1)] == s)
-            high = np.searchsorted(flat, s[hit], "right")
-            for i, a, b in zip(hit.tolist(), low[hit].tolist(), high.tolist(), strict=True):
-                for x in range(a, b):
-                    j = int(at[x])
-                    if (self.words[item[x]][j : j + k] == h[i : i + k]).all():  # the words themselves, not only their hash
-                        out[int(item[x]), k].append((i, j))
-        return out
-
-    def covered(self, text: str | None, known: WordHash) -> list[tuple[int, int, int, int]]:
-        """(item, words covered, words of the item, tiles) for every item that shares a seed."""
-        h = hashes(words_of(text), known)
-        out = []
-        for (item, k), seeds in self.matches(h).items():
-            t = tiles(seeds, k, len(h), len(self.words[item]), k)
-            out.append((item, sum(n for *_, n in t), len(self.words[item]), len(t)))
-        return out
-
-
-def blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in blocks of a bounded size, one at a time."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), common.text_of().alias("text"))
-    n = items.select(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    parts = -(-n // block_words)
-    for k in range(parts):
-        yield [(r[0], r[1]) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()]
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
+        for batch in batches:
+            found = [hashes(words_of(x.as_py()), known) for x in batch.column(0)]
+            found = [h for h in found if len(h)]
+            least = [min(SEED, len(h)) for h in found]
+            seeds = [dict(zip(*(x.tolist() for x in np.unique(shingles(h, k), return_counts=True)), strict=True)) for h, k in zip(found, least, strict=True)]
+            seeds = [[{"seed": s - (1 << 64) if s >> 63 else s, "windows": n} for s, n in x.items()] for x in seeds]
+            kinds = (pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.struct([("seed", pa.int64()), ("windows", pa.int32())])))
+            columns = ([key_of(h) for h in found], [len(h) for h in found], least, [h.tobytes() for h in found], seeds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["item", "item_words", "least", "words", "seeds"])
+
+    made = benchmark.select(common.text_of().alias("text")).mapInArrow(run, "item binary, item_words int, least int, words binary, seeds array<struct<seed:long,windows:int>>")
+    return common.materialise(made.dropDuplicates(["item"]), "items")
+
+
+def key_of(h: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(h.tobytes())
+
+
+def seed_table(items: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """The bit table of all seeds, and the seed lengths in use (at most ``SEED`` of them). Set word by word, so the driver
+    receives at most that table."""
+    seeds = items.select(F.explode("seeds.seed").alias("s"))
+    bit = F.explode(F.array(F.col("s").bitwiseAND(TABLE_BITS - 1), F.shiftrightunsigned("s", 32).bitwiseAND(TABLE_BITS - 1)))
+    words = seeds.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
+    out = np.zeros(TABLE_BITS >> 6, np.int64)
+    for r in words.collect():
+        out[r["word"]] = r["bits"]
+    return out.view(np.uint64), sorted(r[0] for r in items.select("least").distinct().collect())
+
+
+def maybe(table: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """The seeds whose two bits are set."""
+    for shift in (0, 32):
+        bit = (seeds >> np.uint64(shift)) & np.uint64(TABLE_BITS - 1)
+        seeds = seeds[(table[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)]
+    return seeds
+
+
+def marked(docs: DataFrame, items: DataFrame, every: bool) -> tuple[DataFrame, str]:
+    """Written: the documents with a further column (its name comes second), a struct of text key, words and possible seeds, or
+    null where no seed is the benchmark's. Without ``every`` only the documents where it is not null."""
+    held = docs.sparkSession.sparkContext.broadcast(seed_table(items))
+    at, mark = docs.columns.index("text"), common.fresh(docs.columns)
+    kind = pa.struct([("key", pa.binary()), ("words", pa.binary()), ("seeds", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (table, lengths), known = held.value, WordHash()
+        for batch in batches:
+            out: list[dict | None] = []
+            for text in batch.column(at):
+                h = hashes(words_of(text.as_py()), known)
+                seeds = [maybe(table, shingles(h, k)) for k in lengths if len(h) >= k]
+                seeds = np.unique(np.concatenate(seeds)) if seeds else h[:0]
+                out.append({"key": key_of(h), "words": h.tobytes(), "seeds": seeds.view(np.int64)} if len(seeds) else None)
+            columns = [*batch.columns, pa.array(out, kind)]
+            if not every:
+                # Words are kept; the text itself is not needed any more.
+                columns[at] = pa.repeat("", batch.num_rows).cast(batch.schema.field(at).type)
+            made = pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, mark])
+            yield made if every else made.filter(made.column(len(columns) - 1).is_valid())
+
+    ddl = T.StructType([*docs.schema.fields, T.StructField(mark, T.StructType([T.StructField("key", T.BinaryType()), T.StructField("words", T.BinaryType()), T.StructField("seeds", T.ArrayType(T.LongType()))]))])
+    return common.materialise(docs.mapInArrow(run, ddl), "marked"), mark
+
+
+def covered(found: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """Written: (key, item, covered_words, item_words, n_tiles) of the texts (key, words, seeds) that cover an item by ``threshold``."""
+    texts = common.materialise(found.dropDuplicates(["key"]), "texts")
+    index = items.select("item", "item_words", "least", F.explode("seeds").alias("s")).select("item", "item_words", "least", "s.seed", "s.windows")
+    met = texts.select("key", F.explode("seeds").alias("seed")).join(index, "seed").groupBy("key", "item", "item_words", "least").agg(F.sum("windows").alias("windows"))
+    # A window covers ``least`` words, so fewer windows cannot cover enough.
+    pairs = common.materialise(met.filter(F.col("windows") * F.col("least") >= F.lit(threshold) * F.col("item_words")).select("key", "item", "least"), "pairs")
+    both_sides = pairs.join(texts.select("key", "words"), "key").join(items.select("item", F.col("words").alias("item_text")), "item").select("key", "item", "least", "words", "item_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for key, item, least, words, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.frombuffer(text, np.uint64)
+                laid = tiles(np.frombuffer(words, np.uint64), own, least)
+                if laid and sum(laid) >= threshold * len(own):
+                    out.append((key, item, sum(laid), len(own), len(laid)))
+            kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 5, kinds, strict=True)], names=["key", "item", "covered_words", "item_words", "n_tiles"])
+
+    return common.materialise(both_sides.mapInArrow(run, "key binary, item binary, covered_words int, item_words int, n_tiles int"), "covered")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs (doc_id, item_id) whose tiles cover at least ``threshold`` of the item, with what they cover."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
-    schema = "doc_id long, item_id long, covered_words int, item_words int, n_tiles int, coverage double"
-    kinds = [pa.int64()] * 2 + [pa.int32()] * 3 + [pa.float64()]
-    found = spark.createDataFrame([], schema)
-    for block in blocks(benchmark, block_words):
-        held = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            items, known = Items(held.value), WordHash()
-            for batch in batches:
-                out: list[list] = [[] for _ in kinds]
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    for item, covered, words, n in items.covered(text.as_py(), known):
-                        if covered >= threshold * words:
-                            for column, v in zip(out, (doc, items.ids[item], covered, words, n, covered / words), strict=True):
-                                column.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "item_id", "covered_words", "item_words", "n_tiles", "coverage"])
-
-        found = found.unionAll(rows.mapInArrow(run, schema))
-    return found
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents that cover no item by ``threshold``, columns unchanged."""
-    spark, at = docs.sparkSession, docs.columns.index("text")
-    for block in blocks(benchmark, block_words):
-        held = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            items, known = Items(held.value), WordHash()
-            for batch in batches:
-                free = [all(c < threshold * w for _, c, w, _ in items.covered(t.as_py(), known)) for t in batch.column(at)]
-                yield batch.filter(pa.array(free, pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    items = items_of(benchmark)
+    rows, mark = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")), items, every=False)
+    found = covered(rows.select(f"{mark}.*"), items, threshold)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHash()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([key_of(hashes(words_of(x.as_py()), known)) for x in batch.column(1)], pa.binary())], names=["item_id", "item"])
+
+    named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), common.text_of().alias("text")).mapInArrow(keyed, "item_id long, item binary")
+    pairs = rows.select("doc_id", F.col(f"{mark}.key").alias("key")).join(found, "key").join(named, "item")
+    return pairs.select("doc_id", "item_id", "covered_words", "item_words", "n_tiles", (F.col("covered_words") / F.col("item_words")).alias("coverage"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that cover no item by ``threshold``, columns unchanged. Only documents that may match move to be judged."""
+    items = items_of(benchmark)
+    rows, mark = marked(docs, items, every=True)
+    maybe_hit = rows.filter(F.col(mark).isNotNull())
+    found = covered(maybe_hit.select(f"{mark}.*"), items, threshold).select(F.col("key").alias(mark)).distinct()
+    same = [F.col(f"`{c}`") for c in docs.columns]
+    free = maybe_hit.select(*same, F.col(f"{mark}.key").alias(mark)).join(found, mark, "left_anti").select(*same)
+    return rows.filter(F.col(mark).isNull()).select(*same).unionByName(free)

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -184,11 +185,20 @@ def greedy(doc, item, least):
 def test_tiling_equals_brute_force():
     rng = np.random.default_rng(5)
     for _ in range(60):
-        item = [f"w{x}" for x in rng.integers(0, 6, 20)]
-        doc = [f"w{x}" for x in rng.integers(0, 6, 40)]
-        items = decontamination.Items([(1, " ".join(item))])
-        got = items.covered(" ".join(doc), decontamination.WordHash())
-        assert (got[0][1] if got else 0) == greedy(doc, item, 5)
+        letters = int(rng.integers(2, 7))
+        item = [f"w{x}" for x in rng.integers(0, letters, 20)]
+        doc = [f"w{x}" for x in rng.integers(0, letters, 40)]
+        words = lambda x: decontamination.hashes([w.encode() for w in x], decontamination.WordHash())
+        assert sum(decontamination.tiles(words(doc), words(item), 5)) == greedy(doc, item, 5)
+
+
+def test_tiling_of_repeated_words_is_no_product():
+    began = time.time()
+    same = np.full(4000, 7, np.uint64)
+    assert decontamination.tiles(np.tile(same, 5), same, 5) == [4000]
+    mixed = np.random.default_rng(3).integers(1, 4, 20_000).astype(np.uint64)
+    assert sum(decontamination.tiles(mixed, mixed[:4000][::-1].copy(), 5)) > 3000
+    assert time.time() - began < 20
 
 
 def test_contamination(spark):
@@ -198,5 +208,31 @@ def test_contamination(spark):
     bench = spark.createDataFrame([(7, item), (8, "one two three"), (9, ""), (10, None)], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontamination.contaminated(docs, bench).collect()}
     assert got == {(1, 7): 1.0, (2, 7): 1.0, (6, 8): 1.0}
-    assert sorted((r["doc_id"], r["text"]) for r in decontamination.clean(docs, bench, block_words=10).collect() if r["text"]) == [(1, "clean text"), (3, " ".join(a))]
+    assert sorted((r["doc_id"], r["text"]) for r in decontamination.clean(docs, bench).collect() if r["text"]) == [(1, "clean text"), (3, " ".join(a))]
     assert decontamination.contaminated(docs, bench.where("false")).count() == 0 and decontamination.contaminated(docs.where("false"), bench).count() == 0
+    odd = docs.selectExpr("*", "1 as made", "'x' as item", "2 as words", "3 as key").unionByName(spark.createDataFrame([(9, "one two three " + "w " * 20_000, 1, "x", 2, 3), (None, item, 1, "x", 2, 3)], "doc_id long, text string, made int, item string, words int, key int"))
+    kept = decontamination.clean(odd, bench)
+    assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4, 5]
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(odd, bench.selectExpr("*", "1 as doc_id")).collect()}
+    assert got == {(1, 7), (2, 7), (6, 8), (9, 8), (None, 7)}
+
+
+def test_contamination_equals_brute_force(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: f"w{rng.integers(0, 40)}"
+    bench = [(i, " ".join(word() for _ in range(int(rng.integers(1, 30))))) for i in range(25)] + [(3, "a b c d e f g"), (99, "a b c d e f g")]
+    docs = []
+    for i in range(60):
+        parts = [" ".join(word() for _ in range(int(rng.integers(0, 12))))]
+        for j in rng.integers(0, len(bench), 2):
+            w = bench[j][1].split()
+            cut = int(rng.integers(0, len(w) + 1))
+            parts += [" ".join(w[cut:]), word(), " ".join(w[:cut])]
+        docs.append((i, " ".join(parts)))
+    want = set()
+    for i, d in docs:
+        for j, b in bench:
+            if b and greedy(d.split(), b.split(), min(5, len(b.split()))) >= 0.6 * len(b.split()):
+                want.add((i, j))
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
