@@ -1,4 +1,4 @@
-"""Connected components of an edge table by label spreading and pointer jumping; every round is written to shared storage."""
+"""Connected components of an edge table by contraction; every round is written to shared storage."""
 
 from __future__ import annotations
 
@@ -9,20 +9,32 @@ from . import common
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, label) for every end of ``edges`` (a, b); the label is the smallest node of the component.
+    """(node, label) for every end of ``edges`` (a, b); the label is the smallest node of the component. Loops count as ends.
 
-    A round gives each node the smallest label among its neighbours and then that label's own label, so the rounds grow
-    with the logarithm of the longest path. Neighbour labels are combined before their shuffle, so a hub is no hot spot.
+    A round sends every node to the neighbour (or itself) that comes first in an order of that round's own, replaces the ends
+    of all edges by where they went, and drops loops and repeats. Nodes that nobody went to are gone, so edges shrink from
+    round to round: a star ends in one round, a path loses about half its nodes, whatever the numbers of the nodes. The rounds'
+    tables are then followed back to front, each of them only over the nodes that were left in its round.
+
+    The first nodes of an order are met by many others; minima are combined before their shuffle, and the joins run between
+    written tables, where adaptive execution splits a hub.
     """
-    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    both = common.materialise(both.distinct(), "edges")
-    labels = common.materialise(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        spread = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        spread = common.materialise(spread, "spread")
-        up = spread.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        after = common.materialise(spread.join(up, "label").select("node", F.col("up").alias("label"), (F.col("up") != F.col("was")).alias("changed")), "labels")
-        labels = after.select("node", "label")
-        if after.filter("changed").isEmpty():
-            return labels
+    pair = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    now = common.materialise(edges.select(*pair("a", "b")).distinct(), "edges")
+    moves: list[DataFrame] = []
+    while not moves or not now.isEmpty():
+        ends = now.select("a", "b").unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        order = lambda c, salt=len(moves): F.xxhash64(c, F.lit(salt))
+        first = ends.groupBy(F.col("a").alias("node")).agg(F.min_by("b", order("b")).alias("near"))
+        first = first.select("node", F.when(order("near") < order("node"), F.col("near")).otherwise(F.col("node")).alias("up"))
+        move = common.materialise(first, "moves")
+        moves.append(move)
+        went = now.join(move.toDF("a", "up_a"), "a").join(move.toDF("b", "up_b"), "b").filter("up_a != up_b")
+        now = common.materialise(went.select(*pair("up_a", "up_b")).distinct(), "edges")
+    found = moves.pop()
+    while moves:
+        after = found.toDF("up", "root")
+        found = moves.pop().join(after, "up", "left").select("node", F.coalesce("root", "up").alias("up"))
+    found = common.materialise(found, "roots")
+    least = found.groupBy("up").agg(F.min("node").alias("label"))
+    return common.materialise(found.join(least, "up").select("node", "label"), "labels")
