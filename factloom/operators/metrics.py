@@ -52,9 +52,9 @@ def expression(table: Table, spec: dict) -> Column:
     if op == "n_distinct":
         return F.count_distinct(c)
     if op == "sum":
-        return F.sum(table.exact(name)).cast("double")
+        return table.exact_sum(name)
     if op == "mean":
-        return F.sum(table.exact(name)).cast("double") / F.count(c)
+        return table.exact_sum(name) / F.count(c)
     if op in ("min", "max"):
         return (F.min if op == "min" else F.max)(c).cast("double")
     if op == "median":

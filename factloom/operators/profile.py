@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..convention import DEFAULT, Convention
 from ..types import BOOLEAN, INTEGER, NUMBER, Table, is_number, missing_kind, strip
@@ -15,7 +18,7 @@ TRACKED = 200_000
 LONG_TEXT, PROSE_WORDS = 40, 4
 # Column names that denote the individual a row is about.
 SUBJECT_NAMES = frozenset(
-    "id ids animal animal_id animal_number subject subject_id participant participant_id mouse mouse_id rat rat_id individual individual_id specimen specimen_id donor donor_id sample sample_id".split()
+    ["id", "ids", "animal", "animal_id", "animal_number", "subject", "subject_id", "participant", "participant_id", "mouse", "mouse_id", "rat", "rat_id", "individual", "individual_id", "specimen", "specimen_id", "donor", "donor_id", "sample", "sample_id"]
 )
 
 
@@ -36,6 +39,11 @@ def token_counts(df: DataFrame, columns: Sequence[str] | None = None, convention
     return cells.groupBy("position", "name", strip(F.col("token")).alias("value"), missing_kind(F.col("token"), convention).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def word_count(value: Column) -> Column:
+    """Words of at least two letters."""
+    return F.size(F.filter(F.split(value, r"(?U)\s+"), lambda t: F.length(F.regexp_replace(t, r"[^\p{L}]", "")) >= 2))
+
+
 def dtype_of(all_whole: Column, all_number: Column, all_boolean: Column, values: Column) -> Column:
     return F.when(values == 0, "empty").when(all_whole, "integer").when(all_number, "number").when(all_boolean, "boolean").otherwise("string")
 
@@ -47,7 +55,7 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, convention: Con
     n = F.col("n")
     total = lambda test: F.coalesce(F.sum(F.when(test, n)), F.lit(0)).cast("long")
     every = lambda rx: F.coalesce(F.bool_and(F.when(value, F.col("value").rlike(rx))), F.lit(True))
-    words = F.size(F.filter(F.split("value", r"(?U)\s+"), lambda t: F.length(F.regexp_replace(t, r"[^\p{L}]", "")) >= 2))
+    words = word_count(F.col("value"))
     prose = F.coalesce(F.bool_or(F.when(value, (words >= PROSE_WORDS) | (F.length("value") > LONG_TEXT))), F.lit(False))
     rare = F.coalesce(F.bool_or(F.when(value, (words >= 2) & (n == 1))), F.lit(False))
     out = counts.groupBy("position", "name").agg(
@@ -64,11 +72,68 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, convention: Con
     return out.withColumn("withheld", withheld).withColumn("subject_name", subject).withColumn("unique", unique).drop("prose", "unrepeated")
 
 
+def facts(df: DataFrame, columns: Sequence[str] | None = None, convention: Convention = DEFAULT) -> DataFrame:
+    """(position, name, rows, n_values, missing_empty, missing_sentinel, ambiguous, missing, dtype) in one wide aggregate: a
+    single scan, nothing exploded, and one row of partial counts per task."""
+    columns = list(columns or df.columns)
+    out = []
+    for i, c in enumerate(columns):
+        token = F.col(f"`{c}`").cast("string")
+        kind, bare = missing_kind(token, convention), strip(token)
+        value = kind.isin("value", "ambiguous")
+        every = lambda rx, bare=bare, value=value: F.coalesce(F.bool_and(F.when(value, bare.rlike(rx))), F.lit(True))
+        n = F.count_if(value)
+        out.append(F.struct(
+            F.lit(i).alias("position"), F.lit(c).alias("name"), F.count(F.lit(1)).alias("rows"), n.alias("n_values"), F.count_if(kind == "empty").alias("missing_empty"),
+            F.count_if(kind == "sentinel").alias("missing_sentinel"), F.count_if(kind == "ambiguous").alias("ambiguous"), dtype_of(every(INTEGER), every(NUMBER), every(BOOLEAN), n).alias("dtype"),
+        ))
+    wide = df.agg(F.array(*out).alias("facts")).select(F.explode("facts").alias("f")).select("f.*")
+    return wide.withColumn("missing", F.col("missing_empty") + F.col("missing_sentinel"))
+
+
+def bounded_values(df: DataFrame, columns: Sequence[str], convention: Convention = DEFAULT, listed: int = LISTED) -> DataFrame:
+    """(position, name, value, n, over): values with their counts for columns of few values, by one pass. A task gives up on a
+    column as soon as it has seen more than ``listed`` values and says so by ``over``, so high-cardinality columns never move."""
+    bare = [F.when(missing_kind(F.col(f"`{c}`").cast("string"), convention).isin("value", "ambiguous"), strip(F.col(f"`{c}`").cast("string"))).alias(f"c{i}") for i, c in enumerate(columns)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict | None] = [{} for _ in columns]
+        for batch in batches:
+            for i, seen in enumerate(held):
+                if seen is None:
+                    continue
+                for x in pc.value_counts(batch.column(i).drop_null()).to_pylist():
+                    seen[x["values"]] = seen.get(x["values"], 0) + x["counts"]
+                    if len(seen) > listed:
+                        held[i] = None
+                        break
+        rows = [(i, v, n, False) for i, seen in enumerate(held) if seen is not None for v, n in seen.items()] + [(i, None, 0, True) for i, seen in enumerate(held) if seen is None]
+        kinds = (pa.int32(), pa.string(), pa.int64(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["position", "value", "n", "over"])
+
+    few = df.select(*bare).mapInArrow(run, "position int, value string, n long, over boolean").groupBy("position", "value").agg(F.sum("n").alias("n"), F.bool_or("over").alias("over"))
+    names = F.array(*[F.lit(c) for c in columns])
+    return few.withColumn("name", F.get(names, F.col("position")))
+
+
 def distinct_values(df: DataFrame, columns: Sequence[str] | None = None, convention: Convention = DEFAULT) -> DataFrame:
-    """(name, value, n) for columns with at most ``LISTED`` distinct values whose list the free-text rule does not withhold."""
-    counts = token_counts(df, columns, convention).where(F.col("kind").isin("value", "ambiguous"))
-    shown = profile(df, columns, convention).where((F.col("n_distinct") <= LISTED) & F.col("withheld").isNull()).select("position")
-    return counts.join(shown, "position", "left_semi").select("name", "value", "n")
+    """(name, value, n) for columns with at most ``LISTED`` distinct values whose list the free-text rule does not withhold.
+
+    The rule applies to text only; what a column of few values holds is decided on those values."""
+    few = bounded_values(df, list(columns or df.columns), convention)
+    by = Window.partitionBy("position")  # at most LISTED rows a task and column
+    words, every = word_count(F.col("value")), lambda rx: F.bool_and(F.col("value").rlike(rx)).over(by)
+    text = ~(every(INTEGER) | every(NUMBER) | every(BOOLEAN))
+    withheld = F.bool_or((words >= PROSE_WORDS) | (F.length("value") > LONG_TEXT)).over(by) | F.bool_or((words >= 2) & (F.col("n") == 1)).over(by)
+    kept = few.select("name", "value", "n", (F.bool_or("over").over(by) | (F.count("value").over(by) > LISTED) | (text & withheld)).alias("no"))
+    return kept.where("not no").select("name", "value", "n")
+
+
+def token_maps(df: DataFrame, columns: Sequence[str] | None = None, convention: Convention = DEFAULT) -> DataFrame:
+    """(name, kind, token, n): the tokens that read as absence, sentinel or ambiguous, and how often. Their number is that of the
+    convention's tokens, whatever the table's size."""
+    cells = token_counts(df, columns, convention).where(F.col("kind").isin("sentinel", "ambiguous"))
+    return cells.groupBy("name", "kind", F.col("value").alias("token")).agg(F.sum("n").alias("n"))
 
 
 def distinct_bound(table: Table, column: str, listed: int = LISTED) -> DataFrame:
@@ -99,5 +164,5 @@ def describe(table: Table, column: str) -> DataFrame:
     c = F.col(f"`{column}`")
     out = [F.count(F.lit(1)).alias("count"), F.count(c).alias("non_missing"), F.count_if(c.isNull()).alias("n_missing")]
     if is_number(table.kinds[column]):
-        out += [F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), (F.sum(table.exact(column)).cast("double") / F.count(c)).alias("mean")]
+        out += [F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), (table.exact_sum(column) / F.count(c)).alias("mean")]
     return table.df.agg(*out)

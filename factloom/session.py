@@ -1,8 +1,13 @@
-"""The session that the engine expects: UTC, adaptive execution, ANSI errors."""
+"""The session that the engine expects: UTC, adaptive execution, ANSI errors; and the folder that its jobs share."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, name: str = "factloom", **conf: str) -> SparkSession:
@@ -12,3 +17,24 @@ def session(master: str | None = None, name: str = "factloom", **conf: str) -> S
     for k, v in conf.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def shared(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``. Only where that is unset and the master is local a temporary one is made up."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        made = tempfile.mkdtemp(prefix="factloom-")
+        atexit.register(shutil.rmtree, made, True)
+        path = f"file://{made}"
+        spark.conf.set("spark.checkpoint.dir", path)
+    return f"{path.rstrip('/')}/factloom-core/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows stored as Parquet in the shared folder and read again: after a lost executor, files are reread, nothing is recomputed."""
+    path = f"{shared(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -87,13 +87,28 @@ def normalised(c: Column, dtype: str, convention: Convention = DEFAULT) -> Colum
     return present
 
 
-def exact(c: Column, dtype: T.DataType, scale: int = 12) -> Column:
-    """The number as a decimal, for sums without rounding. Whole numbers need no fraction."""
+def exact_sum(c: Column, dtype: T.DataType, scale: int = 12) -> Column:
+    """The sum of a numeric column as a double, exact where decimals hold the values.
+
+    Each value enters the first of these sums that holds it without rounding, which is tested value by value: a decimal of the
+    given scale, one for small values, one for large whole ones, and a double for what is left. Nothing is rounded to the
+    scale and nothing overflows; each sum leaves eleven digits for the rows. Null where no value is present.
+    """
     if isinstance(dtype, T.DecimalType):
-        return c
+        return F.sum(c).cast("double")
     if isinstance(dtype, WHOLE):
-        return c.cast("decimal(20,0)")
-    return c.cast(f"decimal({18 if scale <= 6 else 38},{scale})")
+        return F.sum(c.cast("decimal(20,0)")).cast("double")
+    x = c.cast("double")
+    size = F.abs(x)
+    steps = [(f"decimal({18 if scale <= 6 else 38},{scale})", size < F.lit(10.0 ** ((18 if scale <= 6 else 27) - scale - 1))), ("decimal(38,26)", size < 1), ("decimal(38,0)", size < 1e27)]
+    sums, left = [], F.lit(True)
+    for kind, fits in steps:
+        d = F.when(fits, x.try_cast(kind))
+        whole = F.coalesce(d.cast("double") == x, F.lit(False))
+        sums.append(F.coalesce(F.sum(F.when(left & whole, d)).cast("double"), F.lit(0.0)))
+        left = left & ~whole
+    sums.append(F.coalesce(F.sum(F.when(left, x)), F.lit(0.0)))
+    return F.when(F.count(x) > 0, sums[3] + sums[2] + sums[1] + sums[0])
 
 
 @dataclasses.dataclass(frozen=True)
@@ -118,8 +133,8 @@ class Table:
         if unknown:
             raise QueryLookupError(f"unknown column(s) {unknown} in {self.name!r}; available: {self.columns}")
 
-    def exact(self, name: str) -> Column:
-        return exact(F.col(f"`{name}`"), self.df.schema[name].dataType, self.scales.get(name, 12))
+    def exact_sum(self, name: str) -> Column:
+        return exact_sum(F.col(f"`{name}`"), self.df.schema[name].dataType, self.scales.get(name, 12))
 
 
 def bounded(limit: int, most: int, name: str = "limit", least: int = 1) -> int:
