@@ -6,18 +6,31 @@ here every scan is distributed and complete.
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .convention import DEFAULT, Convention
-from .errors import QueryLookupError, QueryValidationError
+from .errors import QueryLookupError, QueryValidationError, Refusal
 from .operators import aggregate as aggregating
 from .operators import filters as filtering
 from .operators import identifiers, identity, joins, ontology, profile, provenance, relationships
 from .types import Table
 
 
+@dataclasses.dataclass(frozen=True)
+class JoinPage:
+    """A page of a join: its rows, the facts of the whole join, and whether rows were left out."""
+
+    rows: DataFrame
+    facts: dict
+    total_result_rows: int
+    truncated: bool
+    warning: str | None
+
+
 class Engine:
     def __init__(self, spark: SparkSession, dataset: str = "dataset", convention: Convention = DEFAULT) -> None:
         self.spark, self.dataset, self.convention = spark, dataset, convention
@@ -76,34 +89,61 @@ class Engine:
         return provenance.contributors(t, filtering.filtered(t, filters))
 
     # Joins
-    def join_tables(self, left: str, right: str, left_keys: Sequence[str], right_keys: Sequence[str], how: str = "inner", left_columns: Sequence[str] | None = None, right_columns: Sequence[str] | None = None, limit: int = 100, crosswalk: str | None = None, left_key_format: str | None = None, right_key_format: str | None = None, forms_per_canonical: Sequence[str] = ()) -> DataFrame:
-        from .types import bounded
-
-        n = bounded(limit, filtering.MOST_ROWS)
-        if crosswalk or left_key_format or right_key_format:
-            return joins.resolved_join(self.table(left), self.table(right), left_keys, right_keys, how, self.crosswalk(crosswalk), left_key_format, right_key_format, forms_per_canonical).limit(n)
-        return joins.join(self.table(left), self.table(right), left_keys, right_keys, how, left_columns, right_columns).limit(n)
+    def _resolved(self, crosswalk: str | None = None, left_key_format: str | None = None, right_key_format: str | None = None, forms_per_canonical: Sequence[str] = ()) -> dict | None:
+        if not (crosswalk or left_key_format or right_key_format):
+            return None
+        return {"crosswalk": self.crosswalk(crosswalk), "left_key_format": left_key_format, "right_key_format": right_key_format, "forms_per_canonical": forms_per_canonical}
 
-    def join_facts(self, left: str, right: str, left_keys: Sequence[str], right_keys: Sequence[str], how: str = "inner") -> DataFrame:
-        return joins.diagnostics(self.table(left), self.table(right), left_keys, right_keys, how)
+    def join_tables(self, left: str, right: str, left_keys: Sequence[str], right_keys: Sequence[str], how: str = "inner", left_columns: Sequence[str] | None = None, right_columns: Sequence[str] | None = None, limit: int = 100, **mapping: object) -> JoinPage:
+        """A page of joined rows in a fixed order, and what the whole join comes to."""
+        from .types import bounded
 
-    def aggregate_join(self, metrics: Sequence[dict], relationship_id: str | None = None, left: str | None = None, right: str | None = None, left_keys: Sequence[str] | None = None, right_keys: Sequence[str] | None = None, **options: object) -> DataFrame | aggregating.UnitResult:
+        n, resolved = bounded(limit, filtering.MOST_ROWS), self._resolved(**mapping)
+        a, b = self.table(left), self.table(right)
+        if resolved:
+            rows = joins.resolved_join(a, b, left_keys, right_keys, how, **resolved)
+        else:
+            rows = joins.join(a, b, left_keys, right_keys, how)
+        shown = [f"left.{c}" for c in left_columns or a.columns] + [f"right.{c}" for c in right_columns or b.columns] + [c for c in rows.columns if c.startswith("key.")]
+        a.require(*(left_columns or []))
+        b.require(*(right_columns or []))
+        facts = joins.remarks(self.join_facts(left, right, left_keys, right_keys, how, **mapping)).first().asDict()
+        page = joins.page(a, b, left_keys, right_keys, rows, n).select(*[F.col(f"`{c}`") for c in shown])
+        return JoinPage(page, facts, facts["total_result_rows"], facts["total_result_rows"] > n, facts["warning"])
+
+    def join_facts(self, left: str, right: str, left_keys: Sequence[str], right_keys: Sequence[str], how: str = "inner", **mapping: object) -> DataFrame:
+        resolved = self._resolved(**mapping)
+        if resolved is None:
+            return joins.diagnostics(self.table(left), self.table(right), left_keys, right_keys, how)
+        return joins.resolved_diagnostics(self.table(left), self.table(right), left_keys, right_keys, how, **resolved)
+
+    def aggregate_join(self, metrics: Sequence[dict], relationship_id: str | None = None, left: str | None = None, right: str | None = None, left_keys: Sequence[str] | None = None, right_keys: Sequence[str] | None = None, crosswalk: str | None = None, left_key_format: str | None = None, right_key_format: str | None = None, forms_per_canonical: Sequence[str] = (), **options: object) -> DataFrame | aggregating.UnitResult:
+        mapping = {"crosswalk": crosswalk, "left_key_format": left_key_format, "right_key_format": right_key_format, "forms_per_canonical": forms_per_canonical}
         if relationship_id is not None:
-            if any(x is not None for x in (left, right, left_keys, right_keys)):
-                raise QueryValidationError("a relationship id stands instead of tables and keys, not beside them")
-            r = self.get_relationship(relationship_id)
-            if r["status"] not in ("declared", "deterministic"):
-                raise QueryValidationError(f"relationship {relationship_id} is {r['status']}; only declared or deterministic ones join")
-            left, right, left_keys, right_keys = r["left"], r["right"], r["left_keys"], r["right_keys"]
+            if any(x for x in (left, right, left_keys, right_keys, *mapping.values())):
+                raise QueryValidationError("a relationship id stands instead of tables, keys and mappings, not beside them")
+            r = self._usable(relationship_id)
+            left, right, left_keys, right_keys, mapping = r["left"], r["right"], r["left_keys"], r["right_keys"], r.get("mapping") or {}
         if not (left and right and left_keys and right_keys):
             raise QueryValidationError("aggregate_join needs two tables and their keys")
-        return joins.aggregate_join(self.table(left), self.table(right), left_keys, right_keys, metrics, **options)
+        return joins.aggregate_join(self.table(left), self.table(right), left_keys, right_keys, metrics, resolved=self._resolved(**mapping), **options)
 
     # Relationships
     def build_relationships(self, declarations: Sequence[Mapping] = ()) -> list[dict]:
-        for d in declarations:
-            self.table(d.get("left", "")), self.table(d.get("right", ""))
-        found = relationships.build(self.spark, self.dataset, self._tables, declarations)
+        """Assess declarations and candidates. A declaration that names something unknown or is refused by its data goes to
+        ``skipped`` with the reason; the others are built."""
+        self.skipped: list[dict] = []
+        good = []
+        for i, d in enumerate(declarations):
+            try:
+                relationships.checked(d, i)
+                self.table(d["left"]).require(*d["left_keys"])
+                self.table(d["right"]).require(*d["right_keys"])
+                self.crosswalk(d.get("crosswalk"))
+                good.append(d)
+            except QueryLookupError as e:
+                self.skipped.append({"declaration": dict(d), "reason": str(e)})
+        found = relationships.build(self.spark, self.dataset, self._tables, good, self._crosswalks, self.skipped)
         self._relationships = {r["id"]: r for r in found}
         return found
 
@@ -115,11 +155,20 @@ class Engine:
             raise QueryLookupError(f"unknown relationship {relationship_id!r}; available: {sorted(self._relationships)}")
         return self._relationships[relationship_id]
 
-    def join_relationship(self, relationship_id: str, how: str = "inner", limit: int = 100) -> DataFrame:
+    def _usable(self, relationship_id: str) -> dict:
+        """A relationship that may be joined: declared or deterministic, over tables and a crosswalk that have not changed since."""
         r = self.get_relationship(relationship_id)
         if r["status"] not in ("declared", "deterministic"):
             raise QueryValidationError(f"relationship {relationship_id} is {r['status']}; only declared or deterministic ones join")
-        return self.join_tables(r["left"], r["right"], r["left_keys"], r["right_keys"], how, limit=limit)
+        mapping = r.get("mapping") or {}
+        if name := mapping.get("crosswalk"):
+            if name not in self._crosswalks or self._crosswalks[name].sha256 != r["crosswalk_sha256"]:
+                raise Refusal(f"crosswalk {name!r} is not the one that relationship {relationship_id} was assessed with", content_withheld=True)
+        return r
+
+    def join_relationship(self, relationship_id: str, how: str = "inner", limit: int = 100) -> JoinPage:
+        r = self._usable(relationship_id)
+        return self.join_tables(r["left"], r["right"], r["left_keys"], r["right_keys"], how, limit=limit, **(r.get("mapping") or {}))
 
     # Text and terms
     def scan_identifiers(self, table: str, key: str, text: str) -> DataFrame:

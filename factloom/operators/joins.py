@@ -119,12 +119,53 @@ def resolved_join(
     return out.withColumn("key.canonical_id", F.col("lk")).withColumn("key.mapping", F.col("ls")).drop("ls", "lk", "rs", "rk")
 
 
+def resolved_sides(left: Table, right: Table, left_keys: Sequence[str], right_keys: Sequence[str], crosswalk: DataFrame | None = None, left_key_format: str | None = None, right_key_format: str | None = None) -> tuple[Table, Table]:
+    """Both tables with their compared key in ``__space`` and ``__key``, null where a row lacks part of it."""
+    a = identity.resolve(left, left_keys, left_key_format, crosswalk)
+    b = identity.resolve(right, right_keys, right_key_format, crosswalk)
+    return Table(left.name, a.rows), Table(right.name, b.rows)
+
+
+def resolved_diagnostics(left: Table, right: Table, left_keys: Sequence[str], right_keys: Sequence[str], how: str = "inner", **resolved: object) -> DataFrame:
+    """``diagnostics`` on the keys that the join compares: canonical ids and rendered texts, not the columns as they stand."""
+    keep = {k: v for k, v in resolved.items() if k in ("crosswalk", "left_key_format", "right_key_format")}
+    return diagnostics(*resolved_sides(left, right, left_keys, right_keys, **keep), ["__space", "__key"], ["__space", "__key"], how)
+
+
+def remarks(facts: DataFrame) -> DataFrame:
+    """The facts with ``replicated`` (sides whose rows the join repeats) and ``warning``, null where there is nothing to say."""
+    c = F.col("cardinality")
+    replicated = F.when(c == "one_to_many", "left").when(c == "many_to_one", "right").when(c == "many_to_many", "left,right")
+    said = F.when(c == "many_to_many", "both sides repeat keys, so each key gives the product of its rows").when(c != "one_to_one", F.concat(F.lit("rows of the "), replicated, F.lit(" side repeat in the result; a metric over its columns counts them once per match")))
+    return facts.withColumn("replicated", replicated).withColumn("warning", said)
+
+
 def refuse(side: str, what: str, found: DataFrame) -> None:
     listed = [r.asDict() for r in found.limit(identity.SHOWN).collect()]
     if listed:
         raise Refusal(f"{what} on the {side} side", content_withheld=True, collisions=listed)
 
 
+def page(left: Table, right: Table, left_keys: Sequence[str], right_keys: Sequence[str], rows: DataFrame, limit: int) -> DataFrame:
+    """The first joined rows in the order of the left and then the right locator; left rows without a whole key come last."""
+    lack = F.lit(False)
+    for k in left_keys:
+        lack = lack | F.col(f"`left.{k}`").isNull()
+    place = [F.col(f"`{side}.{t.locator}`") for side, t in (("left", left), ("right", right)) if t.locator and f"{side}.{t.locator}" in rows.columns]
+    rest = [] if len(place) == 2 else [F.col(f"`{c}`") for c in rows.columns if c.startswith(("left.", "right."))]
+    return rows.orderBy(lack, *place, *rest).limit(limit)
+
+
+def mapping_counts(rows: DataFrame) -> DataFrame:
+    """One row about the rows that an aggregate over a resolved join used: how many compared through the crosswalk, by their own
+    text or by nothing, and how many distinct keys stand behind them."""
+    space = F.col("`key.mapping`")
+    return rows.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(space == "canonical").alias("canonical_rows"), F.count_if(space == "unmapped").alias("unmapped_rows"), F.count_if(space == "rendered").alias("rendered_rows"),
+        F.count_if(space.isNull()).alias("keyless_rows"), F.count_distinct(F.when(space.isNotNull(), F.struct(space, F.col("`key.canonical_id`")))).alias("keys"),
+    )
+
+
 def split_qualified(name: str) -> tuple[str, str]:
     """``left.x``: the side is what stands before the first dot."""
     side, dot, column = name.partition(".")
@@ -141,8 +182,8 @@ def aggregate_join(
     for name in [*group_by, *unit, *(f["column"] for f in filters), *(m["column"] for m in [*metrics, *unit_metrics] if m.get("column"))]:
         if not (unit and name in {u.get("name") or f"{u['op']}:{u['column']}" for u in unit_metrics}):
             split_qualified(name)
-    if guard and resolved is None:
-        facts = diagnostics(left, right, left_keys, right_keys, how).first()
+    if guard:
+        facts = (diagnostics(left, right, left_keys, right_keys, how) if resolved is None else resolved_diagnostics(left, right, left_keys, right_keys, how, **resolved)).first()
         if facts["cardinality"] == "many_to_many":
             raise QueryValidationError("both sides repeat keys; a many-to-many join would count rows more than once")
     rows = resolved_join(left, right, left_keys, right_keys, how, **resolved) if resolved is not None else join(left, right, left_keys, right_keys, how)

@@ -8,10 +8,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..errors import QueryValidationError
 from ..types import Table
-from . import joins
+from . import identity, joins
 from .profile import SUBJECT_NAMES, normal_name, profile
 
 CARDINALITIES = ("one_to_one", "one_to_many", "many_to_one", "many_to_many")
@@ -71,10 +72,18 @@ def status_column(declared: str, expected: str | None = None):  # noqa: ANN201 -
 
 
 def examples(left: Table, right: Table, left_keys: Sequence[str], right_keys: Sequence[str], limit: int = EXAMPLES) -> DataFrame:
-    """The first shared keys in order with their row counts on both sides."""
+    """The first shared keys in order with their row counts on both sides and, where a side has a locator, its first rows."""
     names = [f"k{i}" for i in range(len(left_keys))]
     l, r = joins.key_counts(left, left_keys), joins.key_counts(right, right_keys)
-    return l.withColumnRenamed("n", "left_rows").join(r.withColumnRenamed("n", "right_rows"), names).orderBy(*names).limit(limit)
+    out = l.withColumnRenamed("n", "left_rows").join(r.withColumnRenamed("n", "right_rows"), names).orderBy(*names).limit(limit)
+    for side, t, keys in (("left", left, left_keys), ("right", right, right_keys)):
+        if t.locator:
+            # Only the few shown keys are looked up; their rows are ranked, so no list is longer than EXAMPLES.
+            rows = t.df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names, strict=True)], F.col(t.locator).alias("at")).join(out.select(*names), names, "left_semi")
+            rank = F.row_number().over(Window.partitionBy(*names).orderBy("at"))
+            lists = rows.withColumn("rank", rank).where(F.col("rank") <= EXAMPLES).groupBy(*names).agg(F.array_sort(F.collect_list("at")).alias(f"{side}_locators"))
+            out = out.join(lists, names, "left")
+    return out
 
 
 def relationship_id(dataset: str, left: str, right: str, left_keys: Sequence[str], right_keys: Sequence[str], mapping: Mapping | None = None) -> str:
@@ -86,24 +95,73 @@ def relationship_id(dataset: str, left: str, right: str, left_keys: Sequence[str
     return "rel_" + hashlib.sha256(text.encode()).hexdigest()[:20]
 
 
-def build(spark: SparkSession, dataset: str, tables: Mapping[str, Table], declarations: Sequence[Mapping] = ()) -> list[dict]:
+# What a declaration may hold, and what it must.
+OPTIONAL = frozenset({"status", "expected_cardinality", "crosswalk", "left_key_format", "right_key_format", "forms_per_canonical"})
+REQUIRED = frozenset({"left", "right", "left_keys", "right_keys"})
+
+
+def checked(d: Mapping, i: int) -> Mapping:
+    """A declaration of the right shape, or an error that names it."""
+    unknown = set(d) - OPTIONAL - REQUIRED
+    lists = all(isinstance(d.get(k), list | tuple) and d.get(k) and all(isinstance(x, str) for x in d[k]) for k in ("left_keys", "right_keys"))
+    if unknown or not REQUIRED <= set(d) or not lists:
+        raise QueryValidationError(f"declaration {i} is malformed: {sorted(unknown) or 'tables or keys are missing'}")
+    if d.get("status", "declared") not in ("declared", "deterministic"):
+        raise QueryValidationError(f"declaration {i} has status {d['status']!r}; it is declared or deterministic")
+    if d.get("expected_cardinality") is not None and d["expected_cardinality"] not in CARDINALITIES:
+        raise QueryValidationError(f"declaration {i}: expected cardinality is one of {list(CARDINALITIES)}")
+    if len(d["left_keys"]) != len(d["right_keys"]) and not (d.get("left_key_format") or d.get("right_key_format")):
+        raise QueryValidationError(f"declaration {i}: both sides need as many keys, or a key format")
+    return d
+
+
+def mapping_of(d: Mapping) -> dict:
+    """What makes the compared key of a declaration other than its columns."""
+    return {k: d[k] for k in ("crosswalk", "left_key_format", "right_key_format", "forms_per_canonical") if d.get(k)}
+
+
+def collisions(left: Table, right: Table, d: Mapping, crosswalk: DataFrame | None) -> int:
+    """Keys that refuse a join of the declaration, as counted by ``identity``."""
+    n = 0
+    for name, t in (("left", left), ("right", right)):
+        side = identity.resolve(t, d[f"{name}_keys"], d.get(f"{name}_key_format"), crosswalk)
+        n += identity.rendering_collisions(side).count()
+        if crosswalk is not None and name not in d.get("forms_per_canonical", ()):
+            n += identity.crosswalk_collisions(side).count()
+    return n
+
+
+def build(spark: SparkSession, dataset: str, tables: Mapping[str, Table], declarations: Sequence[Mapping] = (), crosswalks: Mapping[str, identity.Crosswalk] | None = None, skipped: list[dict] | None = None) -> list[dict]:
     """Declared relationships first, then candidates with overlap; a candidate of a declared pair is left out. The number of
     relationships is that of table pairs, so the records are driver-side."""
     out, seen = [], set()
     for i, d in enumerate(declarations):
-        unknown = set(d) - {"left", "right", "left_keys", "right_keys", "status", "expected_cardinality"}
-        if unknown or not {"left", "right", "left_keys", "right_keys"} <= set(d):
-            raise QueryValidationError(f"declaration {i} is malformed: {sorted(unknown) or 'keys are missing'}")
-        facts = assess(tables[d["left"]], tables[d["right"]], d["left_keys"], d["right_keys"]).first().asDict()
-        state, why = status(facts, d.get("status", "declared"), d.get("expected_cardinality"))
-        rid = relationship_id(dataset, d["left"], d["right"], d["left_keys"], d["right_keys"])
+        checked(d, i)
+        left, right, mapping = tables[d["left"]], tables[d["right"]], mapping_of(d)
+        walk = (crosswalks or {}).get(mapping.get("crosswalk"))
+        try:
+            if mapping:
+                rows = walk.rows(spark) if walk else None
+                compared = joins.resolved_sides(left, right, d["left_keys"], d["right_keys"], rows, d.get("left_key_format"), d.get("right_key_format"))
+                facts = assess(*compared, ["__space", "__key"], ["__space", "__key"]).first().asDict()
+                bad = collisions(left, right, d, rows)
+            else:
+                facts, bad = assess(left, right, d["left_keys"], d["right_keys"]).first().asDict(), 0
+        except QueryValidationError as e:
+            if skipped is None:
+                raise
+            skipped.append({"declaration": dict(d), "reason": str(e)})
+            continue
+        state, why = status(facts, d.get("status", "declared"), d.get("expected_cardinality"), bad)
+        about = mapping | ({"crosswalk_sha256": walk.sha256} if walk else {})
+        rid = relationship_id(dataset, d["left"], d["right"], d["left_keys"], d["right_keys"], about)
         seen.add(rid)
-        out.append({"id": rid, "status": state, "rejection_reasons": why, **{k: d[k] for k in ("left", "right", "left_keys", "right_keys")}, **facts})
+        out.append({"id": rid, "status": state, "rejection_reasons": why, "mapping": mapping, "crosswalk_sha256": walk.sha256 if walk else None, **{k: d[k] for k in ("left", "right", "left_keys", "right_keys")}, **facts})
     for c in candidates(column_facts(tables)).orderBy("left", "right", "normal").collect():
         rid = relationship_id(dataset, c["left"], c["right"], [c["left_key"]], [c["right_key"]])
         if rid in seen:
             continue
         facts = assess(tables[c["left"]], tables[c["right"]], [c["left_key"]], [c["right_key"]]).first().asDict()
         if facts["matched_keys"]:
-            out.append({"id": rid, "status": "candidate", "rejection_reasons": [], "left": c["left"], "right": c["right"], "left_keys": [c["left_key"]], "right_keys": [c["right_key"]], **facts})
+            out.append({"id": rid, "status": "candidate", "rejection_reasons": [], "mapping": {}, "crosswalk_sha256": None, "left": c["left"], "right": c["right"], "left_keys": [c["left_key"]], "right_keys": [c["right_key"]], **facts})
     return out

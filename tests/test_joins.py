@@ -20,7 +20,7 @@ def engine(spark):
 
 
 def test_crosswalk_join(engine):
-    got = engine.join_tables("registry", "sessions", ["cage", "tail"], ["animal"], crosswalk="cw", left_key_format="{cage}-{tail}").collect()
+    got = engine.join_tables("registry", "sessions", ["cage", "tail"], ["animal"], crosswalk="cw", left_key_format="{cage}-{tail}").rows.collect()
     assert sorted((r["key.canonical_id"], r["right.session"]) for r in got) == [("Z-7_L", 1), ("Z-7_L", 2), ("Z-7_R", 1), ("Z-8_L", 1)]
     facts = identity.mapping_facts(identity.resolve(engine.table("sessions"), ["animal"], crosswalk=engine.crosswalk("cw"))).first()
     assert (facts["mapped_rows"], facts["mapped_distinct"], facts["unmapped_rows"]) == (4, 3, 1)
@@ -34,7 +34,7 @@ def test_several_forms_refuse_unless_declared(spark, engine):
     ask = {"crosswalk": "cw", "left_key_format": "{cage}-{tail}"}
     with pytest.raises(Refusal):
         e.join_tables("registry", "scoring", ["cage", "tail"], ["obs"], **ask)
-    assert e.join_tables("registry", "scoring", ["cage", "tail"], ["obs"], forms_per_canonical=["right"], **ask).count() == 4
+    assert e.join_tables("registry", "scoring", ["cage", "tail"], ["obs"], forms_per_canonical=["right"], **ask).rows.count() == 4
 
 
 def test_rendering_collision_always_refuses(spark):
@@ -101,3 +101,40 @@ def test_relationships(engine, spark):
         e.get_relationship("rel_none")
     with pytest.raises(QueryLookupError):
         e.table("none")
+
+
+def test_many_to_many_is_refused_on_resolved_keys_too(spark):
+    t = Table("t", spark.createDataFrame([("A", 1), ("A", 2), (None, 3)], "id string, v int"))
+    with pytest.raises(QueryValidationError):
+        joins.aggregate_join(t, t, ["id"], ["id"], [{"op": "count"}], resolved={"left_key_format": "k{id}", "right_key_format": "k{id}"})
+    facts = joins.resolved_diagnostics(t, t, ["id"], ["id"], left_key_format="k{id}", right_key_format="k{id}").first()
+    assert (facts["cardinality"], facts["total_result_rows"]) == ("many_to_many", 4)
+
+
+def test_pages_are_ordered_and_say_what_they_leave_out(spark):
+    e = Engine(spark)
+    e.register("a", spark.createDataFrame([(3, "x"), (1, None), (2, "y"), (4, "x")], "at int, k string"), "at")
+    e.register("b", spark.createDataFrame([(9, "x"), (8, "y"), (7, "x")], "at int, k string"), "at")
+    page = e.join_tables("a", "b", ["k"], ["k"], "left", limit=4)
+    assert [(r["left.at"], r["right.at"]) for r in page.rows.collect()] == [(2, 8), (3, 7), (3, 9), (4, 7)]
+    assert page.total_result_rows == 6 and page.truncated and "both sides repeat" in page.warning
+    assert [(r["left.at"], r["right.at"]) for r in e.join_tables("a", "b", ["k"], ["k"], "left").rows.collect()][-1] == (1, None)
+
+
+def test_relationships_over_a_crosswalk(engine):
+    d = {"left": "registry", "right": "sessions", "left_keys": ["cage", "tail"], "right_keys": ["animal"], "crosswalk": "cw", "left_key_format": "{cage}-{tail}", "expected_cardinality": "one_to_many"}
+    e = Engine(engine.spark)
+    e.register("registry", engine.table("registry").df)
+    e.register("sessions", engine.table("sessions").df)
+    e.register_crosswalk("cw", CROSSWALK)
+    found = e.build_relationships([d, d | {"crosswalk": "none"}])[0]
+    assert found["status"] == "declared" and found["cardinality"] == "one_to_many" and len(e.skipped) == 1
+    assert e.join_relationship(found["id"]).total_result_rows == 4
+    got = e.aggregate_join([{"op": "count", "name": "n"}], found["id"], group_by=["key.canonical_id"], reasons=False)
+    assert {r["key.canonical_id"]: r["n"] for r in got.collect()} == {"Z-7_L": 2, "Z-7_R": 1, "Z-8_L": 1}
+    e.register_crosswalk("cw", CROSSWALK + b"Z-9_L,Z9-L,\n")
+    with pytest.raises(Refusal):
+        e.join_relationship(found["id"])
+    for bad in ({"left": "registry"}, d | {"status": "guess"}, d | {"expected_cardinality": "some"}):
+        with pytest.raises(QueryValidationError):
+            e.build_relationships([bad])
