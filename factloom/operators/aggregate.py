@@ -133,15 +133,29 @@ def unit_audit(table: Table, unit: Sequence[str], group_by: Sequence[str], sampl
         raise QueryValidationError("an audit needs a table with a locator")
     if not 0 <= sample:
         raise QueryValidationError("unit_sample must be zero or greater")
+    keys = list(dict.fromkeys([*unit, *group_by]))
     rank = F.row_number().over(Window.partitionBy(*unit).orderBy(table.locator))
     rows = table.df.dropna(subset=list(unit)).withColumn("__rank", rank)
-    units = rows.groupBy(*dict.fromkeys([*unit, *group_by])).agg(
+    units = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("__rank") <= ROWS_A_UNIT, F.col(table.locator)))), lambda x: x.cast("string")), ",").alias("source_rows"),
-        *[F.array_join(F.slice(F.array_sort(F.collect_set(F.col(c).cast("string"))), 1, ROWS_A_UNIT), ",").alias(f"{c}:values") for c in listed],
     )
-    place = F.row_number().over(Window.partitionBy(*group_by).orderBy(*unit)) if group_by else F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*unit))
-    return units.withColumn("__place", place).where(F.col("__place") <= min(sample, MOST_SAMPLE)).drop("__place")
+    shown = min(sample, MOST_SAMPLE)
+    if group_by:
+        place = F.row_number().over(Window.partitionBy(*group_by).orderBy(*unit))
+        units = units.withColumn("__place", place).where(F.col("__place") <= shown).drop("__place")
+    else:
+        units = units.orderBy(*unit).limit(shown)
+    for c in listed:
+        # Values are made distinct and ranked first, so no list outgrows ROWS_A_UNIT.
+        few = table.df.dropna(subset=list(unit)).select(*keys, F.col(c).cast("string").alias("__value")).where("__value is not null").distinct()
+        few = few.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy("__value"))).where(F.col("__k") <= ROWS_A_UNIT)
+        few = few.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.array_join(F.array_sort(F.collect_list("__value")), ",").alias(f"{c}:values"))
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"`__{k}`"))
+        units = units.join(few, same, "left").drop(*[f"__{k}" for k in keys])
+    return units
 
 
 def require_consistent(result: UnitResult) -> UnitResult:

@@ -10,28 +10,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import QueryValidationError
+from ..session import written
 
 MOST_TERMS = 50
 # The weights of the ranking rule.
 LABEL, SYNONYM, NAMES, DEFINITION = 1.0, 0.95, 0.8, 0.15
 
 
-def closure(edges: DataFrame, write: object = None) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """(node, ancestor) over (node, parent), cycles allowed: new pairs are joined until none is new.
 
-    Paths double in every round, so the rounds grow with the logarithm of the depth. Every round is checkpointed where the
-    session has a checkpoint folder.
+    Paths double in every round, so the rounds grow with the logarithm of the depth. Every round's pairs are written to the
+    shared folder, which cuts the lineage; a round joins only pairs that the last one found with all pairs known.
     """
-    keep = write or (lambda df: df.persist())
-    known = keep(edges.select("node", F.col("parent").alias("ancestor")).where(F.col("parent").isNotNull()).distinct())
-    n = known.count()
-    while True:
-        longer = known.alias("a").join(known.alias("b"), F.col("a.ancestor") == F.col("b.node")).select(F.col("a.node").alias("node"), F.col("b.ancestor").alias("ancestor"))
-        known = keep(known.unionByName(longer).distinct())
-        more = known.count()
-        if more == n:
-            return known
-        n = more
+    known = written(edges.select("node", F.col("parent").alias("ancestor")).where(F.col("parent").isNotNull()).distinct(), "closure")
+    new = known
+    while not new.isEmpty():
+        pairs = lambda a, b: a.toDF("node", "via").join(b.toDF("via", "ancestor"), "via").select("node", "ancestor")
+        longer = pairs(new, known).unionByName(pairs(known, new)).distinct()
+        new = written(longer.join(known, ["node", "ancestor"], "left_anti"), "closure")
+        known = known.unionByName(new)
+    return known
 
 
 def tokens(c: Column) -> Column:

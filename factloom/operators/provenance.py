@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,8 +17,8 @@ MOST_RANGES, MOST_OBJECTS = 4096, 1024
 def ranges(rows: DataFrame, locator: str, by: list[str] | None = None, block: int = 1 << 16) -> DataFrame:
     """Distinct whole-number locators as (first, last), per group of ``by``.
 
-    Islands are found inside blocks of locators, which spreads one long table over many tasks, and islands that touch at a
-    block's edge are merged in a second pass over the few block islands.
+    Islands are found inside blocks of locators, which spreads one long table over many tasks. Only an island that touches an
+    edge of its block can go on in the next one, so only those, at most two a block, are merged; all others are final.
     """
     by = by or []
     keys = [F.col(f"`{c}`") for c in by]
@@ -24,17 +26,45 @@ def ranges(rows: DataFrame, locator: str, by: list[str] | None = None, block: in
     at = at.withColumn("__block", F.floor(F.col("__at") / block))
     inside = Window.partitionBy(*by, "__block").orderBy("__at")
     islands = at.withColumn("__island", F.col("__at") - F.row_number().over(inside)).groupBy(*keys, "__block", "__island").agg(F.min("__at").alias("first"), F.max("__at").alias("last"))
+    edge = (F.col("first") == F.col("__block") * block) | (F.col("last") == F.col("__block") * block + block - 1)
     order = Window.partitionBy(*(by or [F.lit(0)])).orderBy("first")
     fresh = F.when(F.lag("last").over(order) + 1 == F.col("first"), 0).otherwise(1)
-    merged = islands.withColumn("__new", fresh).withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return merged.groupBy(*keys, "__run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("__run")
+    merged = islands.where(edge).withColumn("__new", fresh).withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = merged.groupBy(*keys, "__run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("__run")
+    return islands.where(~edge).select(*keys, "first", "last").unionByName(merged)
+
+
+def objects(rows: DataFrame, locator: Sequence[str]) -> DataFrame:
+    """(locator): distinct object locators as JSON with their fields in the order of their names, absent ones spelt null."""
+    fields = [F.col(f"`{c}`") for c in sorted(locator)]
+    return rows.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("locator")).distinct()
+
+
+def capped(rows: DataFrame, locator: str, most: int = MOST_RANGES) -> DataFrame:
+    """One row: how many ranges the rows make, and whether a list of ``most`` would hold them. Nothing is collected for it."""
+    n = F.count(F.lit(1))
+    return ranges(rows, locator).agg(n.alias("ranges"), F.coalesce(F.sum(F.col("last") - F.col("first") + 1), F.lit(0)).alias("rows"), (n <= most).alias("complete"))
+
+
+def dropped(entered: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row: rows that entered a unit aggregation (after filters, before any metric), rows its units used, and the rows that the
+    unit policy dropped."""
+    used = groups.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).cast("long").alias("used"))
+    return entered.agg(F.count(F.lit(1)).alias("entered")).join(used, how="cross").select("entered", "used", (F.col("entered") - F.col("used")).alias("dropped"))  # one row each
 
 
-def contributors(table: Table, rows: DataFrame) -> dict[str, object]:
-    """Ranges of the rows, or why they are not listed; at most ``MOST_RANGES`` reach the driver."""
+def contributors(table: Table, rows: DataFrame, locator: Sequence[str] = ()) -> dict[str, object]:
+    """What an answer rests on, for rows after filters and before metrics: ranges of whole-number locators, or object locators
+    where ``locator`` names several columns; more than may be listed are counted and not listed."""
+    about = {"scope": "post_filter_pre_metric", "table": table.name}
+    if locator:
+        found = [r[0] for r in objects(rows, locator).orderBy("locator").limit(MOST_OBJECTS + 1).collect()]
+        if len(found) > MOST_OBJECTS:
+            return {**about, "complete": False, "reason": f"more than {MOST_OBJECTS} locators", "objects": []}
+        return {**about, "complete": True, "objects": found, "rows": len(found)}
     if table.locator is None:
         raise QueryValidationError(f"{table.name!r} has no locator")
     found = ranges(rows, table.locator).orderBy("first").limit(MOST_RANGES + 1).collect()
     if len(found) > MOST_RANGES:
-        return {"complete": False, "reason": f"more than {MOST_RANGES} ranges", "ranges": []}
-    return {"complete": True, "ranges": [[r["first"], r["last"]] for r in found], "rows": sum(r["last"] - r["first"] + 1 for r in found)}
+        return {**about, "complete": False, "reason": f"more than {MOST_RANGES} ranges", "ranges": []}
+    return {**about, "complete": True, "ranges": [[r["first"], r["last"]] for r in found], "rows": sum(r["last"] - r["first"] + 1 for r in found)}
