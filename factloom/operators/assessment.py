@@ -9,10 +9,8 @@ from pyspark.sql import functions as F
 
 RESULTS = ("pass", "fail", "unknown", "not_applicable")
 # Formats that count as open and as closed; any other format is unclassified.
-OPEN_FORMATS = frozenset("csv tsv json jsonld xml yaml turtle ntriples rdfxml markdown text png jpeg tiff pdf zip gzip parquet hdf5 nwb nifti edf sqlite ods boris".split())
-CLOSED_FORMATS = frozenset("matlab xlsx xls xlsb".split())
-LICENCE_KEYS = frozenset("license licence licenses rights".split())
-PROVENANCE_KEYS = frozenset("authors author creator creators contributors provenance wasgeneratedby generatedby".split())
+OPEN_FORMATS = frozenset(["csv", "tsv", "json", "jsonld", "xml", "yaml", "turtle", "ntriples", "rdfxml", "markdown", "text", "png", "jpeg", "tiff", "pdf", "zip", "gzip", "parquet", "hdf5", "nwb", "nifti", "edf", "sqlite", "ods", "boris"])
+CLOSED_FORMATS = frozenset(["matlab", "xlsx", "xls", "xlsb"])
 
 
 def format_openness(files: DataFrame) -> DataFrame:
@@ -30,18 +28,6 @@ def missing_values_declared(profiles: DataFrame, declared: bool) -> DataFrame:
     return profiles.agg(state.alias("result"), tokens.cast("long").alias("tokens"))
 
 
-def metadata_present(files: DataFrame) -> DataFrame:
-    return files.agg(F.when(F.count_if(F.col("role") == "metadata") > 0, "pass").otherwise("fail").alias("result"))
-
-
-def metadata_links_data(files: DataFrame, texts: DataFrame) -> DataFrame:
-    """Data files whose path or name no metadata text mentions. Texts are few and small next to the files they describe."""
-    name = F.element_at(F.split("path", "/"), -1)
-    data = files.where("role = 'data'").select("path", name.alias("name"))
-    mentioned = data.join(texts.select("text"), F.expr("contains(text, path) or contains(text, name)"), "left_semi")
-    return data.join(mentioned, "path", "left_anti").select("path")
-
-
 def declared_keys(document: object, names: frozenset[str]) -> list[tuple[str, object]]:
     """Every (path, value) in a JSON document whose key is one of the names and whose value says something."""
     out: list[tuple[str, object]] = []

@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from ..errors import QueryValidationError
 
 # The checks that may stand as evidence.
-CHECKS = frozenset(
-    """file.checksum file.size file.format-detection file.format-conflict dataset.file-count dataset.identity convention.missing-values table.row-count
-    table.column-count table.header table.delimiter table.encoding table.ragged-rows column.dtype column.missing column.distinct column.unique column.ambiguous
-    metadata.filename metadata.content identifier.syntax structured.root structured.keys workbook.sheets behaviour.events behaviour.intervals relationship.overlap""".split()
-)
+CHECKS = frozenset([
+    "file.checksum", "file.size", "file.format-detection", "dataset.file-count", "dataset.identity", "convention.missing-values",
+    "table.row-count", "table.column-list", "table.column-dtype", "table.missing-value-count", "table.missing-empty-count",
+    "table.missing-sentinel-count", "table.ambiguous-token-count", "table.header-layout", "layout.declaration", "layout.block",
+    "workbook.row-count", "workbook.missing-value-count", "workbook.unprofiled", "workbook.reader-unavailable", "json.shape",
+    "boris.unprofiled", "boris.interval-pairing", "metadata.file-convention", "metadata.content-signature", "metadata.candidate",
+    "identifier.detected",
+])
 SCHEMA = "claim_id string, claim string, subject string, evidence array<struct<check:string,result:string,source:string>>"
 
 
@@ -54,11 +57,26 @@ def query(claims: DataFrame, subject: str | None = None, check: str | None = Non
     return claims
 
 
-def profile_claims(table: str, columns: Sequence[Mapping]) -> list[tuple[str, str, list[dict]]]:
-    """What a table's profile lets one claim, column by column."""
-    out = []
+def table_claims(table: str, columns: Sequence[Mapping], sheet: bool = False) -> list[tuple[str, str, list[dict]]]:
+    """What a table's profile lets one claim: its rows, its columns, and per column its type and what it lacks, by cause."""
+    item = lambda check, result, source=table: [{"check": check, "result": result, "source": source}]
+    rows, missing = ("workbook.row-count", "workbook.missing-value-count") if sheet else ("table.row-count", "table.missing-value-count")
+    out = [(f"{table} has {columns[0]['rows'] if columns else 0} data rows", table, item(rows, columns[0]["rows"] if columns else 0))]
+    out.append((f"{table} has the columns {', '.join(r['name'] for r in columns)}", table, item("table.column-list", [r["name"] for r in columns])))
     for r in columns:
         source = f"{table}#{r['name']}"
-        out.append((f"column {r['name']} of {table} holds {r['dtype']} values", table, [{"check": "column.dtype", "result": r["dtype"], "source": source}]))
-        out.append((f"column {r['name']} of {table} lacks {r['missing']} of {r['rows']} values", table, [{"check": "column.missing", "result": r["missing"], "source": source}]))
+        out.append((f"column {r['name']} of {table} holds {r['dtype']} values", table, item("table.column-dtype", r["dtype"], source)))
+        out.append((f"column {r['name']} of {table} lacks {r['missing']} of {r['rows']} values", table, item(missing, r["missing"], source)))
+        for check, field in (("table.missing-empty-count", "missing_empty"), ("table.missing-sentinel-count", "missing_sentinel"), ("table.ambiguous-token-count", "ambiguous")):
+            if r[field]:
+                out.append((f"column {r['name']} of {table}: {r[field]} cells under {check}", table, item(check, r[field], source)))
     return out
+
+
+def claims_of(profiled: DataFrame, table: str) -> DataFrame:
+    """(claim, subject, check, result) per column of a profile, as rows of a DataFrame: the ledger of a wide table without a driver loop."""
+    said = lambda check, result, *text: F.struct(F.concat(*text).alias("claim"), F.lit(table).alias("subject"), F.lit(check).alias("check"), result.cast("string").alias("result"))
+    name, of = F.col("name"), F.lit(f" of {table} ")
+    kinds = [said("table.column-dtype", F.col("dtype"), F.lit("column "), name, of, F.lit("holds "), F.col("dtype"), F.lit(" values"))]
+    kinds += [said("table.missing-value-count", F.col("missing"), F.lit("column "), name, of, F.lit("lacks "), F.col("missing").cast("string"), F.lit(" values"))]
+    return profiled.select(F.explode(F.array(*kinds)).alias("c")).select("c.*")

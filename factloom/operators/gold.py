@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import QueryValidationError
-from ..types import NUMBER
+from ..types import NUMBER, exact_sum
 
 
 def blank(c: Column) -> Column:
@@ -63,6 +65,87 @@ def count(df: DataFrame, column: str | None = None, distinct: bool = False) -> D
     return df.agg((F.count_distinct(c) if distinct else F.count(c)).alias("n"))
 
 
+def total(df: DataFrame, column: str, where: Column | None = None) -> DataFrame:
+    """One row: the sum of a column over the rows picked, exact in decimals. A cell that is no number, or blank, stops the job."""
+    rows = df if where is None else df.where(where)
+    c = F.col(f"`{column}`")
+    number = F.when(blank(c), F.raise_error(F.lit(f"a blank cell in {column}")).cast("double")).otherwise(exact_number(c))
+    return rows.withColumn("__v", number).agg(F.coalesce(exact_sum(F.col("__v"), T.DoubleType()), F.lit(0.0)).alias("total"))
+
+
+def row_total(df: DataFrame, columns: Sequence[str], where: Column) -> float:
+    """The sum of several columns of the one row that the condition picks."""
+    found = df.where(where).select(*[F.when(blank(F.col(f"`{c}`")), F.raise_error(F.lit(f"a blank cell in {c}")).cast("double")).otherwise(exact_number(F.col(f"`{c}`"))).cast("decimal(38,12)").alias(c) for c in columns]).limit(2).collect()
+    if len(found) != 1:
+        raise QueryValidationError(f"{'no row' if not found else 'more than one row'} for the sum of {list(columns)}")
+    return float(sum(found[0]))
+
+
+def row_totals(df: DataFrame, columns: Sequence[str], name: str = "row_sum") -> DataFrame:
+    """Every row with the exact sum of several columns; a row with a blank or a text stops the job."""
+    parts = [F.when(blank(F.col(f"`{c}`")), F.raise_error(F.lit(f"a blank cell in {c}")).cast("double")).otherwise(exact_number(F.col(f"`{c}`"))).cast("decimal(28,12)") for c in columns]
+    return df.withColumn(name, reduce(lambda a, b: a + b, parts).cast("double"))
+
+
+def attach(df: DataFrame, other: DataFrame, left_key: Column, right_key: Column, columns: Sequence[str], rows_agree: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``columns`` of the other table, rows that met no key). The other table's key must be unique; with ``rows_agree``
+    it may repeat as long as its rows hold the same values. A key that does not stops the job, since nobody may choose a row."""
+    held = other.select(right_key.alias("__key"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__held")).where("__key is not null")
+    one = held.groupBy("__key").agg(F.count(F.lit(1)).alias("__n"), F.min("__held").alias("__least"), F.max("__held").alias("__most"))
+    differ = ~F.col("__least").eqNullSafe(F.col("__most"))
+    fault = differ if rows_agree else F.col("__n") > 1
+    refused = F.raise_error(F.concat(F.lit("join key is not unique: "), F.col("__key").cast("string"))).cast("boolean")
+    one = one.select("__key", F.when(fault, refused).otherwise(True).alias("__found"), F.col("__least").alias("__held"))
+    met = df.withColumn("__key", left_key).join(one, "__key", "left")
+    plain = [F.col(f"`{c}`") for c in df.columns]
+    return met.where("__found").select(*plain, *[F.col(f"__held.`{c}`").alias(c) for c in columns]), met.where("__found is null").select(*plain)
+
+
+def mapped(c: Column, table: Mapping[str, object]) -> Column:
+    """A declared lookup of an answer's text; one that is not listed stops the job."""
+    text = F.trim(c.cast("string"))
+    out = None
+    for k, v in table.items():
+        out = F.when(text == k, F.lit(v)) if out is None else out.when(text == k, F.lit(v))
+    kind = "string" if any(isinstance(v, str) for v in table.values()) else "double"
+    return out.otherwise(F.raise_error(F.concat(F.lit("no mapping for "), F.coalesce(text, F.lit("null")))).cast(kind))
+
+
+def bundle(parts: Mapping[str, DataFrame]) -> DataFrame:
+    """One row with a column per named answer; every part is one row of one column."""
+    out = None
+    for name, part in parts.items():
+        one = part.toDF(name)
+        out = one if out is None else out.join(one, how="cross")  # one row each
+    return out
+
+
+ABSTAIN = "ABSTAIN"
+
+
+def abstain(evidence: Sequence[tuple[DataFrame, object]]) -> str:
+    """The answer that says that the data do not decide; what it rests on is checked and not asserted."""
+    for found, expected in evidence:
+        got = found.first()
+        if got is None or got[0] != expected:
+            raise QueryValidationError(f"the evidence for an abstention no longer holds: {None if got is None else got[0]!r}, expected {expected!r}")
+    return ABSTAIN
+
+
+def raw_cell(sheet: DataFrame, row: int, letter: str) -> object:
+    """A cell of an unparsed sheet (``row`` and one column per letter)."""
+    return cell(sheet, F.col("row") == row, letter)
+
+
+def raw_range(sheet: DataFrame, letter: str, first: int, last: int, regex: str | None = None) -> DataFrame:
+    """Distinct non-empty values of a column of an unparsed sheet between two rows, those alone that match the whole pattern."""
+    c = F.col(f"`{letter}`").cast("string")
+    keep = F.col("row").between(first, last) & c.isNotNull() & (c != "")
+    if regex:
+        keep = keep & c.rlike(f"^(?:{regex})$")
+    return sheet.where(keep).select(c.alias("value")).distinct()
+
+
 def values(df: DataFrame, column: str) -> DataFrame:
     """Distinct values that are not blank, as text."""
     return df.where(~blank(F.col(column))).select(F.trim(F.col(column).cast("string")).alias("value")).distinct()
@@ -77,12 +160,16 @@ def group_count(df: DataFrame, by: Sequence[str], column: str | None = None) ->
     return rows.groupBy(*by).agg(n.alias("n"))
 
 
-def group_stats(df: DataFrame, unit: str, by: str, value: str, reduce: str = "mean", scale: int = 6) -> DataFrame:
-    """n, mean, sd and sem of units per group; each unit is reduced to one number first and must stay in one group."""
-    exact = F.col(value).cast(f"decimal(38,{scale})")
+def group_stats(df: DataFrame, unit: str, by: str, value: str, reduce: str = "mean", scale: int = 6, lookup: tuple[DataFrame, str, str, Sequence[str]] | None = None) -> DataFrame:
+    """n, mean, sd and sem of units per group; each unit is reduced to one number first and must stay in one group. ``lookup`` is
+    (table, left key, right key, columns): those columns are attached first, and rows without a match drop out."""
+    if lookup:
+        other, left_key, right_key, columns = lookup
+        df, _ = attach(df, other, F.col(left_key), F.col(right_key), columns)
+    total = exact_sum(F.col(value), df.schema[value].dataType, scale)
     if reduce not in ("single", "sum", "mean"):
         raise QueryValidationError(f"reduce is single, sum or mean; got {reduce!r}")
-    v = {"sum": F.sum(exact).cast("double"), "mean": F.sum(exact).cast("double") / F.count(value), "single": F.max(value).cast("double")}[reduce]
+    v = {"sum": total, "mean": total / F.count(value), "single": F.max(value).cast("double")}[reduce]
     units = df.where(F.col(unit).isNotNull() & F.col(by).isNotNull()).groupBy(unit).agg(v.alias("v"), F.min(by).alias("g0"), F.max(by).alias("g1"), F.count(value).alias("k"))
     fault = F.when(F.col("g0") != F.col("g1"), F.raise_error(F.lit("a unit lies in two groups")).cast("double"))
     if reduce == "single":
@@ -137,6 +224,52 @@ def template(parts: Sequence[str | Column]) -> Column:
     return F.when(~lack, F.concat(*[F.lit(p) if isinstance(p, str) else F.trim(p.cast("string")) for p in parts]))
 
 
+def _text(c: Column) -> Column:
+    return F.lower(F.regexp_replace(F.trim(c.cast("string")), r"\s+", " "))
+
+
+def _set(c: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.transform(F.from_json(c, "array<string>"), _text)))
+
+
+def right(rule: Column, expected: Column, given: Column, absolute: Column, relative: Column | None = None) -> Column:
+    """Whether a given answer is right by its question's rule: number, integer, boolean, set, table or object, else exact text.
+
+    Numbers may differ by ``absolute`` or ``relative`` of what is expected; sets are JSON lists; tables and objects are JSON texts
+    compared as maps from field to text (a table's rows are a list of such maps)."""
+    x, y = F.trim(expected.cast("string")).try_cast("double"), F.trim(given.cast("string")).try_cast("double")
+    numbers = x.isNotNull() & y.isNotNull()
+    limit = absolute if relative is None else F.greatest(absolute, F.abs(x) * relative)
+    said = F.when(_text(given).isin("true", "yes"), True).when(_text(given).isin("false", "no"), False)
+    pairs = lambda c: F.array_sort(F.transform(F.map_entries(F.from_json(c, "map<string,string>")), lambda e: F.concat_ws("=", e["key"], _text(e["value"]))))
+    rows = lambda c: F.array_sort(F.transform(F.from_json(c, "array<map<string,string>>"), lambda m: F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], _text(e["value"])))), "|")))
+    test = F.when(rule == "number", numbers & (F.abs(x - y) <= limit + 1e-12)).when(rule == "integer", numbers & (x == y)).when(rule == "boolean", said == (_text(expected) == "true"))
+    test = test.when(rule == "set", _set(expected) == _set(given)).when(rule == "object", pairs(expected) == pairs(given)).when(rule == "table", rows(expected) == rows(given))
+    return F.coalesce(test.otherwise(F.when(numbers, x == y).otherwise(_text(expected) == _text(given))), F.lit(False))
+
+
+# The outcomes of a scored answer and what each is worth.
+POINTS = {"correct": 1, "correct_abstention": 1, "incorrect": 0, "over_abstention": 0, "missing": 0, "confident_on_unanswerable": -1}
+
+
+def outcomes(expected: DataFrame, answers: DataFrame, key: str) -> DataFrame:
+    """(key, kind, outcome) over expected (key, kind, rule, expected, tolerance) and answers (key, answer); an expected or given
+    answer abstains by ``ABSTAIN``."""
+    both = expected.join(answers.select(key, F.col("answer").cast("string").alias("given")), key, "left")
+    should, did = F.col("expected") == ABSTAIN, F.upper(F.trim("given")) == ABSTAIN
+    ok = right(F.col("rule"), F.col("expected"), F.col("given"), F.coalesce("tolerance", F.lit(0.0)))
+    state = F.when(F.col("given").isNull(), "missing").when(should & did, "correct_abstention").when(should, "confident_on_unanswerable").when(did, "over_abstention").when(ok, "correct").otherwise("incorrect")
+    return both.select(key, "kind", state.alias("outcome"))
+
+
+def points(judged: DataFrame) -> DataFrame:
+    """(kind, asked, points)."""
+    worth = F.lit(0)
+    for outcome, n in POINTS.items():
+        worth = F.when(F.col("outcome") == outcome, n).otherwise(worth)
+    return judged.groupBy("kind").agg(F.count(F.lit(1)).alias("asked"), F.sum(worth).cast("long").alias("points"))
+
+
 def score(expected: DataFrame, answers: DataFrame, key: str, kind: str, tolerance: float = 1e-6) -> DataFrame:
     """Per kind of question: asked, answered, right. Numbers compare within the tolerance, anything else as lower-case text."""
     a = answers.select(key, F.col("answer").cast("string").alias("given"))

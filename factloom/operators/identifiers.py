@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..types import strip
 
@@ -51,11 +50,12 @@ def validate(values: DataFrame, column: str) -> DataFrame:
     return values.select(v.alias("value"), named.alias("schemes"), valid.alias("valid"))
 
 
-def resolve(found: DataFrame, value: str) -> DataFrame:
-    """Where an identifier occurs, in any case."""
-    return found.where(F.lower("value") == value.strip().lower())
-
-
-def first_lines(hits: DataFrame, key: str) -> DataFrame:
-    order = Window.partitionBy(key).orderBy("line", "scheme", "value")
-    return hits.withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
+def resolve(found: DataFrame, value: str, crosswalk: DataFrame | None = None) -> DataFrame:
+    """(where, kind, value): where an identifier occurs, in any case, and the crosswalk's canonical id or forms that are exactly it."""
+    asked = value.strip()
+    out = found.where(F.lower("value") == asked.lower()).select(F.col("source").cast("string").alias("where"), F.lit("occurrence").alias("kind"), "value")
+    if crosswalk is not None:
+        form = crosswalk.where(F.col("form") == asked).select(F.col("canonical_id").alias("where"), F.lit("form").alias("kind"), F.col("form").alias("value"))
+        own = crosswalk.where(F.col("canonical_id") == asked).select(F.col("form").alias("where"), F.lit("canonical").alias("kind"), F.col("canonical_id").alias("value"))
+        out = out.unionByName(form).unionByName(own)
+    return out

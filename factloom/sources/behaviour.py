@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import intervals as pairing
+
 SHAPE = (
     "behaviors_conf map<string,struct<code:string,type:string,category:string>>, "
     "observations map<string,struct<type:string,date:string,file:map<string,array<string>>,media_info:struct<length:map<string,double>>,events:array<array<string>>>>"
@@ -22,7 +24,7 @@ def ethogram(p: DataFrame) -> DataFrame:
 
 
 def events(p: DataFrame) -> DataFrame:
-    """(file, observation_id, event_index, time, subject, behavior, modifiers): one row per event in file order."""
+    """(file, observation_id, event_index, time, subject, behavior, modifiers): one row per event; the index counts in file order."""
     per = p.select("file", F.explode("project.observations").alias("observation_id", "o"))
     rows = per.select("file", "observation_id", F.posexplode("o.events").alias("event_index", "e"))
     cell = lambda i: F.get("e", F.lit(i))
@@ -40,6 +42,15 @@ def observations(p: DataFrame) -> DataFrame:
 
 
 def well_formed(p: DataFrame) -> DataFrame:
-    """(file, sound): whether every event has a time, a subject and a behaviour; a file with others is not profiled at all."""
-    e = events(p)
-    return e.groupBy("file").agg(F.bool_and(F.col("time").isNotNull() & F.col("behavior").isNotNull()).alias("sound"))
+    """(file, sound): whether the project could be read at all and every event has a time, a subject and a behaviour."""
+    e = events(p).withColumn("ok", F.col("time").isNotNull() & F.col("subject").isNotNull() & F.col("behavior").isNotNull())
+    seen = e.groupBy("file").agg(F.bool_and("ok").alias("ok"))
+    return p.join(seen, "file", "left").select("file", (F.col("project").isNotNull() & F.col("project.observations").isNotNull() & F.coalesce("ok", F.lit(True))).alias("sound"))
+
+
+def intervals(p: DataFrame) -> DataFrame:
+    """(file, observation_id, subject, behavior, modifiers, start, stop, …): events paired per observation, subject, behaviour and
+    modifiers; a code whose definitions contradict each other is untyped."""
+    kinds = pairing.ethogram(ethogram(p).select(F.col("code"), "type", "category")).select(F.col("code").alias("behavior"), "type", "category")
+    typed = events(p).join(kinds, "behavior", "left")  # an ethogram holds the codes of one project
+    return pairing.pair(typed, ["file", "observation_id", "subject", "behavior", "modifiers"])

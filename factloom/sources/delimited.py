@@ -13,13 +13,19 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from . import layout
 
 HEAD_BYTES = 1 << 16
 
 
+def marked(path: str) -> bool:
+    """Whether a file begins with a byte-order mark, which readers strip and a profile reports."""
+    with open(path, "rb") as f:
+        return f.read(3) == b"\xef\xbb\xbf"
+
+
 def head(path: str) -> str:
     with open(path, encoding="utf-8-sig", newline="") as f:
         return f.read(HEAD_BYTES)
@@ -56,6 +62,9 @@ class DelimitedReader(DataSourceReader):
         return [DelimitedPartition(p) for p in self.paths]
 
     def read(self, partition: DelimitedPartition) -> Iterator[tuple]:
+        if self.options.get("records") == "true":
+            yield from self.records(partition.path)
+            return
         d, header = settled(partition.path, self.options)
         last = int(self.options.get("lastrow", 0))
         with open(partition.path, encoding="utf-8-sig", newline="") as f:
@@ -69,6 +78,17 @@ class DelimitedReader(DataSourceReader):
                 yield (partition.path, reader.line_num, *kept, *[None] * (self.width - len(kept)))
 
 
+    def records(self, path: str) -> Iterator[tuple]:
+        """Every record as it stands: file, last and first line, cells."""
+        d = self.options.get("delimiter") or layout.delimiter(path, head(path)) or ","
+        with open(path, encoding="utf-8-sig", newline="") as f:
+            reader = csv.reader(f, delimiter=d)
+            last = 0
+            for cells in reader:
+                yield (path, reader.line_num, last + 1, cells)
+                last = reader.line_num
+
+
 class Delimited(DataSource):
     """spark.read.format("factloom_delimited").load(path or glob); every column is text, beside ``_file`` and ``_source_row``."""
 
@@ -84,6 +104,8 @@ class Delimited(DataSource):
         return found
 
     def schema(self) -> StructType:
+        if self.options.get("records") == "true":
+            return StructType([StructField("_file", StringType()), StructField("row", LongType()), StructField("starts", LongType()), StructField("cells", ArrayType(StringType()))])
         _, header = settled(self._paths()[0], dict(self.options))
         return StructType([StructField("_file", StringType()), StructField("_source_row", LongType()), *[StructField(n, StringType()) for n in header.labels]])
 

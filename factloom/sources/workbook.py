@@ -83,11 +83,8 @@ def column_index(letters: str) -> int:
 
 
 def read_sheet(spark: SparkSession, path: str, sheet: str) -> DataFrame:
-    """A worksheet as text columns beside ``_source_row``, its header found by the same rule as in delimited files. A workbook
-    is one zip file, so one reader parses it; its rows are bounded by the format (1 048 576 a sheet)."""
-    rows = list(Workbook(path).rows(sheet))
-    header = layout.find_header([(n, [c or "" for c in cells]) for n, cells in rows[:60]])
-    width = max([len(header.labels), *(len(c) for _, c in rows)])
-    labels = layout.names([*header.labels, *[""] * (width - len(header.labels))], letters=True)
-    data = [(n, *c, *[None] * (width - len(c))) for n, c in rows if n > (header.row or 0)]
-    return spark.createDataFrame(data, "_source_row long, " + ", ".join(f"`{n}` string" for n in labels))
+    """A worksheet as text columns beside ``_source_row``, its header found by the same rule as in delimited files. An executor
+    parses it as a stream."""
+    from . import blocks
+
+    return blocks.table(blocks.sheet_records(spark, path, sheet), letters=True, blank_rows=True).df

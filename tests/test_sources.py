@@ -81,9 +81,9 @@ def test_identifiers(spark):
 
 
 def test_ledger(spark):
-    item = {"check": "column.dtype", "result": "integer", "source": "t#a"}
+    item = {"check": "table.column-dtype", "result": "integer", "source": "t#a"}
     df = evidence.ledger(spark, [("c", "t", [item]), ("c", "t", [item]), ("d", "u", [item])])
-    assert df.count() == 2 and evidence.query(df, subject="t", check="column.dtype", contains="C").count() == 1
+    assert df.count() == 2 and evidence.query(df, subject="t", check="table.column-dtype", contains="C").count() == 1
     for bad in ([("c", "t", [])], [("c", "t", [{"check": "none"}])]):
         with pytest.raises(QueryValidationError):
             evidence.record(bad)
