@@ -9,7 +9,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import QueryValidationError
+from ..errors import QueryLookupError, QueryValidationError
 from ..session import written
 
 MOST_TERMS = 50
@@ -50,6 +50,7 @@ class Field:
     exclude_terms: Sequence[str] = ()
     exclude_branches: Sequence[str] = ()
     allow_deprecated: bool = False
+    datatype: str | None = None
 
 
 def scope(terms: DataFrame, ancestors: DataFrame, field: Field) -> DataFrame:
@@ -127,6 +128,79 @@ def validate_mapping(mapping: Sequence[Mapping], fields: Mapping[str, Field], ve
     return out
 
 
+# The forms of the XSD types that literals may have.
+LITERALS = {"integer": r"^[+-]?\d+$", "decimal": r"^[+-]?(\d+(\.\d*)?|\.\d+)$", "boolean": r"^(true|false|1|0)$", "date": r"^-?\d{4}-\d{2}-\d{2}$", "string": r"(?s)^.*$"}
+
+
+def constraints(fields: Mapping[str, Field], name: str | None = None) -> list[dict[str, object]]:
+    """What each field, or the one named, admits."""
+    if name is not None and name not in fields:
+        raise QueryLookupError(f"unknown field {name!r}; available: {sorted(fields)}")
+    return [{"field": k, "value_type": "literal" if f.datatype else "term"} | dataclasses.asdict(f) for k, f in sorted(fields.items()) if name in (None, k)]
+
+
+def term_context(terms: DataFrame, edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """(iri, label, parents, children) of the terms asked for (column iri); an unknown one has a null label. Lists are as long as
+    the term's own edges."""
+    up = edges.join(asked.select(F.col("iri").alias("node")), "node", "left_semi").groupBy("node").agg(F.array_sort(F.collect_set("parent")).alias("parents"))
+    down = edges.join(asked.select(F.col("iri").alias("parent")), "parent", "left_semi").groupBy("parent").agg(F.array_sort(F.collect_set("node")).alias("children"))
+    none = F.array().cast("array<string>")
+    out = asked.select("iri").distinct().join(terms.select("iri", "label"), "iri", "left").join(up.withColumnRenamed("node", "iri"), "iri", "left").join(down.withColumnRenamed("parent", "iri"), "iri", "left")
+    return out.select("iri", "label", F.coalesce("parents", none).alias("parents"), F.coalesce("children", none).alias("children"))
+
+
+def literal_fits(datatype: Column, value: Column) -> Column:
+    """Whether a text is a literal of the XSD type; dates must exist."""
+    out = F.lit(False)
+    for kind, form in LITERALS.items():
+        fits = value.rlike(form)
+        out = F.when(datatype == kind, fits & F.try_to_date(value, "yyyy-MM-dd").isNotNull() if kind == "date" else fits).otherwise(out)
+    return F.coalesce(out, F.lit(False))
+
+
+def validate(rows: DataFrame, fields: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(id, codes): what is wrong with each decision (id, field, decision, values, reason), none if it is sound.
+
+    ``fields`` is (field, datatype); a datatype makes the field literal. ``verdicts`` is (field, iri, verdict) as ``scope`` gives it;
+    an iri without one is unknown. Both meet the decisions in joins by key, so a mapping may have any number of rows.
+    """
+    known = rows.join(fields.select("field", F.col("datatype"), F.lit(True).alias("known")), "field", "left")
+    empty = F.array().cast("array<string>")
+    held = known.withColumn("values", F.coalesce("values", empty))
+    one = held.select("id", "field", "datatype", F.explode("values").alias("value")).join(verdicts.withColumnRenamed("iri", "value"), ["field", "value"], "left")
+    literal = F.col("datatype").isNotNull()
+    url = F.col("value").contains("://")
+    code = F.when(F.col("value").isNull(), "null_value").when(literal & ~literal_fits(F.col("datatype"), F.col("value")), "datatype_mismatch").when(literal, None)
+    code = code.when(~url & F.col("value").rlike(r"^[+-]?[0-9.]+$"), "literal_not_allowed").when(~url, "label_not_iri").when(F.coalesce("verdict", F.lit("unknown_iri")) != "admissible", F.coalesce("verdict", F.lit("unknown_iri")))
+    per_value = one.groupBy("id").agg(F.array_sort(F.collect_set(code)).alias("value_codes"))
+    out = held.join(per_value, "id", "left")
+    bad = F.col("field").isNull() | F.col("decision").isNull()
+    mapped, abstain = F.col("decision") == "mapped", F.col("decision") == "abstain"
+    part = lambda test, name: F.when(test, F.array(F.lit(name))).otherwise(empty)
+    told = F.when(bad, F.array(F.lit("malformed"))).when(F.col("known").isNull(), F.array(F.lit("unknown_field"))).when(~(mapped | abstain), F.array(F.lit("unknown_decision")))
+    told = told.when(abstain, F.concat(part(F.size("values") > 0, "value_with_abstention"), part(F.coalesce(F.trim("reason"), F.lit("")) == "", "missing_reason")))
+    told = told.otherwise(F.concat(part(F.size("values") != 1, "cardinality_violation"), F.coalesce("value_codes", empty)))
+    return out.select("id", told.alias("codes"))
+
+
+def faithful(record: DataFrame, source: DataFrame) -> DataFrame:
+    """(field, value, fault): entries of a semantic record whose value the source does not hold in that field; such a record is
+    rejected as a whole."""
+    return record.join(source.select("field", "value").distinct(), ["field", "value"], "left_anti").select("field", "value", F.lit("not_in_source").alias("fault"))
+
+
+def compile_terms(documents: DataFrame, column: str = "value") -> DataFrame:
+    """Terms (iri, ontology, kind, label, synonyms, definition, parents, deprecated) from JSON documents, each a list of terms.
+    A term without iri or label, or an iri that two terms claim, stops the job."""
+    shape = "array<struct<iri:string,ontology:string,kind:string,label:string,synonyms:array<string>,definition:string,parents:array<string>,deprecated:boolean>>"
+    terms = documents.select(F.explode(F.from_json(column, shape)).alias("t")).select("t.*")
+    lacking = F.when(F.coalesce(F.trim("iri"), F.lit("")) == "", F.raise_error(F.lit("a term has no iri")).cast("string")).when(F.coalesce(F.trim("label"), F.lit("")) == "", F.raise_error(F.concat(F.lit("no label: "), F.col("iri"))).cast("string"))
+    terms = terms.withColumn("iri", F.coalesce(lacking, F.col("iri")))
+    claims = terms.groupBy("iri").agg(F.count(F.lit(1)).alias("n"), F.first(F.struct(*[c for c in terms.columns if c != "iri"])).alias("t"))
+    twice = F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("two terms claim "), F.col("iri"))).cast("string"))
+    return claims.select(F.coalesce(twice, F.col("iri")).alias("iri"), "t.*").withColumn("kind", F.coalesce("kind", F.lit("class"))).withColumn("deprecated", F.coalesce("deprecated", F.lit(False)))
+
+
 def exact_matches(values: DataFrame, terms: DataFrame) -> DataFrame:
     """(value, status, iri): a raw value maps where exactly one term has it as label or synonym, in any case."""
     names = terms.select("iri", F.explode(F.array_distinct(F.array_append(F.coalesce("synonyms", F.array().cast("array<string>")), F.col("label")))).alias("name")).select("iri", F.lower(F.trim("name")).alias("name")).distinct()

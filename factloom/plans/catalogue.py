@@ -174,7 +174,7 @@ def unit_two_stage(spark: SparkSession, sf: str) -> DataFrame:
     metrics = [{"op": "mean", "column": "quantity", "name": "mean_quantity"}, {"op": "sd", "column": "quantity", "name": "sd_quantity"}, {"op": "sem", "column": "quantity", "name": "sem_quantity"}]
     got = joins.aggregate_join(
         lineitem(spark, sf), Table("orders", read(spark, sf, "orders")), ["l_orderkey"], ["o_orderkey"], metrics, group_by=["right.o_orderpriority"], unit=["left.l_orderkey"],
-        unit_metrics=[{"op": "sum", "column": "left.l_quantity", "name": "quantity"}], guard=False, reasons=False,
+        unit_metrics=[{"op": "sum", "column": "left.l_quantity", "name": "quantity"}], reasons=False,
     )
     out = got.groups.withColumnRenamed("right.o_orderpriority", "priority").select("priority", "n_units", "n_rows", "mean_quantity", "sd_quantity", "sem_quantity")
     return _rounded(out, "mean_quantity", "sd_quantity", "sem_quantity")
@@ -241,9 +241,7 @@ def provenance_by_group(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(UNIT_SQL + f" select (select count(*) from {BAND_SQL}) as entered, cast(sum(n_rows) as bigint) as used, cast((select count(*) from {BAND_SQL}) - sum(n_rows) as bigint) as dropped from u")
 def provenance_dropped(spark: SparkSession, sf: str) -> DataFrame:
-    used = _by_user(spark, sf).groups.agg(F.sum("n_rows").alias("used"))
-    entered = read(spark, sf, "events").agg(F.count(F.lit(1)).alias("entered"))
-    return entered.join(used, how="cross").select("entered", "used", (F.col("entered") - F.col("used")).alias("dropped"))
+    return provenance.dropped(read(spark, sf, "events"), _by_user(spark, sf).groups)
 
 
 # Joins.
@@ -320,7 +318,7 @@ def _formed(spark: SparkSession, sf: str) -> tuple[Table, Table]:
 
 @query("select c_custkey, o_orderkey, 'id' || c_custkey as canonical_id from customer join orders on c_custkey = o_custkey where c_custkey % 3 <> 0")
 def join_crosswalk(spark: SparkSession, sf: str) -> DataFrame:
-    out = joins.resolved_join(*_formed(spark, sf), ["form"], ["form"], crosswalk=_crosswalk(spark, sf), check=False)
+    out = joins.resolved_join(*_formed(spark, sf), ["form"], ["form"], crosswalk=_crosswalk(spark, sf))
     return out.select(F.col("`left.c_custkey`").alias("c_custkey"), F.col("`right.o_orderkey`").alias("o_orderkey"), F.col("`key.canonical_id`").alias("canonical_id"))
 
 
@@ -333,7 +331,7 @@ def join_unmapped(spark: SparkSession, sf: str) -> DataFrame:
 def join_key_format(spark: SparkSession, sf: str) -> DataFrame:
     a = Table("nation", read(spark, sf, "nation"))
     b = Table("customer", read(spark, sf, "customer").join(read(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("region")), "c_nationkey"))
-    out = joins.resolved_join(a, b, ["n_regionkey", "n_nationkey"], ["region", "c_nationkey"], left_key_format="{n_regionkey}-{n_nationkey}", right_key_format="{region}-{c_nationkey}", check=False)
+    out = joins.resolved_join(a, b, ["n_regionkey", "n_nationkey"], ["region", "c_nationkey"], left_key_format="{n_regionkey}-{n_nationkey}", right_key_format="{region}-{c_nationkey}")
     return out.select(F.col("`left.n_nationkey`").alias("n_nationkey"), F.col("`right.c_custkey`").alias("c_custkey"))
 
 
@@ -439,12 +437,12 @@ def profile_columns(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(CELLS_SQL + " select name, dtype from p")
 def profile_dtype(spark: SparkSession, sf: str) -> DataFrame:
-    return profile.profile(_profiled(spark, sf)).select("name", "dtype")
+    return profile.facts(_profiled(spark, sf)).select("name", "dtype")
 
 
 @query(CELLS_SQL + " select name, missing_empty + missing_sentinel as missing, missing_empty, missing_sentinel, ambiguous from p")
 def profile_missing_split(spark: SparkSession, sf: str) -> DataFrame:
-    return profile.profile(_profiled(spark, sf)).select("name", "missing", "missing_empty", "missing_sentinel", "ambiguous")
+    return profile.facts(_profiled(spark, sf)).select("name", "missing", "missing_empty", "missing_sentinel", "ambiguous")
 
 
 @query(CELLS_SQL + " select k.name, v as value, count(*) as n from k join p using (name) where kind in ('value', 'ambiguous') and n_distinct <= 25 group by 1, 2")

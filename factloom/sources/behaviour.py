@@ -15,8 +15,12 @@ SHAPE = (
 
 def projects(spark: SparkSession, path: str) -> DataFrame:
     """(file, project): one row a file, parsed once."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", SHAPE).alias("project"))
-    return raw
+    return parsed(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value"))
+
+
+def parsed(texts: DataFrame) -> DataFrame:
+    """(file, project) from rows (file, value)."""
+    return texts.select("file", F.from_json("value", SHAPE).alias("project"))
 
 
 def ethogram(p: DataFrame) -> DataFrame:

@@ -6,6 +6,10 @@ import json
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 # File names of metadata conventions, and markers of standards in a document's @context.
 NAMES = (
     (r"ro-crate-metadata\.(jsonl?d?|json)", "ro-crate"), (r"datapackage\.json", "frictionless"), (r"dataset_description\.json", "bids"), (r"participants\.(tsv|json)", "bids"), (r"[isa]_.*\.txt", "isa-tab"),
@@ -46,6 +50,39 @@ def shape(raw: bytes) -> dict[str, object]:
     return {"root": type(document).__name__, "keys": [], "items": None, "depth": 1, "error": None}
 
 
+def shapes(docs: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, root, keys, items, depth, error) of each JSON text, in one Arrow pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shape((t or "").encode()) for t in batch.column(1).to_pylist()]
+            kinds = {"root": pa.string(), "keys": pa.list_(pa.string()), "items": pa.int64(), "depth": pa.int32(), "error": pa.string()}
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([f[k] for f in found], t) for k, t in kinds.items()]], names=[key, *kinds])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, F.col(column).cast("string").alias("text")).mapInArrow(run, f"`{key}` {kind}, root string, keys array<string>, items long, depth int, error string")
+
+
+def name_column(path: Column) -> Column:
+    """``by_name`` as an expression."""
+    name = F.lower(F.element_at(F.split(path, "/"), -1))
+    out = None
+    for rx, convention in NAMES:
+        out = F.when(name.rlike(f"^(?:{rx})$"), convention) if out is None else out.when(name.rlike(f"^(?:{rx})$"), convention)
+    return out
+
+
+def content_standards(docs: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, standard): the standard that each JSON text itself declares, or null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [by_content(parsed((t or "").encode())[0]) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=[key, "standard"])
+
+    return docs.select(key, F.col(column).cast("string").alias("text")).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, standard string")
+
+
 def by_name(path: str) -> str | None:
     """The metadata convention that a file's name follows."""
     name = path.rsplit("/", 1)[-1].lower()
