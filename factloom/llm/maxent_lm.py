@@ -1,9 +1,11 @@
-"""Language-model scoring with a hashed maximum-entropy model over word classes.
+"""Language-model scoring with a hashed maximum-entropy model, its softmax factored by classes.
 
-The probability of a token is that of its class given the words before it, times that of the token within its class. The
-class part is a softmax over hashed features (the word before, the word before that as a skip, and both together) and a
-bias; the token part has the closed-form maximum-entropy solution for a bias per token, its add-one count. An unseen token
-takes the one spare count of its class, so the model is a proper distribution over the vocabulary and one unseen type.
+The probability of a token is that of its class given the words before it, times that of its place in the class given the
+class and the words before it: two softmaxes over hashed features (the word before, the word before that as a skip, and both
+together) and a bias, the second with features of its own for every class. The ``OWN`` most frequent words and the end token
+have a place of their own, so for most tokens the softmax runs down to the token. Rarer words share the places of the last
+classes by their endings; which of them it is has the closed-form solution for a bias per token, its add-one count. An unseen
+token takes the one spare count of its place, so the model is a proper distribution over the vocabulary and one unseen type.
 
 Counts cover all training documents: tasks combine words before the shuffle. The feature weights are trained by rounds of
 distributed gradient updates: every task of a round runs AdaGrad over its documents from the current weights, sends its
@@ -11,12 +13,12 @@ change in blocks, and the changes are averaged by tokens seen. Rounds split the
 they cover all of them once. Scoring runs in sparse numpy batches.
 
 Scale: the ``TOP`` most frequent words (a fixed bound) and the end token are broadcast with their counts and answer most
-tokens in place; only rarer words are joined by key, and none of those is hot. Weights are a fixed table. Nothing per
+tokens in place; only rarer words are joined by key, and none of those is hot. Weights are two fixed tables. Nothing per
 document reaches the driver.
 
 Defined cases: null text is empty, and an empty text is one end token; a null id counts as the empty text for the fold;
-repeated rows count and score as often as they occur; with no training document every count is zero and classes are
-uniform; extra columns are ignored. Words are the runs between ASCII white space, A-Z lower-cased; the end token is kept
+repeated rows count and score as often as they occur; with no training document every count is zero and places are
+uniform; an empty table gives no rows; extra columns are ignored. Words are the runs between ASCII white space, A-Z lower-cased; the end token is kept
 as the empty word.
 """
 
@@ -37,9 +39,11 @@ from .shingles import words_of
 
 FOLDS, HELD = 7, 2
 TOP = 1 << 17
-#: Classes: the end token, the most frequent words one each, and the rest by the hash of a word's last two bytes.
-OWN, SUFFIXES = 12, 19
-CLASSES = 1 + OWN + SUFFIXES
+#: Classes, and places in each. The first places are the end token's and the most frequent words', one each in order of
+#: frequency; words without one share the last places by the hash of their last two bytes.
+CLASSES = WIDTH = 16
+SUFFIXES = 64
+OWN = CLASSES * WIDTH - SUFFIXES - 1
 BUCKETS = 1 << 15
 ROUNDS, RATE, BATCH = 2, 0.15, 16384
 #: Equal features of a batch that are added together.
@@ -73,21 +77,17 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def suffix_class(word: bytes) -> int:
+def suffix_place(word: bytes) -> int:
     return 1 + OWN + zlib.crc32(word[-2:]) % SUFFIXES
 
 
-def class_column(word: Column, own: list[bytes]) -> Column:
-    """The same classes as an expression: own classes of frequent words, else the suffix's."""
-    tail = F.when(F.octet_length(word) >= 2, F.substring(word, -2, 2)).otherwise(word)
-    out = F.when(F.octet_length(word) == 0, F.lit(0))
-    for i, w in enumerate(own):
-        out = out.when(word == F.lit(w), F.lit(1 + i))
-    return out.otherwise(F.crc32(tail) % SUFFIXES + 1 + OWN)
+def suffix_column(word: Column) -> Column:
+    """``suffix_place`` as an expression."""
+    return F.crc32(F.when(F.octet_length(word) >= 2, F.substring(word, -2, 2)).otherwise(word)) % SUFFIXES + 1 + OWN
 
 
 class Packed(dict):
-    """Maps a word to one number: its hash, class and rank among the frequent words."""
+    """Maps a word to one number: its hash, place and rank among the frequent words."""
 
     def __init__(self, rank: dict[bytes, int], own: dict[bytes, int]) -> None:
         self.rank, self.own = rank, own
@@ -95,8 +95,8 @@ class Packed(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > CACHED_WORDS:
             self.clear()
-        cls = self.own.get(word)
-        v = self[word] = zlib.crc32(word) << 28 | (suffix_class(word) if cls is None else cls) << 20 | self.rank.get(word, RARE)
+        place = self.own.get(word)
+        v = self[word] = zlib.crc32(word) << 28 | (suffix_place(word) if place is None else place) << 20 | self.rank.get(word, RARE)
         return v
 
 
@@ -116,12 +116,12 @@ class Lexicon:
 
 
 class Tokens:
-    """Documents laid end to end: classes, ranks, features and bounds."""
+    """Documents laid end to end: places, ranks, the features of both softmaxes (rows of their weights) and bounds."""
 
     def __init__(self, flat: np.ndarray, size: np.ndarray) -> None:
         self.size = size
         self.first = np.cumsum(self.size) - self.size
-        self.cls = (flat >> 20 & 255).astype(np.int32)
+        self.place = (flat >> 20 & 255).astype(np.int64)
         self.rank = (flat & RARE).astype(np.int32)
         h = (flat >> 28).astype(np.uint64) + np.uint64(1)
         one = np.concatenate([[np.uint64(0)], h[:-1]])
@@ -130,28 +130,40 @@ class Tokens:
         two[self.first] = 0
         second = self.first[self.size > 1] + 1
         two[second] = 0
-        spread = lambda x, m: (((x * np.uint64(m)) >> np.uint64(40)) & np.uint64(BUCKETS - 1)).astype(np.uint16)
-        self.features = np.stack([spread(one + np.uint64(3), 0x9E3779B97F4A7C15), spread(two + np.uint64(5), 0xC2B2AE3D27D4EB4F), spread(one * np.uint64(31) + two + np.uint64(7), 0x165667B19E3779F9)])
+        spread = lambda x, m: (x * np.uint64(m)) >> np.uint64(32)
+        self.wide = np.stack([spread(one + np.uint64(3), 0x9E3779B97F4A7C15), spread(two + np.uint64(5), 0xC2B2AE3D27D4EB4F), spread(one * np.uint64(31) + two + np.uint64(7), 0x165667B19E3779F9)])
+
+    def level(self, depth: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Weight rows of a batch's features, the bias as the last, and what is to be told: the class, or the place in it."""
+        wide, cls = self.wide[:, k : k + BATCH], self.place[k : k + BATCH] // WIDTH
+        if depth == 0:
+            rows, bias, told = wide, np.full(len(cls), BUCKETS), cls
+        else:
+            rows, bias, told = (wide + cls.astype(np.uint64) * np.uint64(0x9E3779B1)) * np.uint64(0x85EBCA6B) >> np.uint64(13), BUCKETS + cls, self.place[k : k + BATCH] % WIDTH
+        return np.concatenate([(rows & np.uint64(BUCKETS - 1)).astype(np.int64), bias[None]]), told
+
 
+#: A table of weights for each softmax: a row a bucket, and the rows of its biases.
+SHAPES = ((BUCKETS + 1, CLASSES), (BUCKETS + CLASSES, WIDTH))
 
-def logits(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
-    """weights: BUCKETS rows and the bias as the last; features: one row each."""
-    x = weights[features[0]]
-    x += weights[features[1]]
-    x += weights[features[2]]
-    x += weights[-1]
+
+def logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    x = np.take(weights, rows[0], axis=0, mode="clip")
+    for r in rows[1:]:
+        x += np.take(weights, r, axis=0, mode="clip")
+    x -= x.max(1)[:, None]
     return x
 
 
-def log_probability(weights: np.ndarray, t: Tokens) -> np.ndarray:
-    """Natural log of the probability of each token's class."""
-    out = np.empty(len(t.cls), np.float64)
+def log_probability(weights: tuple[np.ndarray, np.ndarray], t: Tokens) -> np.ndarray:
+    """Natural log of the probability of each token's place."""
+    out = np.zeros(len(t.place), np.float64)
     for k in range(0, len(out), BATCH):
-        x = logits(weights, t.features[:, k : k + BATCH])
-        c = t.cls[k : k + BATCH]
-        x -= x.max(1)[:, None]
-        hit = x[np.arange(len(c)), c]
-        out[k : k + BATCH] = hit - np.log(np.exp(x, out=x).sum(1))
+        for depth, table in enumerate(weights):
+            rows, told = t.level(depth, k)
+            x = logits(table, rows)
+            hit = x[np.arange(len(told)), told]
+            out[k : k + BATCH] += hit - np.log(np.exp(x, out=x).sum(1))
     return out
 
 
@@ -170,28 +182,28 @@ def bucket_sums(p: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarr
     return out
 
 
-def descend(weights: np.ndarray, scale: np.ndarray, t: Tokens) -> None:
+def descend(weights: tuple[np.ndarray, ...], scale: tuple[np.ndarray, ...], t: Tokens) -> None:
     """AdaGrad over the tokens in batches; weights and scale change in place."""
-    for k in range(0, len(t.cls), BATCH):
-        f, c = t.features[:, k : k + BATCH], t.cls[k : k + BATCH]
-        p = logits(weights, f)
-        p -= p.max(1)[:, None]
-        np.exp(p, out=p)
-        p /= p.sum(1)[:, None]
-        p[np.arange(len(c)), c] -= 1
-        flat = f.ravel()
-        order = np.argsort(flat, kind="stable")  # a radix sort, as buckets take two bytes
-        flat = flat[order]
-        first = np.concatenate([[0], np.flatnonzero(flat[1:] != flat[:-1]) + 1])
-        rows = np.append(flat[first].astype(np.int64), BUCKETS)
-        g = np.concatenate([bucket_sums(p, order % len(c), first), p.sum(0)[None]])
-        total = scale[rows] + g * g
-        scale[rows] = total
-        total += 1
-        np.sqrt(total, out=total)
-        g *= RATE
-        g /= total
-        weights[rows] -= g
+    for k in range(0, len(t.place), BATCH):
+        for depth, (table, sums) in enumerate(zip(weights, scale, strict=True)):
+            rows, told = t.level(depth, k)
+            p = logits(table, rows)
+            np.exp(p, out=p)
+            p /= p.sum(1)[:, None]
+            p[np.arange(len(told)), told] -= 1
+            flat = rows.astype(np.uint16).ravel()
+            order = np.argsort(flat, kind="stable")  # a radix sort, as rows take two bytes
+            flat = flat[order]
+            first = np.concatenate([[0], np.flatnonzero(flat[1:] != flat[:-1]) + 1])
+            at = flat[first].astype(np.int64)
+            g = bucket_sums(p, order % len(told), first)
+            total = sums[at] + g * g
+            sums[at] = total
+            total += 1
+            np.sqrt(total, out=total)
+            g *= RATE
+            g /= total
+            table[at] -= g
 
 
 def frequent_words(vocabulary: DataFrame, top: int) -> list[tuple[bytes, int]]:
@@ -210,40 +222,52 @@ def frequent_words(vocabulary: DataFrame, top: int) -> list[tuple[bytes, int]]:
     return sorted(((bytes(r[0]), r[1]) for r in vocabulary.where(taken).select("word", "n").collect()), key=lambda x: (-x[1], x[0]))
 
 
-def round_of(docs: DataFrame, weights: np.ndarray, lexicon: tuple) -> np.ndarray:
-    """One round: every task trains from the weights; gives the weights moved by the mean change."""
+def round_of(docs: DataFrame, weights: tuple[np.ndarray, ...], lexicon: tuple) -> tuple[np.ndarray, ...]:
+    """One round: every task trains from the weights; gives the weights moved by the mean change.
+
+    A task sends only rows that it has changed, in blocks of rows; a block's changes are added up by one task each and weighed by
+    the tokens that the tasks have seen, and the driver receives the tables once."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast((weights, lexicon))
-    rows_a_block = -(-(BUCKETS + 1) // BLOCKS)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, words = held.value
-        lexicon, own, scale, seen = Lexicon(*words), start.copy(), np.zeros_like(start), 0
+        lexicon, own, scale, seen = Lexicon(*words), tuple(w.copy() for w in start), tuple(np.zeros_like(w) for w in start), 0
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 t = Tokens(*lexicon.packed([words_of(x.as_py()) for x in batch.column(0).slice(k, 64)]))
                 descend(own, scale, t)
-                seen += len(t.cls)
-        if seen:
-            change = (own - start).astype(np.float16)
-            parts = [change[b * rows_a_block : (b + 1) * rows_a_block].tobytes() for b in range(BLOCKS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([seen] * BLOCKS, pa.int64()), pa.array(parts, pa.binary())], names=["block", "seen", "change"])
+                seen += len(t.place)
+        if not seen:
+            return
+        out: list[list] = [[], [], [], [], []]
+        for depth, (a, b, touched) in enumerate(zip(own, start, scale, strict=True)):
+            rows = np.flatnonzero(touched.any(1)).astype(np.int32)
+            change = (a[rows] - b[rows]).astype(np.float16)
+            for block in range(BLOCKS):
+                low, high = np.searchsorted(rows, [len(a) * block // BLOCKS, len(a) * (block + 1) // BLOCKS])
+                for column, x in zip(out, (depth, block, seen, rows[low:high].tobytes(), change[low:high].tobytes()), strict=True):
+                    column.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["depth", "block", "seen", "rows", "change"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, list] = {}
+        sums: dict[tuple[int, int], list] = {}
         for batch in batches:
-            for block, seen, change in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = np.frombuffer(change, np.float16).astype(np.float64) * seen
-                s = sums.setdefault(block, [0, np.zeros(len(x))])
+            for depth, block, seen, rows, change in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                height, width = SHAPES[depth]
+                low = height * block // BLOCKS
+                s = sums.setdefault((depth, block), [0, np.zeros((height * (block + 1) // BLOCKS - low, width))])
                 s[0] += seen
-                s[1] += x
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(s[1] / s[0]).astype(np.float32).tobytes() for s in sums.values()], pa.binary())], names=["block", "change"])
-
-    changes = docs.select("text").mapInArrow(train, "block int, seen long, change binary")
-    moved = weights.copy()
-    for r in changes.repartition(BLOCKS, "block").mapInArrow(total, "block int, change binary").collect():  # the fixed table, once
-        part = np.frombuffer(r["change"], np.float32).reshape(-1, CLASSES)
-        moved[r["block"] * rows_a_block : r["block"] * rows_a_block + len(part)] += part
+                s[1][np.frombuffer(rows, np.int32) - low] += np.frombuffer(change, np.float16).reshape(-1, width).astype(np.float64) * seen
+        moved = [(d, b, (x / n).astype(np.float32).tobytes()) for (d, b), (n, x) in sums.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in moved], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["depth", "block", "change"])
+
+    changes = docs.select("text").mapInArrow(train, "depth int, block int, seen long, rows binary, change binary")
+    moved = tuple(w.copy() for w in weights)
+    for r in changes.repartition(2 * BLOCKS, "depth", "block").mapInArrow(total, "depth int, block int, change binary").collect():  # the fixed tables, once
+        part = np.frombuffer(r["change"], np.float32).reshape(-1, SHAPES[r["depth"]][1])
+        low = SHAPES[r["depth"]][0] * r["block"] // BLOCKS
+        moved[r["depth"]][low : low + len(part)] += part
     return moved
 
 
@@ -256,11 +280,20 @@ def score(docs: DataFrame, rounds: int = ROUNDS, top: int = TOP) -> DataFrame:
     total, types = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = frequent_words(vocabulary, top)
     own = [bytes(r[0]) for r in vocabulary.where(F.octet_length("word") > 0).orderBy(F.desc("n"), "word").limit(OWN).select("word").collect()]
-    mass = np.ones(CLASSES)
-    for c, n in vocabulary.groupBy(class_column(F.col("word"), own).alias("c")).agg(F.sum(F.col("n") + 1)).collect():  # one row a class
+    # What the words of a shared place come to, the spare count included; a place of one word or of the end token is certain.
+    mass = np.ones(CLASSES * WIDTH)
+    for c, n in vocabulary.where(F.octet_length("word") > 0).groupBy(suffix_column(F.col("word")).alias("c")).agg(F.sum(F.col("n") + 1)).collect():  # one row a place
         mass[c] += n
+    counts = {bytes(w): n for w, n in vocabulary.where(F.col("word").isin([bytearray(w) for w in own]) | (F.octet_length("word") == 0)).select("word", "n").collect()}
+    mass[0] = counts.get(END, 0) + 1
+    for i, w in enumerate(own):
+        mass[1 + i] = counts[w] + 1
+        mass[suffix_place(w)] -= counts[w] + 1
     lexicon = (frequent, own)
-    weights = np.zeros((BUCKETS + 1, CLASSES), np.float32)
+    weights = tuple(np.zeros(shape, np.float32) for shape in SHAPES)
+    # Biases begin at the frequencies, so the features have only to learn what the context adds.
+    by_class = mass.reshape(CLASSES, WIDTH)
+    weights[0][BUCKETS], weights[1][BUCKETS:] = np.log(by_class.sum(1) / mass.sum()), np.log(by_class / by_class.sum(1)[:, None])
     if total:
         for r in range(rounds):
             weights = round_of(train.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == r), weights, lexicon)
@@ -274,7 +307,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS, top: int = TOP) -> DataFrame:
                 b = batch.slice(k, 64)
                 split = [words_of(x.as_py()) for x in b.column(2)]
                 t = Tokens(*lexicon.packed(split))
-                model = log_probability(weights, t) / np.log(10) - log_mass[t.cls]
+                model = log_probability(weights, t) / np.log(10) - log_mass[t.place]
                 rank = np.minimum(t.rank, len(lexicon.count) - 1)
                 counts, sums = lexicon.count[rank] > 0, lexicon.log_count[rank]
                 add = lambda x, t=t: np.add.reduceat(x, t.first)

@@ -99,16 +99,43 @@ def test_language_model_counts_an_infrequent_end_token(spark, top):
 
 def test_language_model_is_a_distribution():
     rng = np.random.default_rng(1)
-    weights = rng.normal(0, 1, (maxent_lm.BUCKETS + 1, maxent_lm.CLASSES)).astype(np.float32)
+    weights = tuple(rng.normal(0, 1, shape).astype(np.float32) for shape in maxent_lm.SHAPES)
     lexicon = maxent_lm.Lexicon([(b"a", 3), (b"b", 2)], [b"a"])
     total = 0.0
-    for c in range(maxent_lm.CLASSES):
+    for c in range(maxent_lm.CLASSES * maxent_lm.WIDTH):
         t = maxent_lm.Tokens(*lexicon.packed([[b"b", b"zz", b"a"]]))
-        t.cls[:] = c
+        t.place[:] = c
         total += np.exp(maxent_lm.log_probability(weights, t))
     assert np.allclose(total, 1, atol=1e-5)
 
 
+def test_language_model_equals_brute_force(spark):
+    """The model part by plain loops from the same weights: two softmaxes, then the share of a shared place."""
+    rng = np.random.default_rng(2)
+    weights = tuple(rng.normal(0, 1, shape).astype(np.float32) for shape in maxent_lm.SHAPES)
+    lexicon = maxent_lm.Lexicon([(b"a", 3), (b"b", 2)], [b"a"])
+    docs = [[b"b", b"zz", b"a", b"a"], [], [b"a"]]
+    t = maxent_lm.Tokens(*lexicon.packed(docs))
+    got = maxent_lm.log_probability(weights, t)
+    assert t.size.tolist() == [5, 1, 2] and len(got) == 8
+    for depth in (0, 1):
+        rows, told = t.level(depth, 0)
+        for i in range(8):
+            x = sum(weights[depth][r[i]].astype(float) for r in rows)
+            got[i] -= x[told[i]] - np.log(np.exp(x).sum())
+    assert np.allclose(got, 0, atol=1e-5)
+    # Features see the two words before, and nothing across a document's start.
+    first, _ = t.level(0, 0)
+    assert (first[:, 0] == first[:, 5]).all() and (first[:, 5] == first[:, 6]).all() and not (first[:, 3] == first[:, 4]).all()
+
+
+def test_language_model_learns_context(spark):
+    """Words that follow each other for sure are told far better than by their frequency."""
+    texts = [(i, " ".join(["left right up down"] * 20)) for i in range(200)]
+    got = maxent_lm.score(spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "1 as word", "2 as n", "'x' as row")).where("held_out").collect()
+    assert got and all(r["score"] > r["base_score"] / 2 for r in got)
+
+
 def test_language_model_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert maxent_lm.score(empty).count() == 0
