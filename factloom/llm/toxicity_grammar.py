@@ -207,7 +207,8 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: f
 
 
 def accepted(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """The documents whose score stays below the threshold. Columns pass as they are, whatever their names."""
+    """The documents whose score stays below the threshold; all of them where the labels taught no term, since nothing then tells
+    documents apart. Columns pass as they are, whatever their names."""
     model = docs.sparkSession.sparkContext.broadcast(labelled.fit(labelled.sample(docs, labels, label, sample), learn))
     at = docs.columns.index("text")
 
@@ -215,6 +216,6 @@ def accepted(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold
         terms, weights = pickle.loads(model.value)
         symbols = Symbols(terms)
         for batch in batches:
-            yield batch.filter(pa.array([score_text(symbols, weights, t.as_py()) < threshold for t in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([score_text(symbols, weights, t.as_py()) < threshold for t in batch.column(at)], pa.bool_())) if terms else batch
 
     return docs.mapInArrow(run, docs.schema)

@@ -6,8 +6,8 @@ rule gives the verdict. Rules are a table, so a block list may grow: the join is
 rules only while their measured size allows it.
 
 Scale: the pages are scanned once for id and url. The number of expressions per URL is bounded by its labels times the
-distinct prefix lengths of the rules (a small set, aggregated from the rules). Hits are combined per URL before the one
-shuffle, and a hot rule needs no gathering of its URLs, since rows are keyed by page.
+distinct prefix lengths of the rules (a small set, aggregated from the rules). Only expressions meet rules in the join; hits
+and rows are combined per URL before the one shuffle that follows, so neither a hot rule nor pages without any gather in a task.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and gets the default verdict; repeated rows
 give as many result rows; an empty path fits no rule, since every rule's path begins with ``/``; an empty rule table
@@ -60,12 +60,13 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.array(*[F.when(F.length("path") >= n, F.substring(F.col("path"), 1, n)) for n in sorted(lengths)]) if lengths else F.array().cast("array<string>")
     pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(F.array_compact(prefixes), lambda p: F.concat(s, p))))
-    # The first expression stands for the row itself: it counts repeated rows and keeps rows that no rule fits.
-    rows = split.select("page_id", "host", "path", F.posexplode(F.concat(F.array(F.lit(None).cast("string")), pairs)).alias("k", "text"))
+    rows = split.select("page_id", "host", "path", F.explode(pairs).alias("text"))
     rows = rows.withColumn("digest", F.sha2("text", 256)).withColumn("short", F.substring("digest", 1, SHORT))
-    met = rows.join(_keyed(rules), "short", "left")
-    best = F.max(F.when(F.col("full") == F.col("digest"), F.struct(F.length("rule").alias("n"), F.col("rule"), F.col("rule_verdict"))))
-    per_page = met.groupBy("page_id", "host", "path").agg(F.count_if(F.col("k") == 0).alias("times"), best.alias("best"))
+    met = rows.join(_keyed(rules), "short").filter(F.col("full") == F.col("digest"))
+    hits = met.select("page_id", "host", "path", F.lit(0).alias("times"), F.struct(F.length("rule").alias("n"), F.col("rule"), F.col("rule_verdict")).alias("best"))
+    # Each row also stands for itself, outside the join: that counts repeated rows and keeps rows that no rule fits.
+    own = split.select("page_id", "host", "path", F.lit(1).alias("times"), F.lit(None).cast(hits.schema["best"].dataType).alias("best"))
+    per_page = hits.unionByName(own).groupBy("page_id", "host", "path").agg(F.sum("times").alias("times"), F.max("best").alias("best"))
     return per_page.withColumn("_", F.explode(F.expr("sequence(1L, times)"))).select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict")
     )

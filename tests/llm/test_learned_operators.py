@@ -50,6 +50,9 @@ def test_models_without_labels(spark, corpus):
     assert {r["score"] for r in quality_classifier.score(few, labels.where("false")).collect()} == {0.5}
     assert {r["score"] for r in toxicity_grammar.score(few, labels.where("false")).collect()} == {0.5}
     assert quality_classifier.score(docs.where("false"), labels).count() == 0
+    assert toxicity_grammar.score(docs.where("false"), labels).count() == 0 and toxicity_grammar.accepted(docs.where("false"), labels).count() == 0
+    more = few.selectExpr("*", "'x' as score", "1 as label", "2 as held_out")
+    assert toxicity_grammar.score(more, labels).count() == quality_classifier.score(more, labels).count() == 5 == toxicity_grammar.accepted(more, labels.where("false")).count()
 
 
 def test_grammar_scores_clauses():

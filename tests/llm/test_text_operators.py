@@ -98,6 +98,9 @@ def test_urls_equal_brute_force(spark):
     got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), url_filter.rule_table(spark)).collect()
     key = lambda x: str(x)
     assert sorted([(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in got], key=key) == sorted([(i, *judge(u)) for i, u in rows], key=key)
+    long = spark.createDataFrame([(1, "http://" + "a." * 40 + "org/" + "x/" * 20_000, "y", 2)], "page_id long, url string, rule string, times int")
+    assert [(r["rule"], len(r["path"])) for r in url_filter.judge(long, url_filter.rule_table(spark)).collect()] == [("org/", 40_001)]
+    assert url_filter.judge(long.where("false"), url_filter.rule_table(spark)).count() == 0
     none = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), url_filter.rule_table(spark).where("false"))
     assert {(r["rule"], r["verdict"]) for r in none.collect()} == {(None, "allow")} and none.count() == len(rows)
 
