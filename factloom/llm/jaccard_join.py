@@ -22,7 +22,7 @@ links leave a task as a spanning forest with counts per node.
 Defined cases: a set has the distinct shingles of a text, the whole word sequence where it has fewer words than a shingle,
 and is empty without words; empty sets link with nothing, not even each other; null text is empty; rows that repeat or
 share a text are one node and report the same component; of null ids the smallest other id is taken; extra columns are
-ignored. Nodes are 63 bits of the set's 128-bit digest.
+ignored. Nodes are half of the set's 128-bit digest, and the other half is compared (see ``sets``).
 """
 
 from __future__ import annotations
@@ -108,8 +108,11 @@ def set_of(text: str | None, n: int, known: WordHash) -> np.ndarray:
     return np.unique(shingles(hashes(words_of(text), known), n))
 
 
-def node_of(s: np.ndarray) -> int:
-    return xxhash.xxh3_128_intdigest(s.tobytes()) & ((1 << 63) - 1)
+def node_of(s: np.ndarray, shared: frozenset[int] = frozenset()) -> int:
+    """The low 63 bits of the set's digest; the high ones where different sets share the low ones."""
+    digest = xxhash.xxh3_128_intdigest(s.tobytes())
+    low = digest & ((1 << 63) - 1)
+    return digest >> 65 if low in shared else low
 
 
 def without(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -171,24 +174,36 @@ def hot_shingles(docs: DataFrame, n: int, rows: int) -> np.ndarray:
     return np.sort(np.array([r[0] for r in found.select("shingle").collect()], np.int64).view(np.uint64))
 
 
-def sets(docs: DataFrame, n: int) -> DataFrame:
-    """Written: doc_id, n_shingles, node (null for the empty set)."""
+def sets(docs: DataFrame, n: int, shared: frozenset[int] = frozenset()) -> tuple[DataFrame, frozenset[int]]:
+    """Written: doc_id, n_shingles, node (null for the empty set); and the low halves of digests that different sets share.
+
+    A node is half a digest, and every node's other half is compared: where halves meet, which some ten in 10^10 sets do, those
+    sets are named by their other half instead. Only such halves reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
         for batch in batches:
             found = [set_of(t.as_py(), n, known) for t in batch.column(1)]
-            nodes = [node_of(s) if len(s) else None for s in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array(nodes, pa.int64())], names=["doc_id", "n_shingles", "node"])
+            digests = [xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else None for s in found]
+            nodes = [node_of(s, shared) if len(s) else None for s in found]
+            rest = [d >> 65 if d is not None else None for d in digests]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array(nodes, pa.int64()), pa.array(rest, pa.int64())], names=["doc_id", "n_shingles", "node", "rest"])
 
-    return common.materialise(_texts(docs).mapInArrow(run, "doc_id long, n_shingles long, node long"), "sets")
+    rows = common.materialise(_texts(docs).mapInArrow(run, "doc_id long, n_shingles long, node long, rest long"), "sets")
+    met = rows.filter("node is not null").groupBy("node").agg(F.min("rest").alias("a"), F.max("rest").alias("b")).filter("a != b")
+    found = frozenset(r["node"] for r in met.select("node").collect())
+    if not found:
+        return rows.drop("rest"), shared
+    if shared:
+        raise ValueError("sets share both halves of their digests")
+    return sets(docs, n, found)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
 
 
-def region_edges(docs: DataFrame, n: int, similarity: Similarity, hot: np.ndarray) -> DataFrame:
+def region_edges(docs: DataFrame, n: int, similarity: Similarity, hot: np.ndarray, shared: frozenset[int] = frozenset()) -> DataFrame:
     """Written: (a, b) where b is the smallest node of a region that holds a."""
     held = docs.sparkSession.sparkContext.broadcast(hot)
 
@@ -198,7 +213,7 @@ def region_edges(docs: DataFrame, n: int, similarity: Similarity, hot: np.ndarra
             where, who = [], []
             for t in batch.column(1):
                 s = set_of(t.as_py(), n, known)
-                if not len(s) or (node := node_of(s)) in seen:
+                if not len(s) or (node := node_of(s, shared)) in seen:
                     continue
                 if len(seen) >= REMEMBERED:
                     seen.clear()
@@ -338,7 +353,7 @@ def listed(table: np.ndarray, node: int) -> bool:
     return bool(int(table[(node & FILTER_BITS - 1) >> 6]) >> (node & 63) & 1)
 
 
-def group_links(docs: DataFrame, placed: DataFrame, n: int, similarity: Similarity) -> DataFrame:
+def group_links(docs: DataFrame, placed: DataFrame, n: int, similarity: Similarity, shared: frozenset[int] = frozenset()) -> DataFrame:
     """Written: (a, b, links): a forest edge from a to b (b null: none), and copies linked to a through other sets."""
     held = docs.sparkSession.sparkContext.broadcast(node_filter(placed))
 
@@ -348,7 +363,7 @@ def group_links(docs: DataFrame, placed: DataFrame, n: int, similarity: Similari
             nodes, content = [], []
             for t in batch.column(1):
                 s = set_of(t.as_py(), n, known)
-                node = node_of(s) if len(s) else None
+                node = node_of(s, shared) if len(s) else None
                 if node is None or node in seen or not listed(table, node):
                     continue
                 if len(seen) >= REMEMBERED:
@@ -386,15 +401,16 @@ def group_links(docs: DataFrame, placed: DataFrame, n: int, similarity: Similari
 
 def components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, node, component_id (smallest id reachable by links), n_links (linked documents), one row per row."""
-    return labelled(docs, n, num, den).drop("label")
+    return labelled(docs, n, num, den)[0].drop("label")
 
 
-def labelled(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The same with label: the smallest node of the component, which tells components apart where ids are null or repeat."""
+def labelled(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, frozenset[int]]:
+    """The same with label: the smallest node of the component, which tells components apart where ids are null or repeat; and
+    what ``sets`` tells of shared halves."""
     similarity = Similarity(num, den)
-    rows = sets(docs, n)
-    placed = places(rows, region_edges(docs, n, similarity, hot_shingles(docs, n, rows.count())))
-    links = group_links(docs, placed, n, similarity)
+    rows, shared = sets(docs, n)
+    placed = places(rows, region_edges(docs, n, similarity, hot_shingles(docs, n, rows.count()), shared))
+    links = group_links(docs, placed, n, similarity, shared)
     labels = connected(links.filter("b is not null").select("a", "b"))
     counts = links.groupBy("a").agg(F.sum("links").alias("links"))
     heads = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("copies"))
@@ -404,7 +420,7 @@ def labelled(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     heads = heads.join(firsts, "label").select("node", "label", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     heads = common.materialise(heads, "classes")
     out = rows.join(heads, "node", "left")
-    return out.select("doc_id", "n_shingles", "node", "label", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", "n_shingles", "node", "label", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), shared
 
 
 def deduplicate(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -413,7 +429,8 @@ def deduplicate(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
 
     Only documents that may have a partner, by a bit table of fixed size, move to be judged; the others pass where they are.
     """
-    found = common.materialise(labelled(docs, n, num, den), "components")
+    found, shared = labelled(docs, n, num, den)
+    found = common.materialise(found, "components")
     keep = found.filter(F.col("node").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("label").agg(F.min("node").alias("node"), F.min("component_id").alias("id"))
     mark = common.fresh(docs.columns)
     first = common.fresh([*docs.columns, mark])
@@ -424,7 +441,7 @@ def deduplicate(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, table = WordHash(), held.value
         for batch in batches:
-            nodes = [node_of(s) if len(s) else None for s in (set_of(t.as_py(), n, known) for t in batch.column(at))]
+            nodes = [node_of(s, shared) if len(s) else None for s in (set_of(t.as_py(), n, known) for t in batch.column(at))]
             nodes = [v if v is not None and listed(table, v) else None for v in nodes]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=[*batch.schema.names, mark])
 

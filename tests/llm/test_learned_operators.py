@@ -315,3 +315,20 @@ def test_repeated_labelled_ids_do_not_pass_the_bound(spark):
     assert len(got) == 10
     everything = {r["doc_id"]: r for r in labelled.sample(docs, labels, "quality", 1000).collect()}
     assert everything[1]["text"] == "text 0" and everything[1]["label"] == 0 and all(zlib.crc32(str(i).encode()) % 4 != 2 for i in everything)
+
+
+def test_sets_that_share_half_a_digest_stay_apart(spark, monkeypatch):
+    """All low halves are made equal: nodes then come from the other half, and nothing is merged."""
+    real = jaccard_join.xxhash.xxh3_128_intdigest
+    docs = spark.createDataFrame([(i, " ".join(f"{k}{j}" for j in range(30))) for i, k in enumerate("abcabd")], "doc_id long, text string")
+    want = {(r["doc_id"], r["component_id"], r["n_links"]) for r in jaccard_join.components(docs).collect()}
+    assert {c for _, c, _ in want} == {0, 1, 2, 5}
+    table = np.arange(3, dtype=np.uint64)
+    low = jaccard_join.node_of(table)
+    assert jaccard_join.node_of(table, frozenset([low])) == real(table.tobytes()) >> 65 != low
+    rows, shared = jaccard_join.sets(docs, 4)
+    assert not shared and rows.columns == ["doc_id", "n_shingles", "node"]
+    nodes = {r["doc_id"]: r["node"] for r in rows.collect()}
+    again, _ = jaccard_join.sets(docs, 4, frozenset([nodes[0]]))
+    moved = {r["doc_id"]: r["node"] for r in again.collect()}
+    assert moved[0] == moved[3] != nodes[0] and all(moved[i] == nodes[i] for i in (1, 2, 4, 5))
