@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from . import convention as conventions
 from .engine import Engine
 from .errors import QueryLookupError, QueryValidationError, Refusal
-from .operators import assessment, checks, evidence, identifiers, principles, profile
+from .operators import annotations, assessment, checks, evidence, identifiers, principles, profile
 from .sources import behaviour, blocks, delimited, files, structured, workbook
 from .types import normalised
 
@@ -152,6 +152,22 @@ class Dataset:
     def validate_identifier(self, value: str) -> dict[str, object]:
         return identifiers.validate(self.spark.createDataFrame([(value,)], "value string"), "value").first().asDict()
 
+    def get_relationship(self, relationship_id: str) -> dict:
+        """A relationship, or a refusal where a file behind one of its tables has changed since it was assessed."""
+        r = self.engine.get_relationship(relationship_id)
+        for side in ("left", "right"):
+            if (name := r[side].split("#", 1)[0]) in {f["path"] for f in self.files}:
+                self.require_unchanged(name)
+        return r
+
+    def annotations(self) -> list[dict]:
+        """The assessment as proposed annotations."""
+        return [annotations.record(self.dataset_id, r["rule"], r["result"], r["rationale"]) for r in self.assess().collect()]
+
+    def probe_publication(self, url: str) -> dict:
+        """Asking a live server is not this engine's work; the answer that another tool has kept may be brought as evidence."""
+        raise Refusal("a live probe needs the network, which this engine never uses", url=url)
+
     # Rules and principles
     def results(self) -> dict[str, str]:
         return {r["rule"]: r["result"] for r in self.assess().collect()}
@@ -236,7 +252,8 @@ def ingest(spark: SparkSession, root: str, convention: conventions.Convention |
             document, _ = structured.parsed(f.read())
         convention = conventions.from_datapackage(document) if isinstance(document, dict) else None
     convention = convention or conventions.DEFAULT
-    engine, metadata, unread, warnings, claims = Engine(spark, identity, convention), {}, [], [], []
+    engine, metadata, unread, claims = Engine(spark, identity, convention), {}, [], []
+    warnings = [f"{p}: left out ({why})" for p, why in files.skipped(root)]
     profiles: dict[str, list[dict]] = {}
     laid: dict[str, blocks.Laid] = {}
     held: dict[str, DataFrame] = {}

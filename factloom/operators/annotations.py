@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 from collections.abc import Mapping, Sequence
@@ -40,6 +41,14 @@ def label_column(c: Column) -> Column:
     return out.otherwise(F.raise_error(F.concat(F.lit("no label for result "), F.coalesce(c, F.lit("null")))))
 
 
+def record(dataset: str, criterion: str, result_: str, rationale: str, evidence: Sequence[Mapping] = (), family: str = "fair", variant: str = "local") -> dict[str, object]:
+    """A proposed annotation: a label with its reason and evidence, under an id that its content gives. It is a proposal until
+    somebody approves it."""
+    body = {"dataset_id": dataset, "criterion": criterion, "label": label(result_), "rationale": rationale, "evidence": [dict(e) for e in evidence], "family": family, "variant": variant}
+    text = json.dumps(body, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return {"annotation_id": "ann_" + hashlib.sha256(text.encode()).hexdigest()[:20], **body, "status": "proposed", "method": "agent_proposal"}
+
+
 def repeated_ids(records: DataFrame, key: str = "annotation_id") -> DataFrame:
     return records.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 

@@ -15,15 +15,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Folders that an inventory leaves out, signatures of formats (hex), and formats by extension.
+# Folders that an inventory leaves out, signatures of formats, and formats by extension.
 EXCLUDED = frozenset({".git", ".hg", ".svn", "__pycache__", ".DS_Store", "Thumbs.db"})
-MAGIC = {"89504E470D0A1A0A": "png", "FFD8FF": "jpeg", "25504446": "pdf", "1F8B": "gzip", "504B0304": "zip", "D0CF11E0A1B11AE1": "ole2", "50415231": "parquet", "894844460D0A1A0A": "hdf5", "53514C69746520666F726D61742033": "sqlite", "49492A00": "tiff", "4D4D002A": "tiff", "4D41544C41422035": "matlab"}
+MAGIC = {
+    b"\x89PNG\r\n\x1a\n": "png", b"\xff\xd8\xff": "jpeg", b"%PDF": "pdf", b"\x1f\x8b": "gzip", b"PK\x03\x04": "zip", b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1": "ole2", b"PAR1": "parquet",
+    b"\x89HDF\r\n\x1a\n": "hdf5", b"SQLite format 3": "sqlite", b"II*\x00": "tiff", b"MM\x00*": "tiff", b"MATLAB 5": "matlab",
+}
 EXTENSIONS = {
     "csv": "csv", "tsv": "tsv", "tab": "tsv", "json": "json", "jsonld": "jsonld", "xml": "xml", "yaml": "yaml", "yml": "yaml", "ttl": "turtle", "nt": "ntriples", "rdf": "rdfxml", "md": "markdown", "txt": "text", "png": "png",
     "jpg": "jpeg", "jpeg": "jpeg", "tif": "tiff", "tiff": "tiff", "pdf": "pdf", "zip": "zip", "gz": "gzip", "parquet": "parquet", "h5": "hdf5", "hdf5": "hdf5", "nwb": "nwb", "nii": "nifti", "edf": "edf", "db": "sqlite", "sqlite": "sqlite",
-    "ods": "ods", "xlsx": "xlsx", "xls": "xls", "xlsb": "xlsb", "mat": "matlab", "boris": "boris", "docx": "docx", "pptx": "pptx",
+    "ods": "ods", "xlsx": "xlsx", "xls": "xls", "xlsb": "xlsb", "mat": "matlab", "boris": "boris", "docx": "docx", "pptx": "pptx", "doc": "doc", "ppt": "ppt",
 }
-CONTAINERS = {"zip": {"xlsx", "xlsb", "ods", "docx", "pptx", "zip"}, "ole2": {"xls"}, "hdf5": {"hdf5", "nwb", "matlab"}, "gzip": {"gzip", "nifti"}}
+CONTAINERS = {"zip": {"xlsx", "xlsb", "ods", "docx", "pptx", "zip"}, "hdf5": {"hdf5", "nwb", "matlab"}, "gzip": {"gzip", "nifti"}}
 
 
 def walk(root: str, excluded: frozenset[str] = EXCLUDED) -> Iterator[str]:
@@ -36,6 +39,18 @@ def walk(root: str, excluded: frozenset[str] = EXCLUDED) -> Iterator[str]:
                 yield os.path.relpath(full, root).replace(os.sep, "/")
 
 
+def skipped(root: str, excluded: frozenset[str] = EXCLUDED) -> list[tuple[str, str]]:
+    """(path, reason) of what an inventory leaves out: excluded names, and links, which are never followed."""
+    out = []
+    for folder, names, found in os.walk(root, followlinks=False):
+        for n in sorted([*names, *found]):
+            full = os.path.join(folder, n)
+            if n in excluded or os.path.islink(full):
+                out.append((os.path.relpath(full, root).replace(os.sep, "/"), "excluded" if n in excluded else "link"))
+        names[:] = sorted(n for n in names if n not in excluded and not os.path.islink(os.path.join(folder, n)))
+    return out
+
+
 def inventory(spark: SparkSession, root: str) -> DataFrame:
     """(path, size, sha256, format, conflict): every file hashed in parallel by the executors."""
     base = os.path.abspath(root)
@@ -61,14 +76,16 @@ def _format(path: pd.Series, content: pd.Series) -> pd.DataFrame:
 def detect(path: str, content: bytes) -> tuple[str, bool]:
     """The format by signature before extension, and whether the two contradict each other."""
     named = EXTENSIONS.get(path.rsplit(".", 1)[-1].lower() if "." in path else "", "unknown")
-    head = content[:16].hex().upper()
-    magic = next((f for sig, f in MAGIC.items() if head.startswith(sig)), None)
+    magic = next((f for sig, f in MAGIC.items() if content.startswith(sig)), None)
     if magic == "zip":
         inside = _zip_kind(content)
         return (inside, named != "unknown" and named != inside) if inside != "zip" else (named if named in CONTAINERS["zip"] else "zip", named not in {"unknown", *CONTAINERS["zip"]})
+    if magic == "ole2":
+        inside = _ole2_kind(content)
+        return inside, named not in {"unknown", inside}
     if magic in CONTAINERS:
         fits = named in CONTAINERS[magic]
-        return (named if fits else {"ole2": "xls"}.get(magic, magic)), not fits and named != "unknown"
+        return (named if fits else magic), not fits and named != "unknown"
     if magic:
         return magic, named not in {"unknown", magic}
     if named == "boris" or (named == "json" and b"behaviors_conf" in content):
@@ -76,6 +93,14 @@ def detect(path: str, content: bytes) -> tuple[str, bool]:
     return named, named in {"png", "jpeg", "pdf", "xlsx", "parquet"}
 
 
+def _ole2_kind(content: bytes) -> str:
+    """What a compound file holds, by the names of its streams, which stand in its directory as UTF-16."""
+    for kind, streams in (("xls", ("Workbook", "Book")), ("doc", ("WordDocument",)), ("ppt", ("PowerPoint Document",))):
+        if any(s.encode("utf-16-le") + b"\0\0" in content for s in streams):
+            return kind
+    return "ole2"
+
+
 def _zip_kind(content: bytes) -> str:
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:

@@ -115,3 +115,36 @@ def test_labels(spark, tmp_path):
     with pytest.raises(QueryValidationError):
         annotations.write_records([{"annotation_id": "y"}, *records], str(tmp_path))
     assert not (tmp_path / "y.json").exists()
+
+
+def test_blocks_rows_above_and_principles(spark, root):
+    (root / "t.csv").write_text("day one,,\nid,dose,\na,1,\nb,2,\n,,\nday two,,\nid,score,\na,7,\n")
+    layouts = {"layouts": {"t.csv": {"blocks": [{"name": "one", "header_row": 2, "last_row": 4}, {"name": "two", "header_row": 7, "last_row": 8, "columns": "A:B"}]}}}
+    d = dataset.ingest(spark, str(root), layouts=layouts)
+    assert [(r["_source_row"], r["id"], r["score"]) for r in d.engine.table("t.csv#two").df.collect()] == [(8, "a", 7)]
+    seen = d.inspect_table("t.csv#two", include_rows_above_data=True)
+    assert seen["rows_above_data_available"] == 1 and [(r["row"], r["role"], r["value"]) for r in seen["rows_above_data"]] == [(6, "skipped", "day two")]
+    assert d.get_evidence("t.csv#one", "layout.block").count() == 1 and d.get_provenance()["declared_layouts"] == {"t.csv#one": 2, "t.csv#two": 7}
+    assert d.dataset_inventory()["files"] == 3 and [f["path"] for f in d.list_files("*.csv")] == ["animals.csv", "t.csv"]
+    assert d.get_metadata()[0]["convention"] == "bids" and d.resolve_identifier("10.1234/ABC").count() == 1 and d.validate_identifier("10.1234/abc")["valid"]
+    assert all(p["verdict"] == "unknown" for p in d.assess_fair_principles()) and d.run_fair_check("R1.1-LICENCE-DECLARED")["result"] == "pass"
+    assert "R1.3-MISSING-VALUES-DECLARED" in [p["rule"] for p in d.get_fair_recommendations() if p["result"] == "fail"]
+    made = d.annotations()
+    assert len({a["annotation_id"] for a in made}) == len(made) == 12
+    for bad in ({"layouts": {"none.csv": {"header_row": 1}}}, {"layouts": {"t.csv": {"blocks": [{"name": "a", "header_row": 1, "last_row": 4}, {"name": "b", "header_row": 3, "last_row": 8}]}}}, {"layouts": {}}):
+        with pytest.raises(QueryValidationError):
+            dataset.ingest(spark, str(root), layouts=bad)
+    with pytest.raises(Refusal):
+        d.probe_publication("https://example.org")
+
+
+def test_event_shape_refuses_events(spark, tmp_path):
+    doc = {"project_format_version": "7", "behaviors_conf": {"0": {"code": "groom", "type": "State event", "category": ""}}, "observations": {"o": {"events": [[1.5, "s", "groom", ""], [3.0, "s", "groom", ""]]}}}
+    (tmp_path / "good.boris").write_text(json.dumps(doc))
+    doc["observations"]["o"]["events"].append(["soon", "s", "groom"])
+    (tmp_path / "odd.boris").write_text(json.dumps(doc))
+    (tmp_path / "link.csv").symlink_to(tmp_path / "good.boris")
+    d = dataset.ingest(spark, str(tmp_path))
+    assert [(r["start"], r["stop"]) for r in d.engine.table("good.boris#intervals").df.collect()] == [(1.5, 3.0)]
+    assert "odd.boris#events" not in d.engine.list_tables() and "odd.boris#ethogram" in d.engine.list_tables()
+    assert any("another shape" in w for w in d.warnings) and "link.csv: left out (link)" in d.warnings
