@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import csv
 import glob
+import itertools
 import os
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
@@ -18,6 +20,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 from . import layout
 
 HEAD_BYTES = 1 << 16
+BATCH_ROWS = 2000
 
 
 def marked(path: str) -> bool:
@@ -55,13 +58,23 @@ class DelimitedPartition(InputPartition):
 
 
 class DelimitedReader(DataSourceReader):
-    def __init__(self, paths: list[str], options: dict, width: int) -> None:
-        self.paths, self.options, self.width = paths, options, width
+    def __init__(self, paths: list[str], options: dict, names: list[str]) -> None:
+        self.paths, self.options, self.names, self.width = paths, options, names, len(names) - 2
 
     def partitions(self) -> list[InputPartition]:
         return [DelimitedPartition(p) for p in self.paths]
 
-    def read(self, partition: DelimitedPartition) -> Iterator[tuple]:
+    def read(self, partition: DelimitedPartition) -> Iterator[pa.RecordBatch]:
+        """The rows of a file as Arrow batches."""
+        rows, names = self.rows(partition), self.names
+        if self.options.get("records") == "true":
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string())]
+        else:
+            kinds = [pa.string(), pa.int64(), *[pa.string()] * (len(names) - 2)]
+        while part := list(itertools.islice(rows, BATCH_ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), kinds, strict=True)], names=names)
+
+    def rows(self, partition: DelimitedPartition) -> Iterator[tuple]:
         if self.options.get("records") == "true":
             yield from self.records(partition.path)
             return
@@ -110,7 +123,7 @@ class Delimited(DataSource):
         return StructType([StructField("_file", StringType()), StructField("_source_row", LongType()), *[StructField(n, StringType()) for n in header.labels]])
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return DelimitedReader(self._paths(), dict(self.options), len(schema.fields) - 2)
+        return DelimitedReader(self._paths(), dict(self.options), schema.names)
 
 
 def read(spark: SparkSession, path: str, **options: str) -> DataFrame:
