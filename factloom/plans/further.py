@@ -140,6 +140,8 @@ def profile_facts(spark: SparkSession, sf: str) -> DataFrame:
 # Sources. Small files are made from whole small tables first, and then read by the readers.
 def _folder(spark: SparkSession) -> str:
     path = shared(spark).removeprefix("file://")
+    if "://" in path:
+        raise QueryValidationError(f"the readers of single files need a mounted folder, not {path}")
     os.makedirs(path, exist_ok=True)
     return path
 
