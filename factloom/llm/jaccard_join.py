@@ -45,7 +45,7 @@ from .shingles import WordHash, hashes, mixed, shingles, words_of
 #: Up to so many documents an area is one group.
 AREA_DOCS = 256
 #: A group with more documents, or more shingles in all, is cut into blocks.
-GROUP_DOCS, GROUP_SHINGLES = 1024, 4_000_000
+GROUP_DOCS, GROUP_SHINGLES = 1024, 1_500_000
 #: Bits of the filter that says whether a node may lie in an area.
 FILTER_BITS = 1 << 23
 #: Documents that are compared as one matrix.
@@ -53,7 +53,9 @@ LEAF = 384
 #: Documents of the sample that shows which shingles are hot, and how many of them must hold one.
 HOT_SAMPLE, HOT_DOCS = 8192, 4
 #: Sets that a task remembers to skip repeats; forgetting costs repeated rows only.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
+#: Documents whose regions, and region rows that, leave a task together.
+DOCS_A_TIME, ROWS_A_TIME = 256, 50_000
 
 
 class Similarity:
@@ -209,9 +211,9 @@ def region_edges(docs: DataFrame, n: int, similarity: Similarity, hot: np.ndarra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, classes, seen = WordHash(), Classes(similarity), set()
-        for batch in batches:
+        for texts in (batch.column(1).slice(k, DOCS_A_TIME) for batch in batches for k in range(0, batch.num_rows, DOCS_A_TIME)):
             where, who = [], []
-            for t in batch.column(1):
+            for t in texts:
                 s = set_of(t.as_py(), n, known)
                 if not len(s) or (node := node_of(s, shared)) in seen:
                     continue
@@ -223,8 +225,8 @@ def region_edges(docs: DataFrame, n: int, similarity: Similarity, hot: np.ndarra
                 who.append(np.full(len(k), node, np.int64))
             if where:
                 where, who = np.concatenate(where), np.concatenate(who)
-                for k in range(0, len(where), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(where[k : k + 100_000]), pa.array(who[k : k + 100_000])], names=["region", "node"])
+                for k in range(0, len(where), ROWS_A_TIME):
+                    yield pa.RecordBatch.from_arrays([pa.array(where[k : k + ROWS_A_TIME]), pa.array(who[k : k + ROWS_A_TIME])], names=["region", "node"])
 
     placed = _texts(docs).mapInArrow(run, "region long, node long")
     least = F.min("node").over(Window.partitionBy("region"))
@@ -238,11 +240,12 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     flat = np.concatenate([*left, *right])
     if not len(flat):
         return out.astype(np.int64)
-    of = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in (*left, *right)])
+    of = np.repeat(np.arange(len(left) + len(right), dtype=np.int32), [len(s) for s in (*left, *right)])
     order = np.argsort(flat, kind="stable")
     flat, of = flat[order], of[order]
     new = np.concatenate([[True], flat[1:] != flat[:-1]])
-    column = np.cumsum(new) - 1
+    del flat, order
+    column = np.cumsum(new, dtype=np.int32) - 1
     many = np.bincount(column)[column] > 1  # a shingle of one set meets nothing
     column, of = column[many], of[many]
     if len(column):
@@ -359,9 +362,9 @@ def group_links(docs: DataFrame, placed: DataFrame, n: int, similarity: Similari
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen, table = WordHash(), set(), held.value
-        for batch in batches:
+        for texts in (batch.column(1).slice(k, DOCS_A_TIME) for batch in batches for k in range(0, batch.num_rows, DOCS_A_TIME)):
             nodes, content = [], []
-            for t in batch.column(1):
+            for t in texts:
                 s = set_of(t.as_py(), n, known)
                 node = node_of(s, shared) if len(s) else None
                 if node is None or node in seen or not listed(table, node):
@@ -371,8 +374,7 @@ def group_links(docs: DataFrame, placed: DataFrame, n: int, similarity: Similari
                 seen.add(node)
                 nodes.append(node)
                 content.append(s.tobytes())
-            for k in range(0, len(nodes), 500):
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[k : k + 500], pa.int64()), pa.array(content[k : k + 500], pa.binary())], names=["node", "content"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(content, pa.binary())], names=["node", "content"])
 
     content = _texts(docs).mapInArrow(fetch, "node long, content binary").dropDuplicates(["node"]).join(placed, "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -380,12 +382,12 @@ def group_links(docs: DataFrame, placed: DataFrame, n: int, similarity: Similari
     spread = spread.select("group", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "copies", "before", "content")
 
     def join(table: pa.Table) -> pa.Table:
-        kept = {r["node"]: r for r in table.select(["node", "own", "copies", "before", "content"]).to_pylist()}
-        nodes = np.array(sorted(kept), np.int64)
-        members = [kept[k] for k in nodes.tolist()]
-        all_sets = [np.frombuffer(r["content"], np.uint64) for r in members]
-        block = np.array([r["own"] for r in members])
-        forest = Forest(np.array([r["copies"] for r in members], np.int64), [np.array(r["before"], np.uint64) for r in members])
+        nodes, at = np.unique(table.column("node").to_numpy(), return_index=True)
+        column = lambda name: table.column(name).combine_chunks().take(pa.array(at))
+        content = column("content")
+        all_sets = [np.frombuffer(content[k].as_buffer(), np.uint64) for k in range(len(at))]
+        block = column("own").to_numpy()
+        forest = Forest(column("copies").to_numpy().astype(np.int64), [np.array(x, np.uint64) for x in column("before").to_pylist()])
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
         if x == y:
             join_area(all_sets, np.arange(len(nodes)), similarity, forest)
