@@ -258,45 +258,69 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out.astype(np.int64)
 
 
+def centre_gaps(all_sets: list[np.ndarray]) -> np.ndarray:
+    """Distances to the set of the shingles that more than half of the sets hold; any set will do as a pivot, and this one is near
+    to all members of a close group."""
+    held, n = np.unique(np.concatenate(all_sets), return_counts=True)
+    centre = held[n * 2 > len(all_sets)]
+    if not len(centre):
+        return np.ones(len(all_sets))
+    both = np.array([np.count_nonzero(centre[np.minimum(np.searchsorted(centre, s), len(centre) - 1)] == s) for s in all_sets])
+    return 1 - both / (np.array([len(s) for s in all_sets]) + len(centre) - both)
+
+
 class Forest:
     """Links found so far: a union-find over positions, and each position's linked copies. ``before`` holds the smaller pivots
-    of each position: a pair that shares one is counted in that one's group."""
+    of each position: a pair that shares one is counted in that one's group. ``gap`` is each position's distance to a common
+    pivot; a pair whose gaps add up to the radius at most is linked by the triangle inequality, without being compared."""
 
-    def __init__(self, copies: np.ndarray, before: list[np.ndarray] | None = None) -> None:
+    def __init__(self, copies: np.ndarray, before: list[np.ndarray] | None = None, gap: np.ndarray | None = None) -> None:
         self.up, self.copies, self.links = list(range(len(copies))), copies, np.zeros(len(copies), np.int64)
         self.before = before or [np.zeros(0, np.uint64)] * len(copies)
+        self.gap = np.ones(len(copies)) if gap is None else gap
 
     def root(self, x: int) -> int:
         while self.up[x] != x:
             self.up[x] = x = self.up[self.up[x]]
         return x
 
-    def add(self, a: np.ndarray, b: np.ndarray, counts: np.ndarray) -> None:
-        np.add.at(self.links, a[counts], self.copies[b[counts]])
-        np.add.at(self.links, b[counts], self.copies[a[counts]])
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            x, y = self.root(x), self.root(y)
-            if x != y:
-                self.up[max(x, y)] = min(x, y)
+    def add(self, x: np.ndarray, y: np.ndarray, hit: np.ndarray) -> None:
+        """Links between the positions ``x`` and ``y`` by a matrix. Rows are joined as wholes: one that tells nothing new costs one look."""
+        at = np.unique(np.concatenate([x, y]))
+        rows, columns = np.searchsorted(at, x), np.searchsorted(at, y)
+        label = np.array([self.root(k) for k in at.tolist()])
+        for i in np.flatnonzero(hit.any(1)).tolist():
+            met = np.append(label[columns[hit[i]]], label[rows[i]])
+            if (met != met[0]).any():
+                label[np.isin(label, met)] = met.min()
+        for k, to in zip(at.tolist(), label.tolist(), strict=True):
+            a, b = self.root(k), self.root(to)
+            self.up[max(a, b)] = min(a, b)
 
 
 def compare(all_sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, similarity: Similarity, forest: Forest) -> None:
-    """Compare left with right, or left with itself, matrix by matrix."""
+    """Compare left with right, or left with itself, matrix by matrix; only sets with a pair that the gaps leave open are multiplied."""
     size = np.array([len(s) for s in all_sets])
-    other = left if right is None else right
+    left = left[np.argsort(forest.gap[left], kind="stable")]  # near ones first, so that whole matrices need no comparison
+    other = left if right is None else right[np.argsort(forest.gap[right], kind="stable")]
+    radius = 1 - similarity.num / similarity.den - 1e-9
     for i in range(0, len(left), LEAF):
         x = left[i : i + LEAF]
         for j in range(i if right is None else 0, len(other), LEAF):
             y = other[j : j + LEAF]
-            both = intersections([all_sets[k] for k in x], [all_sets[k] for k in y])
-            hit = similarity.linked(both, size[x][:, None], size[y][None, :])
+            hit = forest.gap[x][:, None] + forest.gap[y][None, :] <= radius
+            rows, columns = np.flatnonzero(~hit.all(1)), np.flatnonzero(~hit.all(0))
+            if len(rows):
+                both = intersections([all_sets[k] for k in x[rows]], [all_sets[k] for k in y[columns]])
+                hit[np.ix_(rows, columns)] = similarity.linked(both, size[x[rows]][:, None], size[y[columns]][None, :])
             if right is None and i == j:
                 hit = np.triu(hit, 1)
             if not hit.any():
                 continue
-            a, b = np.nonzero(hit)
-            shared = intersections([forest.before[k] for k in x], [forest.before[k] for k in y])
-            forest.add(x[a], y[b], shared[a, b] == 0)
+            counts = hit & (intersections([forest.before[k] for k in x], [forest.before[k] for k in y]) == 0)
+            np.add.at(forest.links, x, counts @ forest.copies[y])
+            np.add.at(forest.links, y, counts.T @ forest.copies[x])
+            forest.add(x, y, hit)
 
 
 def join_area(all_sets: list[np.ndarray], members: np.ndarray, similarity: Similarity, forest: Forest) -> None:
@@ -387,7 +411,7 @@ def group_links(docs: DataFrame, placed: DataFrame, n: int, similarity: Similari
         content = column("content")
         all_sets = [np.frombuffer(content[k].as_buffer(), np.uint64) for k in range(len(at))]
         block = column("own").to_numpy()
-        forest = Forest(column("copies").to_numpy().astype(np.int64), [np.array(x, np.uint64) for x in column("before").to_pylist()])
+        forest = Forest(column("copies").to_numpy().astype(np.int64), [np.array(x, np.uint64) for x in column("before").to_pylist()], centre_gaps(all_sets))
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
         if x == y:
             join_area(all_sets, np.arange(len(nodes)), similarity, forest)

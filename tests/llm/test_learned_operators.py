@@ -214,7 +214,8 @@ def test_voronoi_regions_lose_no_link():
             s[rng.integers(0, 60, rng.integers(0, 9))] = rng.choice(1 << 40, 1)
             sets.append(np.unique(s))
     sim, copies = jaccard_join.Similarity(85, 100), np.ones(len(sets), np.int64)
-    whole, cut = jaccard_join.Forest(copies), jaccard_join.Forest(copies)
+    whole, cut, sure = jaccard_join.Forest(copies), jaccard_join.Forest(copies), jaccard_join.Forest(copies, None, jaccard_join.centre_gaps(sets))
+    jaccard_join.compare(sets, np.arange(len(sets)), None, sim, sure)
     jaccard_join.compare(sets, np.arange(len(sets)), None, sim, whole)
     old = jaccard_join.LEAF
     jaccard_join.LEAF = 16
@@ -222,7 +223,25 @@ def test_voronoi_regions_lose_no_link():
         jaccard_join.join_area(sets, np.arange(len(sets)), sim, cut)
     finally:
         jaccard_join.LEAF = old
-    assert (whole.links == cut.links).all() and whole.links.sum() > 0
+    assert (whole.links == cut.links).all() and whole.links.sum() > 0 and (whole.links == sure.links).all()
+    assert [whole.root(k) for k in range(len(sets))] == [cut.root(k) for k in range(len(sets))] == [sure.root(k) for k in range(len(sets))]
+
+
+def test_close_groups_are_linked_by_their_centre():
+    """Near copies of one set: gaps to the centre decide most pairs, and the rest agrees with comparing all."""
+    rng = np.random.default_rng(9)
+    base, sets = rng.choice(1 << 60, 300).astype(np.uint64), []
+    for _ in range(500):
+        s = base.copy()
+        k = rng.integers(0, 40)
+        s[rng.integers(0, 300, k)] = rng.choice(1 << 60, k)
+        sets.append(np.unique(s))
+    sim, copies, every = jaccard_join.Similarity(80, 100), rng.integers(1, 4, 500), np.arange(500)
+    whole, sure = jaccard_join.Forest(copies), jaccard_join.Forest(copies, None, jaccard_join.centre_gaps(sets))
+    jaccard_join.compare(sets, every, None, sim, whole)
+    jaccard_join.compare(sets, every, None, sim, sure)
+    assert (whole.links == sure.links).all() and [whole.root(k) for k in range(500)] == [sure.root(k) for k in range(500)]
+    assert (np.add.outer(sure.gap, sure.gap) <= 0.2).mean() > 0.3
 
 
 @pytest.mark.parametrize("all_listed", [False, True])
@@ -332,3 +351,40 @@ def test_sets_that_share_half_a_digest_stay_apart(spark, monkeypatch):
     again, _ = jaccard_join.sets(docs, 4, frozenset([nodes[0]]))
     moved = {r["doc_id"]: r["node"] for r in again.collect()}
     assert moved[0] == moved[3] != nodes[0] and all(moved[i] == nodes[i] for i in (1, 2, 4, 5))
+
+
+def test_quality_score_equals_brute_force():
+    """The collapsed table gives what the mean of all vectors gives: every word's and gram's number, and one for each repeated word."""
+    table = np.random.default_rng(3).normal(0, 1, quality_classifier.BUCKETS).astype(np.float32)
+    for text in ("the the cat sat", "é", "one", "", None, "a a a a", "word " * 500):
+        words = (text or "").encode().split()
+        numbers = [float(table[b]) for w in words for b in quality_classifier.buckets(w)]
+        numbers += [float(table[quality_classifier.buckets(quality_classifier.AGAIN)[0]]) for a, b in zip(words, words[1:], strict=False) if a == b]
+        want = 1 / (1 + math.exp(-(np.mean(numbers) if numbers else 0.0) - 0.25))
+        assert math.isclose(quality_classifier.score_text(quality_classifier.WordSums(table), 0.25, text), want, abs_tol=1e-6)
+
+
+def test_grammar_equals_its_machines():
+    """The composed table walks as the machines do side by side; clauses and scores follow from plain loops."""
+    machines, rng = toxicity_grammar.components(), random.Random(5)
+    vocabulary = {"idiot": 4, "silly": 2, "fool*": 3}
+    symbols = toxicity_grammar.Symbols(vocabulary)
+    words = ["idiot", "silly", "foolish", "you", "not", "said", "kill", "plain", "well,", "idiot.", "you!"]
+    weights = [rng.uniform(-1, 1) for _ in range(13)]
+    for _ in range(300):
+        text = "\n".join(" ".join(rng.choice(words) for _ in range(rng.randrange(0, 9))) for _ in range(rng.randrange(1, 4)))
+        want = collections.Counter()
+        for line in text.split("\n"):
+            state = [0] * len(machines)
+            for w in [*line.split(), "."]:
+                symbol = 0 if w == "." else symbols[w]
+                state = [m.step(x, symbol & 15) for m, x in zip(machines, state, strict=True)]
+                if w == "." or symbol & toxicity_grammar.CLOSE:
+                    want[tuple(state)] += 1
+                    state = [0] * len(machines)
+        want = {s: n for s, n in want.items() if s[0] or s[4]}
+        found = toxicity_grammar.clauses(symbols, text)
+        assert {toxicity_grammar.STATES[s]: n for s, n in found.items()} == want
+        values = toxicity_grammar.features(found)
+        logit = sum(a * b for a, b in zip(values, weights, strict=False))
+        assert math.isclose(toxicity_grammar.score_text(symbols, weights[: len(values)], text or " "), 1 / (1 + math.exp(-logit)), abs_tol=1e-9)
