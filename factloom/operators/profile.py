@@ -76,10 +76,12 @@ def facts(df: DataFrame, columns: Sequence[str] | None = None, convention: Conve
     """(position, name, rows, n_values, missing_empty, missing_sentinel, ambiguous, missing, dtype) in one wide aggregate: a
     single scan, nothing exploded, and one row of partial counts per task."""
     columns = list(columns or df.columns)
-    out = []
+    out, cells = [], []
     for i, c in enumerate(columns):
         token = F.col(f"`{c}`").cast("string")
-        kind, bare = missing_kind(token, convention), strip(token)
+        # Stripped and classified once a cell; every count below reads the two.
+        cells += [strip(token).alias(f"bare{i}"), missing_kind(token, convention).alias(f"kind{i}")]
+        kind, bare = F.col(f"kind{i}"), F.col(f"bare{i}")
         value = kind.isin("value", "ambiguous")
         every = lambda rx, bare=bare, value=value: F.coalesce(F.bool_and(F.when(value, bare.rlike(rx))), F.lit(True))
         n = F.count_if(value)
@@ -87,7 +89,7 @@ def facts(df: DataFrame, columns: Sequence[str] | None = None, convention: Conve
             F.lit(i).alias("position"), F.lit(c).alias("name"), F.count(F.lit(1)).alias("rows"), n.alias("n_values"), F.count_if(kind == "empty").alias("missing_empty"),
             F.count_if(kind == "sentinel").alias("missing_sentinel"), F.count_if(kind == "ambiguous").alias("ambiguous"), dtype_of(every(INTEGER), every(NUMBER), every(BOOLEAN), n).alias("dtype"),
         ))
-    wide = df.agg(F.array(*out).alias("facts")).select(F.explode("facts").alias("f")).select("f.*")
+    wide = df.select(*cells).agg(F.array(*out).alias("facts")).select(F.explode("facts").alias("f")).select("f.*")
     return wide.withColumn("missing", F.col("missing_empty") + F.col("missing_sentinel"))
 
 
