@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, graph_search, jaccard_join, maxent_lm, packing, quality_classifier, secret_scan, toxicity_grammar, url_filter, warc_archive
+from . import decontamination, divergence_audit, graph_search, jaccard_join, line_dedup, maxent_lm, packing, periodic_runs, quality_classifier, secret_scan, toxicity_grammar, url_filter, warc_archive
 from .common import table
 
 def op9_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,19 @@ def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_archive.digest(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op3_packing, op4_maxent_lm, op5_jaccard_join, op6_decontamination, op7_url_filter, op8_warc_archive, op9_toxicity_grammar, op10_graph_search)}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op3_packing, op4_maxent_lm, op5_jaccard_join, op6_decontamination, op7_url_filter, op8_warc_archive, op9_toxicity_grammar, op10_graph_search, op11_line_dedup, op12_periodic_runs, op13_divergence_audit)}
 
 _FOLD_CASE = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
 _ASSIGN = "(" + "|".join(_FOLD_CASE(w) for w in ("password", "passwd", "secret", "token")) + "|" + "[aA][pP][iI]_?[kK][eE][yY]" + ")[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
@@ -89,8 +101,52 @@ select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0):
   sha256(coalesce(base_text, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0)::bigint as n_live, coalesce(n_copied, 0)::bigint as n_copied
 from d left join agg using (r)"""
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE_SQL = {
+    "op13_divergence_audit": f"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+  regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as terms from documents),
+w as (select r, lang, source, unnest(terms) as term from d),
+c as (select lang, source, term, count(*) as n from w group by all),
+k as (select lang, term, count(*) as n from w group by all having count(distinct r) >= {divergence_audit.MIN_DOCS}),
+g as (select distinct lang, source from d),
+v as (select g.lang, count(k.term) as kept, coalesce(sum(k.n), 0)::hugeint as total from (select distinct lang from g) g left join k on g.lang = k.lang group by g.lang),
+t as (select g.lang, g.source, coalesce(sum(c.n) filter (k.term is not null), 0)::hugeint as total from g left join c on g.lang = c.lang and g.source = c.source left join k on c.lang = k.lang and c.term = k.term group by all),
+p as (select k.lang, t.source, k.term, coalesce(c.n, 0) as n, 1 + ({divergence_audit.SCALE}::hugeint * (coalesce(c.n, 0) + 2)) // (t.total + 2 * v.kept) as p,
+  1 + ({divergence_audit.SCALE}::hugeint * (k.n + 2)) // (v.total + 2 * v.kept) as q
+  from k join v on k.lang = v.lang join t on k.lang = t.lang left join c on c.lang = k.lang and c.source = t.source and c.term = k.term),
+pair as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::bigint as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+every_pair as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(pair.value, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join pair on pair.lang = a.lang and pair.source = a.source and pair.item = b.source),
+term as (select lang, source, 'term' as part, term as item, ((p - q) * (p - q) // (p + q))::bigint as value from p where n > 0 and p > q),
+o as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from (select * from every_pair union all select * from term))
+select * from o where part = 'pair' or rank <= {divergence_audit.TOP}""",
+    "op12_periodic_runs": f"""
+with d as (select row_number() over () as r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as own,
+  case when doc_id is null then 0 else xor(list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda x: ord(x)::bigint),
+    lambda c, b: list_reduce(range(8), lambda x, k: xor(x >> 1, (x & 1) * 3988292384), xor(c, b)), 4294967295), 4294967295) end as h from documents),
+s as (select r, doc_id, own, h, len(own) as n, case when len(own) > 0 then (h // 10) % len(own) end as a from d),
+p as (select *, case when h % 10 = 0 and n > 0 then list_transform(range(n), lambda i: own[case when i >= a then a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) else i end + 1]) else own end as words from s),
+w as (select r, n, unnest(range(n)) as i, unnest(words) as word from p),
+q as (select x.r, y.i - x.i as q, x.i from w x join w y on x.r = y.r and x.word = y.word and x.i < y.i and {periodic_runs.POWER} * (y.i - x.i) <= x.n),
+k as (select r, q, i, i - row_number() over (partition by r, q order by i) as island from q),
+e as (select r, q, min(i) as s, count(*) + q as l from k group by r, q, island having count(*) + q >= greatest({periodic_runs.LEAST}, {periodic_runs.POWER} * q)),
+u as (select r, s, l, min(q) as q from e group by r, s, l),
+t as (select r, count(*) as n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' order by s, q) as listed, arg_min(struct_pack(s := s, l := l, q := q), row(-l, s, q)) as top from u group by r),
+gone as (select distinct r, unnest(range(s + q, s + l)) as i from u),
+c as (select w.r, string_agg(word, ' ' order by w.i) as kept from w left join gone on w.r = gone.r and w.i = gone.i where gone.i is null group by w.r)
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, top.s::bigint as start, top.l::bigint as length, top.q::bigint as period, (1000 * top.l // top.q)::bigint as exponent_milli,
+  sha256(coalesce(listed, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256 from p left join t on p.r = t.r left join c on p.r = c.r""",
+    "op11_line_dedup": f"""
+with d as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+l as (select r, doc_id, unnest(range(1, len(lines) + 1)) as i, unnest(lines) as line from d),
+k as (select *, case when length(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) >= {line_dedup.MIN_CHARS}
+  then translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_LOWER}') end as key from l),
+g as (select key, max(doc_id) as keeper from k where key is not null group by key having count(distinct doc_id) >= {line_dedup.MIN_DOCS}),
+m as (select k.*, g.key is not null and k.doc_id <> g.keeper as gone from k left join g on k.key = g.key)
+select any_value(doc_id) as doc_id, count(*)::bigint as n_lines, count(*) filter (gone)::bigint as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256 from m group by r""",
     "op1_secret_scan": _secrets_sql(),
     "op5_jaccard_join": """
 with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words from documents),
