@@ -74,9 +74,13 @@ class Engine:
         if unit_metrics and not unit:
             raise QueryValidationError("unit_metrics need a unit")
         if unit:
-            return aggregating.aggregate_units(self.table(table), metrics, unit, unit_metrics, group_by, filters, on_inconsistent_unit)
+            return self._consistent(aggregating.aggregate_units(self.table(table), metrics, unit, unit_metrics, group_by, filters, on_inconsistent_unit), on_inconsistent_unit)
         return aggregating.aggregate(self.table(table), metrics, group_by, filters)
 
+    def _consistent(self, result: aggregating.UnitResult, policy: str) -> aggregating.UnitResult:
+        """Under ``refuse`` a unit in several groups is an error that names it, not an answer without groups."""
+        return aggregating.require_consistent(result) if policy == "refuse" else result
+
     def describe_variable(self, table: str, column: str) -> DataFrame:
         return profile.describe(self.table(table), column)
 
@@ -126,7 +130,8 @@ class Engine:
             left, right, left_keys, right_keys, mapping = r["left"], r["right"], r["left_keys"], r["right_keys"], r.get("mapping") or {}
         if not (left and right and left_keys and right_keys):
             raise QueryValidationError("aggregate_join needs two tables and their keys")
-        return joins.aggregate_join(self.table(left), self.table(right), left_keys, right_keys, metrics, resolved=self._resolved(**mapping), **options)
+        out = joins.aggregate_join(self.table(left), self.table(right), left_keys, right_keys, metrics, resolved=self._resolved(**mapping), **options)
+        return self._consistent(out, str(options.get("on_inconsistent_unit", "refuse"))) if isinstance(out, aggregating.UnitResult) else out
 
     # Relationships
     def build_relationships(self, declarations: Sequence[Mapping] = ()) -> list[dict]:

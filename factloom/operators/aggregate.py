@@ -63,34 +63,50 @@ def _checked(table: Table, unit: Sequence[str], group_by: Sequence[str], policy:
         raise QueryValidationError(f"on_inconsistent_unit is one of {list(POLICIES)}")
 
 
+def measured(first: Sequence[dict]) -> list[str]:
+    return sorted({s["column"] for s in first if s["column"]})
+
+
+def unkeyed(names: Sequence[str]) -> Column:
+    out = F.lit(False)
+    for u in names:
+        out = out | F.col(f"`{u}`").isNull()
+    return out
+
+
+def reduced(table: Table, rows: DataFrame, unit: Sequence[str], group_by: Sequence[str], first: Sequence[dict]) -> DataFrame:
+    """One row a unit: its columns, ``n_rows``, its metrics, how many values each measured column lacks, and the least and the greatest
+    group of its rows as ``__least`` and ``__most`` (fields g0, g1, …). One shuffle by unit; rows without a whole unit stay out."""
+    group = F.struct(F.lit(0).alias("_"), *[F.col(f"`{g}`").alias(f"g{i}") for i, g in enumerate(group_by)])
+    return rows.where(~unkeyed(unit)).groupBy(*[F.col(f"`{u}`") for u in unit]).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min(group).alias("__least"), F.max(group).alias("__most"),
+        *[measuring.expression(table, s).cast("double").alias(s["name"]) for s in first],
+        *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"missing:{c}") for c in measured(first)],
+    )
+
+
 def aggregate_units(
     table: Table, metrics: Sequence[dict], unit: Sequence[str], unit_metrics: Sequence[dict] = (), group_by: Sequence[str] = (),
-    filters: Sequence[dict] = (), on_inconsistent_unit: str = "refuse", reasons: bool = True,
+    filters: Sequence[dict] = (), on_inconsistent_unit: str = "refuse", reasons: bool = True, units: DataFrame | None = None,
 ) -> UnitResult:
     """Reduce rows to units, then summarise units per group.
 
     Stage one is a single shuffle by unit: it computes the unit's metrics and, from the least and the greatest group of its
     rows, whether the unit stays in one group. Stage two sums up consistent units by group. Under ``refuse`` the groups are
     empty as soon as one unit is inconsistent; the test is part of the plan, so nothing runs before the result is asked for.
+    ``units`` stands in for stage one where a caller can reduce rows more cheaply (see ``joins.units_below``).
     """
     _checked(table, unit, group_by, on_inconsistent_unit)
     first = measuring.validated(table, unit_metrics, allow_empty=True)
     rows = filtering.filtered(table, filters)
-    no_unit = F.lit(False)
-    for u in unit:
-        no_unit = no_unit | F.col(f"`{u}`").isNull()
+    no_unit = unkeyed(unit)
     missing = rows.where(no_unit)
-    group = F.struct(F.lit(0).alias("_"), *[F.col(f"`{g}`").alias(f"g{i}") for i, g in enumerate(group_by)])
-    by_column = {s["column"] for s in first if s["column"]}
-    profile = [F.count_if(F.col(f"`{c}`").isNull()).alias(f"missing:{c}") for c in sorted(by_column)]
-    units = rows.where(~no_unit).groupBy(*[F.col(f"`{u}`") for u in unit]).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.min(group).alias("__least"), F.max(group).alias("__most"),
-        *[(e.cast("double") if s["op"] not in measuring.COUNTING else e.cast("double")).alias(s["name"]) for s, e in ((s, measuring.expression(table, s)) for s in first)],
-        *profile,
-    )
+    by_column = measured(first)
+    if units is None:
+        units = reduced(table, rows, unit, group_by, first)
     good = F.col("__least").eqNullSafe(F.col("__most"))
     inconsistent = units.where(~good)
-    kept = units.where(good).select(*[F.col(f"`{u}`") for u in unit], *[F.col(f"__least.g{i}").alias(f"__g{i}") for i in range(len(group_by))], "n_rows", *[F.col(f"`{s['name']}`") for s in first], *[F.col(f"`missing:{c}`") for c in sorted(by_column)])
+    kept = units.where(good).select(*[F.col(f"`{u}`") for u in unit], *[F.col(f"__least.g{i}").alias(f"__g{i}") for i in range(len(group_by))], "n_rows", *[F.col(f"`{s['name']}`") for s in first], *[F.col(f"`missing:{c}`") for c in by_column])
     stage_two = Table("units", kept.select(*[F.col(f"`{s['name']}`") for s in first]) if first else kept.select())
     try:
         second = measuring.validated(stage_two, metrics)
@@ -113,7 +129,7 @@ def aggregate_units(
         groups = source.groupBy(*keys).agg(*cols)
     else:
         groups = source.agg(*cols).where("n_units > 0")
-    listed = kept.select(*[F.col(f"`{u}`") for u in unit], *keys, "n_rows", *[F.col(f"`{s['name']}`") for s in first], *[missing_profile(s).alias(f"{s['name']}:rows") for s in first if s["column"]])
+    listed = kept.select(*[F.col(f"`{u}`") for u in unit], *[k for k, g in zip(keys, group_by, strict=True) if g not in unit], "n_rows", *[F.col(f"`{s['name']}`") for s in first], *[missing_profile(s).alias(f"{s['name']}:rows") for s in first if s["column"]])
     observed = rows.where(~no_unit).join(inconsistent.select(*[F.col(f"`{u}`") for u in unit]), list(unit), "left_semi")
     observed = observed.groupBy(*[F.col(f"`{c}`") for c in dict.fromkeys([*unit, *group_by])]).agg(F.count(F.lit(1)).alias("n_rows"))
     return UnitResult(groups, listed, observed, missing)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..errors import QueryLookupError, QueryValidationError, Refusal
 from ..types import Table, comparable
 from . import aggregate as aggregating
+from . import filters as filtering
 from . import identity
 
 KINDS = ("inner", "left")
@@ -174,6 +175,44 @@ def split_qualified(name: str) -> tuple[str, str]:
     return side, column
 
 
+def unique(table: Table, keys: Sequence[str]) -> bool:
+    """Whether no whole key occurs twice."""
+    return key_counts(table, keys).where("n > 1").isEmpty()
+
+
+def eager(left: Table, right: Table, left_keys: Sequence[str], right_keys: Sequence[str], group_by: Sequence[str], filters: Sequence[dict], unit: Sequence[str], unit_metrics: Sequence[dict]) -> bool:
+    """Whether left rows can be reduced to units before they meet a right side that is unique: the unit holds all left keys, so its rows
+    share one right row; units are measured on left columns; and nothing asks for the keys of a mapping."""
+    named = {u.partition(".")[2] for u in unit if u.startswith("left.")}
+    asked = [*group_by, *unit, *(f["column"] for f in filters)]
+    alike = all(comparable(left.kinds[a], right.kinds[b]) for a, b in zip(left_keys, right_keys, strict=True))
+    return alike and set(left_keys) <= named and all(split_qualified(a)[0] != "key" for a in asked) and all(split_qualified(m["column"])[0] == "left" for m in unit_metrics if m.get("column"))
+
+
+def units_below(left: Table, right: Table, left_keys: Sequence[str], right_keys: Sequence[str], group_by: Sequence[str], filters: Sequence[dict], how: str, unit: Sequence[str], unit_metrics: Sequence[dict]) -> DataFrame:
+    """Stage one of unit aggregation below the join: left rows are filtered and reduced to units in the one shuffle of that table, and
+    units, not rows, meet the right side, by the same key. Filters on right columns hold for all rows of a unit or for none, so they
+    come last; groups by right columns are the same for all its rows, so only left groups can contradict each other."""
+    a, b = _sides(left, right)
+    a, b = Table(left.name, a, None, {f"left.{k}": v for k, v in left.scales.items()}), Table(right.name, b)
+    of = lambda side, names: [n for n in names if n.startswith(f"{side}.")]
+    here = [f for f in filters if f["column"].startswith("left.")]
+    there = [f for f in filters if f not in here]
+    first = aggregating.measuring.validated(a, unit_metrics, allow_empty=True)
+    a.require(*of("left", [*unit, *group_by]))
+    b.require(*of("right", [*unit, *group_by]))
+    units = aggregating.reduced(a, filtering.filtered(a, here), of("left", unit), of("left", group_by), first)
+    known = dict.fromkeys([*(f"right.{k}" for k in right_keys), *of("right", [*unit, *group_by]), *(f["column"] for f in there)])
+    one = filtering.filtered(b, there) if how == "inner" else b.df
+    met = units.join(one.select(*[F.col(f"`{c}`") for c in known]), condition(left, right, left_keys, right_keys), how)
+    if how == "left" and there:
+        met = met.where(filtering.conjunction(Table("units", met), there))
+    met = met.where(~aggregating.unkeyed(of("right", unit)))
+    place = {g: i for i, g in enumerate(of("left", group_by))}
+    whole = lambda end: F.struct(F.lit(0).alias("_"), *[F.col(f"{end}.g{place[g]}" if g in place else f"`{g}`").alias(f"g{i}") for i, g in enumerate(group_by)])
+    return met.withColumns({"__least": whole("__least"), "__most": whole("__most")})
+
+
 def aggregate_join(
     left: Table, right: Table, left_keys: Sequence[str], right_keys: Sequence[str], metrics: Sequence[dict], group_by: Sequence[str] = (), filters: Sequence[dict] = (),
     how: str = "inner", unit: Sequence[str] = (), unit_metrics: Sequence[dict] = (), on_inconsistent_unit: str = "refuse", reasons: bool = True, guard: bool = True, resolved: dict | None = None,
@@ -182,16 +221,24 @@ def aggregate_join(
     for name in [*group_by, *unit, *(f["column"] for f in filters), *(m["column"] for m in [*metrics, *unit_metrics] if m.get("column"))]:
         if not (unit and name in {u.get("name") or f"{u['op']}:{u['column']}" for u in unit_metrics}):
             split_qualified(name)
-    if guard:
-        facts = (diagnostics(left, right, left_keys, right_keys, how) if resolved is None else resolved_diagnostics(left, right, left_keys, right_keys, how, **resolved)).first()
-        if facts["cardinality"] == "many_to_many":
+    one = None
+    if resolved is None:
+        _checked(left, right, left_keys, right_keys, how)
+        below = bool(unit) and eager(left, right, left_keys, right_keys, group_by, filters, unit, unit_metrics)
+        # The right side is the one that usually says what rows belong to; the left one is looked at only if the right one repeats.
+        one = unique(right, right_keys) if guard or below else None
+        if guard and not one and not unique(left, left_keys):
+            raise QueryValidationError("both sides repeat keys; a many-to-many join would count rows more than once")
+    elif guard:
+        if resolved_diagnostics(left, right, left_keys, right_keys, how, **resolved).first()["cardinality"] == "many_to_many":
             raise QueryValidationError("both sides repeat keys; a many-to-many join would count rows more than once")
     rows = resolved_join(left, right, left_keys, right_keys, how, **resolved) if resolved is not None else join(left, right, left_keys, right_keys, how)
     scales = {f"left.{k}": v for k, v in left.scales.items()} | {f"right.{k}": v for k, v in right.scales.items()}
     table = Table("join", rows, None, scales)
     try:
         if unit or unit_metrics:
-            return aggregating.aggregate_units(table, metrics, unit, unit_metrics, group_by, filters, on_inconsistent_unit, reasons)
+            units = units_below(left, right, left_keys, right_keys, group_by, filters, how, unit, unit_metrics) if one and below else None
+            return aggregating.aggregate_units(table, metrics, unit, unit_metrics, group_by, filters, on_inconsistent_unit, reasons, units)
         return aggregating.aggregate(table, metrics, group_by, filters, reasons)
     except QueryLookupError as e:
         raise QueryLookupError(f"{e}") from e
