@@ -267,6 +267,8 @@ def ingest(spark: SparkSession, root: str, convention: conventions.Convention |
             names = [c for c, _ in one.columns]
             profiles[key] = [r.asDict() for r in profile.profile(one.df.select(*[F.col(f"`{c}`") for c in names]), names, convention).orderBy("position").collect()] if names else []
             laid[key], held[key] = one, records
+            if not sheet and (odd := one.ragged.count()):
+                warnings.append(f"{key}: {odd} row(s) do not have {len(names)} fields")
             engine.register(key, typed(one.df, profiles[key], convention), "_source_row")
             claims.extend(evidence.table_claims(key, profiles[key], sheet))
             claims.append((f"the header of {key} is {one.source} at row {one.header_row}", key, item("layout.block" if block and block.name else "layout.declaration" if block else "table.header-layout", one.header_row, key)))

@@ -169,7 +169,7 @@ def source_delimited(spark: SparkSession, sf: str) -> DataFrame:
 def source_header(spark: SparkSession, sf: str) -> DataFrame:
     rows = [f"{k};{n};{r}" for k, n, r in _nations(spark, sf)]
     path = _lines(spark, ["﻿Observer:;someone;", "Date:;today;", "id;note;region", *rows], "nations.csv")
-    d, header = delimited.settled(path, {})
+    d, header = delimited.header(spark, path)
     return spark.createDataFrame([(str(header.row), ",".join(header.labels), ",".join(f"{r}:{why}" for r, why in header.skipped), d, delimited.marked(path))], "header_row string, names string, skipped string, delimiter string, marked boolean")
 
 

@@ -117,7 +117,7 @@ def sheet_records(spark: SparkSession, path: str, sheet: str) -> DataFrame:
 
 
 def file_records(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    return delimited.read(spark, path, records="true", **options).select("row", "starts", "cells")
+    return delimited.records(spark, path, **options).select("row", "starts", "cells")
 
 
 @dataclasses.dataclass(frozen=True)
@@ -130,6 +130,8 @@ class Laid:
     skipped: list[tuple[int, str]]
     columns: list[tuple[str, int]]
     source: str
+    #: Rows (row, n) whose number of cells is not that of the header; their further cells have no column.
+    ragged: DataFrame
 
 
 def table(records: DataFrame, block: Block | None = None, blocks: list[Block] | None = None, letters: bool = False, blank_rows: bool = False) -> Laid:
@@ -162,7 +164,9 @@ def table(records: DataFrame, block: Block | None = None, blocks: list[Block] |
     if not blank_rows:
         rows = rows.where(F.size("cells") > 0)
     cells = [F.get("cells", F.lit(low + i)).alias(n) for i, n in enumerate(names)]
-    return Laid(rows.select(F.col("row").alias("_source_row"), *cells), at, many, skipped, [(n, low + i) for i, n in enumerate(names)], source)
+    size = F.size("cells") if high is None else F.least(F.size("cells"), F.lit(high + 1))
+    ragged = rows.select("row", F.greatest(size - low, F.lit(0)).alias("n")).where(F.col("n") != len(names))
+    return Laid(rows.select(F.col("row").alias("_source_row"), *cells), at, many, skipped, [(n, low + i) for i, n in enumerate(names)], source, ragged)
 
 
 def above(records: DataFrame, laid: Laid, convention: Convention = DEFAULT, most_rows: int = MOST_ABOVE_ROWS, most_cells: int = MOST_ABOVE_CELLS) -> DataFrame:
