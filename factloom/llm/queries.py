@@ -90,12 +90,12 @@ base as (select * from ok where kind < 3),
 wide as (select * from ok w where kind = 3 and regexp_matches(val, '[0-9]') and regexp_matches(val, '[a-z]') and regexp_matches(val, '[A-Z]')
   and not exists (select 1 from base b where b.r = w.r and b.s < w.e and w.s < b.e)),
 occ as (select * from base union all select * from wide),
-own as (select h, count(distinct owner) as owners from occ group by h),
+own as (select h, count(distinct owner) < {secret_scan.MAX_OWNERS} and count(distinct repo) < {secret_scan.MAX_REPOS} as live from occ group by h),
 agg as (select r,
   count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex,
   string_agg(name || ':' || s || ':' || e, ',' order by s, kind) filter (kind < 3) as base_text,
-  string_agg(name || ':' || s || ':' || e, ',' order by s, kind, e) filter (kind < 3 or owners < {secret_scan.MAX_OWNERS}) as spans,
-  count(*) filter (owners < {secret_scan.MAX_OWNERS}) as n_live, count(*) filter (owners >= {secret_scan.MAX_OWNERS}) as n_copied
+  string_agg(name || ':' || s || ':' || e, ',' order by s, kind, e) filter (kind < 3 or live) as spans,
+  count(*) filter (live) as n_live, count(*) filter (not live) as n_copied
   from occ join own using (h) group by r)
 select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex,
   sha256(coalesce(base_text, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0)::bigint as n_live, coalesce(n_copied, 0)::bigint as n_copied

@@ -2,7 +2,7 @@
 
 Every document is scanned for three fixed kinds of secret and for one wider kind of candidate (a long token that mixes
 letters and digits). The hash of every candidate value is counted over the whole corpus by distinct repositories and
-distinct owners: values copied by many owners are examples, values that one or few owners hold look live. Owner-specific
+distinct owners: values copied by many owners, or by few over many repositories, are examples; others look live. Owner-specific
 wider candidates join the fixed spans; widely copied ones do not.
 
 Scale: the corpus is scanned once and leaves only hashes and offsets. Counting runs in three aggregations of falling
@@ -17,6 +17,8 @@ one; repeated rows each keep their own result row; an empty table gives an empty
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +34,31 @@ KINDS = (("assign", ASSIGN, 2, 8), ("access", ACCESS, 0, 16), ("hex", HEX, 0, 32
 WIDE = ("live", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", 0, 20)
 #: From so many distinct owners on, a value counts as widely copied.
 MAX_OWNERS = 3
+#: From so many distinct repositories on it does too, even where one owner keeps them all.
+MAX_REPOS = 6
+#: Items that one fold goes over.
+TOGETHER = 256
 
 _SPAN = "array<struct<start:int,kind:int,end:int,hash:binary>>"
 
 
+def _along(items: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]], finish: Callable[[Column, Column], Column]) -> Column:
+    """``step`` takes a position and an item and gives the next position and an array of outputs; ``finish`` gets the last position
+    and all outputs. Folds of ``TOGETHER`` items each, and a fold over those: an array that grows by one at a time would be copied as
+    often as it has elements."""
+    state = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
+
+    def inner(s: Column, x: Column) -> Column:
+        at, made = step(s["at"], x)
+        return state(at, F.concat(s["out"], made))
+
+    def outer(s: Column, part: Column) -> Column:
+        return F.aggregate(part, state(s["at"], F.array().cast(kind)), inner, lambda r: state(r["at"], F.concat(s["out"], F.array(r["out"]))))
+
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(items) - 1) / TOGETHER).cast("int"), F.lit(0))), lambda k: F.slice(items, k * TOGETHER + 1, TOGETHER))
+    return F.aggregate(parts, state(F.lit(0), F.array().cast(f"array<{kind}>")), outer, lambda s: finish(s["at"], F.flatten(s["out"])))
+
+
 def _spans(text: Column, order: int, pattern: str, group: int, least: int) -> Column:
     """All leftmost non-overlapping matches whose value is long enough, as (start, kind, end, hash of the value).
 
@@ -44,16 +67,15 @@ def _spans(text: Column, order: int, pattern: str, group: int, least: int) -> Co
     rx = F.lit(pattern)
     whole, value = F.regexp_extract_all(text, rx, F.lit(0)), F.regexp_extract_all(text, rx, F.lit(group))
     cut = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("hit"), value.alias("value"))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["gap"])
         end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
         span = F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end"), F.unhex(F.sha2(x["value"], 256)).alias("hash"))
         keep = x["hit"].isNotNull() & (F.length(x["value"]) >= least)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(state["out"], F.array(span).cast(_SPAN))).otherwise(state["out"]).alias("out"))
+        return end, F.when(keep, F.array(span).cast(_SPAN)).otherwise(F.array().cast(_SPAN))
 
-    return F.when(text.rlike(pattern), F.aggregate(cut, begin, step, lambda s: s["out"])).otherwise(F.array().cast(_SPAN))
+    return F.when(text.rlike(pattern), _along(cut, _SPAN, step, lambda at, out: out)).otherwise(F.array().cast(_SPAN))
 
 
 def _wide(text: Column, base: Column) -> Column:
@@ -95,13 +117,18 @@ def ownership(occurrences: DataFrame) -> DataFrame:
     )
 
 
-def scan(docs: DataFrame, repo: str = "source", owner: str = "source", sub_repo: str | None = "lang", max_owners: int = MAX_OWNERS) -> DataFrame:
+def looks_live(max_owners: int, max_repos: int) -> Column:
+    """Whether a value of ``ownership`` is specific to its owner: few owners hold it, and it is not spread over many repositories."""
+    return (F.col("owners") < max_owners) & (F.col("repos") < max_repos)
+
+
+def scan(docs: DataFrame, repo: str = "source", owner: str = "source", sub_repo: str | None = "lang", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """One row per document with its base spans, its owner-specific wider spans, and how many values look live or copied."""
     rows = common.materialise(candidates(docs, repo, owner, sub_repo), "secrets")
     occurrences = rows.select("row", "owner", "repo", F.explode(F.concat("base", "wide")).alias("s")).select("row", "owner", "repo", "s.*")
     counts = common.materialise(ownership(occurrences), "owners")
     placed = occurrences.select("row", "start", "kind", "end", "hash").join(counts, "hash")
-    live = F.col("owners") < max_owners
+    live = looks_live(max_owners, max_repos)
     wide = live & (F.col("kind") == len(KINDS))
     judged = placed.groupBy("row").agg(
         F.sort_array(F.collect_list(F.when(wide, F.struct("start", "kind", "end")))).alias("added"),
@@ -134,17 +161,15 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def _cut(text: Column, spans: Column, mark: str) -> Column:
     """The text with each span replaced; of overlapping spans the part that the earlier one left over goes too."""
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        more = F.when(s["start"] >= state["at"], F.concat(state["out"], F.array(gap, F.lit(mark)))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), more.alias("out"))
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        gap = F.substring(text, at + 1, F.greatest(s["start"] - at, F.lit(0)))
+        return F.greatest(at, s["end"]), F.when(s["start"] >= at, F.array(gap, F.lit(mark))).otherwise(F.array().cast("array<string>"))
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, begin, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text)))))
+    return F.when(F.size(spans) == 0, text).otherwise(_along(spans, "array<string>", step, lambda at, out: F.concat(F.array_join(out, ""), F.substring(text, at + 1, F.length(text)))))
 
 
-def redact(docs: DataFrame, mark: str = "<SECRET>", repo: str = "source", owner: str = "source", sub_repo: str | None = "lang", max_owners: int = MAX_OWNERS) -> DataFrame:
+def redact(docs: DataFrame, mark: str = "<SECRET>", repo: str = "source", owner: str = "source", sub_repo: str | None = "lang", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """The documents with every span of ``scan`` replaced by ``mark``; columns and clean documents pass unchanged.
 
     Spans are written beside their document, under a row number of that table. Base spans are cut where they stand; only
@@ -157,9 +182,9 @@ def redact(docs: DataFrame, mark: str = "<SECRET>", repo: str = "source", owner:
     found = found.withColumn(about, F.struct(F.col(f"{about}.*"), _wide(text, F.col(f"{about}.base")).alias("wide"), F.monotonically_increasing_id().alias("row")))
     found = common.materialise(found, "marked")
     values = found.select(F.col(f"{about}.*"))
-    counts = common.materialise(ownership(values.select("owner", "repo", F.explode(F.concat("base", "wide")).alias("s")).select(F.col("s.hash").alias("hash"), "owner", "repo")).select("hash", "owners"), "owners")
+    counts = common.materialise(ownership(values.select("owner", "repo", F.explode(F.concat("base", "wide")).alias("s")).select(F.col("s.hash").alias("hash"), "owner", "repo")).select("hash", "owners", "repos"), "owners")
     wide = values.filter(F.size("wide") > 0).select("row", F.explode("wide").alias("s")).select("row", "s", F.col("s.hash").alias("hash"))
-    added = wide.join(counts.filter(F.col("owners") < max_owners), "hash").groupBy("row").agg(F.collect_list("s").alias("added"))
+    added = wide.join(counts.filter(looks_live(max_owners, max_repos)), "hash").groupBy("row").agg(F.collect_list("s").alias("added"))
     base = F.col(f"{about}.base")
     shown = lambda spans: [_cut(F.col("text"), spans, mark).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     plain = found.filter(F.size(f"{about}.wide") == 0).select(*shown(base))
