@@ -7,7 +7,9 @@ the item's words is its coverage, in which order does not matter: an item whose
 all the same. Matches are compared word by word (as 64-bit hashes) before they are marked.
 
 Scale: one pass over the documents asks a bit table of fixed size whether a seed may be one of the benchmark's (its errors
-cost traffic and change no result) and leaves only documents that may match, once per text and task. Seeds, pairs and words
+cost traffic and change no result) and leaves only documents that may match, once per text and task. An item is looked for by
+its rarer seeds only: the commonest ones, counted over all texts, stay out of the join as far as they could not cover enough by
+themselves, so a licence line in many texts and items makes no pairs. Seeds, pairs and words
 then meet in joins of written tables, so the benchmark may be of any size and nothing of it but the bit table passes through the
 driver. Equal texts and equal items are tiled once. A pair's work grows with its shared runs, not with the products of
 repeated words.
@@ -28,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from . import common
 from .shingles import WordHash, hashes, shingles, words_of
@@ -190,21 +193,35 @@ def marked(docs: DataFrame, items: DataFrame, every: bool) -> tuple[DataFrame, s
     return common.materialise(docs.mapInArrow(run, ddl), "marked"), mark
 
 
+def rare_seeds(seeds: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """(seed, item, least): the seeds by which an item is looked for. A text that covers enough of an item shares ``need`` of its
+    windows at least, so the item's commonest seeds can stay out as long as they make fewer windows than that: whoever
+    shares enough shares one of the others. A phrase that a third of all texts and many items hold is among those."""
+    index = items.select("item", "item_words", "least", F.explode("seeds").alias("s")).select("item", "item_words", "least", "s.seed", "s.windows")
+    texts = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("texts"))
+    known = index.join(texts, "seed")
+    order = Window.partitionBy("item").orderBy(F.desc("texts"), "seed")
+    common_windows = F.sum("windows").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    need = F.ceil(F.lit(threshold) * F.col("item_words") / F.col("least"))
+    return known.withColumn("so_far", common_windows).filter(F.col("so_far") >= need).select("seed", "item", "least")
+
+
 def covered(found: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     """Written: (key, item, covered_words, item_words, n_tiles) of the texts (key, words, seeds) that cover an item by ``threshold``."""
     texts = common.materialise(found.dropDuplicates(["key"]), "texts")
-    index = items.select("item", "item_words", "least", F.explode("seeds").alias("s")).select("item", "item_words", "least", "s.seed", "s.windows")
-    met = texts.select("key", F.explode("seeds").alias("seed")).join(index, "seed").groupBy("key", "item", "item_words", "least").agg(F.sum("windows").alias("windows"))
-    # A window covers ``least`` words, so fewer windows cannot cover enough.
-    pairs = common.materialise(met.filter(F.col("windows") * F.col("least") >= F.lit(threshold) * F.col("item_words")).select("key", "item", "least"), "pairs")
+    seeds = texts.select("key", F.explode("seeds").alias("seed"))
+    met = seeds.join(rare_seeds(seeds, items, threshold), "seed").select("key", "item", "least").distinct()
+    pairs = common.materialise(met, "pairs")
     both_sides = pairs.join(texts.select("key", "words"), "key").join(items.select("item", F.col("words").alias("item_text")), "item").select("key", "item", "least", "words", "item_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for key, item, least, words, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = np.frombuffer(text, np.uint64)
-                laid = tiles(np.frombuffer(words, np.uint64), own, least)
+                own, doc = np.frombuffer(text, np.uint64), np.frombuffer(words, np.uint64)
+                if both(shingles(own, least), shingles(doc, least)).sum() * least < threshold * len(own):
+                    continue  # a window covers ``least`` words, so these cannot cover enough
+                laid = tiles(doc, own, least)
                 if laid and sum(laid) >= threshold * len(own):
                     out.append((key, item, sum(laid), len(own), len(laid)))
             kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32())
