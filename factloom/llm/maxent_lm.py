@@ -50,6 +50,8 @@ ROUNDS, RATE, BATCH = 2, 0.15, 16384
 SHORT = 16
 BLOCKS = 16
 CACHED_WORDS = 300_000
+#: Longer words are not remembered, so a worker's memory is bounded in bytes.
+CACHED_BYTES = 64
 RARE = (1 << 20) - 1
 END = b""
 
@@ -93,10 +95,12 @@ class Packed(dict):
         self.rank, self.own = rank, own
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHED_WORDS:
-            self.clear()
         place = self.own.get(word)
-        v = self[word] = zlib.crc32(word) << 28 | (suffix_place(word) if place is None else place) << 20 | self.rank.get(word, RARE)
+        v = zlib.crc32(word) << 28 | (suffix_place(word) if place is None else place) << 20 | self.rank.get(word, RARE)
+        if len(word) <= CACHED_BYTES:
+            if len(self) > CACHED_WORDS:
+                self.clear()
+            self[word] = v
         return v
 
 

@@ -35,6 +35,8 @@ END = 1
 LENGTH = 2048
 #: Words whose ids a worker remembers before it starts afresh; bounds its memory.
 CACHED_WORDS = 800_000
+#: Longer words are not remembered.
+CACHED_BYTES = 64
 #: New words that are coded in one call.
 TOGETHER = 128
 
@@ -73,6 +75,9 @@ class WordIds:
         self.learn(list(new.difference(self.known)))
         for words in split:
             yield b"".join(map(self.known.__getitem__, words)) + self.end
+        for word in new:
+            if len(word) > CACHED_BYTES:  # a text without white space is one word
+                del self.known[word]
 
 
 @functools.cache

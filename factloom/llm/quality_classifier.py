@@ -38,6 +38,8 @@ GRAMS = (3, 4, 5)
 STEPS, BATCH, RATE = 250, 64, 2.0
 THRESHOLD = 0.7
 CACHED_WORDS = 400_000
+#: Longer words are not remembered, so a worker's memory is bounded in bytes.
+CACHED_BYTES = 64
 #: Stands for a word that repeats the one before it.
 AGAIN = b"\x00again"
 
@@ -121,9 +123,11 @@ class WordSums(dict):
 
     def __missing__(self, word: bytes) -> complex:
         at = buckets(word)
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        v = self[word] = complex(float(self.table[at].sum()), len(at))
+        v = complex(float(self.table[at].sum()), len(at))
+        if len(word) <= CACHED_BYTES:
+            if len(self) > CACHED_WORDS:
+                self.clear()
+            self[word] = v
         return v
 
 

@@ -5,18 +5,21 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-CACHED_WORDS = 400_000
+#: Words that a worker remembers, and the bytes of the longest that it does: together they bound its memory.
+CACHED_WORDS, CACHED_BYTES = 400_000, 64
 # Odd multipliers of the shingle hash.
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
 class WordHash(dict):
-    """Maps a word's bytes to its 64-bit hash; keeps a bounded number of words."""
+    """Maps a word's bytes to its 64-bit hash; keeps a bounded number of bounded words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        v = self[word] = xxhash.xxh3_64_intdigest(word)
+        v = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= CACHED_BYTES:
+            if len(self) > CACHED_WORDS:
+                self.clear()
+            self[word] = v
         return v
 
 

@@ -38,6 +38,8 @@ from . import common, labelled
 SAMPLE = 8000
 THRESHOLD = 0.3
 CACHED_WORDS = 400_000
+#: Longer words are not remembered, so a worker's memory is bounded in bytes.
+CACHED_BYTES = 64
 # The closed word classes of the grammar, in the languages of the corpus.
 TARGETS = frozenset("you your you're he she him her they them tu toi vous votre ton du dich dein ihr ihn sie usted tú tu ustedes ellos".split())
 NEGATIONS = frozenset("not no never don't isn't aren't won't pas jamais ne nicht kein keine nie nunca jamás tampoco".split())
@@ -94,9 +96,11 @@ class Symbols(dict):
         bare = stripped(word)
         at = self.terms.get(bare, 0) or max((self.terms.get(bare[:n] + "*", 0) for n in STEMS if len(bare) >= n), default=0)
         at = at or (THREAT if bare in THREATS else TARGET if bare in TARGETS else NEGATION if bare in NEGATIONS else REPORT if bare in REPORTS else 0)
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        v = self[word] = at + (CLOSE if word.endswith(_ENDS) else 0)
+        v = at + (CLOSE if word.endswith(_ENDS) else 0)
+        if len(word) <= CACHED_BYTES:
+            if len(self) > CACHED_WORDS:
+                self.clear()
+            self[word] = v
         return v
 
 
