@@ -61,16 +61,26 @@ class Dataset:
 
     def verify_file(self, name: str) -> bool:
         """Whether a file still has the bytes that were ingested."""
-        import hashlib
-
-        with open(self.path(name), "rb") as f:
-            now = hashlib.file_digest(f, "sha256").hexdigest()
-        return f"sha256:{now}" == next(x["sha256"] for x in self.files if x["path"] == name)
+        try:
+            return files.digest_of(self.path(name)) == next(x["sha256"] for x in self.files if x["path"] == name)
+        except OSError:
+            return False
 
     def require_unchanged(self, name: str) -> None:
         if not self.verify_file(name):
             raise Refusal(f"{name!r} has changed since it was ingested", content_withheld=True)
 
+    def gated(self, name: str, df: DataFrame) -> DataFrame:
+        """The rows of a file for a scan: refused if the file has changed, and tested once more by the scan's own plan when it runs."""
+        self.require_unchanged(name)
+        sha256 = next(x["sha256"] for x in self.files if x["path"] == name)
+        return df.join(F.broadcast(files.gate(self.spark, self.path(name), sha256)), how="cross")  # one row or none
+
+    def verify_dataset(self) -> dict[str, object]:
+        """Whether the folder still is the dataset that was ingested, and which files were added, removed or changed."""
+        found = {r["path"]: r["change"] for r in self.drift().orderBy("path").collect()}
+        return {"dataset_id": self.dataset_id, "unchanged": not found, **{k: [p for p, c in found.items() if c == k] for k in ("added", "removed", "changed")}}
+
     def drift(self) -> DataFrame:
         then = self.spark.createDataFrame([(f["path"], f["sha256"]) for f in self.files], "path string, sha256 string")
         return files.drift(then, files.inventory(self.spark, self.root))
@@ -84,6 +94,7 @@ class Dataset:
     def texts(self) -> dict[str, str]:
         out = {}
         for p in self.metadata:
+            self.require_unchanged(p)
             with open(self.path(p), encoding="utf-8-sig", errors="strict") as f:
                 out[p] = f.read()
         return out
@@ -242,6 +253,7 @@ def ingest(spark: SparkSession, root: str, convention: conventions.Convention |
     ``blocks.parse_layouts``); a declaration that fits no table is refused before anything is registered."""
     declared = blocks.parse_layouts(layouts) if layouts is not None else {}
     listed = [r.asDict() for r in files.inventory(spark, root).orderBy("path").collect() if not any(x in r["path"].split("/") for x in excludes)]
+    unreadable, listed = [f["path"] for f in listed if f["sha256"] is None], [f for f in listed if f["sha256"] is not None]
     identity = files.dataset_id(spark.createDataFrame([(f["path"], f["sha256"]) for f in listed], "path string, sha256 string")) if listed else "sha256:" + files.hashlib.sha256(b"").hexdigest()
     sheets = {f["path"]: list(workbook.Workbook(os.path.join(root, f["path"])).sheets) for f in listed if f["format"] == "xlsx"}
     there = {f["path"] for f in listed if f["format"] in ("csv", "tsv")} | {f"{p}#{s}" for p, names in sheets.items() for s in names}
@@ -253,10 +265,16 @@ def ingest(spark: SparkSession, root: str, convention: conventions.Convention |
         convention = conventions.from_datapackage(document) if isinstance(document, dict) else None
     convention = convention or conventions.DEFAULT
     engine, metadata, unread, claims = Engine(spark, identity, convention), {}, [], []
-    warnings = [f"{p}: left out ({why})" for p, why in files.skipped(root)]
+    warnings = [f"{p}: left out ({why})" for p, why in files.skipped(root)] + [f"{p}: cannot be read" for p in unreadable]
     profiles: dict[str, list[dict]] = {}
     laid: dict[str, blocks.Laid] = {}
     held: dict[str, DataFrame] = {}
+    opened: list[Dataset] = []  # the dataset whose tables these are, once it is made
+
+    def register(name: str, df: DataFrame, locator: str | None = None) -> None:
+        file = name.split("#", 1)[0]
+        engine.register(name, df, locator, gate=lambda rows: opened[0].gated(file, rows) if opened else rows)
+
     item = lambda check, result, source: [{"check": check, "result": result, "source": source}]
 
     def table(name: str, records: DataFrame, sheet: bool = False) -> None:
@@ -269,7 +287,7 @@ def ingest(spark: SparkSession, root: str, convention: conventions.Convention |
             laid[key], held[key] = one, records
             if not sheet and (odd := one.ragged.count()):
                 warnings.append(f"{key}: {odd} row(s) do not have {len(names)} fields")
-            engine.register(key, typed(one.df, profiles[key], convention), "_source_row")
+            register(key, typed(one.df, profiles[key], convention), "_source_row")
             claims.extend(evidence.table_claims(key, profiles[key], sheet))
             claims.append((f"the header of {key} is {one.source} at row {one.header_row}", key, item("layout.block" if block and block.name else "layout.declaration" if block else "table.header-layout", one.header_row, key)))
 
@@ -307,13 +325,14 @@ def ingest(spark: SparkSession, root: str, convention: conventions.Convention |
             claims.append((f"no reader takes {path}", path, item("workbook.reader-unavailable", kind, path)))
         elif kind == "boris":
             p = behaviour.projects(spark, f"file://{os.path.abspath(full)}")
-            engine.register(f"{path}#observations", behaviour.observations(p).drop("file"))
-            engine.register(f"{path}#ethogram", behaviour.ethogram(p).drop("file"))
+            register(f"{path}#observations", behaviour.observations(p).drop("file"))
+            register(f"{path}#ethogram", behaviour.ethogram(p).drop("file"))
             if all(r["sound"] for r in behaviour.well_formed(p).collect()):
-                engine.register(f"{path}#events", behaviour.events(p).drop("file"))
-                engine.register(f"{path}#intervals", behaviour.intervals(p).drop("file"))
+                register(f"{path}#events", behaviour.events(p).drop("file"))
+                register(f"{path}#intervals", behaviour.intervals(p).drop("file"))
                 claims.append((f"events of {path} are paired into intervals", path, item("boris.interval-pairing", "paired", path)))
             else:
                 warnings.append(f"{path}: some events have another shape, so neither events nor intervals are read")
                 claims.append((f"events of {path} are not profiled", path, item("boris.unprofiled", "event shape", path)))
-    return Dataset(os.path.abspath(root), listed, identity, convention, engine, metadata, tuple(unread), evidence.record(claims), warnings, profiles, spark, laid, held)
+    opened.append(Dataset(os.path.abspath(root), listed, identity, convention, engine, metadata, tuple(unread), evidence.record(claims), warnings, profiles, spark, laid, held))
+    return opened[0]

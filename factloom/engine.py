@@ -7,7 +7,7 @@ here every scan is distributed and complete.
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,12 +35,17 @@ class Engine:
     def __init__(self, spark: SparkSession, dataset: str = "dataset", convention: Convention = DEFAULT) -> None:
         self.spark, self.dataset, self.convention = spark, dataset, convention
         self._tables: dict[str, Table] = {}
+        self._gates: dict[str, Callable[[DataFrame], DataFrame]] = {}
         self._crosswalks: dict[str, identity.Crosswalk] = {}
         self._relationships: dict[str, dict] = {}
 
     # Catalogue
-    def register(self, name: str, df: DataFrame, locator: str | None = None, scales: Mapping[str, int] | None = None) -> Table:
+    def register(self, name: str, df: DataFrame, locator: str | None = None, scales: Mapping[str, int] | None = None, gate: Callable[[DataFrame], DataFrame] | None = None) -> Table:
+        """``gate`` is asked whenever the table is read; it refuses, or gives the rows to read."""
         self._tables[name] = Table(name, df, locator, dict(scales or {}))
+        self._gates.pop(name, None)
+        if gate:
+            self._gates[name] = gate
         return self._tables[name]
 
     def register_crosswalk(self, name: str, content: bytes) -> identity.Crosswalk:
@@ -53,7 +58,8 @@ class Engine:
     def table(self, name: str) -> Table:
         if name not in self._tables:
             raise QueryLookupError(f"unknown table {name!r}; available: {self.list_tables()}")
-        return self._tables[name]
+        t = self._tables[name]
+        return dataclasses.replace(t, df=self._gates[name](t.df)) if name in self._gates else t
 
     def crosswalk(self, name: str | None) -> DataFrame | None:
         if name is None:
@@ -148,7 +154,7 @@ class Engine:
                 good.append(d)
             except QueryLookupError as e:
                 self.skipped.append({"declaration": dict(d), "reason": str(e)})
-        found = relationships.build(self.spark, self.dataset, self._tables, good, self._crosswalks, self.skipped)
+        found = relationships.build(self.spark, self.dataset, {n: self.table(n) for n in self._tables}, good, self._crosswalks, self.skipped)
         self._relationships = {r["id"]: r for r in found}
         return found
 

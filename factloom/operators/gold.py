@@ -178,14 +178,34 @@ def group_stats(df: DataFrame, unit: str, by: str, value: str, reduce: str = "me
     return units.groupBy(F.col("g0").alias(by)).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), (F.stddev_samp("v") / F.sqrt(F.count(F.lit(1)))).alias("sem"))
 
 
-def compare(a: DataFrame, b: DataFrame, key: str, value: str, tolerance: float = 0.0) -> DataFrame:
-    """One row: keys compared, mismatching, only in a, only in b. Each side holds one value per key."""
-    x = a.select(F.col(key), F.col(value).alias("x")).where(F.col(key).isNotNull()).groupBy(key).agg(F.max("x").alias("x"), F.lit(True).alias("in_a"))
-    y = b.select(F.col(key), F.col(value).alias("y")).where(F.col(key).isNotNull()).groupBy(key).agg(F.max("y").alias("y"), F.lit(True).alias("in_b"))
-    both = x.join(y, key, "full_outer")
+def repeated(df: DataFrame, key: str) -> DataFrame:
+    """(key, n): keys that stand in more than one row; a comparison by that key has to say how to reduce them."""
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def keyed_values(df: DataFrame, key: str, value: str, reduce: str | None, name: str, scale: int = 12) -> DataFrame:
+    """One value a key. Without ``reduce`` a repeated key fails the query; with it (sum or mean) a row without a number does."""
+    if reduce not in (None, "sum", "mean"):
+        raise QueryValidationError(f"reduce is sum or mean; got {reduce!r}")
+    n, kind = F.count(F.lit(1)), df.schema[value].dataType
+    if reduce:
+        total = exact_sum(F.col(value), kind, scale)
+        fault, v = F.count(value) < n, total if reduce == "sum" else total / F.count(value)
+        why = F.lit(f"a row of this unit has no number in {value}: ")
+    else:
+        fault, v, why = n > 1, F.max(value), F.lit("a key repeats and no reduce is declared: ")
+    text = F.coalesce(F.first(F.col(key)).cast("string"), F.lit(""))
+    rows = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key"))
+    return rows.agg(F.when(fault, F.raise_error(F.concat(why, text)).cast(kind if not reduce else "double")).otherwise(v).alias(name), F.lit(True).alias(f"in_{name}"))
+
+
+def compare(a: DataFrame, b: DataFrame, key: str, value: str, tolerance: float = 0.0, reduce: str | None = None, reduce_b: str | None = None) -> DataFrame:
+    """One row: keys compared, mismatching, only in a, only in b. Each side holds one value per key, or says how its rows become one."""
+    x, y = keyed_values(a, key, value, reduce, "x"), keyed_values(b, key, value, reduce_b or reduce, "y")
+    both = x.join(y, "__key", "full_outer")
     differ = ~F.col("x").eqNullSafe(F.col("y")) if not tolerance else F.coalesce(F.abs(F.col("x") - F.col("y")) > tolerance, ~F.col("x").eqNullSafe(F.col("y")))
-    shared = F.col("in_a").isNotNull() & F.col("in_b").isNotNull()
-    return both.agg(F.count_if(shared).alias("compared"), F.count_if(shared & differ).alias("mismatches"), F.count_if(F.col("in_b").isNull()).alias("only_in_a"), F.count_if(F.col("in_a").isNull()).alias("only_in_b"))
+    shared = F.col("in_x").isNotNull() & F.col("in_y").isNotNull()
+    return both.agg(F.count_if(shared).alias("compared"), F.count_if(shared & differ).alias("mismatches"), F.count_if(F.col("in_y").isNull()).alias("only_in_a"), F.count_if(F.col("in_x").isNull()).alias("only_in_b"))
 
 
 def consistency(tables: Sequence[DataFrame], key: str, value: str) -> DataFrame:

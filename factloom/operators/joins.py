@@ -20,6 +20,10 @@ KINDS = ("inner", "left")
 def _checked(left: Table, right: Table, left_keys: Sequence[str], right_keys: Sequence[str], how: str) -> None:
     if how not in KINDS:
         raise QueryValidationError(f"a join is one of {list(KINDS)}; got {how!r}")
+    checked_keys(left, right, left_keys, right_keys)
+
+
+def checked_keys(left: Table, right: Table, left_keys: Sequence[str], right_keys: Sequence[str]) -> None:
     if not left_keys or len(left_keys) != len(right_keys):
         raise QueryValidationError("left_keys and right_keys must be of one length and not empty")
     left.require(*left_keys)

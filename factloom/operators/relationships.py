@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,21 +13,37 @@ from pyspark.sql.window import Window
 
 from ..errors import QueryValidationError
 from ..types import Table
-from . import identity, joins
-from .profile import SUBJECT_NAMES, normal_name, profile
+from . import identity, inclusion, joins
+from .profile import SUBJECT_NAMES
 
 CARDINALITIES = ("one_to_one", "one_to_many", "many_to_one", "many_to_many")
 EXAMPLES = 10
 
 
+def plain_name(name: str) -> str:
+    """``normal_name`` of a column that is at hand."""
+    return re.sub(r"[^a-z0-9]+", "_", name.lower()).strip("_")
+
+
+def named_once(table: Table) -> dict[str, str]:
+    """normalised name: column; names that two columns of the table share drop out."""
+    names = [plain_name(c) for c in table.columns]
+    return {n: c for n, c in zip(names, table.columns, strict=True) if names.count(n) == 1}
+
+
+def name_pairs(tables: Mapping[str, Table]) -> list[tuple[str, str, str, str, str]]:
+    """(left, right, left_key, right_key, normal) of all columns of two tables that share a normalised name; from the schemas alone."""
+    names = {t: named_once(table) for t, table in sorted(tables.items())}
+    return [(a, b, names[a][n], names[b][n], n) for a in names for b in names if a < b for n in names[a] if n in names[b]]
+
+
 def column_facts(tables: Mapping[str, Table]) -> DataFrame:
-    """(table, name, normal, unique) over all tables; names that two columns of a table share once normalised drop out."""
-    out = None
-    for key, t in tables.items():
-        part = profile(t.df, t.columns).select(F.lit(key).alias("table"), "name", normal_name(F.col("name")).alias("normal"), ((F.col("n_distinct") == F.col("n_values")) & (F.col("n_values") > 0)).alias("unique"))
-        out = part if out is None else out.unionByName(part)
-    once = out.groupBy("table", "normal").agg(F.count(F.lit(1)).alias("k"), F.first("name").alias("name"), F.first("unique").alias("unique")).where("k = 1")
-    return once.drop("k")
+    """(table, name, normal, unique) over all tables; names that two columns of a table share once normalised drop out. One grouping
+    of the values of all columns tells which are unique."""
+    spark = next(iter(tables.values())).df.sparkSession
+    probes = {(t, n): inclusion.Probe(t, (c,), True) for t, table in tables.items() for n, c in named_once(table).items()}
+    facts, _ = inclusion.measure(tables, list(probes.values()), [])
+    return spark.createDataFrame([(t, p.keys[0], n, facts[p].unique) for (t, n), p in probes.items()], "table string, name string, normal string, unique boolean")
 
 
 def candidates(facts: DataFrame) -> DataFrame:
@@ -133,35 +150,44 @@ def collisions(left: Table, right: Table, d: Mapping, crosswalk: DataFrame | Non
 
 def build(spark: SparkSession, dataset: str, tables: Mapping[str, Table], declarations: Sequence[Mapping] = (), crosswalks: Mapping[str, identity.Crosswalk] | None = None, skipped: list[dict] | None = None) -> list[dict]:
     """Declared relationships first, then candidates with overlap; a candidate of a declared pair is left out. The number of
-    relationships is that of table pairs, so the records are driver-side."""
-    out, seen = [], set()
+    relationships is that of table pairs, so the records are driver-side; all of them are assessed by one grouping of key values
+    (``inclusion``). Only keys that a mapping makes are tested for collisions one by one."""
+    sides, asked = dict(tables), []
     for i, d in enumerate(declarations):
         checked(d, i)
         left, right, mapping = tables[d["left"]], tables[d["right"]], mapping_of(d)
         walk = (crosswalks or {}).get(mapping.get("crosswalk"))
+        rows = walk.rows(spark) if walk else None
         try:
             if mapping:
-                rows = walk.rows(spark) if walk else None
                 compared = joins.resolved_sides(left, right, d["left_keys"], d["right_keys"], rows, d.get("left_key_format"), d.get("right_key_format"))
-                facts = assess(*compared, ["__space", "__key"], ["__space", "__key"]).first().asDict()
-                bad = collisions(left, right, d, rows)
+                probes = []
+                for side, t in zip(("left", "right"), compared, strict=True):
+                    sides[f"{side} of {i}"] = t
+                    probes.append(inclusion.Probe(f"{side} of {i}", ("__space", "__key")))
             else:
-                facts, bad = assess(left, right, d["left_keys"], d["right_keys"]).first().asDict(), 0
+                joins.checked_keys(left, right, d["left_keys"], d["right_keys"])
+                probes = [inclusion.Probe(d["left"], tuple(d["left_keys"])), inclusion.Probe(d["right"], tuple(d["right_keys"]))]
         except QueryValidationError as e:
             if skipped is None:
                 raise
             skipped.append({"declaration": dict(d), "reason": str(e)})
             continue
-        state, why = status(facts, d.get("status", "declared"), d.get("expected_cardinality"), bad)
-        about = mapping | ({"crosswalk_sha256": walk.sha256} if walk else {})
-        rid = relationship_id(dataset, d["left"], d["right"], d["left_keys"], d["right_keys"], about)
+        asked.append((d, mapping, walk, tuple(probes)))
+    named = [(*c, *(inclusion.Probe(t, (k,), cells) for cells in (False, True) for t, k in ((c[0], c[2]), (c[1], c[3])))) for c in name_pairs(tables)]
+    unique = [p for c in named if c[4] not in SUBJECT_NAMES for p in c[7:]]
+    facts, shared = inclusion.measure(sides, unique, [p for *_, p in asked] + [(c[5], c[6]) for c in named])
+    out, seen = [], set()
+    for d, mapping, walk, (a, b) in asked:
+        about = inclusion.assessed(facts[a], facts[b], shared[a, b])
+        bad = collisions(tables[d["left"]], tables[d["right"]], d, walk.rows(spark) if walk else None) if mapping else 0
+        state, why = status(about, d.get("status", "declared"), d.get("expected_cardinality"), bad)
+        rid = relationship_id(dataset, d["left"], d["right"], d["left_keys"], d["right_keys"], mapping | ({"crosswalk_sha256": walk.sha256} if walk else {}))
         seen.add(rid)
-        out.append({"id": rid, "status": state, "rejection_reasons": why, "mapping": mapping, "crosswalk_sha256": walk.sha256 if walk else None, **{k: d[k] for k in ("left", "right", "left_keys", "right_keys")}, **facts})
-    for c in candidates(column_facts(tables)).orderBy("left", "right", "normal").collect():
-        rid = relationship_id(dataset, c["left"], c["right"], [c["left_key"]], [c["right_key"]])
-        if rid in seen:
+        out.append({"id": rid, "status": state, "rejection_reasons": why, "mapping": mapping, "crosswalk_sha256": walk.sha256 if walk else None, **{k: d[k] for k in ("left", "right", "left_keys", "right_keys")}, **about})
+    for left, right, left_key, right_key, normal, a, b, *own in sorted(named, key=lambda c: (c[0], c[1], c[4])):
+        rid = relationship_id(dataset, left, right, [left_key], [right_key])
+        if rid in seen or not shared[a, b].keys or not (normal in SUBJECT_NAMES or any(facts[p].unique for p in own)):
             continue
-        facts = assess(tables[c["left"]], tables[c["right"]], [c["left_key"]], [c["right_key"]]).first().asDict()
-        if facts["matched_keys"]:
-            out.append({"id": rid, "status": "candidate", "rejection_reasons": [], "mapping": {}, "crosswalk_sha256": None, "left": c["left"], "right": c["right"], "left_keys": [c["left_key"]], "right_keys": [c["right_key"]], **facts})
+        out.append({"id": rid, "status": "candidate", "rejection_reasons": [], "mapping": {}, "crosswalk_sha256": None, "left": left, "right": right, "left_keys": [left_key], "right_keys": [right_key], **inclusion.assessed(facts[a], facts[b], shared[a, b])})
     return out

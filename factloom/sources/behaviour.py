@@ -54,7 +54,7 @@ def well_formed(p: DataFrame) -> DataFrame:
 
 def intervals(p: DataFrame) -> DataFrame:
     """(file, observation_id, subject, behavior, modifiers, start, stop, …): events paired per observation, subject, behaviour and
-    modifiers; a code whose definitions contradict each other is untyped."""
-    kinds = pairing.ethogram(ethogram(p).select(F.col("code"), "type", "category")).select(F.col("code").alias("behavior"), "type", "category")
-    typed = events(p).join(kinds, "behavior", "left")  # an ethogram holds the codes of one project
+    modifiers; a code whose definitions contradict each other within its project is untyped. Projects do not share ethograms."""
+    kinds = pairing.ethogram(ethogram(p), ["file"]).select("file", F.col("code").alias("behavior"), "type", "category")
+    typed = events(p).join(kinds, ["file", "behavior"], "left")
     return pairing.pair(typed, ["file", "observation_id", "subject", "behavior", "modifiers"])

@@ -9,8 +9,10 @@ import json
 import os
 import zipfile
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +30,9 @@ EXTENSIONS = {
 }
 CONTAINERS = {"zip": {"xlsx", "xlsb", "ods", "docx", "pptx", "zip"}, "hdf5": {"hdf5", "nwb", "matlab"}, "gzip": {"gzip", "nifti"}}
 
+#: Bytes of a file that are held at a time.
+BLOCK = 1 << 20
+
 
 def walk(root: str, excluded: frozenset[str] = EXCLUDED) -> Iterator[str]:
     """Relative paths in order; links are never followed."""
@@ -51,21 +56,47 @@ def skipped(root: str, excluded: frozenset[str] = EXCLUDED) -> list[tuple[str, s
     return out
 
 
+def digest_of(path: str) -> str:
+    """The digest of a file's bytes, read in blocks."""
+    with open(path, "rb") as f:
+        return "sha256:" + hashlib.file_digest(f, "sha256").hexdigest()
+
+
 def inventory(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size, sha256, format, conflict): every file hashed in parallel by the executors."""
+    """(path, size, sha256, format, conflict): files are read in blocks by the executors, whatever their size; a file that cannot be read
+    has neither digest nor format."""
     base = os.path.abspath(root)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{base}")
-    path = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + _quoted(base) + "/", "")
-    parts = F.split(path, "/")
-    rows = raw.select(path.alias("path"), F.col("length").alias("size"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("sha256"), F.col("content"))
-    rows = rows.where(~F.arrays_overlap(parts, F.array(*[F.lit(x) for x in sorted(EXCLUDED)])))
-    return rows.select("path", "size", "sha256", _format("path", "content").alias("detected")).select("path", "size", "sha256", "detected.format", "detected.conflict")
+    paths = spark.createDataFrame([(p,) for p in walk(base)], "path string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for path in batch.column(0).to_pylist():
+                full = os.path.join(base, path)
+                try:
+                    with open(full, "rb") as f:
+                        found = detect(path, f)
+                    out.append((path, os.path.getsize(full), digest_of(full), *found))
+                except OSError:
+                    out.append((path, None, None, None, False))
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 5, kinds, strict=True)], names=["path", "size", "sha256", "format", "conflict"])
 
+    tasks = spark.sparkContext.defaultParallelism * 4
+    return paths.repartition(tasks, "path").mapInArrow(run, "path string, size long, sha256 string, format string, conflict boolean")
 
-def _quoted(text: str) -> str:
-    import re
 
-    return re.sub(r"([.^$*+?()\[\]{}|\\])", r"\\\1", text)
+def gate(spark: SparkSession, path: str, sha256: str) -> DataFrame:
+    """One row without columns, or a failed task where the file is not the one of that digest: joined to a scan it makes the test a part
+    of the scan's own plan."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows and digest_of(path) != sha256:
+                raise ValueError(f"content_withheld: {path} has changed since it was ingested")
+            yield batch
+
+    return spark.range(1, numPartitions=1).mapInArrow(run, "id long").select()
 
 
 @F.pandas_udf(T.StructType([T.StructField("format", T.StringType()), T.StructField("conflict", T.BooleanType())]))
@@ -73,37 +104,50 @@ def _format(path: pd.Series, content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([detect(p, c) for p, c in zip(path, content, strict=True)], columns=["format", "conflict"])
 
 
-def detect(path: str, content: bytes) -> tuple[str, bool]:
-    """The format by signature before extension, and whether the two contradict each other."""
+def detect(path: str, content: bytes | BinaryIO) -> tuple[str, bool]:
+    """The format by signature before extension, and whether the two contradict each other; from bytes, or a file that is read as far
+    as it has to be."""
+    f = io.BytesIO(content) if isinstance(content, bytes | bytearray | memoryview) else content
+    head = f.read(64)
     named = EXTENSIONS.get(path.rsplit(".", 1)[-1].lower() if "." in path else "", "unknown")
-    magic = next((f for sig, f in MAGIC.items() if content.startswith(sig)), None)
+    magic = next((kind for sig, kind in MAGIC.items() if head.startswith(sig)), None)
     if magic == "zip":
-        inside = _zip_kind(content)
+        inside = _zip_kind(f)
         return (inside, named != "unknown" and named != inside) if inside != "zip" else (named if named in CONTAINERS["zip"] else "zip", named not in {"unknown", *CONTAINERS["zip"]})
     if magic == "ole2":
-        inside = _ole2_kind(content)
+        inside = _ole2_kind(f)
         return inside, named not in {"unknown", inside}
     if magic in CONTAINERS:
         fits = named in CONTAINERS[magic]
         return (named if fits else magic), not fits and named != "unknown"
     if magic:
         return magic, named not in {"unknown", magic}
-    if named == "boris" or (named == "json" and b"behaviors_conf" in content):
-        return ("boris" if is_project(content) else "json"), named == "boris" and not is_project(content)
+    if named == "boris" or (named == "json" and holds(f, b"behaviors_conf")):
+        f.seek(0)
+        project = is_project(f.read())
+        return ("boris" if project else "json"), named == "boris" and not project
     return named, named in {"png", "jpeg", "pdf", "xlsx", "parquet"}
 
 
-def _ole2_kind(content: bytes) -> str:
+def holds(f: BinaryIO, *wanted: bytes) -> bytes | None:
+    """The first of some byte strings, in the order given, that a file holds; read in blocks."""
+    f.seek(0)
+    found, rest, longest = set(), b"", max(map(len, wanted))
+    while block := f.read(BLOCK):
+        found |= {w for w in wanted if w in rest + block}
+        rest = (rest + block)[1 - longest :] if longest > 1 else b""
+    return next((w for w in wanted if w in found), None)
+
+
+def _ole2_kind(f: BinaryIO) -> str:
     """What a compound file holds, by the names of its streams, which stand in its directory as UTF-16."""
-    for kind, streams in (("xls", ("Workbook", "Book")), ("doc", ("WordDocument",)), ("ppt", ("PowerPoint Document",))):
-        if any(s.encode("utf-16-le") + b"\0\0" in content for s in streams):
-            return kind
-    return "ole2"
+    streams = {s.encode("utf-16-le") + b"\0\0": kind for s, kind in (("Workbook", "xls"), ("Book", "xls"), ("WordDocument", "doc"), ("PowerPoint Document", "ppt"))}
+    return streams.get(holds(f, *streams), "ole2")
 
 
-def _zip_kind(content: bytes) -> str:
+def _zip_kind(f: BinaryIO) -> str:
     try:
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
+        with zipfile.ZipFile(f) as z:
             names = set(z.namelist())
             if "xl/workbook.xml" in names:
                 return "xlsx"
