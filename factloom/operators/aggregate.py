@@ -13,6 +13,7 @@ from ..errors import QueryValidationError, Refusal
 from ..types import Table
 from . import filters as filtering
 from . import metrics as measuring
+from . import selection
 
 MOST_SAMPLE, ROWS_A_UNIT, LISTED_UNITS = 500, 20, 100
 POLICIES = ("refuse", "exclude")
@@ -29,10 +30,24 @@ def aggregate(table: Table, metrics: Sequence[dict], group_by: Sequence[str] = (
     table.require(*group_by)
     specs = measuring.validated(table, metrics)
     rows = filtering.filtered(table, filters)
-    cols = measuring.expressions(table, specs, reasons)
-    if not group_by:
-        return rows.agg(*cols)
-    return rows.groupBy(*[F.col(f"`{g}`") for g in group_by]).agg(*cols)
+    return grouped(dataclasses.replace(table, df=rows), specs, group_by, measuring.expressions(table, specs, reasons))
+
+
+def grouped(table: Table, specs: Sequence[dict], group_by: Sequence[str], cols: Sequence[Column]) -> DataFrame:
+    """All columns by group. Medians are selected apart where groups may be large (see ``selection``) and joined by group."""
+    rows, middles = table.df, [s for s in specs if s["op"] == "median"]
+    if not middles or not any(selection.has_large(rows, group_by, s["column"]) for s in middles):
+        return rows.groupBy(*[F.col(f"`{g}`") for g in group_by]).agg(*cols) if group_by else rows.agg(*cols)
+    apart = {s["name"] for s in middles}
+    rest = [c for s, c in zip(specs, cols, strict=False) if s["name"] not in apart] + list(cols[len(specs) :])
+    rest = rest or [F.count(F.lit(1)).alias("__n")]
+    out = rows.groupBy(*[F.col(f"`{g}`").alias(f"__g{i}") for i, g in enumerate(group_by)]).agg(*rest) if group_by else rows.agg(*rest)
+    for s in middles:
+        m = selection.medians(rows, group_by, s["column"], "__m").toDF(*[f"__k{i}" for i in range(len(group_by))], s["name"])
+        own = [f"__k{i}" for i in range(len(group_by))]
+        out = out.join(m, selection.same(out, m, [(f"__g{i}", k) for i, k in enumerate(own)])).drop(*own) if own else out.join(m, how="cross")  # one row each
+    shown = [*(s["name"] for s in specs), *(c for c in out.columns if c.endswith(":reason"))]
+    return out.select(*[F.col(f"__g{i}").alias(g) for i, g in enumerate(group_by)], *[F.col(f"`{c}`") for c in shown])
 
 
 def ordered(table: Table, groups: DataFrame, group_by: Sequence[str]) -> DataFrame:
