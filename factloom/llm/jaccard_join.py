@@ -14,15 +14,16 @@ informative: documents as pivots create Voronoi regions, a document is replicate
 own pivot (the triangle inequality), and regions split again until they are small; small ones are compared as sparse matrices. A
 pair that several groups hold counts in the one with the smallest pivot. All links are exact; none is missed.
 
-Scale: equal sets are one node from the start. Regions only ever leave (node, smallest node) rows. Sets are shipped for nodes of
-areas only: the text scan asks a Bloom filter of fixed size, whose errors cost traffic and change no result. Groups above
+Scale: equal sets are one node from the start. One pass over the texts gives the rows of the documents and of the regions; regions only
+ever leave (node, smallest node) rows. Sets are made once more and shipped for nodes of areas only: the second scan hashes each
+text and asks a bit table of fixed size, whose errors cost traffic and change no result. Groups above
 ``GROUP_DOCS`` documents are cut into blocks that meet pairwise, each pair a task of its own, so no task holds an unbounded group;
 links leave a task as a spanning forest with counts per node.
 
 Defined cases: a set has the distinct shingles of a text, the whole word sequence where it has fewer words than a shingle,
 and is empty without words; empty sets link with nothing, not even each other; null text is empty; rows that repeat or
 share a text are one node and report the same component; of null ids the smallest other id is taken; extra columns are
-ignored. Nodes are half of the set's 128-bit digest, and the other half is compared (see ``sets``).
+ignored. Nodes are half of the set's 128-bit digest, and the other half is compared (see ``survey``).
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,7 +48,7 @@ from .shingles import WordHash, hashes, mixed, shingles, words_of
 AREA_DOCS = 256
 #: A group with more documents, or more shingles in all, is cut into blocks.
 GROUP_DOCS, GROUP_SHINGLES = 1024, 1_500_000
-#: Bits of the filter that says whether a node may lie in an area.
+#: Bits of the filter that says whether a text may be needed.
 FILTER_BITS = 1 << 23
 #: Documents that are compared as one matrix.
 LEAF = 384
@@ -176,46 +178,45 @@ def hot_shingles(docs: DataFrame, n: int, rows: int) -> np.ndarray:
     return np.sort(np.array([r[0] for r in found.select("shingle").collect()], np.int64).view(np.uint64))
 
 
-def sets(docs: DataFrame, n: int, shared: frozenset[int] = frozenset()) -> tuple[DataFrame, frozenset[int]]:
-    """Written: doc_id, n_shingles, node (null for the empty set); and the low halves of digests that different sets share.
+def key_of(text: bytes) -> int:
+    """A text's own hash: by it later passes tell which texts they need, before they make any set."""
+    return xxhash.xxh3_64_intdigest(text) >> 1
 
-    A node is half a digest, and every node's other half is compared: where halves meet, which some ten in 10^10 sets do, those
-    sets are named by their other half instead. Only such halves reach the driver."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
-        for batch in batches:
-            found = [set_of(t.as_py(), n, known) for t in batch.column(1)]
-            digests = [xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else None for s in found]
-            nodes = [node_of(s, shared) if len(s) else None for s in found]
-            rest = [d >> 65 if d is not None else None for d in digests]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array(nodes, pa.int64()), pa.array(rest, pa.int64())], names=["doc_id", "n_shingles", "node", "rest"])
-
-    rows = common.materialise(_texts(docs).mapInArrow(run, "doc_id long, n_shingles long, node long, rest long"), "sets")
-    met = rows.filter("node is not null").groupBy("node").agg(F.min("rest").alias("a"), F.max("rest").alias("b")).filter("a != b")
-    found = frozenset(r["node"] for r in met.select("node").collect())
-    if not found:
-        return rows.drop("rest"), shared
-    if shared:
-        raise ValueError("sets share both halves of their digests")
-    return sets(docs, n, found)
+def raw(column: pa.Array) -> list[bytes]:
+    return column.cast(pa.binary()).to_pylist()
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
+SURVEY = "region long, node long, doc_id long, n_shingles long, rest long, text long"
 
 
-def region_edges(docs: DataFrame, n: int, similarity: Similarity, hot: np.ndarray, shared: frozenset[int] = frozenset()) -> DataFrame:
-    """Written: (a, b) where b is the smallest node of a region that holds a."""
-    held = docs.sparkSession.sparkContext.broadcast(hot)
+def survey(docs: DataFrame, n: int, similarity: Similarity | None = None, hot: np.ndarray | None = None, shared: frozenset[int] = frozenset()) -> tuple[DataFrame, DataFrame, frozenset[int]]:
+    """By one pass over the texts, two written tables: a row a document (doc_id, n_shingles, node, null for the empty set, text: its
+    text's hash), and (a, b) where b is the smallest node of a region that holds a; and the halves of digests that sets share.
+
+    Document rows travel with those of the regions, each under a key of its own, so texts are split and hashed once. A node is half a digest, and every node's
+    other half is compared: where halves meet, which some ten in 10^10 sets do, those sets are named by their other half
+    instead and the pass is made again. Only such halves reach the driver."""
+    held = docs.sparkSession.sparkContext.broadcast(hot if hot is not None else np.zeros(0, np.uint64))
+    names = [x.split(" ")[0] for x in SURVEY.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, classes, seen = WordHash(), Classes(similarity), set()
-        for texts in (batch.column(1).slice(k, DOCS_A_TIME) for batch in batches for k in range(0, batch.num_rows, DOCS_A_TIME)):
+        known, classes, seen = WordHash(), Classes(similarity) if similarity else None, set()
+        at = TaskContext.get().partitionId() << 33
+        for ids, texts in ((batch.column(0).slice(k, DOCS_A_TIME), batch.column(1).slice(k, DOCS_A_TIME)) for batch in batches for k in range(0, batch.num_rows, DOCS_A_TIME)):
+            found = [set_of(t.as_py(), n, known) for t in texts]
+            digests = [xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else None for s in found]
+            nodes = [node_of(s, shared) if len(s) else None for s in found]
+            count = len(found)
+            own = mixed(np.arange(at, at + count, dtype=np.uint64))
+            at += count
+            none = pa.nulls(count, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(nodes, pa.int64()), ids, pa.array([len(s) for s in found], pa.int64()), pa.array([d >> 65 if d is not None else None for d in digests], pa.int64()), pa.array([key_of(t) for t in raw(texts)], pa.int64())], names=names)
+            if not similarity:
+                continue
             where, who = [], []
-            for t in texts:
-                s = set_of(t.as_py(), n, known)
-                if not len(s) or (node := node_of(s, shared)) in seen:
+            for s, node in zip(found, nodes, strict=True):
+                if node is None or node in seen:
                     continue
                 if len(seen) >= REMEMBERED:
                     seen.clear()
@@ -226,12 +227,36 @@ def region_edges(docs: DataFrame, n: int, similarity: Similarity, hot: np.ndarra
             if where:
                 where, who = np.concatenate(where), np.concatenate(who)
                 for k in range(0, len(where), ROWS_A_TIME):
-                    yield pa.RecordBatch.from_arrays([pa.array(where[k : k + ROWS_A_TIME]), pa.array(who[k : k + ROWS_A_TIME])], names=["region", "node"])
+                    part = where[k : k + ROWS_A_TIME]
+                    none = pa.nulls(len(part), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(who[k : k + ROWS_A_TIME]), none, none, none, none], names=names)
+
+    rows = _texts(docs).mapInArrow(run, SURVEY)
+    if similarity:
+        least = F.min("node").over(Window.partitionBy("region"))
+        rows = rows.withColumn("b", least).filter(F.col("text").isNotNull() | (F.col("node") != F.col("b"))).drop("region")
+    else:
+        rows = rows.withColumn("b", F.col("node")).drop("region")
+    rows = common.materialise(rows, "survey")
+    of_docs = rows.filter("text is not null")
+    met = of_docs.filter("node is not null").groupBy("node").agg(F.min("rest").alias("a"), F.max("rest").alias("b")).filter("a != b")
+    clash = frozenset(r["node"] for r in met.select("node").collect())
+    if clash and shared:
+        raise ValueError("sets share both halves of their digests")
+    if clash:
+        return survey(docs, n, similarity, hot, clash)
+    edges = rows.filter("text is null").select(F.col("node").alias("a"), "b").distinct()
+    return of_docs.select("doc_id", "n_shingles", "node", "text"), edges, shared
+
 
-    placed = _texts(docs).mapInArrow(run, "region long, node long")
-    least = F.min("node").over(Window.partitionBy("region"))
-    pairs = placed.withColumn("b", least).filter(F.col("node") != F.col("b"))
-    return common.materialise(pairs.select(F.col("node").alias("a"), "b").distinct(), "regions")
+def sets(docs: DataFrame, n: int, shared: frozenset[int] = frozenset()) -> tuple[DataFrame, frozenset[int]]:
+    """The document rows of ``survey`` alone, and the halves of digests that sets share."""
+    rows, _, shared = survey(docs, n, shared=shared)
+    return rows.drop("text"), shared
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -367,7 +392,7 @@ def places(rows: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def node_filter(placed: DataFrame) -> np.ndarray:
-    """The nodes as a bit table of fixed size; set word by word, so the driver receives at most that table."""
+    """The numbers in the column ``node`` as a bit table of fixed size; set word by word, so the driver receives at most that table."""
     bit = F.col("node").bitwiseAND(FILTER_BITS - 1)
     words = placed.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((node & {FILTER_BITS - 1}) & 63 as int))")).alias("bits"))
     out = np.zeros(FILTER_BITS >> 6, np.int64)
@@ -380,24 +405,28 @@ def listed(table: np.ndarray, node: int) -> bool:
     return bool(int(table[(node & FILTER_BITS - 1) >> 6]) >> (node & 63) & 1)
 
 
-def group_links(docs: DataFrame, placed: DataFrame, n: int, similarity: Similarity, shared: frozenset[int] = frozenset()) -> DataFrame:
-    """Written: (a, b, links): a forest edge from a to b (b null: none), and copies linked to a through other sets."""
-    held = docs.sparkSession.sparkContext.broadcast(node_filter(placed))
+def group_links(docs: DataFrame, rows: DataFrame, placed: DataFrame, n: int, similarity: Similarity, shared: frozenset[int] = frozenset()) -> DataFrame:
+    """Written: (a, b, links): a forest edge from a to b (b null: none), and copies linked to a through other sets. Sets are made of
+    those texts only whose hash stands in ``rows`` beside a placed node."""
+    wanted = rows.join(placed.select("node").distinct(), "node", "left_semi").select(F.col("text").alias("node"))
+    held = docs.sparkSession.sparkContext.broadcast(node_filter(wanted))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen, table = WordHash(), set(), held.value
         for texts in (batch.column(1).slice(k, DOCS_A_TIME) for batch in batches for k in range(0, batch.num_rows, DOCS_A_TIME)):
             nodes, content = [], []
             for t in texts:
-                s = set_of(t.as_py(), n, known)
-                node = node_of(s, shared) if len(s) else None
-                if node is None or node in seen or not listed(table, node):
+                text = t.cast(pa.binary()).as_py()
+                at = key_of(text)
+                if at in seen or not listed(table, at):
                     continue
                 if len(seen) >= REMEMBERED:
                     seen.clear()
-                seen.add(node)
-                nodes.append(node)
-                content.append(s.tobytes())
+                seen.add(at)
+                s = set_of(text.decode(), n, known)
+                if len(s):
+                    nodes.append(node_of(s, shared))
+                    content.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(content, pa.binary())], names=["node", "content"])
 
     content = _texts(docs).mapInArrow(fetch, "node long, content binary").dropDuplicates(["node"]).join(placed, "node")
@@ -427,16 +456,16 @@ def group_links(docs: DataFrame, placed: DataFrame, n: int, similarity: Similari
 
 def components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, node, component_id (smallest id reachable by links), n_links (linked documents), one row per row."""
-    return labelled(docs, n, num, den)[0].drop("label")
+    return labelled(docs, n, num, den)[0].drop("label", "text")
 
 
 def labelled(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, frozenset[int]]:
-    """The same with label: the smallest node of the component, which tells components apart where ids are null or repeat; and
-    what ``sets`` tells of shared halves."""
+    """The same with text, the hash of the text, and label: the smallest node of the component, which tells components apart where ids
+    are null or repeat; and what ``survey`` tells of shared halves."""
     similarity = Similarity(num, den)
-    rows, shared = sets(docs, n)
-    placed = places(rows, region_edges(docs, n, similarity, hot_shingles(docs, n, rows.count()), shared))
-    links = group_links(docs, placed, n, similarity, shared)
+    rows, edges, shared = survey(docs, n, similarity, hot_shingles(docs, n, docs.count()))
+    placed = places(rows, common.materialise(edges, "regions"))
+    links = group_links(docs, rows, placed, n, similarity, shared)
     labels = connected(links.filter("b is not null").select("a", "b"))
     counts = links.groupBy("a").agg(F.sum("links").alias("links"))
     heads = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("copies"))
@@ -446,7 +475,7 @@ def labelled(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, fr
     heads = heads.join(firsts, "label").select("node", "label", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     heads = common.materialise(heads, "classes")
     out = rows.join(heads, "node", "left")
-    return out.select("doc_id", "n_shingles", "node", "label", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), shared
+    return out.select("doc_id", "n_shingles", "node", "text", "label", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), shared
 
 
 def deduplicate(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -461,14 +490,14 @@ def deduplicate(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     mark = common.fresh(docs.columns)
     first = common.fresh([*docs.columns, mark])
     keep = keep.select(F.col("node").alias(mark), F.col("id").alias(first))
-    held = docs.sparkSession.sparkContext.broadcast(node_filter(found.filter("n_links > 0").select("node").distinct()))
+    held = docs.sparkSession.sparkContext.broadcast(node_filter(found.filter("n_links > 0").select(F.col("text").alias("node")).distinct()))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, table = WordHash(), held.value
         for batch in batches:
-            nodes = [node_of(s, shared) if len(s) else None for s in (set_of(t.as_py(), n, known) for t in batch.column(at))]
-            nodes = [v if v is not None and listed(table, v) else None for v in nodes]
+            maybe = [t.decode() if listed(table, key_of(t)) else "" for t in raw(batch.column(at).cast(pa.string()).fill_null(""))]
+            nodes = [node_of(s, shared) if len(s) else None for s in (set_of(t, n, known) for t in maybe)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=[*batch.schema.names, mark])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(mark, T.LongType())])
