@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import QueryLookupError, QueryValidationError
 from ..session import written
+from . import reach
 
 MOST_TERMS = 50
 # The weights of the ranking rule.
@@ -54,18 +55,31 @@ class Field:
 
 
 def scope(terms: DataFrame, ancestors: DataFrame, field: Field) -> DataFrame:
-    """(iri, verdict): deprecated_term, kind_mismatch, excluded, admissible or outside_scope, tested in that order."""
+    """(iri, verdict): deprecated_term, kind_mismatch, excluded, admissible or outside_scope, tested in that order. ``ancestors`` holds
+    every pair; ``scope_of`` needs the edges only."""
     lines = ancestors.groupBy("node").agg(F.collect_set("ancestor").alias("line"))
     rows = terms.join(lines, terms["iri"] == lines["node"], "left")
-    line = F.array_append(F.coalesce("line", F.array().cast("array<string>")), F.col("iri"))
+    return rows.select("iri", verdict(F.array_append(F.coalesce("line", F.array().cast("array<string>")), F.col("iri")), field).alias("verdict"))
+
+
+def scope_of(terms: DataFrame, edges: DataFrame, field: Field) -> DataFrame:
+    """The same over (node, parent), cycles allowed: a term carries the branches of the field that it reaches, not all its ancestors."""
+    branches = [*field.branches, *field.exclude_branches]
+    found = reach.named(reach.reached(edges, branches), branches)
+    rows = terms.join(found, terms["iri"] == found["node"], "left")
+    line = F.array_append(F.coalesce("names", F.array().cast("array<string>")), F.col("iri"))
+    return rows.select("iri", verdict(line, field).alias("verdict"))
+
+
+def verdict(line: Column, field: Field) -> Column:
+    """The first test that decides a term; ``line`` has the term and those of its ancestors that the field names."""
     meets = lambda names: F.arrays_overlap(line, F.array(*[F.lit(n) for n in names])) if names else F.lit(False)
     among = lambda c, names: F.col(c).isin(*names) if names else F.lit(False)
-    verdict = F.when(F.coalesce(F.col("deprecated"), F.lit(False)) & F.lit(not field.allow_deprecated), "deprecated_term")
+    out = F.when(F.coalesce(F.col("deprecated"), F.lit(False)) & F.lit(not field.allow_deprecated), "deprecated_term")
     if field.kinds:
-        verdict = verdict.when(~F.col("kind").isin(*field.kinds), "kind_mismatch")
-    verdict = verdict.when(among("iri", field.exclude_terms) | meets(field.exclude_branches), "excluded")
-    verdict = verdict.when(among("ontology", field.ontologies) | among("iri", field.terms) | meets(field.branches), "admissible").otherwise("outside_scope")
-    return rows.select("iri", verdict.alias("verdict"))
+        out = out.when(~F.col("kind").isin(*field.kinds), "kind_mismatch")
+    out = out.when(among("iri", field.exclude_terms) | meets(field.exclude_branches), "excluded")
+    return out.when(among("ontology", field.ontologies) | among("iri", field.terms) | meets(field.branches), "admissible").otherwise("outside_scope")
 
 
 def search(terms: DataFrame, query: str, k: int = 5) -> DataFrame:
