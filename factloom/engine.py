@@ -16,7 +16,7 @@ from .convention import DEFAULT, Convention
 from .errors import QueryLookupError, QueryValidationError, Refusal
 from .operators import aggregate as aggregating
 from .operators import filters as filtering
-from .operators import identifiers, identity, joins, ontology, profile, provenance, relationships
+from .operators import crosswalks, identifiers, identity, joins, ontology, profile, provenance, relationships
 from .types import Table
 
 
@@ -36,7 +36,7 @@ class Engine:
         self.spark, self.dataset, self.convention = spark, dataset, convention
         self._tables: dict[str, Table] = {}
         self._gates: dict[str, Callable[[DataFrame], DataFrame]] = {}
-        self._crosswalks: dict[str, identity.Crosswalk] = {}
+        self._crosswalks: dict[str, identity.Crosswalk | crosswalks.CrosswalkTable] = {}
         self._relationships: dict[str, dict] = {}
 
     # Catalogue
@@ -52,6 +52,18 @@ class Engine:
         self._crosswalks[name] = identity.parse_crosswalk(content, name)
         return self._crosswalks[name]
 
+    def register_crosswalk_file(self, name: str, path: str) -> crosswalks.CrosswalkTable:
+        """A crosswalk of any size: its forms are tested and kept as a table."""
+        self._crosswalks[name] = crosswalks.read(self.spark, path, name)
+        return self._crosswalks[name]
+
+    def mapping_facts(self, table: str, keys: Sequence[str], crosswalk: str, other: str, other_keys: Sequence[str], key_format: str | None = None, other_key_format: str | None = None) -> DataFrame:
+        """What a crosswalk does to the keys of a table that meets another one."""
+        crosswalks.checked(keys, key_format, True, bool(other_key_format))
+        crosswalks.checked(other_keys, other_key_format, True, bool(key_format), side="right")
+        forms = self.crosswalk(crosswalk)
+        return crosswalks.mapping_facts(identity.resolve(self.table(table), keys, key_format, forms), identity.resolve(self.table(other), other_keys, other_key_format, forms), forms)
+
     def list_tables(self) -> list[str]:
         return sorted(self._tables)
 

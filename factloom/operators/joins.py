@@ -111,6 +111,10 @@ def resolved_join(
     """
     if how not in KINDS:
         raise QueryValidationError(f"a join is one of {list(KINDS)}; got {how!r}")
+    if unknown := sorted(set(forms_per_canonical) - {"left", "right"}):
+        raise QueryValidationError(f"forms_per_canonical names the sides left and right; got {unknown}")
+    if forms_per_canonical and crosswalk is None:
+        raise QueryValidationError("several forms of an id need a crosswalk that gives ids")
     a = identity.resolve(left, left_keys, left_key_format, crosswalk)
     b = identity.resolve(right, right_keys, right_key_format, crosswalk)
     if check:
