@@ -1,5 +1,5 @@
 """Registered queries beside their SQL. Importing the package registers all of them in ``catalogue``."""
 
-from . import catalogue, further
+from . import catalogue, deeper, further
 
-__all__ = ["catalogue", "further"]
+__all__ = ["catalogue", "deeper", "further"]

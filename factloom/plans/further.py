@@ -7,7 +7,7 @@ import os
 import zipfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import QueryValidationError
@@ -281,13 +281,11 @@ def metadata_contents(spark: SparkSession, sf: str) -> DataFrame:
     return structured.content_standards(read(spark, sf, "events").withColumn("text", text), "event_id", "text")
 
 
-def _projects(spark: SparkSession, sf: str) -> DataFrame:
+def behaved(spark: SparkSession, sf: str, ethogram: Column) -> DataFrame:
     """A behaviour project a user: the user's events in order of time, one observation; lengths of two media files."""
     e = read(spark, sf, "events").withColumn("t", F.round(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, 6))
     # A project file holds one user's events; a user's events are what the file format asks to stand in one document.
     per = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "event_id", "event_type"))), lambda x: F.array(x["t"].cast("string"), F.lit("s"), x["event_type"], F.lit(""), F.lit(""))).alias("events"))
-    kinds = {"0": ("view", "State event"), "1": ("click", "State event"), "2": ("error", "Point event"), "3": ("signup", "Point event"), "4": ("signup", "State event")}
-    ethogram = F.create_map(*[x for k, (c, t) in kinds.items() for x in (F.lit(k), F.struct(F.lit(c).alias("code"), F.lit(t).alias("type"), F.lit("").alias("category")))])
     odd = F.col("user_id") % 2 == 1
     lengths = F.create_map(F.lit("d/a.mp4"), F.lit(60.5), F.lit("d/b.mp4"), F.when(~odd, F.lit(1.5)))
     observation = F.struct(F.create_map(F.lit("1"), F.array(F.lit("d/a.mp4"), F.lit("d/b.mp4"))).alias("file"), F.struct(lengths.alias("length")).alias("media_info"), F.col("events"))
@@ -295,6 +293,11 @@ def _projects(spark: SparkSession, sf: str) -> DataFrame:
     return behaviour.parsed(per.select(F.col("user_id").cast("string").alias("file"), F.to_json(project).alias("value")))
 
 
+def _projects(spark: SparkSession, sf: str) -> DataFrame:
+    kinds = {"0": ("view", "State event"), "1": ("click", "State event"), "2": ("error", "Point event"), "3": ("signup", "Point event"), "4": ("signup", "State event")}
+    return behaved(spark, sf, F.create_map(*[x for k, (c, t) in kinds.items() for x in (F.lit(k), F.struct(F.lit(c).alias("code"), F.lit(t).alias("type"), F.lit("").alias("category")))]))
+
+
 BEHAVED_SQL = "(select *, row_number() over (partition by user_id order by epoch_us(ts), event_id) as i, epoch_us(ts) / 1e6 as t from events)"
 
 
