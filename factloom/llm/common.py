@@ -3,30 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+from ..session import folder as scratch_dir
 
-    Only where that setting is absent and everything runs in this one process (a local master) a local folder is made up.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        made = tempfile.mkdtemp(prefix="factloom-")
-        atexit.register(shutil.rmtree, made, True)
-        path = "file://" + made
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+_written: list[tuple[SparkSession, str]] = []
 
 
 def materialise(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
