@@ -618,10 +618,10 @@ def ontology_search(spark: SparkSession, sf: str) -> DataFrame:
     return ontology.search(_terms(spark, sf), "Steel brand", 20)
 
 
-@query("""with recursive c(node, ancestor, depth) as (select cast(c_custkey as varchar), cast(c_custkey // 2 as varchar), 1 from customer where c_custkey < 200 and c_custkey > 1 union all select c.node, cast(cast(c.ancestor as bigint) // 2 as varchar), depth + 1 from c where cast(c.ancestor as bigint) > 1)
+@query("""with recursive c(node, ancestor, depth) as (select cast(c_custkey as varchar), cast(c_custkey // 2 as varchar), 1 from customer where c_custkey > 1 union all select c.node, cast(cast(c.ancestor as bigint) // 2 as varchar), depth + 1 from c where cast(c.ancestor as bigint) > 1)
 select distinct node, ancestor from c""")
 def ontology_closure(spark: SparkSession, sf: str) -> DataFrame:
-    e = read(spark, sf, "customer").where("c_custkey < 200 and c_custkey > 1").select(F.col("c_custkey").cast("string").alias("node"), F.expr("cast(c_custkey div 2 as string)").alias("parent"))
+    e = read(spark, sf, "customer").where("c_custkey > 1").select(F.col("c_custkey").cast("string").alias("node"), F.expr("cast(c_custkey div 2 as string)").alias("parent"))
     return ontology.closure(e)
 
 

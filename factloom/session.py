@@ -19,8 +19,9 @@ def session(master: str | None = None, name: str = "factloom", **conf: str) -> S
     return b.getOrCreate()
 
 
-def shared(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``. Only where that is unset and the master is local a temporary one is made up."""
+def folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where that is unset and everything runs in this one
+    process (a local master) a temporary one is made up."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         master = spark.sparkContext.master
@@ -30,7 +31,12 @@ def shared(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, made, True)
         path = f"file://{made}"
         spark.conf.set("spark.checkpoint.dir", path)
-    return f"{path.rstrip('/')}/factloom-core/{uuid.uuid4().hex}"
+    return path.rstrip("/")
+
+
+def shared(spark: SparkSession) -> str:
+    """A new folder below the shared one."""
+    return f"{folder(spark)}/factloom-core/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
