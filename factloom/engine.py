@@ -16,7 +16,8 @@ from .convention import DEFAULT, Convention
 from .errors import QueryLookupError, QueryValidationError, Refusal
 from .operators import aggregate as aggregating
 from .operators import filters as filtering
-from .operators import crosswalks, identifiers, identity, joins, ontology, profile, provenance, relationships
+from .operators import metrics as measuring
+from .operators import crosswalks, identifiers, identity, joins, ontology, profile, provenance, relationships, selection
 from .types import Table
 
 
@@ -31,6 +32,16 @@ class JoinPage:
     warning: str | None
 
 
+@dataclasses.dataclass(frozen=True)
+class Answer:
+    """Groups with their metrics and, per group, what they rest on (``contributing_rows``, ``n_ranges``, ``complete``, ``ranges``); what each
+    metric is; and how many rows entered, were left out by filters, and lack the group's columns."""
+
+    groups: DataFrame
+    definitions: list[dict]
+    rows: DataFrame
+
+
 class Engine:
     def __init__(self, spark: SparkSession, dataset: str = "dataset", convention: Convention = DEFAULT) -> None:
         self.spark, self.dataset, self.convention = spark, dataset, convention
@@ -99,6 +110,28 @@ class Engine:
         """Under ``refuse`` a unit in several groups is an error that names it, not an answer without groups."""
         return aggregating.require_consistent(result) if policy == "refuse" else result
 
+    def answer(self, table: str, metrics: Sequence[dict], group_by: Sequence[str] = (), filters: Sequence[dict] = ()) -> Answer:
+        """An aggregate together with its evidence. Metrics and contributors are each one shuffle by group and meet by that key."""
+        t = self.table(table)
+        if t.locator is None:
+            raise QueryValidationError(f"{table!r} has no locator, so no answer over it can be traced")
+        specs = measuring.validated(t, metrics)
+        groups = aggregating.aggregate(t, metrics, group_by, filters)
+        rows = filtering.filtered(t, filters)
+        found = provenance.contributions(rows, t.locator, group_by).withColumnRenamed("rows", "contributing_rows")
+        own = [f"__k{i}" for i in range(len(group_by))]
+        found = found.toDF(*own, *found.columns[len(own) :])
+        if own:
+            groups = groups.join(found, selection.same(groups, found, list(zip(group_by, own, strict=True))), "left").drop(*own)
+        else:
+            groups = groups.join(found, how="left")  # one row each
+        numeric = {s["name"]: s["op"] in measuring.NUMERIC for s in specs}
+        definitions = [{**s, "kind": t.kinds[s["column"]] if s["column"] else None, "missing": "left out" if numeric[s["name"]] else "counted as the metric says"} for s in specs]
+        lacking = aggregating.unkeyed(group_by)
+        entered = filtering.conjunction(t, filters)
+        counts = t.df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~entered).alias("filtered_out"), F.count_if(entered & lacking).alias("in_missing_groups"))
+        return Answer(groups, definitions, counts)
+
     def describe_variable(self, table: str, column: str) -> DataFrame:
         return profile.describe(self.table(table), column)
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..errors import QueryValidationError
+from ..session import written
 from ..types import Table
 
 MOST_RANGES, MOST_OBJECTS = 4096, 1024
@@ -34,6 +39,143 @@ def ranges(rows: DataFrame, locator: str, by: list[str] | None = None, block: in
     return islands.where(~edge).select(*keys, "first", "last").unionByName(merged)
 
 
+#: Ranges that a task holds before it merges them and, if they are still so many, passes them on.
+HELD_RANGES = 1 << 17
+
+
+def merged(code: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of each code, sorted, with those that touch or overlap made one: positions of a row of each, first, last."""
+    order = np.lexsort((first, code))
+    code, first, last = code[order], first[order], last[order]
+    if not len(code):
+        return order, first, last
+    # The furthest end so far within a code: codes are spread apart so that one running maximum serves all.
+    low = int(first.min())
+    span = int(last.max()) - low + 3
+    wide = span * int(code[-1] + 1) < 1 << 62
+    if wide:
+        reach = np.maximum.accumulate(code * span + (last - low))
+        new = np.ones(len(code), bool)
+        new[1:] = code[1:] * span + (first[1:] - low) > reach[:-1] + 1
+        new[1:] |= code[1:] != code[:-1]
+    else:  # locators that are too far apart for that: code by code
+        new = np.ones(len(code), bool)
+        end = int(last[0])
+        for i in range(1, len(code)):
+            new[i] = code[i] != code[i - 1] or int(first[i]) > end + 1
+            end = int(last[i]) if new[i] else max(end, int(last[i]))
+    at = np.flatnonzero(new)
+    return order[at], first[at], np.maximum.reduceat(last, at)
+
+
+def coded(keys: list[pa.Array], n: int) -> np.ndarray:
+    """Equal numbers for rows of equal keys; nulls are equal."""
+    code = np.zeros(n, np.int64)
+    for c in keys:
+        one = pc.fill_null(pc.dictionary_encode(c, null_encoding="encode").indices, 0).to_numpy(zero_copy_only=False)
+        code = np.unique(code * (int(one.max(initial=0)) + 1) + one, return_inverse=True)[1]
+    return code
+
+
+def contributions(rows: DataFrame, locator: str, by: Sequence[str] = (), most: int = MOST_RANGES) -> DataFrame:
+    """Written: (by, rows, n_ranges, complete, ranges): per group the distinct whole-number locators as run-length sets, which tasks build
+    and merge before the one shuffle by group. A list of more than ``most`` ranges is not kept, but counted exactly.
+
+    Tables are stored in the order of their locators, so a task has few ranges; one that has more than ``most`` of a group gives that group up, and
+    the groups that some task gave up are counted by ``ranges`` in blocks of locators."""
+    keys = list(by)
+    kinds = [rows.schema[k].dataType.simpleString() for k in keys]
+    shown = [F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)]
+    schema = "".join(f"k{i} {t}, " for i, t in enumerate(kinds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def squeezed() -> pa.Table:
+            t = pa.concat_tables(held).combine_chunks()
+            code = coded([t.column(i).combine_chunks() for i in range(len(keys))], len(t))
+            at, first, last = merged(code, t.column("first").to_numpy(), t.column("last").to_numpy())
+            own = [t.column(i).take(pa.array(at)) for i in range(len(keys))]
+            return pa.table([*own, pa.array(first), pa.array(last)], names=[*(f"k{i}" for i in range(len(keys))), "first", "last"])
+
+        def told(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            code = coded([t.column(i).combine_chunks() for i in range(len(keys))], len(t))
+            number = np.bincount(code, minlength=1)[code] if len(code) else code
+            small = pa.array(number <= most)
+            ranges = pa.StructArray.from_arrays([t.column("first").combine_chunks(), t.column("last").combine_chunks()], names=["first", "last"])
+            ranges = pc.if_else(small, ranges, pa.scalar(None, ranges.type))
+            first_of = np.zeros(len(code), bool)
+            first_of[np.unique(code, return_index=True)[1]] = True
+            kept = pa.array((number <= most) | first_of)
+            out = pa.RecordBatch.from_arrays([*(t.column(i).combine_chunks() for i in range(len(keys))), ranges, pa.array(number > most)], names=[*(f"k{i}" for i in range(len(keys))), "range", "over"])
+            yield out.filter(kept)
+
+        n = 0
+        for batch in batches:
+            at = batch.column(len(keys))
+            batch = batch.filter(at.is_valid())
+            if not batch.num_rows:
+                continue
+            at = batch.column(len(keys))
+            held.append(pa.table([*batch.columns[: len(keys)], at, at], names=[*(f"k{i}" for i in range(len(keys))), "first", "last"]))
+            n += batch.num_rows
+            if n > HELD_RANGES:
+                held = [squeezed()]
+                n = len(held[0])
+                if n > HELD_RANGES // 2:
+                    yield from told(held[0])
+                    held, n = [], 0
+        if held:
+            yield from told(squeezed())
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(keys))
+            flat = lists.flatten()
+            code = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+            first, last = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            at, first, last = merged(code, first, last)
+            owner = code[at]
+            number = np.bincount(owner, minlength=batch.num_rows)
+            held = np.bincount(owner, weights=None, minlength=batch.num_rows) <= most
+            total = np.zeros(batch.num_rows, np.int64)
+            np.add.at(total, owner, last - first + 1)
+            stay = held[owner]
+            offsets = np.concatenate([[0], np.cumsum(np.where(held, number, 0))]).astype(np.int32)
+            pairs = pa.StructArray.from_arrays([pa.array(first[stay]), pa.array(last[stay])], names=["first", "last"])
+            ranges = pa.ListArray.from_arrays(pa.array(offsets), pairs, mask=pa.array(~held))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(total), pa.array(number, pa.int64()), pa.array(held), ranges, batch.column(len(keys) + 1)], names=[*(f"k{i}" for i in range(len(keys))), "rows", "n_ranges", "complete", "ranges", "over"])
+
+    kind = "struct<first:bigint,last:bigint>"
+    parts = rows.select(*shown, F.col(f"`{locator}`").cast("long").alias("at")).mapInArrow(run, f"{schema}range {kind}, over boolean")
+    own = [f"k{i}" for i in range(len(keys))]
+    gathered = parts.groupBy(*own).agg(F.collect_list("range").alias("list"), F.coalesce(F.bool_or("over"), F.lit(False)).alias("over"))
+    found = written(gathered.mapInArrow(together, f"{schema}rows long, n_ranges long, complete boolean, ranges array<{kind}>, over boolean"), "contributions")
+    named = lambda df: df.select(*[F.col(k).alias(name) for k, name in zip(own, keys, strict=True)], "rows", "n_ranges", "complete", "ranges")
+    over = found.where("over")
+    if over.isEmpty():
+        return named(found)
+    # Groups whose ranges are many in some task, as where rows do not lie in order: counted in blocks, and listed if they are few after all.
+    wide = rows.select(*shown, F.col(f"`{locator}`").alias("at"))
+    if own:
+        few = over.select(*[F.col(k).alias(f"o{i}") for i, k in enumerate(own)])
+        wide = wide.join(few, reduce(lambda p, q: p & q, (F.col(k).eqNullSafe(F.col(f"o{i}")) for i, k in enumerate(own))), "left_semi")
+    blocks = written(ranges(wide, "at", own), "wide-ranges")
+    counts = blocks.groupBy(*own).agg(F.sum(F.col("last") - F.col("first") + 1).alias("rows"), F.count(F.lit(1)).alias("n_ranges"))
+    listed = blocks.join(counts.where(F.col("n_ranges") <= most).select(*[F.col(k).alias(f"o{i}") for i, k in enumerate(own)], "n_ranges"), reduce(lambda p, q: p & q, (F.col(k).eqNullSafe(F.col(f"o{i}")) for i, k in enumerate(own)), F.lit(True)), "left_semi") if own else blocks.where(F.lit(False))
+    listed = listed.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("ranges"))
+    out = counts
+    if own:
+        other = listed.select(*[F.col(k).alias(f"o{i}") for i, k in enumerate(own)], "ranges")
+        out = counts.join(other, reduce(lambda p, q: p & q, (F.col(k).eqNullSafe(F.col(f"o{i}")) for i, k in enumerate(own))), "left")
+    else:
+        n = counts.first()["n_ranges"]
+        small = blocks.agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("ranges")) if n <= most else None
+        out = counts.join(small, how="cross") if small is not None else counts.withColumn("ranges", F.lit(None).cast(f"array<{kind}>"))
+    out = out.withColumn("complete", F.col("n_ranges") <= most)
+    return named(found.where("not over")).unionByName(named(out))
+
+
 def objects(rows: DataFrame, locator: Sequence[str]) -> DataFrame:
     """(locator): distinct object locators as JSON with their fields in the order of their names, absent ones spelt null."""
     fields = [F.col(f"`{c}`") for c in sorted(locator)]
@@ -64,7 +206,9 @@ def contributors(table: Table, rows: DataFrame, locator: Sequence[str] = ()) ->
         return {**about, "complete": True, "objects": found, "rows": len(found)}
     if table.locator is None:
         raise QueryValidationError(f"{table.name!r} has no locator")
-    found = ranges(rows, table.locator).orderBy("first").limit(MOST_RANGES + 1).collect()
-    if len(found) > MOST_RANGES:
-        return {**about, "complete": False, "reason": f"more than {MOST_RANGES} ranges", "ranges": []}
-    return {**about, "complete": True, "ranges": [[r["first"], r["last"]] for r in found], "rows": sum(r["last"] - r["first"] + 1 for r in found)}
+    found = contributions(rows, table.locator).first()
+    if found is None:
+        return {**about, "complete": True, "ranges": [], "rows": 0}
+    if not found["complete"]:
+        return {**about, "complete": False, "reason": f"more than {MOST_RANGES} ranges", "ranges": [], "n_ranges": found["n_ranges"], "rows": found["rows"]}
+    return {**about, "complete": True, "ranges": [[r["first"], r["last"]] for r in found["ranges"]], "rows": found["rows"]}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregate as aggregating
-from ..operators import crosswalks, gold, identity, inclusion, intervals, joins, ontology, selection
+from ..operators import crosswalks, gold, identity, inclusion, intervals, joins, ontology, provenance, selection
 from ..session import shared
 from ..sources import behaviour, delimited
 from ..types import Table
@@ -192,3 +192,21 @@ def crosswalk_facts(spark: SparkSession, sf: str) -> DataFrame:
     left = identity.resolve(Table("orders", read(spark, sf, "orders").select(text.alias("form"))), ["form"], None, forms)
     right = identity.resolve(Table("customer", c.where("c_custkey % 2 = 0 and c_custkey % 3 <> 0").select(F.concat(F.lit("a"), "c_custkey").alias("form"))), ["form"], None, forms)
     return crosswalks.mapping_facts(left, right, forms)
+
+
+# Contributors.
+_ISLANDS_SQL = """with a as (select event_type, event_id, event_id - row_number() over (partition by event_type order by event_id) as g from events where event_id % 9 <> 0), i as (select event_type, min(event_id) as f, max(event_id) as l from a group by event_type, g)"""
+
+
+@query(_ISLANDS_SQL + " select event_type, cast(sum(l - f + 1) as bigint) as rows, count(*) as n_ranges, string_agg(f || '-' || l, ',' order by f) as ranges from i group by 1")
+def provenance_contributions(spark: SparkSession, sf: str) -> DataFrame:
+    """What the answer for each kind of event rests on, whole lists."""
+    out = provenance.contributions(read(spark, sf, "events").where("event_id % 9 <> 0"), "event_id", ["event_type"], most=1 << 30)
+    text = F.array_join(F.transform("ranges", lambda r: F.concat_ws("-", r["first"], r["last"])), ",")
+    return out.select("event_type", "rows", "n_ranges", text.alias("ranges"))
+
+
+@query(_ISLANDS_SQL + " select event_type, cast(sum(l - f + 1) as bigint) as rows, count(*) as n_ranges, count(*) <= 100 as complete from i group by 1")
+def provenance_capped_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Lists of over a hundred ranges are counted and not kept."""
+    return provenance.contributions(read(spark, sf, "events").where("event_id % 9 <> 0"), "event_id", ["event_type"], most=100).select("event_type", "rows", "n_ranges", "complete")
