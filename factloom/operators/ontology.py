@@ -8,9 +8,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..errors import QueryLookupError, QueryValidationError
 from ..session import written
+from ..types import strip
 from . import reach
 
 MOST_TERMS = 50
@@ -82,23 +84,88 @@ def verdict(line: Column, field: Field) -> Column:
     return out.when(among("ontology", field.ontologies) | among("iri", field.terms) | meets(field.branches), "admissible").otherwise("outside_scope")
 
 
+def asked_tokens(query: str) -> list[str]:
+    """``tokens`` of a query that is at hand."""
+    return list(dict.fromkeys(re.findall(r"[a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", query).lower())))
+
+
+def name_tokens() -> Column:
+    """Distinct tokens of a term's label and synonyms."""
+    synonyms = F.transform(F.coalesce("synonyms", F.array().cast("array<string>")), lambda s: F.lower(s))
+    return F.array_distinct(F.concat(tokens(F.lower("label")), F.flatten(F.transform(synonyms, lambda s: F.array_distinct(F.regexp_extract_all(s, F.lit(r"[a-z0-9]+"), F.lit(0)))))))
+
+
+def scored(text: Column, asked: Column, names: Column, definition: Column) -> tuple[Column, Column]:
+    """(score, match) of a term for a query in lower case and its tokens; ``definition`` has the tokens of the term's definition."""
+    synonyms = F.transform(F.coalesce("synonyms", F.array().cast("array<string>")), lambda s: F.lower(s))
+    share = F.size(F.array_intersect(asked, names)) / F.greatest(F.size(F.array_union(asked, names)), F.lit(1))
+    bonus = F.size(F.array_intersect(asked, definition)) / F.greatest(F.size(asked), F.lit(1))
+    label, synonym = F.lower("label") == text, F.array_contains(synonyms, text)
+    score = F.when(label, LABEL).when(synonym, SYNONYM).otherwise(NAMES * share + DEFINITION * bonus)
+    return score, F.when(label, "exact_label").when(synonym, "exact_synonym").when(share > 0, "token_overlap").when(bonus > 0, "definition_overlap").otherwise("none")
+
+
 def search(terms: DataFrame, query: str, k: int = 5) -> DataFrame:
     """(iri, score, match): the ``k`` best terms over (iri, label, synonyms, definition); ties by iri. Top-k without a full sort."""
-    if not 1 <= k <= MOST_TERMS:
-        raise QueryValidationError(f"top_k lies within 1..{MOST_TERMS}")
-    text = query.strip().lower()
-    asked = F.array(*[F.lit(t) for t in dict.fromkeys(re.findall(r"[a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", query).lower()))]).cast("array<string>")
-    synonyms = F.transform(F.coalesce("synonyms", F.array().cast("array<string>")), lambda s: F.lower(s))
-    names = F.array_distinct(F.concat(tokens(F.lower("label")), F.flatten(F.transform(synonyms, lambda s: F.array_distinct(F.regexp_extract_all(s, F.lit(r"[a-z0-9]+"), F.lit(0)))))))
-    share = F.size(F.array_intersect(asked, names)) / F.size(F.array_union(asked, names))
-    bonus = F.size(F.array_intersect(asked, tokens(F.col("definition")))) / F.greatest(F.size(asked), F.lit(1))
-    overlap = NAMES * share + DEFINITION * bonus
-    score = F.when(F.lower("label") == text, LABEL).when(F.array_contains(synonyms, text), SYNONYM).otherwise(overlap)
-    match = F.when(F.lower("label") == text, "exact_label").when(F.array_contains(synonyms, text), "exact_synonym").when(share > 0, "token_overlap").when(bonus > 0, "definition_overlap").otherwise("none")
+    bounded_k(k)
+    score, match = scored(F.lit(query.strip().lower()), F.array(*[F.lit(t) for t in asked_tokens(query)]).cast("array<string>"), name_tokens(), tokens(F.col("definition")))
     ranked = terms.select("iri", score.alias("score"), match.alias("match")).where("score > 0")
     return ranked.orderBy(F.desc("score"), "iri").limit(k).withColumn("score", F.round("score", 4))
 
 
+def bounded_k(k: int) -> None:
+    if not isinstance(k, int) or isinstance(k, bool) or not 1 <= k <= MOST_TERMS:
+        raise QueryValidationError(f"top_k lies within 1..{MOST_TERMS}")
+
+
+def search_many(terms: DataFrame, queries: DataFrame, k: int = 5, admissible: DataFrame | None = None) -> DataFrame:
+    """(qid, rank, iri, score, match): ``search`` for every row of (qid, query) by an inverted index of tokens, among the terms whose iri
+    ``admissible`` holds, where it is given.
+
+    A query first meets the postings of its rarer half of tokens. A term that it misses shares tokens of the other half only, which bounds
+    its score; where the k-th score so far is above that bound the long lists are never read. Whole matches of a label or synonym come by
+    an equi-join. Candidates are scored as the scan scores them.
+    """
+    bounded_k(k)
+    if admissible is not None:
+        terms = terms.join(admissible.select("iri").distinct(), "iri", "left_semi")
+    t = written(terms.select("iri", "label", "synonyms", "definition", name_tokens().alias("names"), tokens(F.col("definition")).alias("about")), "terms")
+    postings = written(t.select("iri", F.explode(F.array_union("names", "about")).alias("token")), "postings")
+    often = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    q = written(queries.select("qid", F.lower(strip(F.col("query"))).alias("text"), tokens(F.col("query")).alias("asked")), "queries")
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.coalesce("n", F.lit(0)), "token"))
+    asked = written(q.select("qid", F.size("asked").alias("a"), F.explode("asked").alias("token")).join(often, "token", "left").withColumn("place", place), "asked")
+    lead = F.ceil(F.col("a") / 2)
+    heads = t.select("iri", F.explode(F.array_distinct(F.concat(F.array(F.lower("label")), F.transform(F.coalesce("synonyms", F.array().cast("array<string>")), lambda s: F.lower(s))))).alias("text"))
+
+    def met(tokens_of: DataFrame) -> DataFrame:
+        return tokens_of.select("qid", "token").join(postings, "token").select("qid", "iri").distinct()
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        score, match = scored(F.col("text"), F.col("asked"), F.col("names"), F.col("about"))
+        return pairs.join(q, "qid").join(t, "iri").select("qid", "iri", score.alias("score"), match.alias("match")).where("score > 0")
+
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "iri")
+    top = lambda rows: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    first = written(met(asked.where(F.col("place") <= lead)).unionAll(q.join(heads, "text").select("qid", "iri")).distinct(), "candidates")
+    best = written(top(judged(first)), "best")
+    reached = best.where(F.col("rank") == k).select("qid", F.col("score").alias("least"))
+    bound = (NAMES + DEFINITION) * (F.col("a") - lead) / F.col("a")
+    open_ = asked.where(F.col("place") > lead).join(reached, "qid", "left").where(F.col("least").isNull() | (F.col("least") <= bound + 1e-9))
+    more = judged(met(open_).join(first, ["qid", "iri"], "left_anti"))
+    return top(best.drop("rank").unionByName(more)).select("qid", "rank", "iri", F.round("score", 4).alias("score"), "match")
+
+
+def out_of_scope(terms: DataFrame, queries: DataFrame, admissible: DataFrame) -> DataFrame:
+    """(qid, out_of_scope_matches): how many terms outside the scope match a query at all."""
+    out = terms.join(admissible.select("iri").distinct(), "iri", "left_anti").select("iri", F.array_union(name_tokens(), tokens(F.col("definition"))).alias("held"), F.array_distinct(F.concat(F.array(F.lower("label")), F.transform(F.coalesce("synonyms", F.array().cast("array<string>")), lambda s: F.lower(s)))).alias("heads"))
+    q = queries.select("qid", F.lower(strip(F.col("query"))).alias("text"), tokens(F.col("query")).alias("asked"))
+    by_token = q.select("qid", F.explode("asked").alias("x")).join(out.select("iri", F.explode("held").alias("x")), "x").select("qid", "iri")
+    by_head = q.select("qid", F.col("text").alias("x")).join(out.select("iri", F.explode("heads").alias("x")), "x").select("qid", "iri")
+    n = by_token.unionAll(by_head).distinct().groupBy("qid").agg(F.count(F.lit(1)).alias("out_of_scope_matches"))
+    return q.select("qid").join(n, "qid", "left").fillna(0, ["out_of_scope_matches"])
+
+
 def literal_error(datatype: str, value: object) -> str | None:
     """Why a value is no literal of an XSD type, or None."""
     text = str(value)

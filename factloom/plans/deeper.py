@@ -13,7 +13,7 @@ from ..operators import crosswalks, gold, identity, inclusion, intervals, joins,
 from ..session import shared
 from ..sources import behaviour, delimited
 from ..types import Table
-from .catalogue import _rounded, lineitem, orders, query, read
+from .catalogue import _rounded, _terms, lineitem, orders, query, read
 from .further import BEHAVED_SQL, behaved
 
 
@@ -210,3 +210,28 @@ def provenance_contributions(spark: SparkSession, sf: str) -> DataFrame:
 def provenance_capped_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Lists of over a hundred ranges are counted and not kept."""
     return provenance.contributions(read(spark, sf, "events").where("event_id % 9 <> 0"), "event_id", ["event_type"], most=100).select("event_type", "rows", "n_ranges", "complete")
+
+
+_SEARCH_SQL = """with t as (select 't' || lpad(p_partkey::varchar, 7, '0') as iri, p_size, lower(p_name) as label, lower(p_type) as syn, list_distinct(regexp_extract_all(lower(p_name) || ' ' || lower(p_type), '[a-z0-9]+')) as names, list_distinct(regexp_extract_all(lower(p_brand), '[a-z0-9]+')) as def from part),
+q as (select s_suppkey as qid, lower(case when s_suppkey % 3 = 0 then p_type when s_suppkey % 3 = 1 then p_name || ' ' || p_brand else p_type || ' unknown ' || p_brand end) as text from supplier join part on p_partkey = s_suppkey),
+a as (select qid, text, list_distinct(regexp_extract_all(text, '[a-z0-9]+')) as asked from q),
+s as (select qid, iri, p_size, case when label = text then 1.0 when syn = text then 0.95 else 0.8 * len(list_intersect(asked, names)) / len(list_distinct(list_concat(asked, names))) + 0.15 * len(list_intersect(asked, def)) / len(asked) end as score from a, t)"""
+
+
+def _searches(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    text = F.when(k % 3 == 0, F.col("p_type")).when(k % 3 == 1, F.concat_ws(" ", "p_name", "p_brand")).otherwise(F.concat_ws(" ", "p_type", F.lit("unknown"), "p_brand"))
+    return read(spark, sf, "supplier").join(read(spark, sf, "part"), F.col("p_partkey") == k).select(k.alias("qid"), text.alias("query"))
+
+
+@query(_SEARCH_SQL + ", r as (select *, row_number() over (partition by qid order by score desc, iri) as rank from s where score > 0 and p_size <= 25) select qid, cast(rank as int) as rank, iri, round(score, 4) as score from r where rank <= 5")
+def ontology_search_many(spark: SparkSession, sf: str) -> DataFrame:
+    """A query for every supplier against all parts of a size, by an index of tokens."""
+    scope = read(spark, sf, "part").where("p_size <= 25").select(F.concat(F.lit("t"), F.lpad(F.col("p_partkey").cast("string"), 7, "0")).alias("iri"))
+    return ontology.search_many(_terms(spark, sf), _searches(spark, sf), 5, scope).drop("match")
+
+
+@query(_SEARCH_SQL + " select qid, count(*) filter (score > 0 and p_size > 25) as out_of_scope_matches from s group by 1")
+def ontology_out_of_scope(spark: SparkSession, sf: str) -> DataFrame:
+    scope = read(spark, sf, "part").where("p_size <= 25").select(F.concat(F.lit("t"), F.lpad(F.col("p_partkey").cast("string"), 7, "0")).alias("iri"))
+    return ontology.out_of_scope(_terms(spark, sf), _searches(spark, sf), scope)
