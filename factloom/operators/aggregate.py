@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..errors import QueryValidationError, Refusal
+from ..session import written
 from ..types import Table
 from . import filters as filtering
 from . import metrics as measuring
@@ -55,6 +56,18 @@ def ordered(table: Table, groups: DataFrame, group_by: Sequence[str]) -> DataFra
     return groups.orderBy(*[sort_text(table, g) for g in group_by])
 
 
+def placed(groups: DataFrame, order: Sequence[Column], name: str = "place") -> DataFrame:
+    """Groups with their place from 1 in a total order: ranges of the order are numbered in many tasks, and sums of the ranges' sizes say
+    where each begins."""
+    keys = [c.alias(f"__o{i}") for i, c in enumerate(order)]
+    own = [f"__o{i}" for i in range(len(keys))]
+    parts = written(groups.select("*", *keys).repartitionByRange(*own).withColumn("__part", F.spark_partition_id()), "placed")
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # one row a range
+    starts = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(before, F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*own))
+    return parts.withColumn("__inside", inside).join(starts, "__part").withColumn(name, (F.col("__inside") + F.col("__before")).cast("long")).drop(*own, "__part", "__inside", "__n", "__before")
+
+
 @dataclasses.dataclass(frozen=True)
 class UnitResult:
     """Lazy parts of a two-stage aggregation."""

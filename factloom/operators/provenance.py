@@ -17,6 +17,8 @@ from ..session import written
 from ..types import Table
 
 MOST_RANGES, MOST_OBJECTS = 4096, 1024
+#: Blocks of locators that are joined together before the rest is.
+WIDER = 1024
 
 
 def ranges(rows: DataFrame, locator: str, by: list[str] | None = None, block: int = 1 << 16) -> DataFrame:
@@ -31,12 +33,24 @@ def ranges(rows: DataFrame, locator: str, by: list[str] | None = None, block: in
     at = at.withColumn("__block", F.floor(F.col("__at") / block))
     inside = Window.partitionBy(*by, "__block").orderBy("__at")
     islands = at.withColumn("__island", F.col("__at") - F.row_number().over(inside)).groupBy(*keys, "__block", "__island").agg(F.min("__at").alias("first"), F.max("__at").alias("last"))
-    edge = (F.col("first") == F.col("__block") * block) | (F.col("last") == F.col("__block") * block + block - 1)
+    at_edge = lambda unit, size: (F.col("first") == F.col(unit) * size) | (F.col("last") == F.col(unit) * size + size - 1)
+    edge = at_edge("__block", block)
+    done = islands.where(~edge).select(*keys, "first", "last")
+    # Edges meet inside blocks of blocks first; only what touches an edge of those meets in one window (a group).
+    wide = block * WIDER
+    inner = joined_ranges(islands.where(edge).select(*keys, F.floor(F.col("first") / wide).alias("__wide"), "first", "last"), [*by, "__wide"])
+    # A joined range begins in its wide block and ends in it, as each of its parts does.
+    outer = at_edge("__wide", wide)
+    last = joined_ranges(inner.where(outer).select(*keys, "first", "last"), by)
+    return done.unionByName(inner.where(~outer).select(*keys, "first", "last")).unionByName(last)
+
+
+def joined_ranges(found: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, first, last): disjoint ranges, those that touch made one."""
     order = Window.partitionBy(*(by or [F.lit(0)])).orderBy("first")
     fresh = F.when(F.lag("last").over(order) + 1 == F.col("first"), 0).otherwise(1)
-    merged = islands.where(edge).withColumn("__new", fresh).withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = merged.groupBy(*keys, "__run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("__run")
-    return islands.where(~edge).select(*keys, "first", "last").unionByName(merged)
+    runs = found.withColumn("__new", fresh).withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy(*[F.col(f"`{c}`") for c in by], "__run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("__run")
 
 
 #: Ranges that a task holds before it merges them and, if they are still so many, passes them on.

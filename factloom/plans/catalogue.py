@@ -150,11 +150,9 @@ def agg_global_empty(spark: SparkSession, sf: str) -> DataFrame:
 @query("""select k, n, cast(row_number() over (order by coalesce('int:' || k, 'NoneType:None')) as bigint) as place
   from (select case when l_linenumber <> 3 then l_linenumber end as k, count(*) as n from lineitem group by 1)""")
 def agg_group_order(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
     t = Table("lineitem", read(spark, sf, "lineitem").withColumn("k", F.when(F.col("l_linenumber") != 3, F.col("l_linenumber"))))
     groups = aggregating.aggregate(t, [{"op": "count", "name": "n"}], ["k"])
-    return groups.withColumn("place", F.row_number().over(Window.orderBy(aggregating.sort_text(t, "k"))).cast("long"))
+    return aggregating.placed(groups, [aggregating.sort_text(t, "k")])
 
 
 @query("""select p, count(*) as n from (select case when o_orderpriority = '5-LOW' then null when o_orderpriority = '3-MEDIUM' then null else o_orderpriority end as p from orders) group by p""")

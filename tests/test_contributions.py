@@ -94,3 +94,29 @@ def test_answers_carry_their_evidence(spark):
     e.register("u", spark.range(3))
     with pytest.raises(QueryValidationError):
         e.answer("u", [{"op": "count"}])
+
+
+def test_ranges_across_blocks_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(provenance, "WIDER", 3)
+    r = random.Random(5)
+    for density in (0.5, 0.95, 1.0):
+        seen = sorted({x for x in range(-40, 400) if r.random() < density})
+        want = []
+        for x in seen:
+            if want and want[-1][1] == x - 1:
+                want[-1][1] = x
+            else:
+                want.append([x, x])
+        df = spark.createDataFrame([(x, x % 2 if density < 1 else 0) for x in seen], "at long, g int")
+        assert sorted([r["first"], r["last"]] for r in provenance.ranges(df, "at", block=4).collect()) == want
+        got = sorted((r["g"], r["first"], r["last"]) for r in provenance.ranges(df, "at", ["g"], block=4).collect())
+        assert sum(b - a + 1 for _, a, b in got) == len(seen) and (density < 1 or [[a, b] for _, a, b in got] == want)
+
+
+def test_places_in_a_total_order(spark):
+    from factloom.operators import aggregate
+
+    df = spark.range(2000).select((F.col("id") * 7919 % 2003).alias("k"), (F.col("id") % 3).alias("v"))
+    got = [(r["k"], r["place"]) for r in aggregate.placed(df, [F.col("k")]).orderBy("place").collect()]
+    assert got == [(k, i + 1) for i, k in enumerate(sorted(r["k"] for r in df.collect()))]
+    assert aggregate.placed(df.where("false"), [F.col("k")]).count() == 0
