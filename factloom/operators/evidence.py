@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,23 @@ def ledger(spark: SparkSession, claims: Iterable[tuple[str, str, Sequence[Mappin
     return spark.createDataFrame(record(claims), SCHEMA).orderBy("subject", "claim_id")
 
 
+def recorded(claims: DataFrame) -> DataFrame:
+    """``record`` for any number of claims: rows (claim, subject, evidence) of structs (check, result, source), whose results are text. The
+    query fails where a claim has no evidence or names an unknown check; a repeated one is kept once."""
+    parts = claims.select("claim", "subject", F.transform("evidence", lambda e: F.struct(e["check"].alias("check"), F.coalesce(e["result"].cast("string"), F.lit("")).alias("result"), F.coalesce(e["source"].cast("string"), F.lit("")).alias("source"))).alias("evidence"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            for r in rows:
+                if not r["evidence"] or any(e["check"] not in CHECKS for e in r["evidence"]):
+                    raise ValueError(f"a claim needs evidence by known checks: {r['claim']!r}")
+            ids = [claim_id(r["claim"], r["subject"], r["evidence"]) for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), *batch.columns], names=["claim_id", *batch.schema.names])
+
+    return parts.mapInArrow(run, SCHEMA).dropDuplicates(["claim_id"])
+
+
 def query(claims: DataFrame, subject: str | None = None, check: str | None = None, contains: str | None = None) -> DataFrame:
     """Claims that meet all conditions given."""
     if subject is not None:

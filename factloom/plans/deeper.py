@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregate as aggregating
-from ..operators import crosswalks, gold, identity, inclusion, intervals, joins, ontology, provenance, selection
+from ..operators import crosswalks, evidence, gold, identity, inclusion, intervals, joins, ontology, provenance, selection
 from ..session import shared
 from ..sources import behaviour, delimited
 from ..types import Table
@@ -235,3 +235,27 @@ def ontology_search_many(spark: SparkSession, sf: str) -> DataFrame:
 def ontology_out_of_scope(spark: SparkSession, sf: str) -> DataFrame:
     scope = read(spark, sf, "part").where("p_size <= 25").select(F.concat(F.lit("t"), F.lpad(F.col("p_partkey").cast("string"), 7, "0")).alias("iri"))
     return ontology.out_of_scope(_terms(spark, sf), _searches(spark, sf), scope)
+
+
+# Evidence.
+_CLAIMS_SQL = """(select distinct 'clm_' || substr(sha256('{"claim":"customer ' || o_custkey || ' has an order of status ' || o_orderstatus || '","evidence":[{"check":"table.row-count","result":"' || o_orderstatus || '","source":"orders"},{"check":"file.size","result":"","source":"orders#' || o_custkey || '"}],"subject":"' || o_custkey || '"}'), 1, 16) as claim_id,
+  'customer ' || o_custkey || ' has an order of status ' || o_orderstatus as claim, cast(o_custkey as varchar) as subject from orders)"""
+
+
+def _claims(spark: SparkSession, sf: str) -> DataFrame:
+    o = read(spark, sf, "orders")
+    subject = F.col("o_custkey").cast("string")
+    item = lambda check, result, source: F.struct(F.lit(check).alias("check"), result.alias("result"), source.alias("source"))
+    items = F.array(item("table.row-count", F.col("o_orderstatus"), F.lit("orders")), item("file.size", F.lit(None).cast("string"), F.concat(F.lit("orders#"), subject)))
+    return evidence.recorded(o.select(F.concat(F.lit("customer "), subject, F.lit(" has an order of status "), "o_orderstatus").alias("claim"), subject.alias("subject"), items.alias("evidence")))
+
+
+@query(f"select * from {_CLAIMS_SQL} c")
+def evidence_recorded(spark: SparkSession, sf: str) -> DataFrame:
+    """A claim for every order; repeated ones are kept once."""
+    return _claims(spark, sf).drop("evidence")
+
+
+@query(f"select claim_id, subject from {_CLAIMS_SQL} c where contains(claim, 'status P') and ends_with(subject, '7')")
+def evidence_found(spark: SparkSession, sf: str) -> DataFrame:
+    return evidence.query(_claims(spark, sf), check="file.size", contains="STATUS p").where(F.col("subject").endswith("7")).select("claim_id", "subject")

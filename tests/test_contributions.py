@@ -120,3 +120,18 @@ def test_places_in_a_total_order(spark):
     got = [(r["k"], r["place"]) for r in aggregate.placed(df, [F.col("k")]).orderBy("place").collect()]
     assert got == [(k, i + 1) for i, k in enumerate(sorted(r["k"] for r in df.collect()))]
     assert aggregate.placed(df.where("false"), [F.col("k")]).count() == 0
+
+
+def test_claims_of_any_number(spark):
+    from pyspark.errors import PySparkException
+
+    from factloom.operators import evidence
+
+    claims = [("a", "s", [{"check": "file.size", "result": "3", "source": "x"}]), ("a", "s", [{"check": "file.size", "result": "3", "source": "x"}]), ("ü", "t", [{"check": "json.shape", "result": "object", "source": "y"}, {"check": "file.checksum", "result": "", "source": ""}])]
+    kind = "claim string, subject string, evidence array<struct<check:string,result:string,source:string>>"
+    df = spark.createDataFrame([(c, s, [tuple(e.values()) for e in items]) for c, s, items in claims], kind)
+    got = sorted(tuple(r)[:3] for r in evidence.recorded(df).collect())
+    assert got == sorted(r[:3] for r in evidence.record(claims))
+    for bad in ([("a", "s", [])], [("a", "s", [("none", "", "")])]):
+        with pytest.raises(PySparkException, match="needs evidence"):
+            evidence.recorded(spark.createDataFrame(bad, kind)).collect()
