@@ -46,8 +46,10 @@ BOM = b"\xef\xbb\xbf"
 
 
 def located(path: str) -> str:
-    """A path as Spark takes it: what exists here is a local file."""
-    return f"file://{os.path.abspath(path)}" if "://" not in path and os.path.exists(path) else path
+    """A path as Spark takes it: what exists here is a local file, whose name is no pattern."""
+    if "://" in path or not os.path.exists(path):
+        return path
+    return "file://" + re.sub(r"([\\*?\[\]{}])", r"\\\1", os.path.abspath(path))
 
 
 def plain(uri: str) -> str:

@@ -119,6 +119,13 @@ def test_each_file_has_its_own_header(spark, tmp_path):
     assert [tuple(r)[1:] for r in declared.collect()] == [(4, "10", "20", "30")]
 
 
+def test_names_that_look_like_patterns(spark, tmp_path):
+    for name in ("b[1].csv", "b1.csv", "{x,y}*?.csv"):
+        (tmp_path / name).write_text(f"id,name\n1,{name[0]}{len(name)}\n")
+    for name in ("b[1].csv", "b1.csv", "{x,y}*?.csv"):
+        assert [tuple(r) for r in delimited.read(spark, str(tmp_path / name)).collect()] == [(str(tmp_path / name), 2, "1", f"{name[0]}{len(name)}")]
+
+
 def test_a_head_longer_than_any_prefix(spark, tmp_path):
     long = "x" * 200_000
     (tmp_path / "a.csv").write_text(f'id;"{long}";last\n1;"{long},";3\n')
