@@ -72,7 +72,8 @@ class WordIds:
         new = set()
         for words in split:
             new.update(words)
-        self.learn(list(new.difference(self.known)))
+        new = list(new.difference(self.known))
+        self.learn(new)
         for words in split:
             yield b"".join(map(self.known.__getitem__, words)) + self.end
         for word in new:
