@@ -95,6 +95,11 @@ def name_tokens() -> Column:
     return F.array_distinct(F.concat(tokens(F.lower("label")), F.flatten(F.transform(synonyms, lambda s: F.array_distinct(F.regexp_extract_all(s, F.lit(r"[a-z0-9]+"), F.lit(0)))))))
 
 
+def heads() -> Column:
+    """A term's label and synonyms in lower case, each once."""
+    return F.array_distinct(F.concat(F.array(F.lower("label")), F.transform(F.coalesce("synonyms", F.array().cast("array<string>")), lambda s: F.lower(s))))
+
+
 def scored(text: Column, asked: Column, names: Column, definition: Column) -> tuple[Column, Column]:
     """(score, match) of a term for a query in lower case and its tokens; ``definition`` has the tokens of the term's definition."""
     synonyms = F.transform(F.coalesce("synonyms", F.array().cast("array<string>")), lambda s: F.lower(s))
@@ -157,13 +162,32 @@ def search_many(terms: DataFrame, queries: DataFrame, k: int = 5, admissible: Da
 
 
 def out_of_scope(terms: DataFrame, queries: DataFrame, admissible: DataFrame) -> DataFrame:
-    """(qid, out_of_scope_matches): how many terms outside the scope match a query at all."""
-    out = terms.join(admissible.select("iri").distinct(), "iri", "left_anti").select("iri", F.array_union(name_tokens(), tokens(F.col("definition"))).alias("held"), F.array_distinct(F.concat(F.array(F.lower("label")), F.transform(F.coalesce("synonyms", F.array().cast("array<string>")), lambda s: F.lower(s)))).alias("heads"))
-    q = queries.select("qid", F.lower(strip(F.col("query"))).alias("text"), tokens(F.col("query")).alias("asked"))
-    by_token = q.select("qid", F.explode("asked").alias("x")).join(out.select("iri", F.explode("held").alias("x")), "x").select("qid", "iri")
-    by_head = q.select("qid", F.col("text").alias("x")).join(out.select("iri", F.explode("heads").alias("x")), "x").select("qid", "iri")
-    n = by_token.unionAll(by_head).distinct().groupBy("qid").agg(F.count(F.lit(1)).alias("out_of_scope_matches"))
-    return q.select("qid").join(n, "qid", "left").fillna(0, ["out_of_scope_matches"])
+    """(qid, out_of_scope_matches): how many terms outside the scope match a query at all.
+
+    Terms that hold the same of the asked items (tokens, and whole labels or synonyms) are one class with a count. A query's items stand from
+    the commonest to the rarest; a term is counted at the first of them that it holds. Such beginnings are shared by queries and counted
+    once, and the list of a beginning of one item is never read, as its length is known: no pair of a query and a term is stored.
+    """
+    item = lambda kind, c: F.transform(c, lambda x: F.concat(F.lit(kind), x))
+    out = terms.join(admissible.select("iri").distinct(), "iri", "left_anti").select("iri", F.concat(item("t", F.array_union(name_tokens(), tokens(F.col("definition")))), item("h", F.array_compact(heads()))).alias("items"))
+    of_term = out.groupBy("iri").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    held = written(of_term.groupBy("items").agg(F.count(F.lit(1)).alias("n")).withColumn("at", F.monotonically_increasing_id()), "held")
+    text, asked = F.lower(strip(F.col("query"))), item("t", tokens(F.col("query")))
+    q = written(queries.select("qid", F.array_compact(F.array_sort(F.array_append(asked, F.concat(F.lit("h"), text)))).alias("asked")), "queries")
+    wanted = q.select(F.explode("asked").alias("item")).distinct()
+    met = held.select("at", "n", F.explode("items").alias("item")).join(wanted, "item", "left_semi")
+    classes = written(met.groupBy("at", "n").agg(F.array_sort(F.collect_list("item")).alias("items")).groupBy("items").agg(F.sum("n").alias("n")).withColumn("at", F.monotonically_increasing_id()), "classes")
+    postings = classes.select("at", "n", "items", F.explode("items").alias("item"))
+    often = written(postings.groupBy("item").agg(F.sum("n").alias("often")), "often")
+    kinds = q.select("asked").distinct()
+    line = F.array_sort(F.collect_list(F.struct((-F.col("often")).alias("less"), "item")))
+    lines = written(kinds.select("asked", F.explode("asked").alias("item")).join(often, "item").groupBy("asked").agg(line.alias("line")).select("asked", F.col("line.item").alias("line"), F.element_at("line", 1)["less"].alias("less")), "lines")
+    begun = written(lines.select("asked", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.size("line"), F.lit(2))), lambda i: F.slice("line", 1, i))).alias("begun")).where(F.size("begun") > 1), "begun")
+    step = begun.select("begun").distinct().withColumn("item", F.element_at("begun", -1)).join(postings, "item")
+    first = step.where(~F.arrays_overlap(F.slice("begun", 1, F.size("begun") - 1), F.col("items"))).groupBy("begun").agg(F.sum("n").alias("n"))
+    counts = lines.select("asked", (-F.col("less")).alias("n")).unionByName(begun.join(first, "begun").select("asked", "n"))
+    n = counts.groupBy("asked").agg(F.sum("n").alias("out_of_scope_matches"))
+    return q.join(n, "asked", "left").select("qid", F.coalesce("out_of_scope_matches", F.lit(0)).cast("long").alias("out_of_scope_matches"))
 
 
 def literal_error(datatype: str, value: object) -> str | None:

@@ -41,3 +41,28 @@ def test_scope(tables):
         assert outside[i] == ontology.search(others, queries[i], 50).count() or outside[i] > 50
     with pytest.raises(QueryValidationError):
         ontology.search_many(terms, asked, 0)
+
+
+def stored(monkeypatch):
+    """Rows of every table that an operator stores, by its name."""
+    sizes, real = {}, ontology.written
+
+    def written(df, name):
+        out = real(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(ontology, "written", written)
+    return sizes
+
+
+def copies(spark):
+    terms = spark.range(300).selectExpr("concat('t', lpad(id, 3, '0')) as iri", "if(id % 2 = 0, 'steel bolt', 'brass') as label", "cast(null as array<string>) as synonyms", "'the part' as definition")
+    return terms, spark.range(200).selectExpr("id as qid", "if(id % 4 = 0, 'the bolt', 'Brass') as query")
+
+
+def test_copies_outside_the_scope_are_counted_without_pairs(spark, monkeypatch):
+    terms, asked = copies(spark)
+    sizes = stored(monkeypatch)
+    got = {(r["qid"] % 4 == 0, r["out_of_scope_matches"]) for r in ontology.out_of_scope(terms, asked, terms.where("iri < 't100'")).collect()}
+    assert got == {(True, 200), (False, 100)} and sizes["classes"] == 2 and sizes["begun"] == 1
