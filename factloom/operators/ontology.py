@@ -127,38 +127,46 @@ def search_many(terms: DataFrame, queries: DataFrame, k: int = 5, admissible: Da
     """(qid, rank, iri, score, match): ``search`` for every row of (qid, query) by an inverted index of tokens, among the terms whose iri
     ``admissible`` holds, where it is given.
 
-    A query first meets the postings of its rarer half of tokens. A term that it misses shares tokens of the other half only, which bounds
-    its score; where the k-th score so far is above that bound the long lists are never read. Whole matches of a label or synonym come by
-    an equi-join. Candidates are scored as the scan scores them.
+    Terms that score alike for every query are one class with its ``k`` least iris, and equal queries are asked once: the ``k`` best terms lie
+    in the ``k`` best classes by score and least iri. A query first meets the postings of its rarer half of tokens. A term that it misses
+    shares tokens of the other half only, which bounds its score; where the k-th score so far is above that bound the long lists are never
+    read. Whole matches of a label or synonym come by an equi-join. Candidates are scored as the scan scores them.
     """
     bounded_k(k)
     if admissible is not None:
         terms = terms.join(admissible.select("iri").distinct(), "iri", "left_semi")
-    t = written(terms.select("iri", "label", "synonyms", "definition", name_tokens().alias("names"), tokens(F.col("definition")).alias("about")), "terms")
-    postings = written(t.select("iri", F.explode(F.array_union("names", "about")).alias("token")), "postings")
+    alike = ["label", "synonyms", "names", "about"]
+    synonyms = F.array_sort(F.array_distinct(F.transform(F.coalesce("synonyms", F.array().cast("array<string>")), lambda s: F.lower(s))))
+    rows = terms.select("iri", F.lower("label").alias("label"), synonyms.alias("synonyms"), F.array_sort(name_tokens()).alias("names"), F.array_sort(tokens(F.col("definition"))).alias("about"))
+    least = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*alike).orderBy("iri"))).where(F.col("rank") <= k)
+    t = written(least.groupBy(*alike).agg(F.array_sort(F.collect_list("iri")).alias("iris")).withColumn("term", F.monotonically_increasing_id()).withColumn("iri", F.element_at("iris", 1)), "terms")
+    postings = written(t.select("term", F.explode(F.array_union("names", "about")).alias("token")), "postings")
     often = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    q = written(queries.select("qid", F.lower(strip(F.col("query"))).alias("text"), tokens(F.col("query")).alias("asked")), "queries")
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.coalesce("n", F.lit(0)), "token"))
-    asked = written(q.select("qid", F.size("asked").alias("a"), F.explode("asked").alias("token")).join(often, "token", "left").withColumn("place", place), "asked")
+    every = written(queries.select("qid", F.lower(strip(F.col("query"))).alias("text"), F.array_sort(tokens(F.col("query"))).alias("asked")), "queries")
+    q = written(every.where("text is not null").select("text", "asked").distinct().withColumn("ask", F.monotonically_increasing_id()), "asks")
+    place = F.row_number().over(Window.partitionBy("ask").orderBy(F.coalesce("n", F.lit(0)), "token"))
+    asked = written(q.select("ask", F.size("asked").alias("a"), F.explode("asked").alias("token")).join(often, "token", "left").withColumn("place", place), "asked")
     lead = F.ceil(F.col("a") / 2)
-    heads = t.select("iri", F.explode(F.array_distinct(F.concat(F.array(F.lower("label")), F.transform(F.coalesce("synonyms", F.array().cast("array<string>")), lambda s: F.lower(s))))).alias("text"))
+    whole = t.select("term", F.explode(heads()).alias("text"))
 
     def met(tokens_of: DataFrame) -> DataFrame:
-        return tokens_of.select("qid", "token").join(postings, "token").select("qid", "iri").distinct()
+        return tokens_of.select("ask", "token").join(postings, "token").select("ask", "term").distinct()
 
     def judged(pairs: DataFrame) -> DataFrame:
         score, match = scored(F.col("text"), F.col("asked"), F.col("names"), F.col("about"))
-        return pairs.join(q, "qid").join(t, "iri").select("qid", "iri", score.alias("score"), match.alias("match")).where("score > 0")
-
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "iri")
-    top = lambda rows: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    first = written(met(asked.where(F.col("place") <= lead)).unionAll(q.join(heads, "text").select("qid", "iri")).distinct(), "candidates")
-    best = written(top(judged(first)), "best")
-    reached = best.where(F.col("rank") == k).select("qid", F.col("score").alias("least"))
+        return pairs.join(q, "ask").join(t, "term").select("ask", "term", "iri", "iris", score.alias("score"), match.alias("match")).where("score > 0")
+
+    order = Window.partitionBy("ask").orderBy(F.desc("score"), "iri")
+    top = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    one_by_one = lambda found: top(found.select("ask", F.explode("iris").alias("iri"), "score", "match"))
+    first = written(met(asked.where(F.col("place") <= lead)).unionAll(q.join(whole, "text").select("ask", "term")).distinct(), "candidates")
+    best = written(top(judged(first)).drop("rank"), "best")
+    reached = one_by_one(best).where(F.col("rank") == k).select("ask", F.col("score").alias("least"))
     bound = (NAMES + DEFINITION) * (F.col("a") - lead) / F.col("a")
-    open_ = asked.where(F.col("place") > lead).join(reached, "qid", "left").where(F.col("least").isNull() | (F.col("least") <= bound + 1e-9))
-    more = judged(met(open_).join(first, ["qid", "iri"], "left_anti"))
-    return top(best.drop("rank").unionByName(more)).select("qid", "rank", "iri", F.round("score", 4).alias("score"), "match")
+    open_ = asked.where(F.col("place") > lead).join(reached, "ask", "left").where(F.col("least").isNull() | (F.col("least") <= bound + 1e-9))
+    more = judged(met(open_).join(first, ["ask", "term"], "left_anti"))
+    found = one_by_one(top(best.unionByName(more)).drop("rank")).join(q, "ask").select("text", "asked", "rank", "iri", "score", "match")
+    return every.join(found, ["text", "asked"]).select("qid", "rank", "iri", F.round("score", 4).alias("score"), "match")
 
 
 def out_of_scope(terms: DataFrame, queries: DataFrame, admissible: DataFrame) -> DataFrame:

@@ -66,3 +66,11 @@ def test_copies_outside_the_scope_are_counted_without_pairs(spark, monkeypatch):
     sizes = stored(monkeypatch)
     got = {(r["qid"] % 4 == 0, r["out_of_scope_matches"]) for r in ontology.out_of_scope(terms, asked, terms.where("iri < 't100'")).collect()}
     assert got == {(True, 200), (False, 100)} and sizes["classes"] == 2 and sizes["begun"] == 1
+
+
+def test_copies_are_searched_once(spark, monkeypatch):
+    terms, asked = copies(spark)
+    sizes = stored(monkeypatch)
+    got = [tuple(r) for r in ontology.search_many(terms, asked, 3).where("qid in (4, 5)").orderBy("qid", "rank").select("qid", "iri", "match").collect()]
+    assert got == [(4, f"t00{i}", "token_overlap") for i in (0, 2, 4)] + [(5, f"t00{i}", "exact_label") for i in (1, 3, 5)]
+    assert sizes["terms"] == 2 and sizes["asks"] == 2 and sizes["candidates"] <= 4
