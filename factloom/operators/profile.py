@@ -14,7 +14,6 @@ from ..convention import DEFAULT, Convention
 from ..types import BOOLEAN, INTEGER, NUMBER, Table, is_number, missing_kind, strip
 
 LISTED = 25
-TRACKED = 200_000
 LONG_TEXT, PROSE_WORDS = 40, 4
 # Column names that denote the individual a row is about.
 SUBJECT_NAMES = frozenset(
@@ -68,7 +67,7 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, convention: Con
     text = (F.col("dtype") == "string") & (F.col("n_distinct") <= LISTED)
     withheld = F.when(text & F.col("prose"), "prose").when(text & F.col("unrepeated"), "unrepeated-words")
     subject = normal_name(F.col("name")).isin(*sorted(SUBJECT_NAMES))
-    unique = F.when(subject & (F.col("n_distinct") <= TRACKED), F.col("n_distinct") == F.col("n_values"))
+    unique = F.when(subject, F.col("n_distinct") == F.col("n_values"))
     return out.withColumn("withheld", withheld).withColumn("subject_name", subject).withColumn("unique", unique).drop("prose", "unrepeated")
 
 

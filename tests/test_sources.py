@@ -109,3 +109,9 @@ def test_closure_of_the_whole_table(spark, tmp_path):
             want.add((str(k), str(up)))
     rows = catalogue.QUERIES["ontology_closure_whole"](spark, f"file://{tmp_path}").collect()
     assert len(rows) == len(want) and {(r["node"], r["ancestor"]) for r in rows} == want
+
+
+def test_keys_of_over_two_hundred_thousand_values(spark):
+    ids = spark.range(200_001)
+    assert [r["unique"] for r in profile.profile(ids).collect()] == [True]
+    assert [r["unique"] for r in profile.profile(ids.unionAll(ids.limit(1))).collect()] == [False]
