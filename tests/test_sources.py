@@ -115,3 +115,9 @@ def test_keys_of_over_two_hundred_thousand_values(spark):
     ids = spark.range(200_001)
     assert [r["unique"] for r in profile.profile(ids).collect()] == [True]
     assert [r["unique"] for r in profile.profile(ids.unionAll(ids.limit(1))).collect()] == [False]
+
+
+def test_a_registry_of_over_two_hundred_thousand_subjects(spark):
+    rows = spark.range(200_001).selectExpr("id as `Subject ID`", "id % 3 as arm")
+    assert [r["registry"] for r in profile.is_registry(profile.profile(rows)).collect()] == [True]
+    assert [r["registry"] for r in profile.is_registry(profile.profile(rows.unionAll(rows.limit(1)))).collect()] == [False]
