@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +36,10 @@ def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def orcid_valid(c: Column) -> Column:
-    """The ISO 7064 mod 11-2 check digit."""
-    digits = F.regexp_replace(c, "-", "")
-    total = F.aggregate(F.sequence(F.lit(1), F.lit(15)), F.lit(0), lambda acc, i: (acc + F.substring(digits, i, F.lit(1)).cast("int")) * 2 % 11)
-    want = (12 - total) % 11
+    """The ISO 7064 mod 11-2 check digit, as a flat sum: a lambda would be interpreted digit by digit."""
+    digits = F.replace(c, F.lit("-"))
+    total = functools.reduce(operator.add, [F.substring(digits, i, 1).cast("int") * pow(2, 16 - i, 11) for i in range(1, 16)])
+    want = (12 - total % 11) % 11
     return F.when(want == 10, F.lit("X")).otherwise(want.cast("string")) == F.upper(F.substring(digits, 16, 1))
 
 
