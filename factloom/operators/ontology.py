@@ -16,26 +16,43 @@ from ..types import strip
 from . import reach
 
 MOST_TERMS = 50
+#: So few edges are closed by doubling at once: their pairs are less work than further rounds.
+FEW_EDGES = 50_000
 # The weights of the ranking rule.
 LABEL, SYNONYM, NAMES, DEFINITION = 1.0, 0.95, 0.8, 0.15
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(node, ancestor) over (node, parent), cycles allowed: new pairs are joined until none is new.
+    """(node, ancestor) over (node, parent), cycles allowed.
 
-    Paths double in every round, so the rounds grow with the logarithm of the depth. Every round's pairs are written to the
-    shared folder, which cuts the lineage; a round joins only pairs that the last one found with all pairs known.
+    Nodes without children are taken off round by round while that takes a good part of the edges (``reach.peeled``); what is left, where chains
+    are long or nodes lie on cycles, is closed by ``doubled``. Then the rounds are followed back: a node taken off gets its parents and their
+    ancestors, so in a tree every pair is made once. Every table is written to the shared folder, which cuts the lineage.
     """
-    known = written(edges.select("node", F.col("parent").alias("ancestor")).where(F.col("parent").isNotNull()).distinct(), "closure")
-    new = known
-    while not new.isEmpty():
-        pairs = lambda a, b: a.toDF("node", "via").join(b.toDF("via", "ancestor"), "via").select("node", "ancestor")
-        longer = pairs(new, known).unionByName(pairs(known, new)).distinct()
-        new = written(longer.join(known, ["node", "ancestor"], "left_anti"), "closure")
-        known = known.unionByName(new)
+    rest, rounds = reach.peeled(written(edges.select("node", "parent").where("node is not null and parent is not null").distinct(), "closure-edges"), FEW_EDGES)
+    known = doubled(rest)
+    for taken in reversed(rounds):
+        above = taken.join(known.select(F.col("node").alias("parent"), "ancestor"), "parent").where("ancestor != parent")
+        # Only a node of several parents can find an ancestor twice; a parent itself comes from its edge.
+        one = above.where("single").select("node", "ancestor")
+        more = above.where("not single").select("node", "ancestor").unionByName(taken.where("not single").select("node", F.col("parent").alias("ancestor"))).distinct()
+        known = known.unionByName(written(one.unionByName(taken.where("single").select("node", F.col("parent").alias("ancestor"))).unionByName(more), "closure"))
     return known
 
 
+def doubled(edges: DataFrame) -> DataFrame:
+    """(node, ancestor) by doubling distances: the pairs that lie as far apart as the last round reached are joined with all pairs known, so
+    a pair is met once for every node at that distance on its way. The rounds grow with the logarithm of the depth."""
+    known = written(edges.select("node", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("far")), "closure-near")
+    far = 1
+    while not (last := known.where(F.col("far") == far)).isEmpty():
+        longer = last.select("node", F.col("ancestor").alias("via")).join(known.select(F.col("node").alias("via"), "ancestor", "far"), "via")
+        found = longer.groupBy("node", "ancestor").agg((F.min("far") + far).alias("far"))
+        known = known.unionByName(written(found.join(known, ["node", "ancestor"], "left_anti"), "closure-near"))
+        far *= 2
+    return known.select("node", "ancestor")
+
+
 def tokens(c: Column) -> Column:
     """Distinct lower-case alphanumeric tokens, camel case split."""
     text = F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?<=[a-z0-9])(?=[A-Z])", " "))

@@ -24,6 +24,8 @@ from ..session import written
 
 #: Names that one column of bits holds.
 BITS = 62
+#: A round of peeling takes at least one edge of so many.
+LEAST_SHARE = 4
 
 
 def bits_of(node: Column, names: Sequence[str]) -> list[Column]:
@@ -57,6 +59,24 @@ def chains(single: DataFrame, marks: Sequence[str]) -> DataFrame:
     return now.withColumnRenamed("open", "round")
 
 
+def peeled(edges: DataFrame, small: int = 0) -> tuple[DataFrame, list[DataFrame]]:
+    """(rest, rounds) of distinct edges (node, parent): every round holds the edges, with ``single`` for those of a node of one parent, of the nodes
+    that no edge of the rounds after it and of the rest leads to. It ends when at most ``small`` edges are left or a round would take less
+    than a quarter of them, so all rounds together handle a few times the edges, and their number grows with the logarithm of the edges."""
+    degree = edges.groupBy("node").agg((F.count(F.lit(1)) == 1).alias("single"))
+    rest = written(edges.join(degree, "node").select("node", "parent", "single"), "peeled")
+    left, rounds = rest.count(), []
+    while left > small:
+        held = rest.select(F.col("parent").alias("node")).distinct().withColumn("held", F.lit(True))
+        marked = written(rest.join(held, "node", "left").select("node", "parent", "single", F.col("held").isNull().alias("leaf")), "peeled")
+        leaves = marked.where("leaf").count()
+        if leaves * LEAST_SHARE < left:
+            break
+        rounds.append(marked.where("leaf").drop("leaf"))
+        rest, left = marked.where("not leaf").drop("leaf"), left - leaves
+    return rest.select("node", "parent"), rounds
+
+
 def reached(edges: DataFrame, names: Sequence[str]) -> DataFrame:
     """(node, m0, m1, …) for all nodes of (node, parent): the bits of the names that a node is or reaches."""
     names = list(dict.fromkeys(names))

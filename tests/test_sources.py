@@ -136,3 +136,29 @@ def test_check_digits_by_a_flat_sum(spark):
     out = df.select("want", identifiers.orcid_valid(df["v"]).alias("valid"))
     assert out.where("valid is distinct from want").count() == 0
     assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_closure_of_a_tree_makes_every_pair_once(spark, monkeypatch):
+    rows, real = {}, ontology.written
+
+    def written(df, name):
+        out = real(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(ontology, "written", written)
+    monkeypatch.setattr(ontology, "FEW_EDGES", 0)
+    tree = {i: {i // 2} for i in range(2, 64)} | {70: {71}, 71: {72, 5}, 72: {70}, 80: {70, 9, 4}, 81: {80}, 90: {90}}
+    edges = [(str(n), str(p)) for n, ps in tree.items() for p in ps]
+
+    def above(n):
+        seen, todo = set(), list(tree.get(n, ()))
+        while todo:
+            if (p := todo.pop()) not in seen:
+                seen.add(p)
+                todo += tree.get(p, ())
+        return seen
+
+    got = [tuple(r) for r in ontology.closure(spark.createDataFrame([*edges, ("x", None)], "node string, parent string")).collect()]
+    assert sorted(got) == sorted((str(n), str(a)) for n in tree for a in above(n))
+    assert rows["closure"] > 150
