@@ -3,17 +3,19 @@
 The closure of (node, parent) holds every pair, n^2 / 2 of them for a chain. A scope only asks whether a node reaches one of a few named
 branches, so every node carries one bit a name, and bits are combined along paths:
 
+0. Nodes without children are taken off, round by round, while that takes a good part of the edges; they are judged last, by their parents.
 1. A node with one parent passes its bits on along the chain: pointers double, so a chain of n ends in log n rounds, at a node that has
    several parents or none. A pointer that has gone further than there are nodes has been round a cycle and has seen all of it.
 2. A node of several parents keeps edges to the ends of their chains, with the bits on the way. Edges to the same end are one, so a
    diamond becomes a chain again, and the first step is repeated on what is left.
 3. What is left, where parents truly lie apart, exchanges bits until none changes; then the chains are followed back.
 
-Every table has at most as many rows as there are edges, and shrinks from round to round. Cycles need no care of their own.
+Every table has at most as many rows as there are edges and nodes, and shrinks from round to round. Cycles need no care of their own.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -83,8 +85,11 @@ def reached(edges: DataFrame, names: Sequence[str]) -> DataFrame:
     e = edges.select(F.col("node"), F.col("parent").alias("to")).where("node is not null and parent is not null and node != parent").distinct()
     marks = [f"m{k // BITS}" for k in range(0, max(len(names), 1), BITS)]
     zero = [F.lit(0).cast("long").alias(m) for m in marks]
-    e = written(e.select("node", "to", *zero), "reach-edges")
+    rest, rounds = peeled(written(e.withColumnRenamed("to", "parent"), "reach-edges"))
+    e = written(rest.select("node", F.col("parent").alias("to"), *zero), "reach-edges")
     lone = edges.select(F.col("node")).unionAll(edges.select(F.col("parent").alias("node"))).where("node is not null").distinct()
+    if rounds:
+        lone = lone.join(functools.reduce(DataFrame.unionByName, [r.select("node") for r in rounds]).distinct(), "node", "left_anti")
     own = written(lone.select("node", *bits_of(F.col("node"), names)), "reach-nodes")
     levels: list[DataFrame] = []
     while True:
@@ -121,6 +126,10 @@ def reached(edges: DataFrame, names: Sequence[str]) -> DataFrame:
         # What lies beyond a chain's end; one that never ends has no more to see.
         ends = chain.alias("a").join(value.alias("b"), (F.col("a.to") == F.col("b.node")) & ~F.col("a.round"), "left")
         value = written(value.unionByName(ends.select("a.node", *joined_bits("a", "b", marks))), "reach-values")
+    for taken in reversed(rounds):
+        over = taken.alias("a").join(value.alias("b"), F.col("a.parent") == F.col("b.node")).groupBy("a.node").agg(*[F.bit_or(f"b.{m}").alias(m) for m in marks])
+        its = over.select("node", *[bit.alias(f"own{i}") for i, bit in enumerate(bits_of(F.col("node"), names))], *marks)
+        value = value.unionByName(written(its.select("node", *[F.col(m).bitwiseOR(F.col(f"own{i}")).alias(m) for i, m in enumerate(marks)]), "reach-values"))
     return value
 
 

@@ -74,3 +74,10 @@ def test_more_names_than_bits(spark):
     edges = [(f"n{i}", f"n{i + 1}") for i in range(140)]
     names = [f"n{i}" for i in range(141)]
     assert told(spark, edges, names) == by_hand(edges, names)
+
+
+def test_nodes_without_children_are_taken_off_first(spark, monkeypatch):
+    edges = [(str(i), str(i // 2)) for i in range(2, 128)] + [(str(i), str(i // 3)) for i in range(10, 128, 5)] + [("900", "901"), ("901", "902"), ("902", "900"), ("903", "901"), ("904", None)]
+    rest, rounds = reach.peeled(spark.createDataFrame([e for e in edges if e[1]], "node string, parent string"))
+    assert len(rounds) > 3 and rest.count() < 10
+    assert told(spark, edges, ["3", "5", "12", "900", "127"]) == by_hand(edges, ["3", "5", "12", "900", "127"])
