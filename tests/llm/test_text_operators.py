@@ -239,3 +239,34 @@ def test_contamination_equals_brute_force(spark):
                 want.add((i, j))
     got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+
+
+def test_packing_codes_pieces_once_and_as_the_library_does():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, ids = Tokenizer.from_file(path), packing.WordIds(path)
+    chars = [chr(i) for i in range(0x250)] + list("́̈ΣσςЖ漢ﬁ ​²Ⅷ٣")
+    texts = ["Word, word. WORD (word)", *(f"a{c}B{c}{c}1 {c}'s '{c}S" for c in chars), "I'll''s <|endoftext|>x <| </w> _a__", "x" * 500, None, ""]
+    want = [np.array([*library.encode(x or "", add_special_tokens=False).ids, 1], "<u2").tobytes() for x in texts]
+    assert list(ids.encode(texts)) == want
+    assert list(ids.encode(texts[::-1])) == want[::-1]
+    other = packing.WordIds(path)
+    other.model = None  # as for a tokenizer of other rules
+    assert list(other.encode(texts)) == want
+    few = packing.WordIds(path)
+    assert list(few.encode(texts[:1])) == want[:1] and sorted(few.known) == sorted([b"", b"word", b",", b".", b"(", b")"])
+    coded = []
+    few.by_library = few.by_model = lambda pieces: coded.extend(pieces) or []
+    assert len(list(few.encode(["WORD, word. (Word"]))) == 1 and not coded
+
+
+def test_packing_with_a_small_memory_of_pieces(monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [f"one{chr(97 + i % 26)}{chr(97 + i % 7)} the Two, {'y' * 100} Ж{i}" for i in range(300)]
+    want = list(packing.WordIds(path).encode(texts))
+    monkeypatch.setattr(packing, "CACHED_WORDS", 20)
+    ids = packing.WordIds(path)
+    assert [x for k in range(0, 300, 3) for x in ids.encode(texts[k : k + 3])] == want and len(ids.known) <= 21
