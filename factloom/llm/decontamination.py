@@ -175,7 +175,7 @@ def marked(docs: DataFrame, items: DataFrame, every: bool) -> tuple[DataFrame, s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (table, lengths), known = held.value, WordHash()
-        for batch in batches:
+        for batch in common.slices(batches):
             out: list[dict | None] = []
             for text in batch.column(at):
                 h = hashes(words_of(text.as_py()), known)
@@ -190,7 +190,7 @@ def marked(docs: DataFrame, items: DataFrame, every: bool) -> tuple[DataFrame, s
             yield made if every else made.filter(made.column(len(columns) - 1).is_valid())
 
     ddl = T.StructType([*docs.schema.fields, T.StructField(mark, T.StructType([T.StructField("key", T.BinaryType()), T.StructField("words", T.BinaryType()), T.StructField("seeds", T.ArrayType(T.LongType()))]))])
-    return common.materialise(docs.mapInArrow(run, ddl), "marked"), mark
+    return common.materialise(docs.mapInArrow(common.lean(run), ddl), "marked"), mark
 
 
 def rare_seeds(seeds: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
@@ -227,7 +227,7 @@ def covered(found: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
             kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 5, kinds, strict=True)], names=["key", "item", "covered_words", "item_words", "n_tiles"])
 
-    return common.materialise(both_sides.mapInArrow(run, "key binary, item binary, covered_words int, item_words int, n_tiles int"), "covered")
+    return common.materialise(both_sides.mapInArrow(common.lean(run), "key binary, item binary, covered_words int, item_words int, n_tiles int"), "covered")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

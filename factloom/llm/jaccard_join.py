@@ -56,8 +56,8 @@ LEAF = 384
 HOT_SAMPLE, HOT_DOCS = 8192, 4
 #: Sets that a task remembers to skip repeats; forgetting costs repeated rows only.
 REMEMBERED = 200_000
-#: Documents whose regions, and region rows that, leave a task together.
-DOCS_A_TIME, ROWS_A_TIME = 256, 50_000
+#: Region rows that leave a task together.
+ROWS_A_TIME = 50_000
 
 
 class Similarity:
@@ -174,7 +174,7 @@ def hot_shingles(docs: DataFrame, n: int, rows: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(set_of(t.as_py(), n, known).view(np.int64))], names=["shingle"])
 
     few = _texts(docs).where((F.xxhash64("text", "doc_id").bitwiseAND((1 << 30) - 1)) < int(share * (1 << 30)))
-    found = few.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_DOCS)
+    found = few.mapInArrow(common.lean(run), "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_DOCS)
     return np.sort(np.array([r[0] for r in found.select("shingle").collect()], np.int64).view(np.uint64))
 
 
@@ -203,7 +203,7 @@ def survey(docs: DataFrame, n: int, similarity: Similarity | None = None, hot: n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, classes, seen = WordHash(), Classes(similarity) if similarity else None, set()
         at = TaskContext.get().partitionId() << 33
-        for ids, texts in ((batch.column(0).slice(k, DOCS_A_TIME), batch.column(1).slice(k, DOCS_A_TIME)) for batch in batches for k in range(0, batch.num_rows, DOCS_A_TIME)):
+        for ids, texts in (batch.columns for batch in common.slices(batches)):
             found = [set_of(t.as_py(), n, known) for t in texts]
             digests = [xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else None for s in found]
             nodes = [node_of(s, shared) if len(s) else None for s in found]
@@ -231,7 +231,7 @@ def survey(docs: DataFrame, n: int, similarity: Similarity | None = None, hot: n
                     none = pa.nulls(len(part), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(who[k : k + ROWS_A_TIME]), none, none, none, none], names=names)
 
-    rows = _texts(docs).mapInArrow(run, SURVEY)
+    rows = _texts(docs).mapInArrow(common.lean(run), SURVEY)
     if similarity:
         least = F.min("node").over(Window.partitionBy("region"))
         rows = rows.withColumn("b", least).filter(F.col("text").isNotNull() | (F.col("node") != F.col("b"))).drop("region")
@@ -413,7 +413,7 @@ def group_links(docs: DataFrame, rows: DataFrame, placed: DataFrame, n: int, sim
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen, table = WordHash(), set(), held.value
-        for texts in (batch.column(1).slice(k, DOCS_A_TIME) for batch in batches for k in range(0, batch.num_rows, DOCS_A_TIME)):
+        for texts in (batch.column(1) for batch in common.slices(batches)):
             nodes, content = [], []
             for t in texts:
                 text = t.cast(pa.binary()).as_py()
@@ -429,7 +429,7 @@ def group_links(docs: DataFrame, rows: DataFrame, placed: DataFrame, n: int, sim
                     content.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(content, pa.binary())], names=["node", "content"])
 
-    content = _texts(docs).mapInArrow(fetch, "node long, content binary").dropDuplicates(["node"]).join(placed, "node")
+    content = _texts(docs).mapInArrow(common.lean(fetch), "node long, content binary").dropDuplicates(["node"]).join(placed, "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     spread = content.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("group", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "copies", "before", "content")
@@ -495,13 +495,13 @@ def deduplicate(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, table = WordHash(), held.value
-        for batch in batches:
+        for batch in common.slices(batches):
             maybe = [t.decode() if listed(table, key_of(t)) else "" for t in raw(batch.column(at).cast(pa.string()).fill_null(""))]
             nodes = [node_of(s, shared) if len(s) else None for s in (set_of(t, n, known) for t in maybe)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=[*batch.schema.names, mark])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(mark, T.LongType())])
-    marked = common.materialise(docs.mapInArrow(run, schema), "marked")
+    marked = common.materialise(docs.mapInArrow(common.lean(run), schema), "marked")
     unique = marked.filter(F.col(mark).isNotNull()).join(keep, mark).filter(F.col("doc_id").cast("long").eqNullSafe(F.col(first))).dropDuplicates([mark])
     same = [F.col(f"`{c}`") for c in docs.columns]
     return unique.select(*same).unionByName(marked.filter(F.col(mark).isNull()).select(*same))

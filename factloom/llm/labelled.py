@@ -38,5 +38,5 @@ def fit(rows: DataFrame, learn: Callable[[list[int], list[str]], bytes]) -> byte
         order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
         yield pa.RecordBatch.from_arrays([pa.array([learn([labels[i] for i in order], [texts[i] for i in order])], pa.binary())], names=["model"])
 
-    model = rows.repartition(1).mapInArrow(task, "model binary").first()
+    model = rows.repartition(1).mapInArrow(common.lean(task), "model binary").first()
     return bytes(model[0]) if model else learn([], [])  # an empty table may plan no task at all

@@ -180,6 +180,7 @@ def tokeniser(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             heavy = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64)) // STEP_BYTES
             cuts = [*np.flatnonzero(np.diff(heavy, prepend=-1)).tolist(), batch.num_rows]
             for first, stop in itertools.pairwise(cuts):
+                pa.default_memory_pool().release_unused()  # what one step takes is much more than what stays
                 piece = batch.slice(first, stop - first)
                 coded = list(ids.encode(piece.column(1)))
                 sizes = np.array([len(x) // ids.kind.itemsize for x in coded], np.int64)
@@ -214,7 +215,7 @@ def cutter(base: np.ndarray, length: int) -> Callable[[Iterator[pa.RecordBatch]]
 def tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Pass one, written: doc_id, part, before (tokens before it in its partition), doc_tokens, ids."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
-    return common.materialise(rows.mapInArrow(tokeniser(tokenizer_path), "doc_id long, part int, before long, doc_tokens long, ids binary"), "tokens")
+    return common.materialise(rows.mapInArrow(common.lean(tokeniser(tokenizer_path)), "doc_id long, part int, before long, doc_tokens long, ids binary"), "tokens")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFrame:
@@ -225,4 +226,4 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFram
     for part, n in totals.items():
         sizes[part + 1] = n
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return coded.mapInArrow(cutter(np.cumsum(sizes), length), schema)
+    return coded.mapInArrow(common.lean(cutter(np.cumsum(sizes), length)), schema)

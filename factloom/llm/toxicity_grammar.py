@@ -207,7 +207,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: f
                 scores = [score_text(symbols, weights, t.as_py()) for t in b.column(2)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(common.lean(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
@@ -219,7 +219,7 @@ def accepted(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, weights = pickle.loads(model.value)
         symbols = Symbols(terms)
-        for batch in batches:
+        for batch in common.slices(batches):
             yield batch.filter(pa.array([score_text(symbols, weights, t.as_py()) < threshold for t in batch.column(at)], pa.bool_())) if terms else batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.lean(run), docs.schema)

@@ -1,11 +1,13 @@
 """Work and memory that must not grow with the square of a group, a list or a word."""
 
+import re
 import time
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from factloom.llm import decontamination, maxent_lm, packing, quality_classifier, secret_scan, shingles, toxicity_grammar
+from factloom.llm import common, decontamination, jaccard_join, maxent_lm, packing, quality_classifier, secret_scan, shingles, toxicity_grammar
 from factloom.llm.queries import tokenizer_path
 
 
@@ -74,3 +76,37 @@ def test_words_without_end_are_not_remembered():
     texts = [w.decode() + " short" for w in words]
     assert [len(x) > 2 for x in ids.encode(texts)] == [True] * len(texts)
     assert max(map(len, ids.known)) <= packing.CACHED_BYTES
+
+
+def kept_by_arrow(spark):
+    """The most MB that a worker's Arrow allocator holds without using them."""
+
+    def held(batches):
+        size = lambda: sum(map(int, re.findall(r"Pss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read())))
+        for _ in batches:
+            pass
+        before = size()
+        pa.default_memory_pool().release_unused()
+        yield pa.RecordBatch.from_arrays([pa.array([(before - size()) // 1024])], names=["mb"])
+
+    return spark.range(16, numPartitions=16).mapInArrow(held, "mb long").agg(F.max("mb")).first()[0]
+
+
+def test_workers_keep_no_memory_of_a_stage(spark):
+    """A worker serves the stages after its own; what its texts took in Arrow is given back when its task ends."""
+    kept_by_arrow(spark)  # what earlier tests left
+    words = F.transform(F.sequence(F.lit(0), F.lit(299)), lambda k: F.concat(F.lit("w"), F.conv(F.abs(F.xxhash64("id", k)).cast("string"), 10, 36)))
+    docs = spark.range(16_000, numPartitions=4).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text"))
+    docs = common.materialise(docs, "texts")
+    packing.tokens(docs, tokenizer_path())
+    assert kept_by_arrow(spark) < 32
+    rows, edges, _ = jaccard_join.survey(docs, 5, jaccard_join.Similarity(80, 100))
+    assert rows.count() == 16_000
+    assert kept_by_arrow(spark) < 32
+
+
+def test_slices_hold_the_same_rows():
+    table = pa.table({"a": list(range(600)), "b": [None, "x", ""] * 200})
+    cut = list(common.slices(iter(table.to_batches())))
+    assert max(b.num_rows for b in cut) <= common.ROWS_A_TIME and pa.Table.from_batches(cut).equals(table)
+    assert [b.num_rows for b in common.lean(lambda batches: batches)(iter(cut))] == [b.num_rows for b in cut]
