@@ -10,7 +10,8 @@ token takes the one spare count of its place, so the model is a proper distribut
 Counts cover all training documents: tasks combine words before the shuffle. The feature weights are trained by rounds of
 distributed gradient updates: every task of a round runs AdaGrad over its documents from the current weights, sends its
 change in blocks, and the changes are averaged by tokens seen. Rounds split the documents by hash of the id, and together
-they cover all of them once. Scoring runs in sparse numpy batches.
+they cover all of them once. Texts are split in Arrow and equal words of a batch are looked up once; training and scoring run in
+numpy batches.
 
 Scale: the ``TOP`` most frequent words (a fixed bound) and the end token are broadcast with their counts and answer most
 tokens in place; only rarer words are joined by key, and none of those is hot. Weights are two fixed tables. Nothing per
@@ -26,16 +27,15 @@ from __future__ import annotations
 
 import itertools
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .shingles import words_of
 
 FOLDS, HELD = 7, 2
 TOP = 1 << 17
@@ -48,60 +48,89 @@ BUCKETS = 1 << 15
 ROUNDS, RATE, BATCH = 2, 0.15, 16384
 #: Equal features of a batch that are added together.
 SHORT = 16
+#: Logits up to here, of either sign, need no shift before they are exponentiated.
+SAFE = 60
 BLOCKS = 16
-CACHED_WORDS = 300_000
-#: Longer words are not remembered, so a worker's memory is bounded in bytes.
-CACHED_BYTES = 64
+#: Documents whose words are looked up together, and those of a training step's batches.
+SPLIT_ROWS, TRAIN_ROWS = 512, 64
+#: Counts of words that a task holds before it adds up those of equal words and sends them.
+HELD_COUNTS = 1_000_000
 RARE = (1 << 20) - 1
 END = b""
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts laid end to end, as ``words_of`` gives them, and the number of each text's words."""
+    pieces = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, size = pieces.flatten(), pc.list_value_length(pieces).to_numpy()
+    kept = pc.binary_length(words).to_numpy() > 0
+    if not kept.all():  # white space at a text's ends leaves empty pieces there
+        before = np.append(0, np.cumsum(kept))
+        last = np.cumsum(size)
+        words, size = words.filter(pa.array(kept)), before[last] - before[last - size]
+    return words.cast(pa.binary()), size.astype(np.int64)
+
+
 def counted(docs: DataFrame) -> DataFrame:
     """(word, n): tokens of all rows, combined per task and then by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: list[pa.Table] = []
+        rows = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            words, n = list(held), list(held.values())
-            held.clear()
-            for k in range(0, len(words), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(words[k : k + 50_000], pa.binary()), pa.array(n[k : k + 50_000], pa.int64())], names=["word", "n"])
-
-        for batch in batches:
-            for t in batch.column(0):
-                held.update(words_of(t.as_py()))
-                held[END] += 1
-                if len(held) > 400_000:
-                    yield from out()
+            if held:
+                sums = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+                held.clear()
+                yield from sums.select(["word", "n_sum"]).rename_columns(["word", "n"]).combine_chunks().to_batches(max_chunksize=50_000)
+
+        for batch in common.slices(batches, SPLIT_ROWS):
+            words, size = split(batch.column(0))
+            found = words.value_counts()
+            held.append(pa.table({"word": found.field("values"), "n": found.field("counts")}))
+            held.append(pa.table({"word": pa.array([END], pa.binary()), "n": pa.array([len(size)], pa.int64())}))
+            rows += len(found) + 1
+            if rows > HELD_COUNTS:
+                yield from out()
+                rows = 0
         yield from out()
 
-    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(common.lean(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def suffix_place(word: bytes) -> int:
     return 1 + OWN + zlib.crc32(word[-2:]) % SUFFIXES
 
 
+def unlisted(words: Sequence[bytes]) -> np.ndarray:
+    """For each word one number: its hash, its place if it has none of its own, and the rank of a rare word."""
+    hashes = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
+    endings = np.fromiter(map(zlib.crc32, (w[-2:] for w in words)), np.int64, len(words))
+    return hashes << 28 | (endings % SUFFIXES + 1 + OWN) << 20 | RARE
+
+
 def suffix_column(word: Column) -> Column:
     """``suffix_place`` as an expression."""
     return F.crc32(F.when(F.octet_length(word) >= 2, F.substring(word, -2, 2)).otherwise(word)) % SUFFIXES + 1 + OWN
 
 
 class Packed(dict):
-    """Maps a word to one number: its hash, place and rank among the frequent words."""
+    """Maps a word to one number: its hash, place and rank among the frequent words. Holds the listed words only."""
 
     def __init__(self, rank: dict[bytes, int], own: dict[bytes, int]) -> None:
-        self.rank, self.own = rank, own
+        ranks = np.fromiter(rank.values(), np.int64, len(rank))
+        super().__init__(zip(rank, (unlisted(list(rank)) - RARE + ranks).tolist(), strict=True))
+        for w, place in own.items():
+            self[w] = zlib.crc32(w) << 28 | place << 20 | rank.get(w, RARE)
 
     def __missing__(self, word: bytes) -> int:
-        place = self.own.get(word)
-        v = zlib.crc32(word) << 28 | (suffix_place(word) if place is None else place) << 20 | self.rank.get(word, RARE)
-        if len(word) <= CACHED_BYTES:
-            if len(self) > CACHED_WORDS:
-                self.clear()
-            self[word] = v
-        return v
+        return int(unlisted([word])[0])
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        out = np.fromiter(map(self.get, words, itertools.repeat(-1)), np.int64, len(words))
+        rest = np.flatnonzero(out < 0)
+        out[rest] = unlisted(words[rest])
+        return out
 
 
 class Lexicon:
@@ -112,11 +141,27 @@ class Lexicon:
         self.log_count = np.append(np.log10(np.array([n for _, n in top], float) + 1), 0.0)
         self.count = np.append(np.array([n for _, n in top], np.int64), 0)
 
+    def encoded(self, words: pa.Array, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One number per word, each document's end token appended, laid end to end; and the documents' sizes with it.
+
+        ``words`` and ``size`` are as ``split`` gives them. Equal words are looked up once."""
+        coded = words.dictionary_encode()
+        known = self.known.of(coded.dictionary.to_numpy(zero_copy_only=False))
+        size = size + 1
+        flat = np.full(int(size.sum()), self.known[END], np.int64)
+        flat[inner(size)] = known[coded.indices.to_numpy()]
+        return flat, size
+
     def packed(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """One number per word, each document's end token appended, laid end to end; and the documents' sizes."""
-        size = np.array([len(d) + 1 for d in docs])
-        look, end = self.known.__getitem__, [END]
-        return np.fromiter(map(look, itertools.chain.from_iterable(itertools.chain(d, end) for d in docs)), np.int64, int(size.sum())), size
+        """``encoded`` of documents given as lists of words."""
+        return self.encoded(pa.array(list(itertools.chain.from_iterable(docs)), pa.binary()), np.array([len(d) for d in docs], np.int64))
+
+
+def inner(size: np.ndarray) -> np.ndarray:
+    """Which tokens of documents of these sizes are not the end token."""
+    out = np.ones(int(size.sum()), bool)
+    out[np.cumsum(size) - 1] = False
+    return out
 
 
 class Tokens:
@@ -152,13 +197,19 @@ SHAPES = ((BUCKETS + 1, CLASSES), (BUCKETS + CLASSES, WIDTH))
 
 
 def logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Logits that can be exponentiated: shifted by each token's largest if any of them is far from 0."""
     x = np.take(weights, rows[0], axis=0, mode="clip")
     for r in rows[1:]:
         x += np.take(weights, r, axis=0, mode="clip")
-    x -= x.max(1)[:, None]
+    if not (x.max() <= SAFE and x.min() >= -SAFE):
+        x -= x.max(1)[:, None]
     return x
 
 
+def row_sums(x: np.ndarray) -> np.ndarray:
+    return x @ np.ones(x.shape[1], x.dtype)
+
+
 def log_probability(weights: tuple[np.ndarray, np.ndarray], t: Tokens) -> np.ndarray:
     """Natural log of the probability of each token's place."""
     out = np.zeros(len(t.place), np.float64)
@@ -167,23 +218,33 @@ def log_probability(weights: tuple[np.ndarray, np.ndarray], t: Tokens) -> np.nda
             rows, told = t.level(depth, k)
             x = logits(table, rows)
             hit = x[np.arange(len(told)), told]
-            out[k : k + BATCH] += hit - np.log(np.exp(x, out=x).sum(1))
+            out[k : k + BATCH] += hit - np.log(row_sums(np.exp(x, out=x)))
     return out
 
 
 def bucket_sums(p: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of the rows ``p[order]`` over the segments that begin at ``first``: most segments are short and are added place by
-    place, all at once; the few long ones one by one."""
+    """Sums of the rows ``p[order]`` over the segments that begin at ``first``. Segments are cut into pieces of at most ``SHORT``
+    rows; pieces, longest first, are added place by place, all at once, and the sums of a segment's pieces likewise."""
     lens = np.diff(np.append(first, len(order)))
-    out = p[order[first]]
+    pieces = (lens + SHORT - 1) // SHORT
+    start = np.cumsum(pieces) - pieces
+    cut = (np.arange(pieces.sum()) - np.repeat(start, pieces)) * SHORT
+    first, lens = np.repeat(first, pieces) + cut, np.minimum(np.repeat(lens, pieces) - cut, SHORT)
+    by = np.argsort((SHORT - lens).astype(np.uint8), kind="stable")
+    begin, longer = first[by], len(by) - np.cumsum(np.bincount(lens, minlength=SHORT + 1))
+    out = np.take(p, order[begin], axis=0, mode="clip")
     for k in range(1, SHORT):
-        more = np.flatnonzero(lens > k)
-        if not len(more):
-            return out
-        out[more] += p[order[first[more] + k]]
-    for i in np.flatnonzero(lens > SHORT):
-        out[i] += p[order[first[i] + SHORT : first[i] + lens[i]]].sum(0)
-    return out
+        m = longer[k]
+        if not m:
+            break
+        out[:m] += np.take(p, order[begin[:m] + k], axis=0, mode="clip")
+    at = np.empty_like(by)
+    at[by] = np.arange(len(by))
+    sums = np.take(out, at[start], axis=0, mode="clip")
+    if len(at) > len(start):
+        more = pieces > 1
+        sums[more] = bucket_sums(out, at[np.repeat(more, pieces)], np.cumsum(pieces[more]) - pieces[more])
+    return sums
 
 
 def descend(weights: tuple[np.ndarray, ...], scale: tuple[np.ndarray, ...], t: Tokens) -> None:
@@ -193,21 +254,24 @@ def descend(weights: tuple[np.ndarray, ...], scale: tuple[np.ndarray, ...], t: T
             rows, told = t.level(depth, k)
             p = logits(table, rows)
             np.exp(p, out=p)
-            p /= p.sum(1)[:, None]
-            p[np.arange(len(told)), told] -= 1
-            flat = rows.astype(np.uint16).ravel()
+            p *= (1 / row_sums(p))[:, None]
+            p.ravel()[np.arange(len(told)) * p.shape[1] + told] -= 1
+            flat = rows[:-1].astype(np.uint16).ravel()
             order = np.argsort(flat, kind="stable")  # a radix sort, as rows take two bytes
             flat = flat[order]
             first = np.concatenate([[0], np.flatnonzero(flat[1:] != flat[:-1]) + 1])
-            at = flat[first].astype(np.int64)
-            g = bucket_sums(p, order % len(told), first)
-            total = sums[at] + g * g
+            biases = np.arange(BUCKETS, len(table))
+            at = np.concatenate([flat[first].astype(np.int64), biases])
+            g = np.concatenate([bucket_sums(p, order % len(told), first), (rows[-1] == biases[:, None]).astype(p.dtype) @ p])
+            total = np.take(sums, at, axis=0, mode="clip")
+            total += g * g
             sums[at] = total
             total += 1
             np.sqrt(total, out=total)
             g *= RATE
             g /= total
-            table[at] -= g
+            np.subtract(np.take(table, at, axis=0, mode="clip"), g, out=g)
+            table[at] = g
 
 
 def frequent_words(vocabulary: DataFrame, top: int) -> list[tuple[bytes, int]]:
@@ -237,11 +301,13 @@ def round_of(docs: DataFrame, weights: tuple[np.ndarray, ...], lexicon: tuple) -
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, words = held.value
         lexicon, own, scale, seen = Lexicon(*words), tuple(w.copy() for w in start), tuple(np.zeros_like(w) for w in start), 0
-        for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                t = Tokens(*lexicon.packed([words_of(x.as_py()) for x in batch.column(0).slice(k, 64)]))
-                descend(own, scale, t)
-                seen += len(t.place)
+        for batch in common.slices(batches, SPLIT_ROWS):
+            flat, size = lexicon.encoded(*split(batch.column(0)))
+            bounds = np.append(0, np.cumsum(size))
+            for k in range(0, len(size), TRAIN_ROWS):
+                some = size[k : k + TRAIN_ROWS]
+                descend(own, scale, Tokens(flat[bounds[k] : bounds[k + len(some)]], some))
+            seen += len(flat)
         if not seen:
             return
         out: list[list] = [[], [], [], [], []]
@@ -266,7 +332,7 @@ def round_of(docs: DataFrame, weights: tuple[np.ndarray, ...], lexicon: tuple) -
         moved = [(d, b, (x / n).astype(np.float32).tobytes()) for (d, b), (n, x) in sums.items()]
         yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in moved], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["depth", "block", "change"])
 
-    changes = docs.select("text").mapInArrow(train, "depth int, block int, seen long, rows binary, change binary")
+    changes = docs.select("text").mapInArrow(common.lean(train), "depth int, block int, seen long, rows binary, change binary")
     moved = tuple(w.copy() for w in weights)
     for r in changes.repartition(2 * BLOCKS, "depth", "block").mapInArrow(total, "depth int, block int, change binary").collect():  # the fixed tables, once
         part = np.frombuffer(r["change"], np.float32).reshape(-1, SHAPES[r["depth"]][1])
@@ -306,24 +372,22 @@ def score(docs: DataFrame, rounds: int = ROUNDS, top: int = TOP) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, words, log_mass = held.value
         lexicon = Lexicon(*words)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                b = batch.slice(k, 64)
-                split = [words_of(x.as_py()) for x in b.column(2)]
-                t = Tokens(*lexicon.packed(split))
-                model = log_probability(weights, t) / np.log(10) - log_mass[t.place]
-                rank = np.minimum(t.rank, len(lexicon.count) - 1)
-                counts, sums = lexicon.count[rank] > 0, lexicon.log_count[rank]
-                add = lambda x, t=t: np.add.reduceat(x, t.first)
-                far = t.rank == RARE
-                words_far = list(itertools.compress(itertools.chain.from_iterable(itertools.chain(d, (END,)) for d in split), far.tolist()))
-                bounds = np.append(0, np.cumsum(add(far.astype(np.int64)))).astype(np.int32)
-                names = ["doc_id", "held_out", "n_tokens", "known", "counts", "model", "rare"]
-                listed = pa.ListArray.from_arrays(pa.array(bounds), pa.array(words_far, pa.binary()))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(t.size.astype(np.int64)), pa.array(add(counts.astype(np.int64))), pa.array(add(sums)), pa.array(add(model)), listed], names=names)
+        for b in common.slices(batches, SPLIT_ROWS):
+            split_words, n = split(b.column(2))
+            t = Tokens(*lexicon.encoded(split_words, n))
+            model = log_probability(weights, t) / np.log(10) - log_mass[t.place]
+            rank = np.minimum(t.rank, len(lexicon.count) - 1)
+            counts, sums = lexicon.count[rank] > 0, lexicon.log_count[rank]
+            add = lambda x, t=t: np.add.reduceat(x, t.first)
+            word = inner(t.size)
+            far = (t.rank == RARE) & word  # the end token is frequent wherever it was counted
+            bounds = np.append(0, np.cumsum(add(far.astype(np.int64)))).astype(np.int32)
+            names = ["doc_id", "held_out", "n_tokens", "known", "counts", "model", "rare"]
+            listed = pa.ListArray.from_arrays(pa.array(bounds), split_words.filter(pa.array(far[word])))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(t.size.astype(np.int64)), pa.array(add(counts.astype(np.int64))), pa.array(add(sums)), pa.array(add(model)), listed], names=names)
 
     schema = "doc_id long, held_out boolean, n_tokens long, known long, counts double, model double, rare array<binary>"
-    parts = common.materialise(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scores")
+    parts = common.materialise(rows.mapInArrow(common.lean(run), schema).withColumn("row", F.monotonically_increasing_id()), "scores")
     rare = parts.select("row", F.explode("rare").alias("word")).join(vocabulary, "word")
     rare = rare.groupBy("row").agg(F.count(F.lit(1)).alias("more_known"), F.sum(F.log10(F.col("n") + 1)).alias("more_counts"))
     out = parts.drop("rare").join(rare, "row", "left")

@@ -7,9 +7,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from factloom.llm import components, graph_search, jaccard_join, labelled, maxent_lm, quality_classifier, toxicity_grammar
+from factloom.llm import components, graph_search, jaccard_join, labelled, maxent_lm, quality_classifier, shingles, toxicity_grammar
 from factloom.llm.common import table
 
 DATA = pathlib.Path("/root/testdata/sf0.01")
@@ -139,6 +140,44 @@ def test_language_model_learns_context(spark):
     assert got and all(r["score"] > r["base_score"] / 2 for r in got)
 
 
+def test_language_model_looks_equal_words_up_once(monkeypatch):
+    """A batch's words are split in Arrow, as ``words_of`` splits them, and only different ones are looked up; none is remembered."""
+    texts = ["", " ", "one", " one\tTwo\x0b\x0cone\r\n", "\u00c9t\u00e9 a\x1cb\u00a0c \u2003 d\x85e\x00", "x" * 70 + " One", *["one two"] * 500, ""]
+    want = [shingles.words_of(t) for t in texts]
+    array = pa.array(["sliced off", *texts])[1:]
+    words, size = maxent_lm.split(array)
+    assert words.to_pylist() == [w for ws in want for w in ws] and size.tolist() == [len(ws) for ws in want]
+    lexicon = maxent_lm.Lexicon([(b"one", 9), (b"two", 8), (b"", 7)], [b"one"])
+    asked = []
+    monkeypatch.setattr(maxent_lm.Packed, "of", lambda self, ws, of=maxent_lm.Packed.of: asked.extend(ws) or of(self, ws))
+    flat, size = lexicon.encoded(words, size)
+    assert sorted(asked) == sorted({w for ws in want for w in ws}) and set(lexicon.known) == {b"one", b"two", b""}
+    rank, place = {b"one": 0, b"two": 1, b"": 2}, {b"one": 1, b"": 0}
+    number = lambda w: zlib.crc32(w) << 28 | place.get(w, maxent_lm.suffix_place(w)) << 20 | rank.get(w, maxent_lm.RARE)
+    assert flat.tolist() == [number(w) for ws in want for w in [*ws, b""]] and size.tolist() == [len(ws) + 1 for ws in want]
+
+
+def test_language_model_adds_a_long_segment_in_a_few_steps(monkeypatch):
+    """Rows of equal features are added all at once: a frequent feature takes no step of its own."""
+    rng = np.random.default_rng(3)
+    lens = np.concatenate([[1, 5000, 15, 16, 17], rng.integers(1, 400, 300), [256, 257, 1]])
+    p, first = rng.normal(0, 1, (700, 16)), np.cumsum(lens) - lens
+    order = rng.integers(0, len(p), lens.sum())
+    taken = []
+    monkeypatch.setattr(np, "take", lambda *a, take=np.take, **b: taken.append(1) or take(*a, **b))
+    got = maxent_lm.bucket_sums(p, order, first)
+    assert 0 < len(taken) < 100
+    assert np.allclose(got, [p[order[a : a + n]].sum(0) for a, n in zip(first, lens, strict=True)])
+
+
+def test_language_model_counts_in_parts(spark, corpus, monkeypatch):
+    docs = corpus[0].select("text").where("text is not null").repartition(3)
+    want = collections.Counter(w for r in docs.collect() for w in [*shingles.words_of(r["text"]), b""])
+    for held in (1, 1_000_000):
+        monkeypatch.setattr(maxent_lm, "HELD_COUNTS", held)
+        assert {bytes(r["word"]): r["n"] for r in maxent_lm.counted(docs).collect()} == want
+
+
 def test_language_model_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert maxent_lm.score(empty).count() == 0
